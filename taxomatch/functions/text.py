@@ -183,9 +183,23 @@ def short_label(c, n: int) -> Column:
 def chunk_text(c, width: int = 800) -> Column:
     """Greedy packing of whitespace words into chunks of at most ``width``
     characters joined by single spaces, like ``textwrap.wrap`` on single-spaced
-    text. A word longer than ``width`` fills the rest of the current chunk and
-    continues in ``width``-sized pieces. Blank text gives an empty array."""
-    ws = words(F.regexp_replace(F.coalesce(col_(c), F.lit("")), r"\s", " "))
+    text (hyphenated words are not split). Blank text gives an empty array.
+
+    One JVM regex does the packing: on whitespace-collapsed text,
+    ``\\S(?:.{0,w-2}\\S)?(?= |$)`` matches, from the start of a word, the longest
+    run of at most ``w`` characters that ends at a word end - exactly the
+    greedy rule. Rows holding a word longer than ``width`` (rare) take the
+    word-by-word fold, where such a word fills the rest of the current chunk
+    and continues in ``width``-sized pieces."""
+    text = F.coalesce(col_(c), F.lit(""))
+    flat = strip_ws(F.regexp_replace(text, r"\s+", " "))
+    fast = F.regexp_extract_all(flat, F.lit(f"(?s)(\\S(?:.{{0,{max(width - 2, 0)}}}\\S)?)(?= |$)"), 1)
+    has_long = text.rlike(f"\\S{{{width + 1}}}")
+    return F.when(has_long, _chunk_fold(text, width)).otherwise(fast)
+
+
+def _chunk_fold(text: Column, width: int) -> Column:
+    ws = words(F.regexp_replace(text, r"\s", " "))
     init = F.struct(
         F.array().cast("array<string>").alias("done"),
         F.lit("").alias("cur"),

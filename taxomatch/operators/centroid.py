@@ -40,3 +40,25 @@ def weighted_centroid(df: DataFrame, keys, vec: str, weight=None, out: str = "ce
 def vector_mean(df: DataFrame, keys, vec: str, out: str = "mean") -> DataFrame:
     """Unweighted mean per key, not re-normalised (chunk mean)."""
     return weighted_centroid(df, keys, vec, None, out)
+
+
+def centroids(df: DataFrame, keys, vec: str, outs: dict) -> DataFrame:
+    """Several weighted centroids of the same vectors in one pass:
+    ``outs`` maps output name -> weight column (None = plain mean)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    ws = {o: (F.lit(1.0) if w is None else (F.col(w) if isinstance(w, str) else w).cast("double")) for o, w in outs.items()}
+    src = df.where(F.col(vec).isNotNull())
+    ex = src.select(*keys, *[w.alias(f"_w_{o}") for o, w in ws.items()],
+                    F.posexplode(F.col(vec).cast("array<double>")).alias("pos", "x"))
+    aggs = []
+    for o in ws:
+        aggs += [F.sum(F.col(f"_w_{o}") * F.col("x")).alias(f"_sx_{o}"), F.sum(f"_w_{o}").alias(f"_sw_{o}")]
+    sums = ex.groupBy(*keys, "pos").agg(*aggs)
+    vals = [F.when(F.col(f"_sw_{o}") != 0, F.col(f"_sx_{o}") / F.col(f"_sw_{o}")).otherwise(F.lit(0.0)).alias(o) for o in ws]
+    parts = sums.select(*keys, "pos", *vals)
+    packed = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", *ws.keys()))).alias("_p"))
+    return packed.select(*keys, *[F.transform("_p", _getter(o)).alias(o) for o in ws])
+
+
+def _getter(name):
+    return lambda s: s[name]

@@ -73,7 +73,7 @@ def label_stats(df: DataFrame, code: str = "onet_soc") -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def ranked(df: DataFrame, order_cols: list[str], out: str = "rn", weight: str | None = None,
-           rows_per_bucket: int = 1_000_000) -> DataFrame:
+           rows_per_bucket: int = 1_000_000, n: int | None = None) -> DataFrame:
     """Exact running sum of ``weight`` (default 1, i.e. the 1-based row number)
     over the total order ``order_cols`` (the last column must make it unique).
 
@@ -84,8 +84,12 @@ def ranked(df: DataFrame, order_cols: list[str], out: str = "rn", weight: str |
     """
     first = order_cols[0]
     w_col = F.lit(1) if weight is None else F.col(weight)
-    n = df.count()
+    n = df.count() if n is None else n
     buckets = max(1, math.ceil(n / rows_per_bucket))
+    if buckets == 1:
+        # at most ``rows_per_bucket`` rows: one bounded window partition
+        win = Window.partitionBy(F.lit(0)).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(out, F.sum(w_col).over(win).cast("long"))
     if buckets > 1:
         qs = df.approxQuantile(first, [i / buckets for i in range(1, buckets)], 1.0 / (8 * buckets))
         splits = [-float("inf")] + sorted(set(float(q) for q in qs)) + [float("inf")]
@@ -123,7 +127,7 @@ def exact_split(df: DataFrame, order_key, tie: str, train_frac: float = 0.8) ->
     are 'train', the rest 'test'. Adds ``split``."""
     n = df.count()
     cut = int(n * train_frac)
-    r = ranked(df.withColumn("_h", order_key), ["_h", tie], "_rn")
+    r = ranked(df.withColumn("_h", order_key), ["_h", tie], "_rn", n=n)
     return r.withColumn("split", F.when(F.col("_rn") <= cut, "train").otherwise("test")).drop("_h", "_rn")
 
 
@@ -131,7 +135,7 @@ def exact_sample(df: DataFrame, order_key, tie: str, frac: float = 0.2) -> DataF
     """``round(frac * n)`` rows (Python rounding) with the smallest ``order_key``."""
     n = df.count()
     m = round(frac * n)
-    r = ranked(df.withColumn("_h", order_key), ["_h", tie], "_rn")
+    r = ranked(df.withColumn("_h", order_key), ["_h", tie], "_rn", n=n)
     return r.where(F.col("_rn") <= m).drop("_h", "_rn")
 
 
@@ -214,7 +218,8 @@ def code_index(profiles: DataFrame) -> DataFrame:
     with_grp = (codes.withColumn("gidx", F.row_number().over(g) - 1)
                 .withColumn("gsize", F.count(F.lit(1)).over(gs)))
     total = codes.count()
-    return ranked(with_grp, ["code"], "aidx").withColumn("aidx", F.col("aidx") - 1).withColumn("asize", F.lit(total))
+    return (ranked(with_grp, ["code"], "aidx", n=total)
+            .withColumn("aidx", F.col("aidx") - 1).withColumn("asize", F.lit(total)))
 
 
 def hard_negatives(rows: DataFrame, profiles: DataFrame, order_key, prefix: str = QUERY_PREFIX,

@@ -242,13 +242,24 @@ def match(queries: DataFrame, kb: DataFrame, cfg: MatchConfig = PRODUCTION,
     ``bm25_terms`` (array<struct<token,weight>>). Other query columns pass
     through unchanged. Result: query columns + codes, titles, scores, raw_scores.
     """
+    from pyspark import StorageLevel
+
     ship_package(queries.sparkSession)
     kb_small = prepare_kb(kb, cfg, fuse=True)
     cfg_run = cfg
-    prof = kb_profile(kb_small)
-    est = prof["n"] * (prof["dim"] * 8 * max(prof["vec_cols"], 1) + 64) + prof["lex"] * 48
-    if not cfg.force_blocked and est <= cfg.broadcast_limit_bytes:
-        return _match_broadcast(queries, kb_small, cfg_run, prof["dim"], query_id)
+    est, prof = None, None
+    if not cfg.force_blocked:
+        # the size check and the collect read one cached copy of the KB
+        kb_small = kb_small.persist(StorageLevel.MEMORY_AND_DISK)
+        prof = kb_profile(kb_small)
+        est = prof["n"] * (prof["dim"] * 8 * max(prof["vec_cols"], 1) + 64) + prof["lex"] * 48
+        if est <= cfg.broadcast_limit_bytes:
+            try:
+                return _match_broadcast(queries, kb_small, cfg_run, prof["dim"], query_id)
+            finally:
+                kb_small.unpersist()
+        kb_small.unpersist()
+    prof = prof or kb_profile(kb_small)
     return _match_blocked(queries, kb_small, cfg_run, prof, query_id)
 
 

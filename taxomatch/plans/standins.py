@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from taxomatch.functions.text import title_words
 from taxomatch.functions.vectors import mask_positions
-from taxomatch.operators.centroid import weighted_centroid
+from taxomatch.operators.centroid import centroids
 
 # Stand-in vocabulary for the ten embedding labels (fixed values of this repo).
 LABEL_WORDS = ("Nurse", "Teacher", "Driver", "Clerk", "Engineer", "Analyst", "Cook", "Guard", "Painter", "Welder")
@@ -73,9 +73,7 @@ def vector_kb(spark, d, words: str = "eval") -> DataFrame:
     """Ten KB rows: task field = weighted centroid, other fields = mean
     centroid, field f keeping positions with index mod 6 == f."""
     e = embeddings(spark, d)
-    c = weighted_centroid(e, "label", "v", None, "c")
-    cw = weighted_centroid(e, "label", "v", centroid_weight(), "cw")
-    kb = c.join(cw, "label")
+    kb = centroids(e, "label", "v", {"c": None, "cw": centroid_weight()})
     title = label_title(F.col("label"))
     kb = kb.select(
         "label", label_code(F.col("label")).alias("code"), title.alias("title"),
