@@ -331,10 +331,13 @@ def cosine_fields(spark: SparkSession, d: str) -> DataFrame:
                     *[rnd(cosine("vec", f"vec_{f}")).alias(f"cos_{f}") for f in FIELDS])
 
 
-def _match(spark, d, cfg: MatchConfig, words: str = "eval"):
+def _match(spark, d, cfg: MatchConfig, words: str = "eval", keep=()):
+    """Only the columns the output needs go through the Python worker
+    (Catalyst cannot prune through ``mapInPandas``)."""
     q = si.vector_queries(spark, d, words)
     kb = si.vector_kb(spark, d, words)
-    return match(q.drop("label"), kb, cfg)
+    cols = ["query_id", "vec", *(["title_words"] if cfg.title_boost else []), *keep]
+    return match(q.select(*cols), kb, cfg)
 
 
 def match_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -364,7 +367,8 @@ def match_topk_app(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _eval_rows(spark, d):
-    r = _match(spark, d, MatchConfig(weights=TUNED_WEIGHTS, title_boost=tx.TITLE_BOOST))
+    r = _match(spark, d, MatchConfig(weights=TUNED_WEIGHTS, title_boost=tx.TITLE_BOOST),
+               keep=("occupation", "description", "onet_soc", "onet_title"))
     return ev.eval_rows(r)
 
 
