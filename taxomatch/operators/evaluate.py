@@ -3,6 +3,8 @@ correlation, accuracy of field weights and a batched weight search."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -14,7 +16,7 @@ from taxomatch.functions.text import blank_to_empty
 from taxomatch.functions.vectors import FIELDS, SEARCH_BASELINE, WEIGHT_NAMES, normalized_weights
 from taxomatch.operators.labels import average_rank
 from taxomatch.operators.match import _stack, _unit_rows
-from taxomatch.session import ship_package
+from taxomatch.session import ensure_checkpoint_dir, ship_package
 
 
 def eval_rows(result: DataFrame, occupation: str = "occupation", description: str = "description",
@@ -88,29 +90,54 @@ class FieldSlab:
             else np.zeros((self.n, dim)) for f in FIELDS])  # (6, n_kb, dim)
 
 
-def _kb_fields(kb: DataFrame, limit_bytes: int) -> tuple[FieldSlab, int]:
+def _kb_fields(kb: DataFrame, limit_bytes: int, force_blocked: bool = False):
+    """Profile the KB (one job) and, under the limit, collect it as a slab."""
     vcols = [f"vec_{f}" for f in FIELDS if f"vec_{f}" in kb.columns]
     prof = kb.agg(F.count(F.lit(1)).alias("n"), F.greatest(*[F.max(F.size(c)) for c in vcols]).alias("dim")).collect()[0]
     n, dim = int(prof["n"]), int(prof["dim"] or 0)
-    if n * dim * 8 * len(FIELDS) > limit_bytes:
-        raise ValueError(f"KB of {n} rows x {dim} dims is over the broadcast limit for per-field scoring")
-    # duplicate codes: the last row wins (as the reference's code -> row map)
+    if force_blocked or n * dim * 8 * len(FIELDS) > limit_bytes:
+        return None, n, dim
+    # duplicate codes: one row per code (the reference's code -> row map keeps the last)
     pdf = kb.select("code", *vcols).toPandas().drop_duplicates("code", keep="last")
-    return FieldSlab(pdf, dim), dim
+    return FieldSlab(pdf, dim), n, dim
+
+
+def _candidate_frame(spark, cand):
+    return spark.createDataFrame([(i, *map(float, cand[i])) for i in range(len(cand))],
+                                 ["candidate"] + [f"w_{f}" for f in FIELDS])
 
 
 def weight_accuracy(queries: DataFrame, kb: DataFrame, candidates, truth: str = "truth_code",
-                    limit_bytes: int = 256 << 20, max_cells: int = 1 << 22) -> DataFrame:
+                    query_id: str = "query_id", limit_bytes: int = 256 << 20, max_cells: int = 1 << 22,
+                    force_blocked: bool = False, kb_block_rows: int = 20_000,
+                    query_block_rows: int = 200_000) -> DataFrame:
     """Top-1 accuracy of each candidate weight vector (normalised to
     ``abs(w)/sum(abs(w))``). Queries whose true code is not in the KB are
-    dropped. Argmax takes the first KB row (code order) on ties. Each task
-    scores its queries once per field and emits one partial count per
-    candidate; Spark sums them."""
+    dropped. Argmax takes the lowest code on ties.
+
+    Under ``limit_bytes`` the per-field KB matrices are broadcast; each task
+    scores its queries once per field, evaluates every candidate with one
+    einsum and emits one partial hit count per candidate (Spark sums them).
+    Over the limit, KB blocks and query buckets are co-grouped; each group
+    emits its best (score, code) per query and candidate, and a group-by per
+    (query, candidate) keeps the overall best."""
     spark = queries.sparkSession
     ship_package(spark)
-    slab, dim = _kb_fields(kb, limit_bytes)
+    slab, n_kb, dim = _kb_fields(kb, limit_bytes, force_blocked)
     cand = np.array([normalized_weights(c) for c in candidates], dtype=np.float64)  # (C, 6)
-    bc = spark.sparkContext.broadcast((slab, cand))
+    wdf = _candidate_frame(spark, cand)
+    if slab is None:
+        tot = _weight_hits_blocked(queries, kb, cand, truth, query_id, n_kb, dim, max_cells,
+                                   kb_block_rows, query_block_rows)
+    else:
+        tot = _weight_hits_broadcast(queries, slab, cand, truth, dim, max_cells)
+    return (tot.join(F.broadcast(wdf), "candidate")   # C rows: the candidate list itself
+            .select("candidate", *[f"w_{f}" for f in FIELDS], "hits", "rows",
+                    F.try_divide(F.col("hits").cast("double"), F.col("rows")).alias("accuracy")))
+
+
+def _weight_hits_broadcast(queries, slab, cand, truth, dim, max_cells):
+    bc = queries.sparkSession.sparkContext.broadcast((slab, cand))
     schema = T.StructType([T.StructField("candidate", T.IntegerType()), T.StructField("hits", T.LongType()),
                            T.StructField("rows", T.LongType())])
 
@@ -135,12 +162,50 @@ def weight_accuracy(queries: DataFrame, kb: DataFrame, candidates, truth: str =
                             "rows": np.full(len(cw), rows, dtype=np.int64)})
 
     part = queries.select("vec", truth).mapInPandas(run, schema)
-    tot = part.groupBy("candidate").agg(F.sum("hits").alias("hits"), F.sum("rows").alias("rows"))
-    wdf = spark.createDataFrame([(i, *map(float, cand[i])) for i in range(len(cand))],
-                                ["candidate"] + [f"w_{f}" for f in FIELDS])
-    return (tot.join(F.broadcast(wdf), "candidate")
-            .select("candidate", *[f"w_{f}" for f in FIELDS], "hits", "rows",
-                    F.try_divide(F.col("hits").cast("double"), F.col("rows")).alias("accuracy")))
+    return part.groupBy("candidate").agg(F.sum("hits").alias("hits"), F.sum("rows").alias("rows"))
+
+
+def _weight_hits_blocked(queries, kb, cand, truth, query_id, n_kb, dim, max_cells, kb_block_rows, query_block_rows):
+    vcols = [f"vec_{f}" for f in FIELDS if f"vec_{f}" in kb.columns]
+    k = kb.select("code", *vcols).dropDuplicates(["code"])
+    known = k.select(F.col("code").alias(truth))
+    q = queries.select(query_id, "vec", truth).join(known, truth, "left_semi")
+    n_b = max(1, math.ceil(n_kb / kb_block_rows))
+    n_q = max(1, math.ceil(q.count() / query_block_rows))
+    qb = (q.withColumn("q_bucket", F.pmod(F.xxhash64(query_id), F.lit(n_q)).cast("int"))
+          .withColumn("kb_block", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1)))))
+    kbb = (k.withColumn("kb_block", F.pmod(F.xxhash64("code"), F.lit(n_b)).cast("int"))
+           .withColumn("q_bucket", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))))
+    schema = T.StructType([queries.schema[query_id], T.StructField("candidate", T.IntegerType()),
+                           T.StructField("score", T.DoubleType()), T.StructField("code", T.StringType()),
+                           T.StructField(truth, T.StringType())])
+
+    def block(qpdf: pd.DataFrame, kpdf: pd.DataFrame) -> pd.DataFrame:
+        if qpdf.empty or kpdf.empty:
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        s = FieldSlab(kpdf, dim)
+        outs = []
+        step = max(1, max_cells // max(s.n * len(FIELDS), 1))
+        for a in range(0, len(qpdf), step):
+            part = qpdf.iloc[a:a + step]
+            qv = _unit_rows(_stack(part["vec"].tolist(), dim))
+            comb = np.einsum("cf,fqk->cqk", cand, np.einsum("qd,fkd->fqk", qv, s.fields))
+            best = comb.argmax(axis=2)                                   # (C, rows)
+            score = np.take_along_axis(comb, best[:, :, None], 2)[:, :, 0]
+            c_n, r_n = best.shape
+            outs.append(pd.DataFrame({
+                query_id: np.tile(part[query_id].to_numpy(), c_n),
+                "candidate": np.repeat(np.arange(c_n, dtype=np.int32), r_n),
+                "score": score.ravel(), "code": s.codes[best.ravel()],
+                truth: np.tile(part[truth].to_numpy(), c_n)}))
+        return pd.concat(outs, ignore_index=True)
+
+    best = (qb.groupBy("kb_block", "q_bucket").cogroup(kbb.groupBy("kb_block", "q_bucket"))
+            .applyInPandas(block, schema)
+            .groupBy(query_id, "candidate")
+            .agg(F.min(F.struct((-F.col("score")).alias("neg"), "code", truth)).alias("b")))
+    hit = (F.col("b.code") == F.col(f"b.{truth}")).cast("long")
+    return best.groupBy("candidate").agg(F.sum(hit).alias("hits"), F.count(F.lit(1)).alias("rows"))
 
 
 def weight_search(queries: DataFrame, kb: DataFrame, truth: str = "truth_code", rounds: int = 6,
@@ -150,7 +215,11 @@ def weight_search(queries: DataFrame, kb: DataFrame, truth: str = "truth_code",
     population is drawn around the best so far with a shrinking step. Returns
     the best normalised weights as ``(field, weight)`` rows plus accuracy."""
     rng = np.random.RandomState(seed)
-    q = queries.select("vec", truth).persist(StorageLevel.MEMORY_AND_DISK)
+    keep = [c for c in ("query_id",) if c in queries.columns]
+    q = queries.select(*keep, "vec", truth).persist(StorageLevel.MEMORY_AND_DISK)
+    # the KB is read by every round: cut its lineage once (shared checkpoint folder)
+    ensure_checkpoint_dir(queries.sparkSession)
+    kb = kb.select("code", *[f"vec_{f}" for f in FIELDS if f"vec_{f}" in kb.columns]).checkpoint(eager=True)
     best_w, best_acc = np.array(baseline, dtype=np.float64), -1.0
     pop = [best_w] + [rng.uniform(0, 1, 6) for _ in range(popsize - 1)]
     step = 0.3

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taxomatch.functions.vectors import FIELDS, TUNED_WEIGHTS, WEIGHT_NAMES, normalize, scale
-from taxomatch.session import ship_package
+from taxomatch.session import ensure_checkpoint_dir, ship_package
 
 RESULT_FIELDS = [
     T.StructField("codes", T.ArrayType(T.StringType())),
@@ -150,8 +150,11 @@ class KbSlab:
             raw = q @ self.fused.T
         final = raw.copy()
         if self.bm25_m is not None and "tokens" in qpdf.columns:
-            s = self._query_counts(qpdf["tokens"].tolist(), self.bm25_vocab, distinct=False) @ self.bm25_m
-            mx = s.max(axis=1, keepdims=True) if self.n else np.zeros((rows, 1))
+            s = self.bm25_raw(qpdf)
+            if "_bm25_max" in qpdf.columns:  # blocked path: max over the whole KB
+                mx = qpdf["_bm25_max"].fillna(0.0).to_numpy(dtype=np.float64)[:, None]
+            else:
+                mx = s.max(axis=1, keepdims=True) if self.n else np.zeros((rows, 1))
             s = np.where(mx > 0, s / np.where(mx > 0, mx, 1.0), s)
             final = final + cfg.bm25_weight * s
         if self.title_m is not None and "title_words" in qpdf.columns:
@@ -159,6 +162,9 @@ class KbSlab:
             final = final + cfg.title_boost * ov
         return final, raw
 
+    def bm25_raw(self, qpdf: pd.DataFrame) -> np.ndarray:
+        return self._query_counts(qpdf["tokens"].tolist(), self.bm25_vocab, distinct=False) @ self.bm25_m
+
     def topk(self, final: np.ndarray, k: int) -> np.ndarray:
         """Indices of the k best columns per row: score desc, then code asc
         (columns are in code order, so a stable sort keeps the lower index)."""
@@ -232,46 +238,60 @@ def kb_profile(kb: DataFrame) -> dict:
             "vec_cols": len(vcols)}
 
 
-def match(queries: DataFrame, kb: DataFrame, cfg: MatchConfig = PRODUCTION,
+@dataclass
+class PreparedKb:
+    """A KB made ready for scoring once and reusable across many ``match``
+    calls (e.g. every micro-batch of a stream): either a broadcast slab or,
+    over the size limit, the checkpointed KB frame for the blocked path."""
+    cfg: MatchConfig
+    mode: str
+    dim: int
+    n: int
+    broadcast: object = None
+    frame: DataFrame | None = None
+
+
+def prepare(kb: DataFrame, cfg: MatchConfig = PRODUCTION) -> PreparedKb:
+    """Size-check the KB and prepare it: fused vectors JVM-side, then either
+    one collect + broadcast (under ``broadcast_limit_bytes``) or a checkpoint
+    of the prepared frame in the shared checkpoint folder (blocked path)."""
+    spark = kb.sparkSession
+    ship_package(spark)
+    ensure_checkpoint_dir(spark)
+    # the size check and the collect read one reliable copy of the KB
+    small = prepare_kb(kb, cfg, fuse=True).checkpoint(eager=True)
+    prof = kb_profile(small)
+    est = prof["n"] * (prof["dim"] * 8 * max(prof["vec_cols"], 1) + 64) + prof["lex"] * 48
+    if not cfg.force_blocked and est <= cfg.broadcast_limit_bytes:
+        slab = KbSlab(small.toPandas(), cfg, prof["dim"])
+        return PreparedKb(cfg, "broadcast", prof["dim"], prof["n"], spark.sparkContext.broadcast(slab))
+    return PreparedKb(cfg, "blocked", prof["dim"], prof["n"], frame=small)
+
+
+def match(queries: DataFrame, kb, cfg: MatchConfig | None = None,
           query_id: str = "query_id") -> DataFrame:
     """Top-k matches per query.
 
     ``queries`` needs ``query_id`` and any of ``vec`` (array<double>),
     ``tokens`` (array<string>, BM25), ``title_words`` (array<string>, boost).
-    ``kb`` needs ``code``, ``title`` and any of ``vec_<field>``, ``title_words``,
-    ``bm25_terms`` (array<struct<token,weight>>). Other query columns pass
-    through unchanged. Result: query columns + codes, titles, scores, raw_scores.
+    ``kb`` is a ``PreparedKb`` or a DataFrame with ``code``, ``title`` and any
+    of ``vec_<field>``, ``title_words``, ``bm25_terms``
+    (array<struct<token,weight>>). Other query columns pass through
+    unchanged. Result: query columns + codes, titles, scores, raw_scores.
     """
-    from pyspark import StorageLevel
-
     ship_package(queries.sparkSession)
-    kb_small = prepare_kb(kb, cfg, fuse=True)
-    cfg_run = cfg
-    est, prof = None, None
-    if not cfg.force_blocked:
-        # the size check and the collect read one cached copy of the KB
-        kb_small = kb_small.persist(StorageLevel.MEMORY_AND_DISK)
-        prof = kb_profile(kb_small)
-        est = prof["n"] * (prof["dim"] * 8 * max(prof["vec_cols"], 1) + 64) + prof["lex"] * 48
-        if est <= cfg.broadcast_limit_bytes:
-            try:
-                return _match_broadcast(queries, kb_small, cfg_run, prof["dim"], query_id)
-            finally:
-                kb_small.unpersist()
-        kb_small.unpersist()
-    prof = prof or kb_profile(kb_small)
-    return _match_blocked(queries, kb_small, cfg_run, prof, query_id)
+    prepared = kb if isinstance(kb, PreparedKb) else prepare(kb, cfg or PRODUCTION)
+    if prepared.mode == "broadcast":
+        return _match_broadcast(queries, prepared, query_id)
+    return _match_blocked(queries, prepared, query_id)
 
 
 def _query_inputs(queries: DataFrame) -> list[str]:
     return [c for c in ("vec", "tokens", "title_words") if c in queries.columns]
 
 
-def _match_broadcast(queries: DataFrame, kb: DataFrame, cfg: MatchConfig, dim: int,
-                     query_id: str) -> DataFrame:
-    spark = queries.sparkSession
-    slab = KbSlab(kb.toPandas(), cfg, dim)  # size checked by the caller
-    bc = spark.sparkContext.broadcast(slab)
+def _match_broadcast(queries: DataFrame, prepared: PreparedKb, query_id: str) -> DataFrame:
+    bc, cfg, dim = prepared.broadcast, prepared.cfg, prepared.dim
     inputs = _query_inputs(queries)
     keep = [c for c in queries.columns if c not in inputs]
     schema = T.StructType([queries.schema[c] for c in keep] + RESULT_FIELDS)
@@ -290,18 +310,45 @@ def _match_broadcast(queries: DataFrame, kb: DataFrame, cfg: MatchConfig, dim: i
     return queries.mapInPandas(run, schema)
 
 
-def _match_blocked(queries: DataFrame, kb: DataFrame, cfg: MatchConfig, prof: dict,
-                   query_id: str) -> DataFrame:
-    dim = prof["dim"]
-    n_kb_blocks = max(1, math.ceil(prof["n"] / cfg.kb_block_rows))
-    n_q = queries.count()
-    n_q_buckets = max(1, math.ceil(n_q / cfg.query_block_rows))
-    inputs = _query_inputs(queries)
-    q = (queries.select(query_id, *inputs)
+def _blocks(queries: DataFrame, kb: DataFrame, cols: list[str], cfg: MatchConfig, n_kb: int, query_id: str):
+    """Both sides keyed by (kb_block, q_bucket): queries replicated over KB
+    blocks, KB rows over query buckets."""
+    n_kb_blocks = max(1, math.ceil(n_kb / cfg.kb_block_rows))
+    n_q_buckets = max(1, math.ceil(queries.count() / cfg.query_block_rows))
+    q = (queries.select(query_id, *cols)
          .withColumn("q_bucket", F.pmod(F.xxhash64(query_id), F.lit(n_q_buckets)).cast("int"))
          .withColumn("kb_block", F.explode(F.sequence(F.lit(0), F.lit(n_kb_blocks - 1)))))
     k = (kb.withColumn("kb_block", F.pmod(F.xxhash64("code"), F.lit(n_kb_blocks)).cast("int"))
          .withColumn("q_bucket", F.explode(F.sequence(F.lit(0), F.lit(n_q_buckets - 1)))))
+    return q.groupBy("kb_block", "q_bucket").cogroup(k.groupBy("kb_block", "q_bucket"))
+
+
+def _bm25_max(queries: DataFrame, prepared: PreparedKb, query_id: str) -> DataFrame:
+    """Pass 1 of BM25 on the blocked path: per query, the largest raw BM25
+    score over the whole KB (block maxima, then a max per query)."""
+    cfg, dim = prepared.cfg, prepared.dim
+    schema = T.StructType([queries.schema[query_id], T.StructField("_bm25_max", T.DoubleType())])
+
+    def block_max(qpdf: pd.DataFrame, kpdf: pd.DataFrame) -> pd.DataFrame:
+        if qpdf.empty or kpdf.empty:
+            return pd.DataFrame({query_id: [], "_bm25_max": []})
+        slab = KbSlab(kpdf, cfg, dim)
+        if slab.bm25_m is None:
+            return pd.DataFrame({query_id: qpdf[query_id].to_numpy(), "_bm25_max": np.zeros(len(qpdf))})
+        return pd.DataFrame({query_id: qpdf[query_id].to_numpy(), "_bm25_max": slab.bm25_raw(qpdf).max(axis=1)})
+
+    g = _blocks(queries, prepared.frame, ["tokens"], cfg, prepared.n, query_id)
+    return g.applyInPandas(block_max, schema).groupBy(query_id).agg(F.max("_bm25_max").alias("_bm25_max"))
+
+
+def _match_blocked(queries: DataFrame, prepared: PreparedKb, query_id: str) -> DataFrame:
+    cfg, dim = prepared.cfg, prepared.dim
+    inputs = _query_inputs(queries)
+    scored = queries.select(query_id, *inputs)
+    if cfg.bm25_weight and "tokens" in inputs and "bm25_terms" in prepared.frame.columns:
+        scored = scored.join(_bm25_max(scored, prepared, query_id), query_id, "left")
+        inputs = inputs + ["_bm25_max"]
+    grouped = _blocks(scored, prepared.frame, inputs, cfg, prepared.n, query_id)
     cand_schema = T.StructType([
         queries.schema[query_id],
         T.StructField("code", T.StringType()), T.StructField("title", T.StringType()),
@@ -322,16 +369,14 @@ def _match_blocked(queries: DataFrame, kb: DataFrame, cfg: MatchConfig, prof: di
             }))
         return pd.concat(outs, ignore_index=True)
 
-    cands = (q.groupBy("kb_block", "q_bucket")
-             .cogroup(k.groupBy("kb_block", "q_bucket"))
-             .applyInPandas(block, cand_schema))
+    cands = grouped.applyInPandas(block, cand_schema)
     ranked = (cands.groupBy(query_id)
               .agg(F.slice(F.array_sort(F.collect_list(
                   F.struct((-F.col("score")).alias("neg"), "code", "title", "score", "raw"))), 1, cfg.k).alias("top"))
               .select(query_id,
                       F.col("top.code").alias("codes"), F.col("top.title").alias("titles"),
                       F.col("top.score").alias("scores"), F.col("top.raw").alias("raw_scores")))
-    rest = queries.drop(*inputs)
+    rest = queries.drop(*_query_inputs(queries))
     return rest.join(ranked, query_id, "left")
 
 

@@ -405,7 +405,7 @@ WEIGHT_CANDIDATES = (
 
 def _truth_queries(spark, d):
     q = si.vector_queries(spark, d)
-    return q.select("vec", si.label_code(F.col("label")).alias("truth_code"))
+    return q.select("query_id", "vec", si.label_code(F.col("label")).alias("truth_code"))
 
 
 def weight_accuracy(spark: SparkSession, d: str) -> DataFrame:

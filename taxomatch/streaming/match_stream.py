@@ -14,23 +14,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxomatch.operators.match import MatchConfig, match, to_wide
+from taxomatch.operators.match import MatchConfig, match, prepare, to_wide
 
 
 def start_stream_match(spark: SparkSession, source_dir: str, schema, kb: DataFrame, sink_dir: str,
-                       checkpoint_dir: str, cfg: MatchConfig = MatchConfig(), prepare=None,
+                       checkpoint_dir: str, cfg: MatchConfig = MatchConfig(), to_queries=None,
                        variant: str = "production", available_now: bool = True, max_files: int | None = None):
     """Watch ``source_dir`` (Parquet files of query rows) and append top-k
-    matches to ``sink_dir``. ``prepare`` maps a micro-batch to the query
+    matches to ``sink_dir``. ``to_queries`` maps a micro-batch to the query
     frame (``query_id``, ``vec`` ...). Returns the ``StreamingQuery``."""
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     stream = reader.parquet(source_dir)
+    prepared = prepare(kb, cfg)  # once per start, reused by every micro-batch
 
     def run(batch: DataFrame, epoch: int) -> None:
-        q = prepare(batch) if prepare else batch
-        res = to_wide(match(q, kb, cfg), variant)
+        q = to_queries(batch) if to_queries else batch
+        res = to_wide(match(q, prepared), variant)
         res.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/epoch={epoch}")
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_dir)

@@ -101,8 +101,11 @@ def test_bm25_matches_brute_force(spark):
     qs = [(1, "the cat the mat"), (2, "dogs"), (3, "zebra")]
     q = spark.createDataFrame(qs, "query_id long, text string").select(
         "query_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "").alias("tokens"))
-    res = match(q, kb, MatchConfig(weights={n: 0.0 for n in WEIGHT_NAMES}, bm25_weight=1.0, k=4))
+    cfg = MatchConfig(weights={n: 0.0 for n in WEIGHT_NAMES}, bm25_weight=1.0, k=4)
+    res = match(q, kb, cfg)
     got = {r["query_id"]: dict(zip(r["codes"], r["scores"])) for r in res.collect()}
+    blocked = match(q, kb, MatchConfig(weights=cfg.weights, bm25_weight=1.0, k=4, force_blocked=True, kb_block_rows=2))
+    assert {r["query_id"]: dict(zip(r["codes"], r["scores"])) for r in blocked.collect()} == got
     for qid, text in qs:
         ref = _bm25_reference([t.split() for _, t in docs], text.split())
         mx = max(ref)
@@ -118,3 +121,15 @@ def test_single_lookup_refuses_blank(spark):
     except ValueError:
         return
     raise AssertionError("blank title accepted")
+
+
+def test_weight_accuracy_blocked_equals_broadcast(spark):
+    from taxomatch.operators.evaluate import weight_accuracy
+    from taxomatch.plans.catalogue import WEIGHT_CANDIDATES, _truth_queries
+
+    q = _truth_queries(spark, SF001)
+    kb = si.vector_kb(spark, SF001)
+    a = {r["candidate"]: (r["hits"], r["rows"]) for r in weight_accuracy(q, kb, WEIGHT_CANDIDATES).collect()}
+    b = {r["candidate"]: (r["hits"], r["rows"]) for r in weight_accuracy(
+        q, kb, WEIGHT_CANDIDATES, force_blocked=True, kb_block_rows=3, query_block_rows=120).collect()}
+    assert a == b and len(a) == len(WEIGHT_CANDIDATES)
