@@ -129,16 +129,22 @@ class KbSlab:
 
     @staticmethod
     def _query_counts(lists, vocab, distinct: bool) -> np.ndarray:
-        q = np.zeros((len(lists), max(len(vocab), 1)), dtype=np.float64)
-        for i, ts in enumerate(lists):
-            if ts is None:
-                continue
-            if distinct:
-                ts = set(ts)
-            for t in ts:
-                j = vocab.get(t)
-                if j is not None:
-                    q[i, j] += 1.0
+        """Dense (rows x vocab) term counts, vectorised: tokens of the batch
+        are flattened once and looked up with one hash-map pass."""
+        width = max(len(vocab), 1)
+        q = np.zeros((len(lists), width), dtype=np.float64)
+        lens = np.fromiter((0 if t is None else len(t) for t in lists), dtype=np.int64, count=len(lists))
+        if lens.sum() == 0 or not vocab:
+            return q
+        flat = np.concatenate([np.asarray(t, dtype=object) for t in lists if t is not None and len(t)])
+        ids = pd.Series(flat, dtype=object).map(vocab).to_numpy(dtype=np.float64, na_value=np.nan)
+        rows = np.repeat(np.arange(len(lists)), lens)
+        ok = ~np.isnan(ids)
+        rows, cols = rows[ok], ids[ok].astype(np.int64)
+        if distinct:
+            key = np.unique(rows * width + cols)
+            rows, cols = key // width, key % width
+        np.add.at(q, (rows, cols), 1.0)
         return q
 
     def score(self, qpdf: pd.DataFrame, cfg: MatchConfig, dim: int):

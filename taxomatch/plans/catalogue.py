@@ -316,11 +316,12 @@ def chunk_mean(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_text(spark: SparkSession, d: str) -> DataFrame:
     doc = si.table(spark, d, "documents")
-    ch = tx.chunk_text("text", 800)
-    lens = F.transform(ch, lambda c: F.length(c))
-    return doc.select("doc_id", F.size(ch).alias("n_chunks"),
-                      F.aggregate(lens, F.lit(0), lambda a, x: a + x).cast("long").alias("total_len"),
-                      F.coalesce(F.array_max(lens), F.lit(0)).cast("long").alias("max_len"))
+    # chunks are computed once per row; the sizes are read from the result
+    ch = doc.select("doc_id", tx.chunk_text("text", 800).alias("chunks"))
+    lens = F.transform("chunks", lambda c: F.length(c))
+    return ch.select("doc_id", F.size("chunks").alias("n_chunks"),
+                     F.aggregate(lens, F.lit(0), lambda a, x: a + x).cast("long").alias("total_len"),
+                     F.coalesce(F.array_max(lens), F.lit(0)).cast("long").alias("max_len"))
 
 
 def cosine_fields(spark: SparkSession, d: str) -> DataFrame:

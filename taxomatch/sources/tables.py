@@ -74,7 +74,11 @@ def fill_blank(df: DataFrame) -> DataFrame:
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
-    df.write.mode(mode).options(**{k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}).option("sep", sep).csv(path)
+    """Header, RFC-4180 quoting, values kept byte for byte (Spark's writer
+    trims leading/trailing whitespace unless told not to)."""
+    (df.write.mode(mode).options(**{k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"})
+     .option("sep", sep).option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+     .csv(path))
 
 
 def preview(df: DataFrame, order_by, n: int = 3) -> DataFrame:
