@@ -66,7 +66,10 @@ def eval_summary(rows: DataFrame) -> DataFrame:
 def pair_correlation(pairs: DataFrame, pred: str = "cosine", label: str = "score") -> DataFrame:
     """Pearson and Spearman (Pearson of average ranks) of predicted similarity
     against the label. Ranks are computed without a single-partition window."""
-    base = pairs.select(F.col(pred).cast("double").alias("_x"), F.col(label).cast("double").alias("_y"))
+    ensure_checkpoint_dir(pairs.sparkSession)
+    # the pairs feed six jobs (two ranks, each counting and bucketing): cut the
+    # lineage once in the shared checkpoint folder instead of recomputing them
+    base = pairs.select(F.col(pred).cast("double").alias("_x"), F.col(label).cast("double").alias("_y")).checkpoint(eager=True)
     ranked = average_rank(average_rank(base, "_x", "_rx"), "_y", "_ry")
     return ranked.agg(F.corr("_x", "_y").alias("cosine_pearson"),
                       F.corr("_rx", "_ry").alias("cosine_spearman"),

@@ -210,16 +210,28 @@ def skipped_pairs(rows: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def code_index(profiles: DataFrame) -> DataFrame:
-    """Per KB code: its major group, index inside the group (0-based, code
-    order), group size, global index and KB size. KB-sized."""
+    """Per KB code: its major group (first two characters), index inside the
+    group (0-based, code order), group size, global index and KB size.
+
+    Code order is (group, code) order, so the global index is the group's
+    offset plus the index inside the group: the group sizes (one row per
+    two-character prefix) are the only thing collected, and the one window is
+    partitioned by group over KB-sized data."""
     codes = profiles.select("code").distinct().withColumn("grp", F.left("code", F.lit(2)))
+    sizes = sorted((r["grp"], int(r["n"])) for r in codes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, run = {}, 0
+    for g, n in sizes:
+        offsets[g] = run
+        run += n
+    off_map = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]) if offsets else None
+    size_map = F.create_map(*[F.lit(x) for g, n in sizes for x in (g, n)]) if sizes else None
     g = Window.partitionBy("grp").orderBy("code")
-    gs = Window.partitionBy("grp")
-    with_grp = (codes.withColumn("gidx", F.row_number().over(g) - 1)
-                .withColumn("gsize", F.count(F.lit(1)).over(gs)))
-    total = codes.count()
-    return (ranked(with_grp, ["code"], "aidx", n=total)
-            .withColumn("aidx", F.col("aidx") - 1).withColumn("asize", F.lit(total)))
+    out = codes.withColumn("gidx", F.row_number().over(g) - 1)
+    if off_map is None:
+        return out.withColumn("gsize", F.lit(0)).withColumn("aidx", F.lit(0)).withColumn("asize", F.lit(0))
+    return (out.withColumn("gsize", F.element_at(size_map, F.col("grp")).cast("long"))
+            .withColumn("aidx", F.element_at(off_map, F.col("grp")).cast("long") + F.col("gidx"))
+            .withColumn("asize", F.lit(run).cast("long")))
 
 
 def hard_negatives(rows: DataFrame, profiles: DataFrame, order_key, prefix: str = QUERY_PREFIX,

@@ -93,10 +93,13 @@ def read_weights(spark: SparkSession, path: str | None, defaults: dict[str, floa
                               "ord int, field string, default_weight double")
     if path is None or not _exists(spark, path):
         return d.select("field", F.col("default_weight").alias("weight"))
+    # a repeated field: the last row in file order wins
     f = (read_delimited(spark, path, ["field", "weight"], sep=",")
-         .select(strip_ws("field").alias("field"), F.col("weight").try_cast("double").alias("file_weight"))
-         .groupBy("field").agg(F.last("file_weight").alias("file_weight")))
-    return (d.join(F.broadcast(f), "field", "left")
+         .select(strip_ws("field").alias("field"), F.col("weight").try_cast("double").alias("file_weight"),
+                 F.monotonically_increasing_id().alias("_pos"))
+         .groupBy("field").agg(F.max_by("file_weight", "_pos").alias("file_weight")))
+    # the six known fields (fixed size) are the broadcast side; unknown fields drop out
+    return (f.join(F.broadcast(d), "field", "right")
             .orderBy("ord")
             .select("field", F.coalesce("file_weight", "default_weight").alias("weight")))
 
