@@ -298,7 +298,36 @@ pairs AS (SELECT row_id, anchor AS s1, code AS s2_code, 1.0::DOUBLE AS score FRO
           UNION ALL SELECT row_id, anchor, neg_code, 0.0::DOUBLE FROM negs WHERE neg_code IS NOT NULL)"""
 
 
+def _no_signed_zero(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB rounds a tiny
+    negative double to -0.0, Spark's decimal rounding gives 0.0."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        while j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            j = sql.find("round(", j + 6)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + 5
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _no_signed_zero(sql[j + 6:k])
+        out.append(f"{sql[i:j]}(round({inner}) + 0.0)")
+        i = k + 1
+
+
 def oracle_sql() -> dict[str, str]:
+    return {k: _no_signed_zero(v) for k, v in _oracle_sql().items()}
+
+
+def _oracle_sql() -> dict[str, str]:
     tw = TITLE_WORDS("concat_ws(' ', p_name, p_type, 'Workers of all Supervisors')")
     fields = ("task", "desc", "skill", "ofc_title", "alt_title", "tool")
     sql = {
@@ -365,7 +394,7 @@ WHERE NOT EXISTS (SELECT 1 FROM tk WHERE tk.occupation = l.occupation AND tk.des
         "flatten_text": "WITH " + KB + "\nSELECT code, all_alt_titles FROM alt",
         "kb_build": "WITH " + KB + "\nSELECT code, title, description, tasks_text, all_alt_titles, all_tech_skills, all_tools FROM kb",
         "json_roundtrip": """
-SELECT event_id, k, CASE WHEN k IS NULL THEN '{}' ELSE to_json({'k': k}) END AS props_out
+SELECT event_id, k, CASE WHEN k IS NULL THEN '{}' ELSE CAST(to_json({'k': k}) AS VARCHAR) END AS props_out
 FROM (SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""",
         "profile_text": "WITH " + KB + "\nSELECT code, profile FROM profiles",
         "query_text": "WITH " + SURVEY + f"""

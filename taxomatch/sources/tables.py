@@ -107,3 +107,23 @@ def read_weights(spark: SparkSession, path: str | None, defaults: dict[str, floa
 def weights_dict(weights: DataFrame) -> dict[str, float]:
     """Six numbers to the driver (bounded)."""
     return {r["field"]: float(r["weight"]) for r in weights.collect()}
+
+
+# The two mock user rows the reference writes when its input file is absent.
+MOCK_USER_ROWS = (
+    (1, "Budget Director", "I manage finances, analyze budget reports, and handle investments."),
+    (2, "Code Writer", "I write python scripts, debug software, and manage databases."),
+)
+
+
+def read_user_input(spark: SparkSession, path: str, mock_if_missing: bool = False) -> DataFrame:
+    """User rows ``User_ID, User_Job_Title, User_Job_Description`` from csv,
+    nulls as ''. With ``mock_if_missing`` an absent file gives the two mock
+    rows (opt-in; the reference writes them to disk)."""
+    if not _exists(spark, path):
+        if not mock_if_missing:
+            raise FileNotFoundError(path)
+        return spark.createDataFrame(list(MOCK_USER_ROWS),
+                                     "User_ID long, User_Job_Title string, User_Job_Description string")
+    df = read_delimited(spark, path, ["User_ID", "User_Job_Title", "User_Job_Description"], sep=",")
+    return fill_blank(df.withColumn("User_ID", F.col("User_ID").try_cast("long")))

@@ -49,21 +49,47 @@ def rows_of(cols, records):
     return [cols[i] for i in order], sorted(out, key=repr)
 
 
-def compare(spark, con, key, fn, sql, sf_dir):
+SPARK_FAMILY = {"bigint": "int", "int": "int", "smallint": "int", "tinyint": "int", "double": "float",
+                "float": "float", "string": "str", "boolean": "bool"}
+DUCK_FAMILY = {"BIGINT": "int", "INTEGER": "int", "HUGEINT": "int!", "SMALLINT": "int", "DOUBLE": "float",
+               "FLOAT": "float", "VARCHAR": "str", "BOOLEAN": "bool"}
+
+
+def _signed_zeros(rows):
+    return sum(1 for r in rows for v in r if isinstance(v, float) and v == 0.0 and math.copysign(1, v) < 0)
+
+
+def compare(spark, con, key, fn, sql, sf_dir, strict: bool = True):
     t0 = time.time()
     df = fn(spark, sf_dir)
     s_cols = df.columns
+    s_types = dict(df.dtypes)
     s_rows = [tuple(r) for r in df.collect()]
     t1 = time.time()
     if sql is None:
         return f"ROWS {key:22s} spark={len(s_rows)} ({t1 - t0:.1f}s)", True
     res = con.execute(sql)
     d_cols = [c[0] for c in res.description]
+    d_types = {c[0]: str(c[1]) for c in res.description}
     d_rows = res.fetchall()
     sc, sr = rows_of(s_cols, s_rows)
     dc, dr = rows_of(d_cols, d_rows)
     ok = sc == dc and sr == dr
+    notes = []
+    if strict and sc == dc:
+        for c in sc:
+            a = SPARK_FAMILY.get(s_types[c], s_types[c])
+            b = DUCK_FAMILY.get(d_types[c].split("(")[0], d_types[c])
+            if a != b:
+                notes.append(f"type {c}: spark={s_types[c]} duck={d_types[c]}")
+        zs, zd = _signed_zeros(sr), _signed_zeros(dr)
+        if zs != zd:
+            notes.append(f"signed zeros spark={zs} duck={zd}")
+    if notes:
+        ok = False
     msg = f"{'OK  ' if ok else 'DIFF'} {key:22s} spark={len(sr)} duck={len(dr)} ({t1 - t0:.1f}s)"
+    if notes:
+        msg += "\n   " + "; ".join(notes)
     if sc != dc:
         msg += f"\n   cols spark={sc}\n   cols duck ={dc}"
     elif sr != dr:

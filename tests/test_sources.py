@@ -52,3 +52,10 @@ def test_vector_cache_refuses_silent_overwrite(spark):
 def test_strip_all_keeps_non_strings(spark):
     df = spark.createDataFrame([(1, "\t x \n")], "i int, s string")
     assert st.strip_all(df).first() == (1, "x")
+
+
+def test_user_input_mock_is_opt_in(spark):
+    with pytest.raises(FileNotFoundError):
+        st.read_user_input(spark, "/nonexistent/users.csv")
+    df = st.read_user_input(spark, "/nonexistent/users.csv", mock_if_missing=True)
+    assert [r["User_Job_Title"] for r in df.orderBy("User_ID").collect()] == ["Budget Director", "Code Writer"]
