@@ -77,7 +77,7 @@ def is_blank(c) -> Column:
 
 def words(c) -> Column:
     """Whitespace tokens of the text, case kept, no empty strings."""
-    return F.filter(F.split(col_(c), r"\s+"), lambda x: x != F.lit(""))
+    return F.array_remove(F.split(col_(c), r"\s+"), "")
 
 
 def tokens(c) -> Column:
@@ -106,14 +106,26 @@ def stem(w: Column, mode: str = "exact") -> Column:
 def title_words(c, stop_words=STOP_WORDS, stemming: str | None = "exact") -> Column:
     """Set of title words: lower tokens, stop words and 1-char words removed
     before stemming; punctuation kept. ``stemming=None`` with ``stop_words=()``
-    gives the plain word set used by the app."""
-    stops = F.array(*[F.lit(s) for s in stop_words]) if stop_words else None
+    gives the plain word set used by the app.
+
+    Built from native functions only (no per-word lambdas): a set difference
+    drops stop words, then the distinct words are joined by single spaces and
+    two anchored regexes apply the length filter and the suffix rule."""
     toks = tokens(F.coalesce(col_(c), F.lit("")))
-    if stops is not None:
-        toks = F.filter(toks, lambda x: (~F.array_contains(stops, x)) & (F.length(x) > 1))
+    if not stop_words and not stemming:
+        return F.array_distinct(toks)
+    if stop_words:
+        toks = F.array_except(toks, F.array(*[F.lit(s) for s in stop_words]))
+    else:
+        toks = F.array_distinct(toks)
+    text = F.array_join(toks, " ")
+    if stop_words:
+        text = F.regexp_replace(text, r"(?<=^| )\S(?= |$)", "")          # 1-character words
+    if stemming == "exact":
+        text = F.regexp_replace(text, r"(?<=^| )(\S{3,}e)rs(?= |$)", "$1")  # len > 5, 'ers': drop 2
     if stemming:
-        toks = F.transform(toks, lambda x: stem(x, stemming))
-    return F.array_distinct(toks)
+        text = F.regexp_replace(text, r"(?<=^| )(\S{3,})s(?= |$)", "$1")    # len > 3, 's': drop 1
+    return F.array_distinct(F.array_remove(F.split(text, " "), ""))
 
 
 def normalized_key(c) -> Column:
