@@ -106,26 +106,18 @@ def stem(w: Column, mode: str = "exact") -> Column:
 def title_words(c, stop_words=STOP_WORDS, stemming: str | None = "exact") -> Column:
     """Set of title words: lower tokens, stop words and 1-char words removed
     before stemming; punctuation kept. ``stemming=None`` with ``stop_words=()``
-    gives the plain word set used by the app.
-
-    Built from native functions only (no per-word lambdas): a set difference
-    drops stop words, then the distinct words are joined by single spaces and
-    two anchored regexes apply the length filter and the suffix rule."""
+    gives the plain word set used by the app."""
     toks = tokens(F.coalesce(col_(c), F.lit("")))
-    if not stop_words and not stemming:
-        return F.array_distinct(toks)
     if stop_words:
-        toks = F.array_except(toks, F.array(*[F.lit(s) for s in stop_words]))
+        # native set difference first (also de-duplicates), so the lambdas
+        # below only see distinct words; same set as filtering every token
+        stops = F.array(*[F.lit(s) for s in stop_words])
+        toks = F.filter(F.array_except(toks, stops), lambda x: F.length(x) > 1)
     else:
         toks = F.array_distinct(toks)
-    text = F.array_join(toks, " ")
-    if stop_words:
-        text = F.regexp_replace(text, r"(?<=^| )\S(?= |$)", "")          # 1-character words
-    if stemming == "exact":
-        text = F.regexp_replace(text, r"(?<=^| )(\S{3,}e)rs(?= |$)", "$1")  # len > 5, 'ers': drop 2
     if stemming:
-        text = F.regexp_replace(text, r"(?<=^| )(\S{3,})s(?= |$)", "$1")    # len > 3, 's': drop 1
-    return F.array_distinct(F.array_remove(F.split(text, " "), ""))
+        toks = F.array_distinct(F.transform(toks, lambda x: stem(x, stemming)))
+    return toks
 
 
 def normalized_key(c) -> Column:
