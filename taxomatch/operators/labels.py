@@ -113,8 +113,14 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Average (fractional) rank of ``value`` with ties, 1-based, distributed:
     equal values are collapsed first, then ranked by running count."""
     d = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    r = ranked(d, [value], "_cum", weight="_c")
+    n_values = d.count()
+    r = ranked(d, [value], "_cum", weight="_c", n=n_values)
     r = r.select(value, (F.col("_cum") - (F.col("_c") - 1) / 2.0).alias(out))
+    # one row per distinct value: a low-cardinality column (a 0/1 label holds
+    # half the rows per value) must not become a hot shuffle key, so a rank
+    # table of bounded size is broadcast; a large one is shuffle-joined
+    if n_values <= 1_000_000:
+        r = F.broadcast(r)
     return df.join(r, value, "left")
 
 

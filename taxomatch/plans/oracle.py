@@ -127,7 +127,7 @@ wtasks AS (
 nest AS (
   SELECT code, count(*) AS n_tasks,
          string_agg(task || ':' || printf('%.2f', weight), ';'
-                    ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, task, weight) AS tasks_text
+                    ORDER BY l_orderkey * 1000 + l_linenumber, task, weight) AS tasks_text
   FROM wtasks GROUP BY code),
 alt AS (SELECT {CODE('o_custkey')} AS code, coalesce(string_agg(o_orderpriority, ' | ' ORDER BY o_orderkey), '') AS all_alt_titles
         FROM orders GROUP BY 1),

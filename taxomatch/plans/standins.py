@@ -120,7 +120,7 @@ def task_rows(spark, d) -> DataFrame:
                     F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("task_id"),
                     F.concat(F.lit("ship part "), F.col("l_partkey").cast("string"), F.lit(" qty "),
                              F.col("l_quantity").cast("int").cast("string")).alias("task"),
-                    F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"))
+                    (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("seq"))
 
 
 def rating_rows(spark, d) -> DataFrame:
