@@ -84,9 +84,15 @@ def encode_chunked(df: DataFrame, key: str, text: str, encoder, out: str = "vec"
     return df.select(key).distinct().join(mean, key, "left").withColumn(out, F.coalesce(F.col(out), zero))
 
 
+TASKS_SCHEMA = "array<struct<task:string,weight:double>>"
+
+
 def encode_weighted_tasks(tasks: DataFrame, key: str, encoder, out: str = "vec_task") -> DataFrame:
-    """``tasks``: (key, tasks array<struct<task, weight>>). Weighted mean of
-    the task vectors; empty task text is skipped; no task -> zero vector."""
+    """``tasks``: (key, tasks) with tasks as array<struct<task, weight>> or its
+    JSON text. Weighted mean of the task vectors (a missing weight is 0.5);
+    empty task text is skipped; no task or bad JSON -> zero vector."""
+    if dict(tasks.dtypes)["tasks"] == "string":
+        tasks = tasks.withColumn("tasks", F.from_json("tasks", TASKS_SCHEMA))
     items = (tasks.select(key, F.posexplode_outer("tasks").alias("_pos", "_t"))
              .select(key, "_pos", F.col("_t.task").alias("_task"),
                      F.coalesce(F.col("_t.weight"), F.lit(0.5)).alias("_w")))
@@ -127,7 +133,7 @@ def kb_vectors(kb: DataFrame, encoder, mode: str = "chunk") -> DataFrame:
         enc = encode_chunked(long.select("_key", "text"), "_key", "text", encoder, "vec")
         enc = enc.join(long.select("_key", "code", "field"), "_key").drop("_key")
         if "tasks" in kb.columns:
-            t = encode_weighted_tasks(kb.select("code", "tasks"), "code", encoder, "vec")
+            t = encode_weighted_tasks(kb.select("code", "tasks"), "code", encoder, "vec").select("code", "vec")
             enc = enc.unionByName(t.withColumn("field", F.lit("task")))
     wide = enc.groupBy("code").pivot("field", list(APP_CAPS)).agg(F.first("vec"))
     return kb.join(wide.select("code", *[F.col(f).alias(f"vec_{f}") for f in APP_CAPS]), "code", "left")

@@ -183,7 +183,10 @@ def _split(spark, d):
 
 
 def split_exact(spark: SparkSession, d: str) -> DataFrame:
-    return _split(spark, d).select("row_id", "split")
+    """The split written as Parquet (the held-out sink) and read back."""
+    path = scratch_dir(spark, "split")
+    _split(spark, d).select("row_id", "split").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def sample_exact(spark: SparkSession, d: str) -> DataFrame:
@@ -503,6 +506,16 @@ def kb_vectors_q(spark: SparkSession, d: str) -> DataFrame:
     return v.select("code", *[rnd(norm(f"vec_{f}")).alias(f"norm_{f}") for f in FIELDS])
 
 
+def kb_vectors_chunked(spark: SparkSession, d: str) -> DataFrame:
+    """Six-field encode of the text KB: tasks weighted by importance (from the
+    JSON text form), other fields chunk-meaned."""
+    k = _kb(spark, d).withColumn("tasks", F.to_json("tasks"))
+    corpus = k.select(F.concat_ws(" ", "title", "description", "all_alt_titles", "all_tech_skills", "all_tools").alias("text"))
+    enc = HashingEncoder(dim=64).fit(corpus, "text")
+    v = kb_vectors(k, enc, mode="chunk")
+    return v.select("code", *[rnd(norm(f"vec_{f}")).alias(f"norm_{f}") for f in FIELDS])
+
+
 QUERIES = {
     "scan_prune": scan_prune, "scan_fill": scan_fill, "roundtrip_csv": roundtrip_csv, "strip_all": strip_all,
     "preview_limit": preview_limit, "weights_merge": weights_merge, "vector_cache": vector_cache,
@@ -522,5 +535,5 @@ QUERIES = {
     "bm25_index": bm25_index, "bm25_scores": bm25_scores, "title_overlap": title_overlap,
     "major_group": major_group, "confidence_tier": confidence_tier, "top_occupations": top_occupations,
     "group_confidence": group_confidence, "conf_histogram": conf_histogram,
-    "encode_hash": encode_hash, "kb_vectors": kb_vectors_q,
+    "encode_hash": encode_hash, "kb_vectors": kb_vectors_q, "kb_vectors_chunked": kb_vectors_chunked,
 }
