@@ -418,7 +418,7 @@ def weight_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weight_search(spark: SparkSession, d: str) -> DataFrame:
-    return ev.weight_search(_truth_queries(spark, d), si.vector_kb(spark, d), rounds=4, popsize=16)
+    return ev.weight_search(_truth_queries(spark, d), si.vector_kb(spark, d), maxiter=3, popsize=12)
 
 
 # ---------------------------------------------------------------------------
