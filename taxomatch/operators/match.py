@@ -195,9 +195,10 @@ def _score_rows(qpdf: pd.DataFrame, slab: KbSlab, cfg: MatchConfig, dim: int):
         part = qpdf.iloc[start:start + step]
         final, raw = slab.score(part, cfg, dim)
         idx = slab.topk(final, cfg.k)
-        rr = np.arange(len(part))[:, None]
-        yield part, idx, np.take_along_axis(final, idx, 1) if idx.size else np.zeros(idx.shape), \
-            np.take_along_axis(raw, idx, 1) if idx.size else np.zeros(idx.shape), rr
+        if idx.size:
+            yield part, idx, np.take_along_axis(final, idx, 1), np.take_along_axis(raw, idx, 1)
+        else:
+            yield part, idx, np.zeros(idx.shape), np.zeros(idx.shape)
 
 
 # ---------------------------------------------------------------------------
@@ -305,7 +306,7 @@ def _match_broadcast(queries: DataFrame, prepared: PreparedKb, query_id: str) ->
     def run(batches):
         s = bc.value
         for pdf in batches:
-            for part, idx, fin, raw, _ in _score_rows(pdf, s, cfg, dim):
+            for part, idx, fin, raw in _score_rows(pdf, s, cfg, dim):
                 out = part[keep].reset_index(drop=True).copy()
                 out["codes"] = list(s.codes[idx]) if idx.size else [[] for _ in range(len(part))]
                 out["titles"] = list(s.titles[idx]) if idx.size else [[] for _ in range(len(part))]
@@ -366,7 +367,7 @@ def _match_blocked(queries: DataFrame, prepared: PreparedKb, query_id: str) -> D
             return pd.DataFrame({f.name: [] for f in cand_schema.fields})
         slab = KbSlab(kpdf, cfg, dim)
         outs = []
-        for part, idx, fin, raw, rr in _score_rows(qpdf, slab, cfg, dim):
+        for part, idx, fin, raw in _score_rows(qpdf, slab, cfg, dim):
             kk = idx.shape[1]
             outs.append(pd.DataFrame({
                 query_id: np.repeat(part[query_id].to_numpy(), kk),
@@ -404,7 +405,7 @@ def to_wide(result: DataFrame, variant: str = "production", k: int = 3) -> DataF
 
     production: Match_i_SOC_Code, Match_i_Title, Match_i_Score = final*100, 2 dp.
     eval: Machine_SOC_Code, Machine_Title, Machine_Confidence = unboosted score
-    of the winner *100, 2 dp; Top3_Codes.
+    of the winner *100, 2 dp; Top_Codes (the k codes, for Correct_Top3).
     app: Matched_SOC_Code, Matched_Title, Confidence_% = unboosted *100, 1 dp;
     TopN_SOC/Title/Confidence = boosted score *100, 1 dp.
     """
