@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from decimal import Decimal
@@ -107,7 +108,15 @@ def main():
     from taxomatch.plans.oracle import oracle_sql
     from taxomatch.session import get_spark
 
-    spark = get_spark()
+    if os.environ.get("ORACLE_PLAIN_SESSION"):
+        # the driver's kind of session: defaults (200 shuffle partitions, no checkpoint dir)
+        from pyspark.sql import SparkSession
+
+        spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+                 .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = get_spark()
     con = duck(sf_dir)
     sqls = oracle_sql()
     bad = 0
