@@ -12,7 +12,7 @@ per code); nothing is capped or dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxomatch.functions.text import importance_weight, normalized_key
@@ -29,6 +29,28 @@ def flatten_text(df: DataFrame, key: str, text: str, out: str, seq: str = "seq",
             .select(key, F.array_join(F.transform("_l", lambda x: x["t"]), sep).alias(out)))
 
 
+def flatten_prefix(df: DataFrame, key: str, text: str, out: str, max_chars: int, seq: str = "seq",
+                   sep: str = " | ") -> DataFrame:
+    """The first ``max_chars`` characters of ``flatten_text`` without ever
+    assembling a whole group: every item after the first adds at least the
+    separator, so only the first ``max_chars + 1`` items (by ``seq``, then
+    text) can reach the cut. ``row_number() <= n`` becomes a map-side
+    ``WindowGroupLimit``, so a hot key contributes at most ``n`` rows per map
+    task to the shuffle and to the final sort. Keys with only null texts get
+    ''. Exact for every consumer that reads a prefix (profile text, BM25
+    corpus, app caps)."""
+    n = max_chars + 1
+    w = Window.partitionBy(key).orderBy(F.col(seq), F.col(text))
+    src = df.where(F.col(key).isNotNull())
+    keys = src.select(key).distinct()
+    top = (src.where(F.col(text).isNotNull())
+           .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n))
+    flat = (top.groupBy(key)
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("_rn"), F.col(text).cast("string").alias("t")))).alias("_l"))
+            .select(key, F.left(F.array_join(F.transform("_l", lambda x: x["t"]), sep), F.lit(max_chars)).alias(out)))
+    return keys.join(flat, key, "left").na.fill({out: ""})
+
+
 def task_weights(tasks: DataFrame, ratings: DataFrame | None, key: str = "code",
                  task_id: str = "task_id", scale: str = "scale_id", rating: str = "rating",
                  scale_value: str = "IM") -> DataFrame:

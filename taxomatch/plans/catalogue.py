@@ -261,7 +261,14 @@ def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _profiles(spark, d):
-    k = _kb(spark, d)
+    """Profile text needs only the first 200 / 300 characters of the alternate
+    titles and skills, so those lists are built as bounded prefixes
+    (``flatten_prefix``): no task ever holds a whole hot group."""
+    caps = tx.PROFILE_CAPS
+    k = (si.occupations(spark, d)
+         .join(kbo.flatten_prefix(si.alt_title_rows(spark, d), "code", "text", "all_alt_titles", caps[1]), "code", "left")
+         .join(kbo.flatten_prefix(si.skill_rows(spark, d), "code", "text", "all_tech_skills", caps[2]), "code", "left"))
+    k = k.na.fill({"all_alt_titles": "", "all_tech_skills": ""})
     prof = k.select("code", tx.profile_text("title", "description", "all_alt_titles", "all_tech_skills").alias("profile"))
     return lb.profile_map(prof)
 

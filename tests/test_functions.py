@@ -118,3 +118,12 @@ def test_normalized_weights():
     w = vx.normalized_weights((-2, 1, 0, 3, 0.5, 0))
     assert abs(sum(w) - 1.0) < 1e-12 and w[0] == 2 / 6.5
     assert vx.normalized_weights((0,) * 6) == (0.0,) * 6
+
+
+def test_flatten_prefix_equals_cut_of_full_text(spark):
+    rows = [("a", f"t{i:03d}", i) for i in range(500)] + [("a", None, 7), ("a", "", 3), ("b", None, 1), ("c", "x", 1)]
+    df = spark.createDataFrame(rows, "code string, text string, seq int")
+    full = {r["code"]: r["f"] for r in kbo.flatten_text(df, "code", "text", "f").collect()}
+    for cap in (1, 5, 200):
+        got = {r["code"]: r["p"] for r in kbo.flatten_prefix(df, "code", "text", "p", cap).collect()}
+        assert got == {k: v[:cap] for k, v in full.items()}
