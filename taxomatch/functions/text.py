@@ -143,6 +143,13 @@ def confidence_tier(pct, high: float = TIER_HIGH, moderate: float = TIER_MODERAT
     return F.when(p >= high, "High").when(p >= moderate, "Moderate").otherwise("Low")
 
 
+def colour_tier(pct, high: float = COLOUR_HIGH, mid: float = COLOUR_MID) -> Column:
+    """Colour band of a confidence (percent): the app colours with 72 / 58,
+    while its labels and counts use 65 / 50 (``confidence_tier``)."""
+    p = col_(pct)
+    return F.when(p >= high, "conf-high").when(p >= mid, "conf-mid").otherwise("conf-low")
+
+
 def importance_weight(rating) -> Column:
     """Rating on a 1-5 scale to a 0-1 weight: round((r-1)/4, 2). Null, blank,
     'nan' and non-numbers give 0.5; no clamping. Spark ``round`` is half-up on

@@ -7,13 +7,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxomatch.functions.text import TIER_HIGH, TIER_MODERATE, confidence_tier, major_group, short_label
+from taxomatch.functions.text import TIER_HIGH, TIER_MODERATE, colour_tier, confidence_tier, major_group, short_label
 
 CONF = "Confidence_%"
 
 
 def with_tiers(result: DataFrame, high: float = TIER_HIGH, moderate: float = TIER_MODERATE) -> DataFrame:
     return (result.withColumn("Tier", confidence_tier(F.col(f"`{CONF}`"), high, moderate))
+            .withColumn("Colour", colour_tier(F.col(f"`{CONF}`")))
             .withColumn("Major_Group", major_group("Matched_SOC_Code")))
 
 

@@ -472,7 +472,7 @@ def title_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 def major_group(spark: SparkSession, d: str) -> DataFrame:
     r = rp.with_tiers(_app_result(spark, d))
-    return r.select("vec_id", "Matched_SOC_Code", "Major_Group", "Tier")
+    return r.select("vec_id", "Matched_SOC_Code", "Major_Group", "Tier", "Colour")
 
 
 def confidence_tier(spark: SparkSession, d: str) -> DataFrame:

@@ -473,7 +473,9 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, i
 SELECT doc_id, CAST(rn AS INTEGER) AS rank, item_id, overlap FROM rk WHERE rn <= 3""",
         "major_group": _app_cte() + f"""
 SELECT vec_id, Matched_SOC_Code, {MAJOR('Matched_SOC_Code')} AS Major_Group,
-       CASE WHEN "Confidence_%" >= 65 THEN 'High' WHEN "Confidence_%" >= 50 THEN 'Moderate' ELSE 'Low' END AS Tier FROM app""",
+       CASE WHEN "Confidence_%" >= 65 THEN 'High' WHEN "Confidence_%" >= 50 THEN 'Moderate' ELSE 'Low' END AS Tier,
+       CASE WHEN "Confidence_%" >= 72 THEN 'conf-high' WHEN "Confidence_%" >= 58 THEN 'conf-mid' ELSE 'conf-low' END AS Colour
+FROM app""",
         "confidence_tier": _app_cte() + """
 SELECT count(*) AS rows, count(*) FILTER (WHERE "Confidence_%" >= 65) AS high,
        count(*) FILTER (WHERE "Confidence_%" >= 50 AND "Confidence_%" < 65) AS moderate,
