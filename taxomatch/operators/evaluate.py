@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from taxomatch.functions.text import blank_to_empty
 from taxomatch.functions.vectors import FIELDS, SEARCH_BASELINE, WEIGHT_NAMES, normalized_weights
 from taxomatch.operators.labels import average_rank
-from taxomatch.operators.match import _stack, _unit_rows
+from taxomatch.operators.match import _stack, _unit_rows, block_rows
 from taxomatch.session import ensure_checkpoint_dir, ship_package
 
 
@@ -173,8 +173,9 @@ def _weight_hits_blocked(queries, kb, cand, truth, query_id, n_kb, dim, max_cell
     k = kb.select("code", *vcols).dropDuplicates(["code"])
     known = k.select(F.col("code").alias(truth))
     q = queries.select(query_id, "vec", truth).join(known, truth, "left_semi")
-    n_b = max(1, math.ceil(n_kb / kb_block_rows))
-    n_q = max(1, math.ceil(q.count() / query_block_rows))
+    # six per-field matrices per KB row; a co-group side holds about 64 MB
+    n_b = max(1, math.ceil(n_kb / block_rows(kb_block_rows, 64 << 20, dim * len(FIELDS))))
+    n_q = max(1, math.ceil(q.count() / block_rows(query_block_rows, 64 << 20, dim, floor=1000)))
     qb = (q.withColumn("q_bucket", F.pmod(F.xxhash64(query_id), F.lit(n_q)).cast("int"))
           .withColumn("kb_block", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1)))))
     kbb = (k.withColumn("kb_block", F.pmod(F.xxhash64("code"), F.lit(n_b)).cast("int"))

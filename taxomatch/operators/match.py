@@ -53,8 +53,9 @@ class MatchConfig:
     title_boost: float = 0.0          # 0.03 in the eval and app variants
     bm25_weight: float = 0.0          # the eval variant computes BM25 with weight 0
     broadcast_limit_bytes: int = 256 << 20
-    kb_block_rows: int = 20_000       # blocked path: KB rows per block
-    query_block_rows: int = 200_000   # blocked path: query rows per bucket
+    kb_block_rows: int = 20_000       # blocked path: KB rows per block (at most)
+    query_block_rows: int = 200_000   # blocked path: query rows per bucket (at most)
+    block_bytes: int = 64 << 20       # blocked path: vector bytes per side of a co-group
     max_cells: int = 1 << 23          # scores held at once inside a task
     force_blocked: bool = False
 
@@ -317,11 +318,20 @@ def _match_broadcast(queries: DataFrame, prepared: PreparedKb, query_id: str) ->
     return queries.mapInPandas(run, schema)
 
 
-def _blocks(queries: DataFrame, kb: DataFrame, cols: list[str], cfg: MatchConfig, n_kb: int, query_id: str):
+def block_rows(limit_rows: int, block_bytes: int, dim: int, floor: int = 1) -> int:
+    """Rows per block so one side of a co-group holds about ``block_bytes`` of
+    float64 vectors (a co-group is materialised in one Python worker)."""
+    return max(1, min(limit_rows, max(floor, block_bytes // max(8 * max(dim, 1), 1))))
+
+
+def _blocks(queries: DataFrame, kb: DataFrame, cols: list[str], cfg: MatchConfig, n_kb: int, query_id: str,
+            dim: int = 0):
     """Both sides keyed by (kb_block, q_bucket): queries replicated over KB
-    blocks, KB rows over query buckets."""
-    n_kb_blocks = max(1, math.ceil(n_kb / cfg.kb_block_rows))
-    n_q_buckets = max(1, math.ceil(queries.count() / cfg.query_block_rows))
+    blocks, KB rows over query buckets. Block sizes follow the vector width."""
+    kb_rows = block_rows(cfg.kb_block_rows, cfg.block_bytes, dim)
+    q_rows = block_rows(cfg.query_block_rows, cfg.block_bytes, dim, floor=1000)
+    n_kb_blocks = max(1, math.ceil(n_kb / kb_rows))
+    n_q_buckets = max(1, math.ceil(queries.count() / q_rows))
     q = (queries.select(query_id, *cols)
          .withColumn("q_bucket", F.pmod(F.xxhash64(query_id), F.lit(n_q_buckets)).cast("int"))
          .withColumn("kb_block", F.explode(F.sequence(F.lit(0), F.lit(n_kb_blocks - 1)))))
@@ -344,7 +354,7 @@ def _bm25_max(queries: DataFrame, prepared: PreparedKb, query_id: str) -> DataFr
             return pd.DataFrame({query_id: qpdf[query_id].to_numpy(), "_bm25_max": np.zeros(len(qpdf))})
         return pd.DataFrame({query_id: qpdf[query_id].to_numpy(), "_bm25_max": slab.bm25_raw(qpdf).max(axis=1)})
 
-    g = _blocks(queries, prepared.frame, ["tokens"], cfg, prepared.n, query_id)
+    g = _blocks(queries, prepared.frame, ["tokens"], cfg, prepared.n, query_id, prepared.dim)
     return g.applyInPandas(block_max, schema).groupBy(query_id).agg(F.max("_bm25_max").alias("_bm25_max"))
 
 
@@ -355,7 +365,7 @@ def _match_blocked(queries: DataFrame, prepared: PreparedKb, query_id: str) -> D
     if cfg.bm25_weight and "tokens" in inputs and "bm25_terms" in prepared.frame.columns:
         scored = scored.join(_bm25_max(scored, prepared, query_id), query_id, "left")
         inputs = inputs + ["_bm25_max"]
-    grouped = _blocks(scored, prepared.frame, inputs, cfg, prepared.n, query_id)
+    grouped = _blocks(scored, prepared.frame, inputs, cfg, prepared.n, query_id, prepared.dim)
     cand_schema = T.StructType([
         queries.schema[query_id],
         T.StructField("code", T.StringType()), T.StructField("title", T.StringType()),
