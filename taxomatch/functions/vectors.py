@@ -40,9 +40,12 @@ def norm(a) -> Column:
 
 
 def normalize(a) -> Column:
-    """Unit vector; a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(col_(a), lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+    """Unit vector; a zero vector stays zero. The norm is computed once per
+    row (``array_repeat``) and zipped in: an outer expression used inside a
+    lambda would be re-evaluated for every element (O(dim^2))."""
+    v = col_(a)
+    return F.zip_with(v, F.array_repeat(norm(v), F.size(v)),
+                      lambda x, n: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
 
 
 def cosine(a, b) -> Column:

@@ -112,28 +112,29 @@ APP_CAPS = {"task": ("title", None), "desc": ("description", 400), "skill": ("al
 
 
 def kb_vectors(kb: DataFrame, encoder, mode: str = "chunk") -> DataFrame:
-    """Encode the six KB fields in one pass over a long (code, field, text)
-    table. ``chunk``: tasks weighted, other fields chunk-meaned. ``truncate``
-    (app): the task slot encodes the title; fields are cut to their caps."""
+    """Encode the six KB fields.
+
+    ``truncate`` (app): the task slot encodes the title and fields are cut to
+    their caps; every field is one more narrow column transform on the same
+    rows (no shuffle, no join). ``chunk``: tasks weighted by importance, other
+    fields chunk-meaned; all five text fields are exploded into chunks in one
+    pass, encoded once and averaged per (code, field)."""
     if mode == "truncate":
-        parts = [kb.select("code", F.lit(f).alias("field"),
-                           (F.left(F.coalesce(F.col(c), F.lit("")), F.lit(cap)) if cap else F.coalesce(F.col(c), F.lit(""))).alias("text"))
-                 for f, (c, cap) in APP_CAPS.items() if c in kb.columns]
-        long = parts[0]
-        for p in parts[1:]:
-            long = long.unionByName(p)
-        enc = encoder(long, "text", "vec")
-    else:
-        parts = [kb.select("code", F.lit(f).alias("field"), F.col(c).alias("text"))
-                 for f, c in KB_FIELD_COLUMNS.items() if c in kb.columns]
-        long = parts[0]
-        for p in parts[1:]:
-            long = long.unionByName(p)
-        long = long.withColumn("_key", F.concat_ws("\u0001", "code", "field"))
-        enc = encode_chunked(long.select("_key", "text"), "_key", "text", encoder, "vec")
-        enc = enc.join(long.select("_key", "code", "field"), "_key").drop("_key")
-        if "tasks" in kb.columns:
-            t = encode_weighted_tasks(kb.select("code", "tasks"), "code", encoder, "vec").select("code", "vec")
-            enc = enc.unionByName(t.withColumn("field", F.lit("task")))
+        out = kb
+        for f, (c, cap) in APP_CAPS.items():
+            src = F.coalesce(F.col(c), F.lit("")) if c in kb.columns else F.lit("")
+            out = out.withColumn("_txt", F.left(src, F.lit(cap)) if cap else src)
+            out = encoder(out, "_txt", f"vec_{f}").drop("_txt")
+        return out
+    fields = [(f, c) for f, c in KB_FIELD_COLUMNS.items() if c in kb.columns]
+    long = kb.select("code", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).cast("string").alias("text"))
+                                                 for f, c in fields])).alias("_ft"))
+    long = long.select("code", F.col("_ft.field").alias("field"), F.col("_ft.text").alias("text"))
+    long = long.withColumn("_key", F.concat_ws("\u0001", "code", "field"))
+    enc = encode_chunked(long.select("_key", "text"), "_key", "text", encoder, "vec")
+    enc = enc.join(long.select("_key", "code", "field"), "_key").drop("_key")
+    if "tasks" in kb.columns:
+        t = encode_weighted_tasks(kb.select("code", "tasks"), "code", encoder, "vec").select("code", "vec")
+        enc = enc.unionByName(t.withColumn("field", F.lit("task")))
     wide = enc.groupBy("code").pivot("field", list(APP_CAPS)).agg(F.first("vec"))
     return kb.join(wide.select("code", *[F.col(f).alias(f"vec_{f}") for f in APP_CAPS]), "code", "left")

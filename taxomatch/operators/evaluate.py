@@ -16,7 +16,7 @@ from taxomatch.functions.text import blank_to_empty
 from taxomatch.functions.vectors import FIELDS, SEARCH_BASELINE, WEIGHT_NAMES, normalized_weights
 from taxomatch.operators.labels import average_rank
 from taxomatch.operators.match import _stack, _unit_rows, block_rows
-from taxomatch.session import ensure_checkpoint_dir, ship_package
+from taxomatch.session import ensure_checkpoint_dir, reliable_checkpoint, ship_package
 
 
 def eval_rows(result: DataFrame, occupation: str = "occupation", description: str = "description",
@@ -69,7 +69,7 @@ def pair_correlation(pairs: DataFrame, pred: str = "cosine", label: str = "score
     ensure_checkpoint_dir(pairs.sparkSession)
     # the pairs feed six jobs (two ranks, each counting and bucketing): cut the
     # lineage once in the shared checkpoint folder instead of recomputing them
-    base = pairs.select(F.col(pred).cast("double").alias("_x"), F.col(label).cast("double").alias("_y")).checkpoint(eager=True)
+    base = reliable_checkpoint(pairs.select(F.col(pred).cast("double").alias("_x"), F.col(label).cast("double").alias("_y")))
     ranked = average_rank(average_rank(base, "_x", "_rx"), "_y", "_ry")
     return ranked.agg(F.corr("_x", "_y").alias("cosine_pearson"),
                       F.corr("_rx", "_ry").alias("cosine_spearman"),
@@ -230,7 +230,7 @@ def weight_search(queries: DataFrame, kb: DataFrame, truth: str = "truth_code",
     q = queries.select(*keep, "vec", truth).persist(StorageLevel.MEMORY_AND_DISK)
     # the KB is read by every generation: cut its lineage once (shared checkpoint folder)
     ensure_checkpoint_dir(queries.sparkSession)
-    kb = kb.select("code", *[f"vec_{f}" for f in FIELDS if f"vec_{f}" in kb.columns]).checkpoint(eager=True)
+    kb = reliable_checkpoint(kb.select("code", *[f"vec_{f}" for f in FIELDS if f"vec_{f}" in kb.columns]))
 
     prepared = _kb_fields(kb, 256 << 20)  # profiled and collected once for all generations
 

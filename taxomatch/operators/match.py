@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taxomatch.functions.vectors import FIELDS, TUNED_WEIGHTS, WEIGHT_NAMES, normalize, scale
-from taxomatch.session import ensure_checkpoint_dir, ship_package
+from taxomatch.session import ensure_checkpoint_dir, reliable_checkpoint, ship_package
 
 RESULT_FIELDS = [
     T.StructField("codes", T.ArrayType(T.StringType())),
@@ -118,35 +118,45 @@ class KbSlab:
                 [[(t["token"], t["weight"]) for t in (ts if ts is not None else [])] for ts in pdf["bm25_terms"]])
 
     def _term_matrix(self, rows):
+        """Sparse postings (CSR by term): vocab term -> KB columns and weights.
+        Memory is the number of (term, KB row) pairs, never vocab x KB."""
         vocab: dict[str, int] = {}
-        for terms in rows:
-            for t, _ in terms:
-                vocab.setdefault(t, len(vocab))
-        m = np.zeros((max(len(vocab), 1), self.n), dtype=np.float64)
+        t_ids, cols, vals = [], [], []
         for j, terms in enumerate(rows):
             for t, wt in terms:
-                m[vocab[t], j] = wt
-        return vocab, m
-
-    @staticmethod
-    def _query_counts(lists, vocab, distinct: bool) -> np.ndarray:
-        """Dense (rows x vocab) term counts, vectorised: tokens of the batch
-        are flattened once and looked up with one hash-map pass."""
-        width = max(len(vocab), 1)
-        q = np.zeros((len(lists), width), dtype=np.float64)
+                t_ids.append(vocab.setdefault(t, len(vocab)))
+                cols.append(j)
+                vals.append(float(wt))
+        t_ids = np.asarray(t_ids, dtype=np.int64)
+        order = np.argsort(t_ids, kind="stable")
+        indptr = np.zeros(len(vocab) + 1, dtype=np.int64)
+        np.add.at(indptr, t_ids + 1, 1)
+        return vocab, (np.cumsum(indptr), np.asarray(cols, dtype=np.int64)[order], np.asarray(vals, dtype=np.float64)[order])
+
+    def _sparse_scores(self, lists, vocab, postings, distinct: bool) -> np.ndarray:
+        """(rows x n_kb) sum over each query's terms of the term's KB weights,
+        via the postings and one ``bincount`` (no dense term matrix)."""
+        out = np.zeros((len(lists), self.n), dtype=np.float64)
         lens = np.fromiter((0 if t is None else len(t) for t in lists), dtype=np.int64, count=len(lists))
-        if lens.sum() == 0 or not vocab:
-            return q
+        if lens.sum() == 0 or not vocab or self.n == 0:
+            return out
         flat = np.concatenate([np.asarray(t, dtype=object) for t in lists if t is not None and len(t)])
         ids = pd.Series(flat, dtype=object).map(vocab).to_numpy(dtype=np.float64, na_value=np.nan)
         rows = np.repeat(np.arange(len(lists)), lens)
         ok = ~np.isnan(ids)
-        rows, cols = rows[ok], ids[ok].astype(np.int64)
+        rows, terms = rows[ok], ids[ok].astype(np.int64)
         if distinct:
-            key = np.unique(rows * width + cols)
-            rows, cols = key // width, key % width
-        np.add.at(q, (rows, cols), 1.0)
-        return q
+            key = np.unique(rows * len(vocab) + terms)
+            rows, terms = key // len(vocab), key % len(vocab)
+        indptr, cols, vals = postings
+        starts, plen = indptr[terms], indptr[terms + 1] - indptr[terms]
+        total = int(plen.sum())
+        if total == 0:
+            return out
+        pos = np.repeat(starts - (np.cumsum(plen) - plen), plen) + np.arange(total)
+        flat_idx = np.repeat(rows, plen) * self.n + cols[pos]
+        out += np.bincount(flat_idx, weights=vals[pos], minlength=len(lists) * self.n).reshape(len(lists), self.n)
+        return out
 
     def score(self, qpdf: pd.DataFrame, cfg: MatchConfig, dim: int):
         """Return (final, raw) score matrices of shape (rows, n_kb)."""
@@ -165,12 +175,12 @@ class KbSlab:
             s = np.where(mx > 0, s / np.where(mx > 0, mx, 1.0), s)
             final = final + cfg.bm25_weight * s
         if self.title_m is not None and "title_words" in qpdf.columns:
-            ov = self._query_counts(qpdf["title_words"].tolist(), self.title_vocab, distinct=True) @ self.title_m
+            ov = self._sparse_scores(qpdf["title_words"].tolist(), self.title_vocab, self.title_m, distinct=True)
             final = final + cfg.title_boost * ov
         return final, raw
 
     def bm25_raw(self, qpdf: pd.DataFrame) -> np.ndarray:
-        return self._query_counts(qpdf["tokens"].tolist(), self.bm25_vocab, distinct=False) @ self.bm25_m
+        return self._sparse_scores(qpdf["tokens"].tolist(), self.bm25_vocab, self.bm25_m, distinct=False)
 
     def topk(self, final: np.ndarray, k: int) -> np.ndarray:
         """Indices of the k best columns per row: score desc, then code asc
@@ -178,11 +188,18 @@ class KbSlab:
         k = min(k, self.n)
         if k == 0:
             return np.zeros((final.shape[0], 0), dtype=np.int64)
-        if self.n <= 4096:
+        if self.n <= 512:
             return np.argsort(-final, axis=1, kind="stable")[:, :k]
-        out = np.empty((final.shape[0], k), dtype=np.int64)
-        kth = -np.partition(-final, k - 1, axis=1)[:, k - 1]
-        for i in range(final.shape[0]):
+        rows = np.arange(final.shape[0])[:, None]
+        part = np.argpartition(-final, k - 1, axis=1)[:, :k]
+        vals = final[rows, part]
+        kth = vals.min(axis=1)
+        # order the k picks by (score desc, column asc)
+        order = np.lexsort((part, -vals), axis=1)
+        out = np.take_along_axis(part, order, 1)
+        # rows with ties at the k-th value may need a lower column than argpartition picked
+        tied = np.flatnonzero((final >= kth[:, None]).sum(axis=1) > k)
+        for i in tied:
             cand = np.flatnonzero(final[i] >= kth[i])
             out[i] = cand[np.argsort(-final[i, cand], kind="stable")][:k]
         return out
@@ -267,7 +284,7 @@ def prepare(kb: DataFrame, cfg: MatchConfig = PRODUCTION) -> PreparedKb:
     ship_package(spark)
     ensure_checkpoint_dir(spark)
     # the size check and the collect read one reliable copy of the KB
-    small = prepare_kb(kb, cfg, fuse=True).checkpoint(eager=True)
+    small = reliable_checkpoint(prepare_kb(kb, cfg, fuse=True))
     prof = kb_profile(small)
     est = prof["n"] * (prof["dim"] * 8 * max(prof["vec_cols"], 1) + 64) + prof["lex"] * 48
     if not cfg.force_blocked and est <= cfg.broadcast_limit_bytes:
@@ -298,8 +315,17 @@ def _query_inputs(queries: DataFrame) -> list[str]:
     return [c for c in ("vec", "tokens", "title_words") if c in queries.columns]
 
 
+def _spread(queries: DataFrame) -> DataFrame:
+    """Scoring is CPU-bound Python: when the input arrives in fewer partitions
+    than the cluster's default parallelism (one small file, say), spread the
+    rows round-robin first. With many input files this is a no-op."""
+    want = queries.sparkSession.sparkContext.defaultParallelism
+    return queries.repartition(want) if queries.rdd.getNumPartitions() < want else queries
+
+
 def _match_broadcast(queries: DataFrame, prepared: PreparedKb, query_id: str) -> DataFrame:
     bc, cfg, dim = prepared.broadcast, prepared.cfg, prepared.dim
+    queries = _spread(queries)
     inputs = _query_inputs(queries)
     keep = [c for c in queries.columns if c not in inputs]
     schema = T.StructType([queries.schema[c] for c in keep] + RESULT_FIELDS)

@@ -523,6 +523,26 @@ def kb_vectors_chunked(spark: SparkSession, d: str) -> DataFrame:
     return v.select("code", *[rnd(norm(f"vec_{f}")).alias(f"norm_{f}") for f in FIELDS])
 
 
+def text_pipeline_eval(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's whole flow on text:
+    1. build the KB (customer / orders / lineitem / nation);
+    2. fit one hashing encoder on the KB text and encode its six fields (app caps);
+    3. encode every cleaned, swap-repaired survey row (``title + ' ' + desc``);
+    4. match top-3 with the tuned weights and the title boost;
+    5. score the matches against the human codes.
+    Returns the summary row. Rows-only check: hashed features have no SQL
+    twin, but each step is checked on its own elsewhere."""
+    kb = _kb(spark, d)
+    corpus = kb.select(F.concat_ws(" ", "title", "description", "all_alt_titles", "all_tech_skills", "all_tools").alias("text"))
+    enc = HashingEncoder(dim=64).fit(corpus, "text")
+    kbv = kb_vectors(kb, enc, mode="truncate").withColumn("title_words", tx.title_words("title"))
+    rows = _train_rows(spark, d).withColumn("text", tx.query_text("occupation", "description"))
+    q = enc(rows.select(F.col("row_id").alias("query_id"), "occupation", "description", "onet_soc", "onet_title", "text"),
+            "text", "vec").drop("text").withColumn("title_words", tx.title_words("occupation"))
+    r = match(q, kbv, MatchConfig(weights=TUNED_WEIGHTS, title_boost=tx.TITLE_BOOST))
+    return ev.eval_summary(ev.eval_rows(r))
+
+
 QUERIES = {
     "scan_prune": scan_prune, "scan_fill": scan_fill, "roundtrip_csv": roundtrip_csv, "strip_all": strip_all,
     "preview_limit": preview_limit, "weights_merge": weights_merge, "vector_cache": vector_cache,
@@ -543,4 +563,5 @@ QUERIES = {
     "major_group": major_group, "confidence_tier": confidence_tier, "top_occupations": top_occupations,
     "group_confidence": group_confidence, "conf_histogram": conf_histogram,
     "encode_hash": encode_hash, "kb_vectors": kb_vectors_q, "kb_vectors_chunked": kb_vectors_chunked,
+    "text_pipeline_eval": text_pipeline_eval,
 }

@@ -76,3 +76,17 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(out)
     _SHIPPED.add(sc.applicationId)
+
+
+def reliable_checkpoint(df):
+    """Cut lineage into ``spark.checkpoint.dir`` computing the plan once:
+    a reliable checkpoint re-runs the plan in a second job unless the data is
+    persisted first, so persist, checkpoint, then release the cache."""
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
