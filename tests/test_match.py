@@ -133,3 +133,30 @@ def test_weight_accuracy_blocked_equals_broadcast(spark):
     b = {r["candidate"]: (r["hits"], r["rows"]) for r in weight_accuracy(
         q, kb, WEIGHT_CANDIDATES, force_blocked=True, kb_block_rows=3, query_block_rows=120).collect()}
     assert a == b and len(a) == len(WEIGHT_CANDIDATES)
+
+
+def test_large_kb_sparse_boost_and_ties_vs_brute_force(spark):
+    """KB above the small-sort cut (sparse postings, argpartition top-k with
+    ties) against plain numpy."""
+    rng = np.random.default_rng(7)
+    n_kb, n_q, dim = 1500, 120, 8
+    words = [f"w{i}" for i in range(60)]
+    kb_vecs = np.round(rng.normal(size=(n_kb, dim)), 1)   # coarse values -> ties
+    kb_vecs[:50] = kb_vecs[50:100]                         # exact duplicate vectors -> tied scores
+    kb_words = [sorted(set(rng.choice(words, 3))) for _ in range(n_kb)]
+    kb_rows = [(f"c{j:05d}", f"t{j}", kb_vecs[j].tolist(), kb_words[j]) for j in range(n_kb)]
+    kb = spark.createDataFrame(kb_rows, "code string, title string, vec_ofc_title array<double>, title_words array<string>")
+    q_vecs = np.round(rng.normal(size=(n_q, dim)), 1)
+    q_words = [sorted(set(rng.choice(words, 2))) for _ in range(n_q)]
+    q = spark.createDataFrame([(i, q_vecs[i].tolist(), q_words[i]) for i in range(n_q)],
+                              "query_id long, vec array<double>, title_words array<string>")
+    w = {n: 0.0 for n in WEIGHT_NAMES}
+    w["Ofc_Title"] = 1.0
+    got = _collect(match(q, kb, MatchConfig(weights=w, title_boost=0.03, k=5)))
+    kn = kb_vecs / np.linalg.norm(kb_vecs, axis=1, keepdims=True)
+    for i in range(n_q):
+        raw = kn @ (q_vecs[i] / np.linalg.norm(q_vecs[i]))
+        fin = raw + 0.03 * np.array([len(set(q_words[i]) & set(kw)) for kw in kb_words])
+        order = sorted(range(n_kb), key=lambda j: (-fin[j], kb_rows[j][0]))[:5]
+        assert [c for c, _, _ in got[i]] == [kb_rows[j][0] for j in order], i
+        assert np.allclose([s for _, s, _ in got[i]], fin[order], atol=1e-9)
