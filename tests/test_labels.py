@@ -51,3 +51,12 @@ def test_hard_negatives_same_group_and_never_self(spark):
         assert r["s2_code"] != r["onet_soc"]
         if r["onet_soc"].startswith("11"):
             assert r["s2_code"].startswith("11")
+
+
+def test_map_columns_guess_and_missing_description(spark):
+    df = spark.createDataFrame([(1, "Nurse", "cares")], "ID long, `Job Role` string, Duties string")
+    r = lb.map_columns(df, keep=("ID",)).first()
+    assert (r["title"], r["description"]) == ("Nurse", "cares")
+    df2 = spark.createDataFrame([(1, "x")], "ID long, Notes string")
+    r2 = lb.map_columns(df2).first()
+    assert (r2["title"], r2["description"]) == ("1", "")

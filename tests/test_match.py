@@ -160,3 +160,18 @@ def test_large_kb_sparse_boost_and_ties_vs_brute_force(spark):
         order = sorted(range(n_kb), key=lambda j: (-fin[j], kb_rows[j][0]))[:5]
         assert [c for c, _, _ in got[i]] == [kb_rows[j][0] for j in order], i
         assert np.allclose([s for _, s, _ in got[i]], fin[order], atol=1e-9)
+
+
+def test_single_lookup_returns_top3(spark):
+    from taxomatch.operators.encode import BatchEncoder
+
+    kb = si.vector_kb(spark, SF001)
+    first = kb.orderBy("code").first()
+    vec = first["c"]
+
+    def load():
+        return lambda texts: [vec for _ in texts]   # every text encodes to label 0's centroid
+
+    r = match_one(spark, kb, "Nurse Supervisors", "", encode=lambda df: BatchEncoder(load, len(vec))(df, "text", "vec"),
+                  cfg=MatchConfig(weights=TUNED_WEIGHTS, title_boost=0.03)).first()
+    assert len(r["codes"]) == 3 and r["codes"][0] == first["code"]

@@ -59,3 +59,15 @@ def test_user_input_mock_is_opt_in(spark):
         st.read_user_input(spark, "/nonexistent/users.csv")
     df = st.read_user_input(spark, "/nonexistent/users.csv", mock_if_missing=True)
     assert [r["User_Job_Title"] for r in df.orderBy("User_ID").collect()] == ["Budget Director", "Code Writer"]
+
+
+def test_read_table_dispatch(spark):
+    base = tempfile.mkdtemp(prefix="taxomatch-rt-")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, s string")
+    df.write.json(f"{base}/t.json")
+    df.write.parquet(f"{base}/t.parquet")
+    st.write_delimited(df, f"{base}/t.csv", sep=",")
+    st.write_delimited(df, f"{base}/t.tsv", sep="\t")
+    for name in ("t.json", "t.parquet", "t.csv", "t.tsv"):
+        got = sorted((str(r["id"]), r["s"]) for r in st.read_table(spark, f"{base}/{name}", ["id", "s", "nope"]).collect())
+        assert got == [("1", "a"), ("2", "b")], name
