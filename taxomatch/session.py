@@ -74,6 +74,13 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    if not sc.master.startswith("local"):
+        # on a cluster, executors fetch the zip from the shared checkpoint folder
+        shared = f"{scratch_dir(spark, '_pkg')}/taxomatch.zip"
+        jvm = sc._jvm
+        dst = jvm.org.apache.hadoop.fs.Path(shared)
+        dst.getFileSystem(sc._jsc.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(out), dst)
+        out = shared
     sc.addPyFile(out)
     _SHIPPED.add(sc.applicationId)
 
