@@ -191,10 +191,19 @@ def short_label(c, n: int) -> Column:
     return F.concat(F.left(x, F.lit(n)), F.when(F.length(x) > n, F.lit("…")).otherwise(F.lit("")))
 
 
-def chunk_text(c, width: int = 800) -> Column:
+# textwrap's break after a hyphen inside a word: the hyphen follows two
+# letters (or letter-hyphen-letter) and a letter (optionally hyphen) letter
+# follows. "Letter" is a word character that is not a digit.
+_LT = r"[^\d\W]"
+_HYPHEN_END = rf"(?<={_LT}{{2}}-)(?={_LT}-?{_LT})|(?<={_LT}-{_LT}-)(?={_LT}-?{_LT})"
+
+
+def chunk_text(c, width: int = 800, hyphens: bool = False) -> Column:
     """Greedy packing of whitespace words into chunks of at most ``width``
     characters joined by single spaces, like ``textwrap.wrap`` on single-spaced
-    text (hyphenated words are not split). Blank text gives an empty array.
+    text. With ``hyphens`` a chunk may also end after a hyphen inside a word,
+    as ``textwrap`` does (``well-`` / ``known``); without, words are never
+    split. Blank text gives an empty array.
 
     One JVM regex does the packing: on whitespace-collapsed text,
     ``\\S(?:.{0,w-2}\\S)?(?= |$)`` matches, from the start of a word, the longest
@@ -204,8 +213,12 @@ def chunk_text(c, width: int = 800) -> Column:
     and continues in ``width``-sized pieces."""
     text = F.coalesce(col_(c), F.lit(""))
     flat = strip_ws(F.regexp_replace(text, r"\s+", " "))
-    fast = F.regexp_extract_all(flat, F.lit(f"(?s)(\\S(?:.{{0,{max(width - 2, 0)}}}\\S)?)(?= |$)"), 1)
-    has_long = text.rlike(f"\\S{{{width + 1}}}")
+    end = "(?= |$)" if not hyphens else f"(?:(?= |$)|{_HYPHEN_END})"
+    flags = "(?s)" if not hyphens else "(?sU)"
+    fast = F.regexp_extract_all(flat, F.lit(f"{flags}(\\S(?:.{{0,{max(width - 2, 0)}}}\\S)?){end}"), 1)
+    # the fold is needed only for an unbreakable run longer than the width
+    runs = text if not hyphens else F.regexp_replace(flat, f"(?U){_HYPHEN_END}", " ")
+    has_long = runs.rlike(f"\\S{{{width + 1}}}")
     return F.when(has_long, _chunk_fold(text, width)).otherwise(fast)
 
 

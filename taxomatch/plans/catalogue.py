@@ -327,7 +327,7 @@ def chunk_mean(spark: SparkSession, d: str) -> DataFrame:
 def chunk_text(spark: SparkSession, d: str) -> DataFrame:
     doc = si.table(spark, d, "documents")
     # chunks are computed once per row; the sizes are read from the result
-    ch = doc.select("doc_id", tx.chunk_text("text", 800).alias("chunks"))
+    ch = doc.select("doc_id", tx.chunk_text("text", 800, hyphens=True).alias("chunks"))
     lens = F.transform("chunks", lambda c: F.length(c))
     return ch.select("doc_id", F.size("chunks").alias("n_chunks"),
                      F.aggregate(lens, F.lit(0), lambda a, x: a + x).cast("long").alias("total_len"),

@@ -127,3 +127,17 @@ def test_flatten_prefix_equals_cut_of_full_text(spark):
     for cap in (1, 5, 200):
         got = {r["code"]: r["p"] for r in kbo.flatten_prefix(df, "code", "text", "p", cap).collect()}
         assert got == {k: v[:cap] for k, v in full.items()}
+
+
+def test_chunk_text_hyphen_breaks_match_textwrap(spark):
+    import random
+
+    rng = random.Random(11)
+    vocab = ["well-known", "x-ray", "e-mail", "co-op", "long-term", "a-b-c", "self-driving", "state-of-the-art",
+             "3-4", "ab-12", "the", "data", "re-enter", "über-cool", "a", "bb", "mid-", "-pre"]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 30))), rng.randint(9, 40)) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, t string, w int")
+    for w in sorted({r[2] for r in rows}):
+        got = df.where(F.col("w") == w).select("t", tx.chunk_text("t", w, hyphens=True).alias("c")).collect()
+        for r in got:
+            assert r["c"] == textwrap.wrap(r["t"], w), (w, r["t"])
