@@ -128,7 +128,8 @@ def normalized_key(c) -> Column:
 
 def is_code(c) -> Column:
     """True when the stripped text starts with an occupation code."""
-    return F.coalesce(strip_ws(col_(c)).rlike(CODE_PATTERN), F.lit(False))
+    # (?U): \d means any Unicode decimal digit, as in Python's re
+    return F.coalesce(strip_ws(col_(c)).rlike("(?U)" + CODE_PATTERN), F.lit(False))
 
 
 def major_group(code) -> Column:
