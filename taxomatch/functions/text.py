@@ -47,6 +47,8 @@ TAXONOMY_FIXES = {
         "Software Quality Assurance Analysts and Testers",
     "Legal Secretaries": "Legal Secretaries and Administrative Assistants",
 }
+# Whitespace as Python's str.split()/strip() see it (Unicode, plus \x1c-\x1f).
+WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 # Confidence tiers (percent): label thresholds and the colour thresholds.
 TIER_HIGH, TIER_MODERATE = 65.0, 50.0
 COLOUR_HIGH, COLOUR_MID = 72.0, 58.0
@@ -62,8 +64,8 @@ def col_(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Strip leading and trailing whitespace (not only spaces)."""
-    return F.regexp_replace(col_(c), r"^\s+|\s+$", "")
+    """Strip leading and trailing whitespace (Python's set, not only spaces)."""
+    return F.regexp_replace(col_(c), f"^{WS}+|{WS}+$", "")
 
 
 def blank_to_empty(c) -> Column:
@@ -77,7 +79,7 @@ def is_blank(c) -> Column:
 
 def words(c) -> Column:
     """Whitespace tokens of the text, case kept, no empty strings."""
-    return F.array_remove(F.split(col_(c), r"\s+"), "")
+    return F.array_remove(F.split(col_(c), f"{WS}+"), "")
 
 
 def tokens(c) -> Column:
@@ -213,7 +215,8 @@ def chunk_text(c, width: int = 800, hyphens: bool = False) -> Column:
     word-by-word fold, where such a word fills the rest of the current chunk
     and continues in ``width``-sized pieces."""
     text = F.coalesce(col_(c), F.lit(""))
-    flat = strip_ws(F.regexp_replace(text, r"\s+", " "))
+    # textwrap's whitespace is ASCII only: collapse it, trim the spaces left at the ends
+    flat = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), "^ | $", "")
     end = "(?= |$)" if not hyphens else f"(?:(?= |$)|{_HYPHEN_END})"
     flags = "(?s)" if not hyphens else "(?sU)"
     fast = F.regexp_extract_all(flat, F.lit(f"{flags}(\\S(?:.{{0,{max(width - 2, 0)}}}\\S)?){end}"), 1)
