@@ -50,12 +50,12 @@ def test_tokens_and_title_words(spark, texts):
     assert got == [py_title_words(t) for t in texts]
 
 
-@SETTINGS
 # digits from long-standing Unicode blocks (the JVM and Python may ship
 # different Unicode versions; digits added recently are known to only one)
 D = "[0-9\u0660-\u0669\u0966-\u096f\uff10-\uff19]"
 
 
+@SETTINGS
 @given(st.lists(st.from_regex(rf"\A ?{D}{{1,3}}-{D}{{3,5}}\.{D}{{1,3}}[ a-z]{{0,3}}\Z", fullmatch=True) | TEXT,
                 min_size=1, max_size=60))
 def test_code_check(spark, texts):
