@@ -11,7 +11,8 @@ from taxomatch.functions import text as tx
 
 ALPHABET = st.sampled_from(list("abcdersAB-. ,\n\t0123456789\xa0\u2003\x1c\u3000") + ["é", "all", "of", "the", "ers", "workers"])
 TEXT = st.lists(ALPHABET, max_size=25).map("".join)
-SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+SETTINGS = settings(max_examples=8, deadline=None, derandomize=True, database=None,
+                    suppress_health_check=list(HealthCheck))
 
 
 def py_stem(w):
