@@ -49,6 +49,10 @@ TAXONOMY_FIXES = {
 }
 # Whitespace as Python's str.split()/strip() see it (Unicode, plus \x1c-\x1f).
 WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# The part of that set outside Java's ASCII \s, mapped to spaces before splitting
+# (only in rows that hold one).
+_EXOTIC_CLASS = r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_EXOTIC_WS = "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 # Confidence tiers (percent): label thresholds and the colour thresholds.
 TIER_HIGH, TIER_MODERATE = 65.0, 50.0
 COLOUR_HIGH, COLOUR_MID = 72.0, 58.0
@@ -79,7 +83,11 @@ def is_blank(c) -> Column:
 
 def words(c) -> Column:
     """Whitespace tokens of the text, case kept, no empty strings."""
-    return F.array_remove(F.split(col_(c), f"{WS}+"), "")
+    # translate (a per-character map) then an ASCII split: same tokens as a
+    # split on the full class, at the cost of the plain pattern
+    x = col_(c)
+    flat = F.when(x.rlike(_EXOTIC_CLASS), F.translate(x, _EXOTIC_WS, " " * len(_EXOTIC_WS))).otherwise(x)
+    return F.array_remove(F.split(flat, r"\s+"), "")
 
 
 def tokens(c) -> Column:
@@ -217,11 +225,15 @@ def chunk_text(c, width: int = 800, hyphens: bool = False) -> Column:
     text = F.coalesce(col_(c), F.lit(""))
     # textwrap's whitespace is ASCII only: collapse it, trim the spaces left at the ends
     flat = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), "^ | $", "")
-    end = "(?= |$)" if not hyphens else f"(?:(?= |$)|{_HYPHEN_END})"
-    flags = "(?s)" if not hyphens else "(?sU)"
-    fast = F.regexp_extract_all(flat, F.lit(f"{flags}(\\S(?:.{{0,{max(width - 2, 0)}}}\\S)?){end}"), 1)
+    body = f"(\\S(?:.{{0,{max(width - 2, 0)}}}\\S)?)"
+    fast = F.regexp_extract_all(flat, F.lit(f"(?s){body}(?= |$)"), 1)
+    if hyphens:
+        # only rows holding a hyphen pay for the hyphen alternatives
+        with_h = F.regexp_extract_all(flat, F.lit(f"(?sU){body}(?:(?= |$)|{_HYPHEN_END})"), 1)
+        fast = F.when(F.instr(flat, "-") > 0, with_h).otherwise(fast)
     # the fold is needed only for an unbreakable run longer than the width
-    runs = text if not hyphens else F.regexp_replace(flat, f"(?U){_HYPHEN_END}", " ")
+    runs = text if not hyphens else F.when(
+        F.instr(flat, "-") > 0, F.regexp_replace(flat, f"(?U){_HYPHEN_END}", " ")).otherwise(flat)
     has_long = runs.rlike(f"\\S{{{width + 1}}}")
     return F.when(has_long, _chunk_fold(text, width)).otherwise(fast)
 
