@@ -103,10 +103,10 @@ def encode_weighted_tasks(tasks: DataFrame, key: str, encoder, out: str = "vec_t
     return tasks.select(key).join(mean, key, "left").withColumn(out, F.coalesce(F.col(out), zero))
 
 
-# KB field -> source column, for the six-field encode job.
+# KB field -> source column for the six-field encode job, and the
+# app variant's per-field truncation caps (the task slot encodes the title).
 KB_FIELD_COLUMNS = {"desc": "description", "skill": "all_tech_skills", "ofc_title": "title",
                     "alt_title": "all_alt_titles", "tool": "all_tools"}
-# App variant: truncation caps per field and the title in the task slot.
 APP_CAPS = {"task": ("title", None), "desc": ("description", 400), "skill": ("all_tech_skills", 300),
             "ofc_title": ("title", None), "alt_title": ("all_alt_titles", 300), "tool": ("all_tools", 200)}
 

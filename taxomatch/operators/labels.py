@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from taxomatch.functions.text import (QUERY_PREFIX, blank_to_empty, is_code, query_text,
                                       word_count)
 
-# Column names of the two survey workbooks and their internal names.
+# Column names of the two survey workbooks and their internal
+# names, and the keyword lists the app uses to guess title / description columns.
 PRIMARY_NAMES = {"Job title": "occupation", "Job description": "description",
                  "O*NET_code": "onet_soc", "O*NET Job title": "onet_title"}
 TITLE_ONLY_NAMES = {"occupation": "occupation", "onetJC": "onet_soc", "onetJT": "onet_title"}
