@@ -105,10 +105,17 @@ def replace_values(df: DataFrame, column: str, mapping: dict[str, str], out: str
 
 
 def title_code_join(survey: DataFrame, taxonomy: DataFrame, survey_title: str, taxonomy_title: str,
-                    code: str, fixes: dict[str, str] | None = None) -> DataFrame:
+                    code: str, fixes: dict[str, str] | None = None, fanout: bool = True) -> DataFrame:
     """Attach codes to survey rows by a normalised title (stripped, lower-case)
-    left join. Titles are first corrected by ``fixes``. Duplicate taxonomy
-    titles fan out, as in the reference; the helper columns are dropped."""
+    left join. Titles are first corrected by ``fixes``; the helper columns are
+    dropped.
+
+    ``fanout=True`` keeps the reference's behaviour: a title that appears
+    several times in the taxonomy yields one output row per code. With
+    ``fanout=False`` the taxonomy is first grouped by title (taxonomy-sized),
+    so every survey row stays one row, with ``code`` = the lowest code and
+    ``codes`` = all of them; no (row, code) pairs are emitted for a repeated
+    title."""
     s = survey
     if fixes:
         s = replace_values(s, survey_title, fixes, out="_fixed")
@@ -116,6 +123,9 @@ def title_code_join(survey: DataFrame, taxonomy: DataFrame, survey_title: str, t
         s = s.withColumn("_fixed", F.col(survey_title))
     s = s.withColumn("_match_title", normalized_key("_fixed"))
     t = taxonomy.select(F.col(code), normalized_key(taxonomy_title).alias("_match_title"))
+    if not fanout:
+        t = (t.groupBy("_match_title").agg(F.array_sort(F.collect_set(code)).alias("codes"))
+             .withColumn(code, F.element_at("codes", 1)))
     return s.join(t, "_match_title", "left").drop("_match_title", "_fixed")
 
 

@@ -141,3 +141,12 @@ def test_chunk_text_hyphen_breaks_match_textwrap(spark):
         got = df.where(F.col("w") == w).select("t", tx.chunk_text("t", w, hyphens=True).alias("c")).collect()
         for r in got:
             assert r["c"] == textwrap.wrap(r["t"], w), (w, r["t"])
+
+
+def test_title_code_join_fanout_modes(spark):
+    survey = spark.createDataFrame([(1, " Nurse "), (2, "clerk"), (3, None)], "id int, t string")
+    tax = spark.createDataFrame([("29-1", "nurse"), ("29-2", "NURSE"), ("43-1", "Clerk")], "code string, title string")
+    fan = sorted((r["id"], r["code"]) for r in kbo.title_code_join(survey, tax, "t", "title", "code").collect())
+    assert fan == [(1, "29-1"), (1, "29-2"), (2, "43-1"), (3, None)]
+    one = {r["id"]: (r["code"], r["codes"]) for r in kbo.title_code_join(survey, tax, "t", "title", "code", fanout=False).collect()}
+    assert one == {1: ("29-1", ["29-1", "29-2"]), 2: ("43-1", ["43-1"]), 3: (None, None)}
