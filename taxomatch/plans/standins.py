@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from taxomatch.functions.text import title_words
 from taxomatch.functions.vectors import mask_positions
 from taxomatch.operators.centroid import centroids
+from taxomatch.session import spread_input
 
 # Stand-in vocabulary for the ten embedding labels (fixed values of this repo).
 LABEL_WORDS = ("Nurse", "Teacher", "Driver", "Clerk", "Engineer", "Analyst", "Cook", "Guard", "Painter", "Welder")
@@ -31,7 +32,8 @@ HASH_A, HASH_B, HASH_P = 1103515245, 12345, 2147483647
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
+    path = f"{d.rstrip('/')}/{name}.parquet"
+    return spread_input(spark.read.parquet(path), path)
 
 
 def ahash(c) -> F.Column:

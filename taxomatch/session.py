@@ -97,3 +97,20 @@ def reliable_checkpoint(df):
         return cached.checkpoint(eager=True)
     finally:
         cached.unpersist()
+
+
+def spread_input(df, path: str, min_bytes: int = 1 << 20):
+    """Round-robin an input that arrives in fewer partitions than the default
+    parallelism (e.g. one large single-row-group file) so per-row work uses
+    every core. Small inputs and inputs that already come in many files (the
+    cluster case) are returned unchanged. Round-robin is deterministic on
+    retry (rows are sorted before the repartition)."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    want = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    jvm = sc._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return df.repartition(want) if size >= min_bytes else df
