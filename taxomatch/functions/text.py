@@ -67,9 +67,15 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same whitespace set as literal characters, for btrim.
+_WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+             + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_ws(c) -> Column:
-    """Strip leading and trailing whitespace (Python's set, not only spaces)."""
-    return F.regexp_replace(col_(c), f"^{WS}+|{WS}+$", "")
+    """Strip leading and trailing whitespace (Python's set, not only spaces);
+    native ``btrim`` with the character set, no regex."""
+    return F.btrim(col_(c), F.lit(_WS_CHARS))
 
 
 def blank_to_empty(c) -> Column:
@@ -138,8 +144,8 @@ def normalized_key(c) -> Column:
 
 def is_code(c) -> Column:
     """True when the stripped text starts with an occupation code."""
-    # (?U): \d means any Unicode decimal digit, as in Python's re
-    return F.coalesce(strip_ws(col_(c)).rlike("(?U)" + CODE_PATTERN), F.lit(False))
+    # \p{Nd}: any Unicode decimal digit, which is what Python's re means by \d
+    return F.coalesce(strip_ws(col_(c)).rlike(CODE_PATTERN.replace(r"\d", r"\p{Nd}")), F.lit(False))
 
 
 def major_group(code) -> Column:
