@@ -47,7 +47,7 @@ def main():
     print(f"Generated by `tests/plan_summary.py` at `{sf}` (local mode, AQE on; AQE may still change "
           "join strategies at run time). Shuffles = Exchange nodes (hash / range / single partition); "
           "`single` counts SinglePartition exchanges (only in bounded places: <= 1M-row rank buckets, "
-          "KB-sized code index, 20-row histogram, top-N report). Cols = widest scan projection.\n")
+          "KB-sized code index, 20-row histogram, top-N report). Cols = widest scan projection. RoundRobinPartitioning exchanges are the spreads of single-partition inputs (every sf0.1 table is one Parquet row group); with many input files, as on a cluster, they disappear.\n")
     print("| query | shuffles | single | broadcasts | joins | windows | python | cols |")
     print("|---|---|---|---|---|---|---|---|")
     for k, fn in QUERIES.items():
