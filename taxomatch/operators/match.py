@@ -12,16 +12,26 @@ scores (``raw``), so all three reference variants can be formatted from it.
 
 Physical plan. There is no cross join and no pair table:
 
-* **broadcast path** - the KB is size-checked; if it fits under
-  ``broadcast_limit_bytes`` it is collected once, fused into one matrix
-  (six normalised fields folded with their weights, so one dot product per
-  pair) and broadcast. Queries are scored in Arrow batches by
-  ``mapInPandas``; only the top-k rows per query leave the task. No shuffle.
+* **prepare** (once per KB, reusable across calls and micro-batches) - the six
+  normalised fields are folded with their weights into one vector per KB row
+  JVM-side (one dot product per pair), the result is checkpointed into the
+  shared checkpoint folder and size-checked.
+* **broadcast path** - under ``broadcast_limit_bytes`` the prepared KB is
+  collected once and broadcast. Queries are scored in Arrow batches by
+  ``mapInPandas`` (spread first if they arrive in fewer partitions than the
+  default parallelism); only the top-k per query leaves the task.
 * **blocked path** - for a larger KB, KB rows are hashed into ``B`` blocks and
-  queries into ``Q`` buckets; both sides are replicated only across the other
-  side's block ids and co-grouped on (kb_block, q_bucket). Each group scores a
-  bounded slab and keeps its top-k; a final group-by on the query merges the
-  ``B*k`` candidates per query. Group sizes are bounded by construction.
+  queries into ``Q`` buckets (sized so one co-group side holds about
+  ``block_bytes`` of vectors); both sides are replicated only across the
+  other side's block ids and co-grouped on (kb_block, q_bucket). Each group
+  scores a bounded slab and keeps its top-k; a final group-by on the query
+  merges the ``B*k`` candidates. BM25 takes a first pass for the per-query
+  maximum over the whole KB.
+
+Inside a task the dense part is one matrix product per sub-batch (capped at
+``max_cells`` scores); the title boost and BM25 are sparse postings (term ->
+KB rows) accumulated with one ``bincount``; top-k is an ``argpartition`` with
+an exact tie repair (lowest code wins).
 """
 
 from __future__ import annotations
