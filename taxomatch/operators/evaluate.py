@@ -101,7 +101,7 @@ def _kb_fields(kb: DataFrame, limit_bytes: int, force_blocked: bool = False):
     if force_blocked or n * dim * 8 * len(FIELDS) > limit_bytes:
         return None, n, dim
     # duplicate codes: one row per code (the reference's code -> row map keeps the last)
-    pdf = kb.select("code", *vcols).toPandas().drop_duplicates("code", keep="last")
+    pdf = kb.select("code", *vcols).toPandas().drop_duplicates("code", keep="last")  # bounded: checked above
     return FieldSlab(pdf, dim), n, dim
 
 
@@ -237,7 +237,7 @@ def weight_search(queries: DataFrame, kb: DataFrame, truth: str = "truth_code",
     def energies(pop) -> np.ndarray:
         acc = {r["candidate"]: (r["accuracy"] or 0.0)
                for r in weight_accuracy(q, kb, [tuple(x) for x in pop], truth, prepared=prepared)
-               .select("candidate", "accuracy").collect()}
+               .select("candidate", "accuracy").collect()}  # one row per candidate
         return np.array([-acc.get(i, 0.0) for i in range(len(pop))])
 
     dims = len(FIELDS)

@@ -298,7 +298,7 @@ def prepare(kb: DataFrame, cfg: MatchConfig = PRODUCTION) -> PreparedKb:
     prof = kb_profile(small)
     est = prof["n"] * (prof["dim"] * 8 * max(prof["vec_cols"], 1) + 64) + prof["lex"] * 48
     if not cfg.force_blocked and est <= cfg.broadcast_limit_bytes:
-        slab = KbSlab(small.toPandas(), cfg, prof["dim"])
+        slab = KbSlab(small.toPandas(), cfg, prof["dim"])  # bounded: size checked just above
         return PreparedKb(cfg, "broadcast", prof["dim"], prof["n"], spark.sparkContext.broadcast(slab))
     return PreparedKb(cfg, "blocked", prof["dim"], prof["n"], frame=small)
 

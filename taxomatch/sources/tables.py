@@ -29,7 +29,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
     first = (spark.read.option("sep", sep).option("header", "false").option("escape", '"')
-             .csv(path).limit(1).collect())
+             .csv(path).limit(1).collect())  # the header row only
     return [c for c in first[0]] if first else []
 
 
