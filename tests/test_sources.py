@@ -71,3 +71,18 @@ def test_read_table_dispatch(spark):
     for name in ("t.json", "t.parquet", "t.csv", "t.tsv"):
         got = sorted((str(r["id"]), r["s"]) for r in st.read_table(spark, f"{base}/{name}", ["id", "s", "nope"]).collect())
         assert got == [("1", "a"), ("2", "b")], name
+
+
+def test_spread_input_only_for_large_single_partition_inputs(spark):
+    from taxomatch.session import spread_input
+
+    want = spark.sparkContext.defaultParallelism
+    small = "/root/testdata/sf0.001/nation.parquet"
+    df = spark.read.parquet(small)
+    assert spread_input(df, small) is df                       # small file: unchanged
+    big = "/root/testdata/sf0.1/lineitem.parquet"
+    spread = spread_input(spark.read.parquet(big), big)
+    assert spread.rdd.getNumPartitions() == want               # one row group -> spread
+    many = spark.read.parquet(big).repartition(want + 1)
+    assert spread_input(many, big) is many                      # already parallel: unchanged
+    assert spread.count() == spark.read.parquet(big).count()
