@@ -105,7 +105,7 @@ def ranked(df: DataFrame, order_cols: list[str], out: str = "rn", weight: str |
         run += t or 0
     off = df.sparkSession.createDataFrame(offsets, "_b double, _off long")
     win = Window.partitionBy("_b").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (b.join(F.broadcast(off), "_b")
+    return (b.join(F.broadcast(off), "_b")  # one row per bucket: n / rows_per_bucket rows
             .withColumn(out, F.col("_off") + F.sum(w_col).over(win))
             .drop("_b", "_off"))
 

@@ -21,7 +21,7 @@ from taxomatch.operators.centroid import weighted_centroid
 from taxomatch.operators.encode import HashingEncoder, kb_vectors
 from taxomatch.operators.match import MatchConfig, match, to_long, to_wide
 from taxomatch.plans import standins as si
-from taxomatch.session import scratch_dir
+from taxomatch.session import bounded_broadcast, scratch_dir
 from taxomatch.sources import tables as st
 from taxomatch.sources.vector_cache import read_vector_cache, write_vector_cache
 
@@ -32,12 +32,6 @@ def rnd(c, n: int = R):
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only after a row-count check; otherwise let Spark plan a
-    shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 # ---------------------------------------------------------------------------
 # Sources and sinks
 # ---------------------------------------------------------------------------

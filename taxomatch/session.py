@@ -114,3 +114,11 @@ def spread_input(df, path: str, min_bytes: int = 1 << 20):
     p = jvm.org.apache.hadoop.fs.Path(path)
     size = p.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
     return df.repartition(want) if size >= min_bytes else df
+
+
+def bounded_broadcast(df, max_rows: int = 1_000_000):
+    """Broadcast hint only after a row-count check; above it Spark plans a
+    shuffle join instead."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= max_rows else df
