@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from taxomatch.functions.text import blank_to_empty
 from taxomatch.functions.vectors import FIELDS, SEARCH_BASELINE, WEIGHT_NAMES, normalized_weights
 from taxomatch.operators.labels import average_rank
-from taxomatch.operators.match import _stack, _unit_rows, block_rows
+from taxomatch.operators.match import RANK_DECIMALS, _stack, _unit_rows, block_rows
 from taxomatch.session import ensure_checkpoint_dir, reliable_checkpoint, ship_package
 
 
@@ -158,7 +158,7 @@ def _weight_hits_broadcast(queries, slab, cand, truth, dim, max_cells):
                 q = _unit_rows(_stack(part["vec"].tolist(), dim))
                 per_field = np.einsum("qd,fkd->fqk", q, s.fields)  # (6, rows, n_kb)
                 comb = np.einsum("cf,fqk->cqk", cw, per_field)      # (C, rows, n_kb)
-                pred = comb.argmax(axis=2)                          # first max on ties
+                pred = np.round(comb, RANK_DECIMALS).argmax(axis=2)  # first (lowest code) on ties
                 hits += (pred == t[a:a + step][None, :]).sum(axis=1)
                 rows += len(part)
         yield pd.DataFrame({"candidate": np.arange(len(cw), dtype=np.int32), "hits": hits,
@@ -194,7 +194,7 @@ def _weight_hits_blocked(queries, kb, cand, truth, query_id, n_kb, dim, max_cell
             part = qpdf.iloc[a:a + step]
             qv = _unit_rows(_stack(part["vec"].tolist(), dim))
             comb = np.einsum("cf,fqk->cqk", cand, np.einsum("qd,fkd->fqk", qv, s.fields))
-            best = comb.argmax(axis=2)                                   # (C, rows)
+            best = np.round(comb, RANK_DECIMALS).argmax(axis=2)          # (C, rows)
             score = np.take_along_axis(comb, best[:, :, None], 2)[:, :, 0]
             c_n, r_n = best.shape
             outs.append(pd.DataFrame({
@@ -207,7 +207,7 @@ def _weight_hits_blocked(queries, kb, cand, truth, query_id, n_kb, dim, max_cell
     best = (qb.groupBy("kb_block", "q_bucket").cogroup(kbb.groupBy("kb_block", "q_bucket"))
             .applyInPandas(block, schema)
             .groupBy(query_id, "candidate")
-            .agg(F.min(F.struct((-F.col("score")).alias("neg"), "code", truth)).alias("b")))
+            .agg(F.min(F.struct((-F.round("score", RANK_DECIMALS)).alias("neg"), "code", truth)).alias("b")))
     hit = (F.col("b.code") == F.col(f"b.{truth}")).cast("long")
     return best.groupBy("candidate").agg(F.sum(hit).alias("hits"), F.count(F.lit(1)).alias("rows"))
 

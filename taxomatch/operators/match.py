@@ -73,6 +73,9 @@ class MatchConfig:
         return np.array([float(self.weights.get(n, 0.0)) for n in WEIGHT_NAMES], dtype=np.float64)
 
 
+# Scores equal to 12 decimals rank as ties (then by code).
+RANK_DECIMALS = 12
+
 PRODUCTION = MatchConfig()
 EVAL = MatchConfig(title_boost=0.03)
 
@@ -194,7 +197,11 @@ class KbSlab:
 
     def topk(self, final: np.ndarray, k: int) -> np.ndarray:
         """Indices of the k best columns per row: score desc, then code asc
-        (columns are in code order, so a stable sort keeps the lower index)."""
+        (columns are in code order, so a stable sort keeps the lower index).
+        Scores are compared at 12 decimals (``RANK_DECIMALS``): sums that are
+        equal up to float summation order are ties, so the order does not
+        depend on partitioning or on the engine."""
+        final = np.round(final, RANK_DECIMALS)
         k = min(k, self.n)
         if k == 0:
             return np.zeros((final.shape[0], 0), dtype=np.int64)
@@ -425,7 +432,8 @@ def _match_blocked(queries: DataFrame, prepared: PreparedKb, query_id: str) -> D
     cands = grouped.applyInPandas(block, cand_schema)
     ranked = (cands.groupBy(query_id)
               .agg(F.slice(F.array_sort(F.collect_list(
-                  F.struct((-F.col("score")).alias("neg"), "code", "title", "score", "raw"))), 1, cfg.k).alias("top"))
+                  F.struct((-F.round("score", RANK_DECIMALS)).alias("neg"), "code", "title", "score", "raw"))),
+                  1, cfg.k).alias("top"))
               .select(query_id,
                       F.col("top.code").alias("codes"), F.col("top.title").alias("titles"),
                       F.col("top.score").alias("scores"), F.col("top.raw").alias("raw_scores")))

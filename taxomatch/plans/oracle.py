@@ -196,7 +196,7 @@ def _ranked(weights: dict, boost: float, mode: str = "eval") -> str:
         final, join = "s.raw", ""
     parts.append(f"""fin AS (SELECT s.vec_id, k.code, k.title, s.raw, {final} AS final
                 FROM scores s JOIN kbrow k ON k.label = s.kl {join}),
-rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY final DESC, code) AS rn FROM fin)""")
+rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(final, 12) DESC, code) AS rn FROM fin)""")
     return "WITH " + ",\n".join(parts)
 
 
@@ -268,7 +268,7 @@ def _weight_accuracy() -> str:
 cand(candidate, f, w) AS (VALUES {', '.join(rows)}),
 sc AS (SELECT cand.candidate, cosf.vec_id, cosf.kl, sum(cand.w * cosf.cos) AS s FROM cosf JOIN cand ON cand.f = cosf.f
        GROUP BY cand.candidate, cosf.vec_id, cosf.kl),
-rk AS (SELECT sc.*, kbrow.code, row_number() OVER (PARTITION BY candidate, vec_id ORDER BY s DESC, kbrow.code) AS rn
+rk AS (SELECT sc.*, kbrow.code, row_number() OVER (PARTITION BY candidate, vec_id ORDER BY round(s, 12) DESC, kbrow.code) AS rn
        FROM sc JOIN kbrow ON kbrow.label = sc.kl),
 pred AS (SELECT rk.candidate, rk.vec_id, rk.code = printf('%02d-%04d.00', 11 + 2 * e.label, 1000 + e.label) AS hit
          FROM rk JOIN e USING (vec_id) WHERE rn = 1)
@@ -463,7 +463,7 @@ qc AS (SELECT doc_id, token, count(*) AS c FROM qt GROUP BY 1, 2),
 s AS (SELECT qc.doc_id, post.code, sum(qc.c * post.weight) AS s FROM qc JOIN post USING (token) GROUP BY 1, 2),
 grid AS (SELECT d.doc_id, b.code, coalesce(s.s, 0.0) AS s FROM documents d CROSS JOIN bc b LEFT JOIN s ON s.doc_id = d.doc_id AND s.code = b.code),
 nm AS (SELECT doc_id, code, CASE WHEN max(s) OVER (PARTITION BY doc_id) > 0 THEN s / max(s) OVER (PARTITION BY doc_id) ELSE s END AS s FROM grid),
-rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, code) AS rn FROM nm)
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 12) DESC, code) AS rn FROM nm)
 SELECT doc_id, CAST(rn AS INTEGER) AS rank, CAST(code AS BIGINT) AS item_id, round(s, 6) AS score FROM rk WHERE rn <= 3""",
         "title_overlap": f"""
 WITH dw AS (SELECT doc_id, unnest({TITLE_WORDS('text')}) AS w FROM documents),
