@@ -63,26 +63,18 @@ class Chunk:
 
 class ChunkCodec:
     def __init__(self, path: str):
-        self.words = WordIds(path, 300_000)
-        vocab = self.words.tok.get_vocab(with_added_tokens=True)
-        self.token = [""] * (max(vocab.values()) + 1)
-        for t, i in vocab.items():
-            self.token[i] = t
+        self.words = WordIds(path, 200_000, lambda ids: (ids, self._text(ids)))
         if self.words.tok.decoder is not None:
             raise ValueError("only files without a decoder are supported")
-        self.shown: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, Chunk | None] = {}
 
     def _text(self, ids: bytes) -> bytes:
-        return " ".join([self.token[i] for i in np.frombuffer(ids, "<u4")]).encode()
-
-    def _word(self, w: bytes) -> tuple[bytes, bytes]:
-        return self.words.ids[w], self.shown[w]
+        token = self.words.token
+        return " ".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()]).encode()
 
     def encode(self, raws: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as bytes, decoded text) of each text."""
-        if self.words.trim():
-            self.shown.clear()
+        self.words.trim()
         if len(self.chunks) > CHUNKS:
             self.chunks.clear()
         buf = b"".join(raws)
@@ -116,17 +108,16 @@ class ChunkCodec:
                 need.add(pending)
             plans.append(plan)
             start = end
-        need = [w for w in need if w not in self.words.ids]
         self.words.learn(need)
-        self.shown.update((w, self._text(self.words.ids[w])) for w in need)
+        known = self.words.ids
         for c in fresh:
-            c.ids = b"".join([self.words.ids[w] for w in c.words])
-            c.text = b" ".join([t for w in c.words if (t := self.shown[w])])
+            got = [known[w] for w in c.words]
+            c.ids = b"".join([x[0] for x in got])
+            c.text = b" ".join([x[1] for x in got if x[1]])
             c.words = ()
         for plan in plans:
-            ids = [self.words.ids[x] if type(x) is bytes else x.ids for x in plan]
-            text = [t for x in plan if (t := self.shown[x] if type(x) is bytes else x.text)]
-            yield b"".join(ids), b" ".join(text)
+            got = [known[x] if type(x) is bytes else (x.ids, x.text) for x in plan]
+            yield b"".join([x[0] for x in got]), b" ".join([x[1] for x in got if x[1]])
 
 
 _CODECS: dict[str, ChunkCodec] = {}

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -85,10 +86,12 @@ def _words(path: str) -> WordIds:
 def encode_documents(batch: pa.RecordBatch, words: WordIds, end_id: int) -> list[bytes]:
     """The ids of each text and the end id, as bytes."""
     words.trim()
-    split = [x.split() for x in raw_texts(batch.column("_text"))]
-    words.learn(w for x in split for w in x)
+    raw = raw_texts(batch.column("_text"))
+    parts = [x.split() for x in raw]
+    ids = words.of([w for x in parts for w in x])
     end = np.array([end_id], "<u4").tobytes()
-    return [b"".join([words.ids[w] for w in x]) + end for x in split]
+    at = [0, *accumulate(map(len, parts))]
+    return [b"".join(ids[a:b]) + end for a, b in pairwise(at)]
 
 
 def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text",

@@ -2,26 +2,35 @@
 
 No match of the tokenizer's split pattern holds white space and NFC never
 composes across a space, so the ids of a text are the concatenation of the ids
-of its ASCII-whitespace-delimited words. Words are sent to the tokenizer many
-at a time, with a special token between them as a fence.
+of its ASCII-whitespace-delimited words. Words go to the tokenizer many at a
+time, joined by spaces. The last token of each pre-token carries the end-of-word
+mark, so the ids are dealt back to the words by their number of pre-tokens; if
+the numbers do not agree, the words are sent again with a special token between
+them as a fence.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterable
+from unicodedata import normalize
 
 import numpy as np
 
 FENCE = "<|startoftext|>"
-PER_CALL = 4000
+PER_CALL = 256
+#: Fixed value: the split pattern of the file, without its white space part.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
 class WordIds:
-    """``ids[word]`` are the word's ids as little-endian unsigned 32-bit bytes.
-    The table is emptied between slices once it holds ``limit`` words."""
+    """``ids[word]``: ``make`` of the word's ids as little-endian unsigned
+    32-bit bytes. Two generations of at most ``limit`` words and one slice are
+    kept; a word that is used moves to the young one."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000, make: Callable = lambda ids: ids):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -30,30 +39,60 @@ class WordIds:
         self.fence = self.tok.token_to_id(FENCE)
         if self.fence is None:
             raise ValueError(f"{path} has no special token {FENCE}")
-        self.limit = limit
-        self.ids: dict[bytes, bytes] = {}
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.token = [""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.token[i] = t
+        mark = self.tok.model.end_of_word_suffix
+        self.last = np.array([bool(mark) and t.endswith(mark) for t in self.token])
+        self.pieces = regex.compile(SPLIT).findall
+        self.limit, self.make = limit, make
+        self.ids: dict[bytes, object] = {}
+        self.old: dict[bytes, object] = {}
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words) -> None:
-        """Encode the words that are not in the table yet."""
-        new = [w for w in set(words) if w not in self.ids]
-        plain = [w for w in new if b"<|" not in w]
+    def _dealt(self, words: list[str]) -> list[bytes]:
+        """The ids of each word of a batch."""
+        got = self._encode([" ".join(words)])[0]
+        ends = np.flatnonzero(self.last[got]) + 1
+        upto = np.cumsum([len(self.pieces((w if w.isascii() else normalize("NFC", w)).lower())) for w in words])
+        if len(ends) != upto[-1] or (len(got) and ends[-1] != len(got)):
+            got = self._encode([FENCE.join(words)])[0]
+            at = np.flatnonzero(got == self.fence)
+            lo, hi = [0, *(at + 1).tolist()], [*at.tolist(), len(got)]
+        else:
+            hi = np.concatenate([[0], ends])[upto].tolist()
+            lo = [0, *hi[:-1]]
+        raw = got.tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip(lo, hi, strict=True)]
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Put the words into the table."""
+        plain = []
+        for w in set(words):
+            if w in self.ids:
+                continue
+            if (known := self.old.get(w)) is not None:
+                self.ids[w] = known
+            elif b"<|" in w:  # may hold a special token
+                self.ids[w] = self.make(self._encode([w.decode()])[0].tobytes())
+            else:
+                plain.append(w)
         for k in range(0, len(plain), PER_CALL):
             part = plain[k:k + PER_CALL]
-            got = self._encode(FENCE.join(w.decode() for w in part))
-            at = np.flatnonzero(got == self.fence)
-            raw = got.tobytes()
-            lo = [0, *(4 * (at + 1)).tolist()]
-            hi = [*(4 * at).tolist(), len(raw)]
-            self.ids.update((w, raw[a:b]) for w, a, b in zip(part, lo, hi, strict=True))
-        for w in new:
-            if b"<|" in w:
-                self.ids[w] = self._encode(w.decode()).tobytes()
-
-    def trim(self) -> bool:
-        if len(self.ids) <= self.limit:
-            return False
-        self.ids.clear()
-        return True
+            self.ids.update(zip(part, map(self.make, self._dealt([w.decode() for w in part])), strict=True))
+
+    def of(self, words: list[bytes]) -> list:
+        """What the table holds for each word, learning those it lacks."""
+        got = list(map(self.ids.get, words))
+        if None in got:
+            self.learn([w for w, x in zip(words, got, strict=True) if x is None])
+            got = list(map(self.ids.__getitem__, words))
+        return got
+
+    def trim(self) -> None:
+        """Between slices: start a new generation if the young one is full."""
+        if len(self.ids) > self.limit:
+            self.old, self.ids = self.ids, {}
