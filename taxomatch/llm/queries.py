@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from taxomatch.llm import bpe_codec, bpe_count, packing
+from taxomatch.llm import bpe_codec, bpe_count, lattice, packing, simhash
 from taxomatch.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -18,15 +18,25 @@ def op1_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(WORD_BPE), length=2048, end_id=1, with_ids=False)
 
 
+def op2_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
 def op4_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return bpe_codec.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op5_e8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.95."""
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op6_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return bpe_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_cost_balanced_packing, op4_chunk_reuse_bpe, op6_heap_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_cost_balanced_packing, op2_simhash_tiles, op4_chunk_reuse_bpe, op5_e8_near_dedup, op6_heap_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
