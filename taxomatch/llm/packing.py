@@ -31,6 +31,7 @@ from taxomatch.llm.wordids import WordIds
 
 QUADRATIC = 1 / 4096  # cost of attention against the linear part, per token
 SHARD_TOKENS = 4 << 20
+WORDS = 700_000  # words of which a task keeps the ids, per generation
 
 
 def plan_pieces(lengths: list[int], room: int, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
@@ -79,7 +80,7 @@ _WORDS: dict[str, WordIds] = {}
 
 def _words(path: str) -> WordIds:
     if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
+        _WORDS[path] = WordIds(path, WORDS)
     return _WORDS[path]
 
 

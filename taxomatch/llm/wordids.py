@@ -57,7 +57,7 @@ class WordIds:
         """The ids of each word of a batch."""
         got = self._encode([" ".join(words)])[0]
         ends = np.flatnonzero(self.last[got]) + 1
-        upto = np.cumsum([len(self.pieces((w if w.isascii() else normalize("NFC", w)).lower())) for w in words])
+        upto = np.cumsum([1 if w.isalpha() else len(self.pieces((w if w.isascii() else normalize("NFC", w)).lower())) for w in words])
         if len(ends) != upto[-1] or (len(got) and ends[-1] != len(got)):
             got = self._encode([FENCE.join(words)])[0]
             at = np.flatnonzero(got == self.fence)
