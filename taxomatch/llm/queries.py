@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from taxomatch.llm import bpe_codec, bpe_count, lattice, packing, simhash
-from taxomatch.llm.common import table
+from taxomatch.llm import bpe_codec, bpe_count, lattice, nearest, packing, quality, simhash
+from taxomatch.llm.common import crc_mod, table
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -38,5 +39,17 @@ def op6_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_cost_balanced_packing, op2_simhash_tiles, op4_chunk_reuse_bpe, op5_e8_near_dedup, op6_heap_token_counts)}
+def op9_block_matrix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    return quality.score(docs, model).withColumn("held_out", crc_mod("doc_id", 3) == 1).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_cost_balanced_packing, op2_simhash_tiles, op4_chunk_reuse_bpe, op5_e8_near_dedup, op6_heap_token_counts, op9_block_matrix_search, op10_subword_quality)}
 ORACLE_SQL: dict[str, str] = {}
