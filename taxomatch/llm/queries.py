@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxomatch.llm import bpe_codec, bpe_count, lattice, nearest, packing, quality, simhash
+from taxomatch.llm import bpe_codec, bpe_count, chat, lattice, nearest, packing, quality, simhash
 from taxomatch.llm.common import crc_mod, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -24,6 +24,15 @@ def op2_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+def op3_budgeted_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, and of one made of control strings, read
+    back from its formatted windows."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.digests(chat.windows(turns.unionAll(probe), budget=512, history=128))
+
+
 def op4_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     return bpe_codec.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -51,5 +60,5 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", crc_mod("doc_id", 3) == 1).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_cost_balanced_packing, op2_simhash_tiles, op4_chunk_reuse_bpe, op5_e8_near_dedup, op6_heap_token_counts, op9_block_matrix_search, op10_subword_quality)}
+QUERIES = {f.__name__: f for f in (op1_cost_balanced_packing, op2_simhash_tiles, op3_budgeted_chat, op4_chunk_reuse_bpe, op5_e8_near_dedup, op6_heap_token_counts, op9_block_matrix_search, op10_subword_quality)}
 ORACLE_SQL: dict[str, str] = {}
