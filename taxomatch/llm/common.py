@@ -69,6 +69,13 @@ def key_fields(df: DataFrame, *cols: str) -> str:
     return ", ".join(f"`{c}` {kinds[c]}" for c in cols)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def keyed(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()],
                                       names=list(columns))

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxomatch.llm.common import key_fields, keyed, map_arrow, raw_texts, saved, text_slices
+from taxomatch.session import ship_package
 
 BITS = 18
 DIM = 16
@@ -142,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER
         logit, bias = train(raw_texts(group.column("_text").combine_chunks()), group.column("_label").to_pylist())
         return pa.table({"logit": [logit.astype("<f4").tobytes()], "bias": [bias]})
 
+    ship_package(docs.sparkSession)
     model = saved(sample.withColumn("_one", F.lit(1)).groupBy("_one").applyInArrow(run, "logit binary, bias double"), "quality-model").first()
     if model is None:
         return train([], [])
@@ -183,16 +185,27 @@ class Scorer:
         return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + self.bias)))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """(key, score, predicted, extra columns) of every row."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, score, predicted) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for b in text_slices(batches, "_text"):
             s = scorer.score(raw_texts(b.column("_text")))
-            yield keyed({key: b.column(0), "score": s, "predicted": (s >= 0.5).astype(np.int32),
-                         **{c: b.column(k + 2) for k, c in enumerate(extra)}})
+            yield keyed({key: b.column(0), "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
-    src = docs.select(key, docs[text].cast("string").alias("_text"), *extra)
-    return map_arrow(src, run, ", ".join([f"{key_fields(src, key)}, score double, predicted int", *([key_fields(src, *extra)] if extra else [])]))
+    src = docs.select(key, docs[text].cast("string").alias("_text"))
+    return map_arrow(src, run, f"{key_fields(src, key)}, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value)
+        for b in text_slices(batches, text):
+            yield b.filter(pa.array(scorer.score(raw_texts(b.column(text))) >= least))
+
+    return map_arrow(docs, run, docs.schema)

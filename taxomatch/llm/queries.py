@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxomatch.llm import bpe_codec, bpe_count, chat, lattice, nearest, packing, quality, recompress, simhash
+from taxomatch.llm import bpe_codec, bpe_count, chat, hpylm, lattice, nearest, packing, quality, recompress, simhash
 from taxomatch.llm.common import crc_mod, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -53,6 +53,11 @@ def op7_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.removal_digests(table(spark, sf_dir, "documents"), window=35)
 
 
+def op8_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learned from nine tenths of them."""
+    return hpylm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)
+
+
 def op9_block_matrix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every vector whose id is divisible by 50."""
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -65,5 +70,5 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", crc_mod("doc_id", 3) == 1).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_cost_balanced_packing, op2_simhash_tiles, op3_budgeted_chat, op4_chunk_reuse_bpe, op5_e8_near_dedup, op6_heap_token_counts, op7_recompression_dedup, op9_block_matrix_search, op10_subword_quality)}
+QUERIES = {f.__name__: f for f in (op1_cost_balanced_packing, op2_simhash_tiles, op3_budgeted_chat, op4_chunk_reuse_bpe, op5_e8_near_dedup, op6_heap_token_counts, op7_recompression_dedup, op8_pitman_yor_scores, op9_block_matrix_search, op10_subword_quality)}
 ORACLE_SQL: dict[str, str] = {}

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxomatch.llm.common import key_fields, keyed, map_arrow, raw_texts, saved, text_slices
+from taxomatch.llm.common import fresh_name, key_fields, keyed, map_arrow, raw_texts, saved, text_slices
 from taxomatch.llm.components import components, forest
 
 SEGMENTS = 4
@@ -135,3 +135,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str
     best = label.groupBy("component").agg(F.min("least").alias("component_id"))
     named = label.select("fp", "component").join(best, "component").select("fp", "component_id")
     return rows.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the smallest key, a null key
+    first, then the first row. Rows are told apart by a number of their own, so
+    repeated and null keys do no harm."""
+    row = fresh_name(docs, "_row")
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows, shingle, radius, row, text).select(row, "component_id")
+    first = rows.select(row, F.col(key).alias("_key")).join(found, row).groupBy("component_id").agg(F.min(F.struct("_key", row)).alias("first"))
+    return rows.join(first.select(F.col(f"first.{row}").alias(row)), row, "left_semi").drop(row)
