@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from taxomatch.llm.common import saved
 
 BLOCK = 256
-TOKEN = r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]"
+TOKEN = r"\p{L}+|\p{N}|[^\x09-\x0D\x20\p{L}\p{N}]"
 CONTROL = r"/?(?:s>|INST\]|SYS>)"
 TARGET = "assistant"
 SYSTEM = "system"

@@ -47,8 +47,13 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision."""
-    return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+    """Row by row in double precision, summed from the first component on."""
+    dot, a, b = np.zeros((3, len(x)))
+    for u, v in zip(x.T, y.T, strict=True):
+        dot += u * v
+        a += u * u
+        b += v * v
+    return dot / (np.sqrt(a) * np.sqrt(b))
 
 
 class Heaps:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxomatch.llm import bpe_codec, bpe_count, chat, hpylm, lattice, nearest, packing, quality, recompress, simhash
+from taxomatch.llm import bpe_codec, bpe_count, chat, hpylm, lattice, nearest, packing, quality, recompress, simhash, sql
 from taxomatch.llm.common import crc_mod, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -71,4 +71,9 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_cost_balanced_packing, op2_simhash_tiles, op3_budgeted_chat, op4_chunk_reuse_bpe, op5_e8_near_dedup, op6_heap_token_counts, op7_recompression_dedup, op8_pitman_yor_scores, op9_block_matrix_search, op10_subword_quality)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_budgeted_chat": sql.OP3,
+    "op5_e8_near_dedup": sql.OP5,
+    "op7_recompression_dedup": sql.OP7,
+    "op9_block_matrix_search": sql.OP9,
+}
