@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from taxomatch.llm.common import key_fields, keyed, map_arrow, raw_texts, text_slices
+from taxomatch.llm.common import key_fields, keyed, map_arrow, raw_texts, resident, text_slices
 from taxomatch.llm.wordids import WordIds
 
 WINDOW = 16  # bytes that a border depends on
@@ -120,18 +120,9 @@ class ChunkCodec:
             yield b"".join([x[0] for x in got]), b" ".join([x[1] for x in got if x[1]])
 
 
-_CODECS: dict[str, ChunkCodec] = {}
-
-
-def codec(path: str) -> ChunkCodec:
-    if path not in _CODECS:
-        _CODECS[path] = ChunkCodec(path)
-    return _CODECS[path]
-
-
 def _encoded(docs: DataFrame, path: str, key: str, text: str, fields: dict, row) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = resident(("codec", path), lambda: ChunkCodec(path))
         for b in text_slices(batches, "_text"):
             rows = [row(*x) for x in c.encode(raw_texts(b.column("_text")))]
             yield keyed({key: b.column(0), **{f: pa.array([r[k] for r in rows], t) for k, (f, (t, _)) in enumerate(fields.items())}})

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from taxomatch.llm.common import key_fields, keyed, map_arrow, raw_texts, text_slices
+from taxomatch.llm.common import key_fields, keyed, map_arrow, raw_texts, resident, text_slices
 
 #: Fixed value: the byte-level pre-tokenisation pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -113,21 +113,11 @@ class MergeCounter:
         return out
 
 
-_COUNTERS: dict[str, MergeCounter] = {}
-
-
-def counter(path: str) -> MergeCounter:
-    """One per worker process."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = MergeCounter(path)
-    return _COUNTERS[path]
-
-
 def token_counts(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
+        c = resident(("counts", path), lambda: MergeCounter(path))
         for b in text_slices(batches, "_text"):
             raw = raw_texts(b.column("_text"))
             n = c.count_all([x.decode() for x in raw])

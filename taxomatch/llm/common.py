@@ -32,6 +32,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_RESIDENT: dict = {}
+
+
+def resident(kind=None, make: Callable = lambda: None):
+    """What a worker process keeps between tasks: one thing at a time, so the
+    tables of one operator do not weigh on the next. Called without arguments
+    it only lets go of the last one."""
+    if kind not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[kind] = make()
+        pa.default_memory_pool().release_unused()
+    return _RESIDENT[kind]
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)

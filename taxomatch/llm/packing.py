@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from taxomatch.llm.common import key_fields, keyed, map_arrow, raw_texts, text_slices
+from taxomatch.llm.common import key_fields, keyed, map_arrow, raw_texts, resident, text_slices
 from taxomatch.llm.wordids import WordIds
 
 QUADRATIC = 1 / 4096  # cost of attention against the linear part, per token
@@ -75,15 +75,6 @@ def plan_pieces(lengths: list[int], room: int, quadratic: float = QUADRATIC) ->
     return pieces
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
-def _words(path: str) -> WordIds:
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path, WORDS)
-    return _WORDS[path]
-
-
 def encode_documents(batch: pa.RecordBatch, words: WordIds, end_id: int) -> list[bytes]:
     """The ids of each text and the end id, as bytes."""
     words.trim()
@@ -113,7 +104,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, key: s
         return keyed(out), int(q.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(path)
+        words = resident(("packing", path), lambda: WordIds(path, WORDS))
         keys, held, tokens = [], [], 0
         next_id = TaskContext.get().partitionId() << 36
         for b in text_slices(batches, "_text"):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxomatch.llm.common import key_fields, keyed, map_arrow, raw_texts, saved, text_slices
+from taxomatch.llm.common import key_fields, keyed, map_arrow, raw_texts, resident, saved, text_slices
 from taxomatch.session import ship_package
 
 BITS = 18
@@ -190,6 +190,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         scorer = Scorer(*shared.value)
         for b in text_slices(batches, "_text"):
             s = scorer.score(raw_texts(b.column("_text")))
@@ -204,6 +205,7 @@ def keep(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", l
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         scorer = Scorer(*shared.value)
         for b in text_slices(batches, text):
             yield b.filter(pa.array(scorer.score(raw_texts(b.column(text))) >= least))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxomatch.llm.common import fresh_name, key_fields, keyed, map_arrow, raw_texts, saved, text_slices
+from taxomatch.llm.common import fresh_name, key_fields, keyed, map_arrow, raw_texts, resident, saved, text_slices
 from taxomatch.llm.components import components, forest
 
 SEGMENTS = 4
@@ -57,6 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", text: str =
     """(key, fp long) of every row; fp holds the 64 bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         for b in text_slices(batches, "_text"):
             fp = np.array([fingerprint(x, shingle) for x in raw_texts(b.column("_text"))], np.uint64)
             yield keyed({key: b.column(0), "fp": fp.view(np.int64)})

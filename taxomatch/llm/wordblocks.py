@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxomatch.llm.common import map_arrow, raw_texts, text_slices
+from taxomatch.llm.common import map_arrow, raw_texts, resident, text_slices
 from taxomatch.session import ship_package
 
 BLOCK_BYTES = 8 << 20
@@ -74,6 +74,7 @@ def blocks(docs: DataFrame, text: str, carry: list[str], lower: bool, keep_text:
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         number = TaskContext.get().partitionId() << 32
         held, sizes, ids, words, size = [], [], [], {}, 0
         for b in text_slices(batches, "_text", BLOCK_BYTES // 4):
@@ -90,6 +91,7 @@ def blocks(docs: DataFrame, text: str, carry: list[str], lower: bool, keep_text:
                 yield out(number, held, sizes, ids, words)
                 number += 1
                 held, sizes, ids, words, size = [], [], [], {}, 0
+                pa.default_memory_pool().release_unused()
         if held:
             yield out(number, held, sizes, ids, words)
 
