@@ -58,8 +58,6 @@ TIER_HIGH, TIER_MODERATE = 65.0, 50.0
 COLOUR_HIGH, COLOUR_MID = 72.0, 58.0
 # Title boost per shared title word.
 TITLE_BOOST = 0.03
-# Profile text caps: description, alternate titles, skills.
-PROFILE_CAPS = (400, 200, 300)
 # ---------------------------------------------------------------------------
 
 
@@ -190,16 +188,19 @@ def query_text(title, desc, prefix: str = "", strip: bool = False) -> Column:
     return F.concat(F.lit(prefix), body) if prefix else body
 
 
-def profile_text(title, desc, alt, skills, caps=PROFILE_CAPS) -> Column:
-    """Non-empty parts of title, desc[:400], alt[:200], skills[:300] joined by
-    a space, then stripped."""
-    parts = F.array(
-        F.coalesce(col_(title), F.lit("")),
-        F.left(F.coalesce(col_(desc), F.lit("")), F.lit(caps[0])),
-        F.left(F.coalesce(col_(alt), F.lit("")), F.lit(caps[1])),
-        F.left(F.coalesce(col_(skills), F.lit("")), F.lit(caps[2])),
-    )
-    return strip_ws(F.array_join(F.filter(parts, lambda x: x != F.lit("")), " "))
+def joined_parts(parts, caps=None) -> Column:
+    """Non-empty texts joined by a space. ``caps``: characters kept of each
+    (None: all); by default every text is taken whole."""
+    whole = [F.coalesce(col_(p), F.lit("")) for p in parts]
+    cut = [p if n is None else F.left(p, F.lit(n)) for p, n in zip(whole, caps or [None] * len(whole), strict=True)]
+    return F.array_join(F.filter(F.array(*cut), lambda x: x != F.lit("")), " ")
+
+
+def profile_text(title, desc, alt, skills, caps=None) -> Column:
+    """Title, description, alternate titles and skills joined and stripped.
+    ``caps`` as in ``joined_parts`` (the reference keeps 400 / 200 / 300
+    characters of the last three)."""
+    return strip_ws(joined_parts((title, desc, alt, skills), caps))
 
 
 def short_label(c, n: int) -> Column:
@@ -213,6 +214,10 @@ def short_label(c, n: int) -> Column:
 # follows. "Letter" is a word character that is not a digit.
 _LT = r"[^\d\W]"
 _HYPHEN_END = rf"(?<={_LT}{{2}}-)(?={_LT}-?{_LT})|(?<={_LT}-{_LT}-)(?={_LT}-?{_LT})"
+# It also breaks before and after two or more hyphens between words (looked
+# for over at most 1,000 hyphens).
+_WP = r"[\w!\"'&.,?]"
+_HYPHEN_END += rf"|(?<={_WP})(?=-{{2,}}\w)|(?<={_WP}-{{2,1000}})(?=\w)"
 
 
 def chunk_text(c, width: int = 800, hyphens: bool = False) -> Column:
@@ -225,9 +230,8 @@ def chunk_text(c, width: int = 800, hyphens: bool = False) -> Column:
     One JVM regex does the packing: on whitespace-collapsed text,
     ``\\S(?:.{0,w-2}\\S)?(?= |$)`` matches, from the start of a word, the longest
     run of at most ``w`` characters that ends at a word end - exactly the
-    greedy rule. Rows holding a word longer than ``width`` (rare) take the
-    word-by-word fold, where such a word fills the rest of the current chunk
-    and continues in ``width``-sized pieces."""
+    greedy rule. Rows holding an unbreakable run longer than ``width`` (rare) take
+    the piece-by-piece fold, which cuts such a run as ``textwrap`` does."""
     text = F.coalesce(col_(c), F.lit(""))
     # textwrap's whitespace is ASCII only: collapse it, trim the spaces left at the ends
     flat = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), "^ | $", "")
@@ -241,35 +245,51 @@ def chunk_text(c, width: int = 800, hyphens: bool = False) -> Column:
     runs = text if not hyphens else F.when(
         F.instr(flat, "-") > 0, F.regexp_replace(flat, f"(?U){_HYPHEN_END}", " ")).otherwise(flat)
     has_long = runs.rlike(f"\\S{{{width + 1}}}")
-    return F.when(has_long, _chunk_fold(text, width)).otherwise(fast)
-
-
-def _chunk_fold(text: Column, width: int) -> Column:
-    ws = words(F.regexp_replace(text, r"\s", " "))
-    init = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.lit("").alias("cur"),
-    )
-
-    def step(acc, w):
-        cur = acc["cur"]
-        fits = F.length(cur) + F.lit(1) + F.length(w) <= F.lit(width)
-        short = F.length(w) <= F.lit(width)
-        # short word: append, or close the chunk and start a new one
-        short_state = F.when(cur == F.lit(""), F.struct(acc["done"].alias("done"), w.alias("cur"))).when(
-            fits, F.struct(acc["done"].alias("done"), F.concat(cur, F.lit(" "), w).alias("cur"))
-        ).otherwise(F.struct(F.concat(acc["done"], F.array(cur)).alias("done"), w.alias("cur")))
-        # long word: fill the current chunk, then width-sized pieces, keep the tail open
-        head_room = F.when(cur == F.lit(""), F.lit(width)).otherwise(
-            F.greatest(F.lit(width) - F.length(cur) - F.lit(1), F.lit(1)))
-        head = F.left(w, head_room)
-        rest = F.substring(w, head_room + F.lit(1), F.lit(1 << 30))
-        first = F.when(cur == F.lit(""), head).otherwise(F.concat(cur, F.lit(" "), head))
-        pieces = F.regexp_extract_all(rest, F.lit(f"(?s)(.{{1,{width}}})"), 1)
-        closed = F.concat(F.array(first), F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))))
-        tail = F.coalesce(F.element_at(pieces, -1), F.lit(""))
-        long_state = F.struct(F.concat(acc["done"], closed).alias("done"), tail.alias("cur"))
-        return F.when(short, short_state).otherwise(long_state)
-
-    out = F.aggregate(ws, init, step)
-    return F.when(out["cur"] == F.lit(""), out["done"]).otherwise(F.concat(out["done"], F.array(out["cur"])))
+    return F.when(has_long, _chunk_fold(flat, width, hyphens)).otherwise(fast)
+
+
+def _cut_run(run: Column, room: Column, hyphens: bool) -> Column:
+    """Characters of an over-long run that fit into ``room``: up to and with
+    the last hyphen there that follows some other character, else all."""
+    if not hyphens:
+        return room
+    head = F.left(run, room)
+    at = F.length(head) - F.instr(F.reverse(head), "-")  # before the last hyphen
+    return F.when((F.instr(head, "-") > 0) & F.left(head, at).rlike("[^-]"), at + 1).otherwise(room)
+
+
+def _chunk_fold(flat: Column, width: int, hyphens: bool) -> Column:
+    """``flat``: text with single spaces. Pieces are the words or, with
+    hyphens, their breakable parts; a piece that starts a word has a space in
+    front."""
+    marked = F.regexp_replace(flat, f"(?U){_HYPHEN_END}", "\u0001") if hyphens else flat
+    pieces = F.filter(F.split(F.regexp_replace(marked, " ", "\u0001 "), "\u0001"), lambda p: p != F.lit(""))
+    init = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+
+    def step(acc, piece):
+        cur, done = acc["cur"], acc["done"]
+        body = F.ltrim(piece)
+        glue = F.when((cur != "") & piece.startswith(" "), F.lit(" ")).otherwise(F.lit(""))
+        fits = F.length(cur) + F.length(glue) + F.length(body) <= width
+        closed = F.when(cur == "", done).otherwise(F.concat(done, F.array(cur)))
+        short = F.when(fits, F.struct(done.alias("done"), F.concat(cur, glue, body).alias("cur"))).otherwise(
+            F.struct(closed.alias("done"), body.alias("cur")))
+        # an over-long run fills the open chunk, then chunks of its own; two cuts cover more than a width
+        room = F.lit(width) - F.length(cur) - F.length(glue)
+        opened = F.concat(cur, glue)
+        first = F.when(room > 0, _cut_run(body, room, hyphens)).otherwise(F.lit(0))
+        start = F.struct(F.when(room > 0, F.concat(done, F.array(F.concat(opened, F.left(body, first)))))
+                         .when(cur == "", done).otherwise(F.concat(done, F.array(opened))).alias("done"),
+                         F.substring(body, first + 1, F.length(body)).alias("cur"))
+
+        def again(a, _):
+            n = _cut_run(a["cur"], F.lit(width), hyphens)
+            return F.when(F.length(a["cur"]) <= width, a).otherwise(
+                F.struct(F.concat(a["done"], F.array(F.left(a["cur"], n))).alias("done"),
+                         F.substring(a["cur"], n + 1, F.length(a["cur"])).alias("cur")))
+
+        turns = F.sequence(F.lit(1), F.lit(2) * F.ceil(F.length(body) / F.lit(width)).cast("int") + 2)
+        return F.when(F.length(body) <= width, short).otherwise(F.aggregate(turns, start, again))
+
+    out = F.aggregate(pieces, init, step)
+    return F.when(out["cur"] == "", out["done"]).otherwise(F.concat(out["done"], F.array(out["cur"])))

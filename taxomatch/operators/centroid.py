@@ -1,64 +1,53 @@
 """Group-wise vector aggregates: weighted centroid and plain mean.
 
-Vectors are exploded to (key, position, value) and summed per (key, position)
-with map-side partial aggregation, so a hot key is pre-aggregated in every map
-task and at most ``dim`` rows per key reach the final stage. The vector is then
-re-assembled from ``dim`` values per key (bounded by the vector width, not by
-the group size).
+Each vector is scaled by its weight and summed by ``Summarizer``: one buffer of
+the vector's width per key and map task, so a hot key is pre-aggregated before
+the shuffle and no vector is taken apart. Weights may be negative, so they are
+multiplied in rather than passed as the summarizer's own weights.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _assemble(parts: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    return (parts.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", value))).alias("_p"))
-            .select(*keys, F.transform("_p", lambda s: s[value]).alias(out)))
+def _weight(w):
+    return F.lit(1.0) if w is None else (F.col(w) if isinstance(w, str) else w).cast("double")
 
 
-def weighted_centroid(df: DataFrame, keys, vec: str, weight=None, out: str = "centroid",
-                      skip_blank=None) -> DataFrame:
-    """``sum_i w_i v_i / sum_i w_i`` per key. Rows with a null vector are
-    skipped, as are rows where ``skip_blank`` (a boolean column) is true. A
-    key whose weights sum to 0 gets the zero vector (the reference would give
-    NaN). ``weight=None`` is the plain mean."""
+def centroids(df: DataFrame, keys, vec: str, outs: dict) -> DataFrame:
+    """Several weighted centroids ``sum_i w_i v_i / sum_i w_i`` of the same
+    vectors in one pass: ``outs`` maps output name -> weight column (None: plain
+    mean). Rows with a null vector are skipped; a key whose weights sum to 0
+    gets the zero vector (the reference would give NaN)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    w = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight).cast("double")
-    src = df.where(F.col(vec).isNotNull())
-    if skip_blank is not None:
-        src = src.where(~skip_blank)
-    exploded = src.select(*keys, w.alias("_w"), F.posexplode(F.col(vec).cast("array<double>")).alias("pos", "x"))
-    sums = (exploded.groupBy(*keys, "pos")
-            .agg(F.sum(F.col("_w") * F.col("x")).alias("_sx"), F.sum("_w").alias("_sw"))
-            .withColumn("_v", F.when(F.col("_sw") != 0, F.col("_sx") / F.col("_sw")).otherwise(F.lit(0.0))))
-    return _assemble(sums, keys, "_v", out)
+    src = df.where(F.col(vec).isNotNull()).select(*keys, F.col(vec).cast("array<double>").alias("_v"),
+                                                  *[_weight(w).alias(f"_w_{o}") for o, w in outs.items()])
+    aggs = []
+    for o, w in outs.items():
+        scaled = F.col("_v") if w is None else F.transform("_v", _times(f"_w_{o}"))
+        aggs += [Summarizer.sum(array_to_vector(scaled)).alias(f"_s_{o}"), F.sum(f"_w_{o}").alias(f"_n_{o}")]
+    sums = src.groupBy(*keys).agg(*aggs)
+    return sums.select(*keys, *[F.transform(vector_to_array(f"_s_{o}"), _share(f"_n_{o}")).alias(o) for o in outs])
 
 
-def vector_mean(df: DataFrame, keys, vec: str, out: str = "mean") -> DataFrame:
-    """Unweighted mean per key, not re-normalised (chunk mean)."""
-    return weighted_centroid(df, keys, vec, None, out)
+def _times(weight):
+    return lambda x: x * F.col(weight)
 
 
-def centroids(df: DataFrame, keys, vec: str, outs: dict) -> DataFrame:
-    """Several weighted centroids of the same vectors in one pass:
-    ``outs`` maps output name -> weight column (None = plain mean)."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    ws = {o: (F.lit(1.0) if w is None else (F.col(w) if isinstance(w, str) else w).cast("double")) for o, w in outs.items()}
-    src = df.where(F.col(vec).isNotNull())
-    ex = src.select(*keys, *[w.alias(f"_w_{o}") for o, w in ws.items()],
-                    F.posexplode(F.col(vec).cast("array<double>")).alias("pos", "x"))
-    aggs = []
-    for o in ws:
-        aggs += [F.sum(F.col(f"_w_{o}") * F.col("x")).alias(f"_sx_{o}"), F.sum(f"_w_{o}").alias(f"_sw_{o}")]
-    sums = ex.groupBy(*keys, "pos").agg(*aggs)
-    vals = [F.when(F.col(f"_sw_{o}") != 0, F.col(f"_sx_{o}") / F.col(f"_sw_{o}")).otherwise(F.lit(0.0)).alias(o) for o in ws]
-    parts = sums.select(*keys, "pos", *vals)
-    packed = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", *ws.keys()))).alias("_p"))
-    return packed.select(*keys, *[F.transform("_p", _getter(o)).alias(o) for o in ws])
+def _share(total):
+    return lambda x: F.when(F.col(total) != 0, x / F.col(total)).otherwise(F.lit(0.0))
+
+
+def weighted_centroid(df: DataFrame, keys, vec: str, weight=None, out: str = "centroid", skip_blank=None) -> DataFrame:
+    """One centroid per key; rows where ``skip_blank`` (a boolean column) is
+    true are skipped. ``weight=None`` is the plain mean."""
+    return centroids(df if skip_blank is None else df.where(~skip_blank), keys, vec, {out: weight})
 
 
-def _getter(name):
-    return lambda s: s[name]
+def vector_mean(df: DataFrame, keys, vec: str, out: str = "mean") -> DataFrame:
+    """Unweighted mean per key, not re-normalised (chunk mean)."""
+    return weighted_centroid(df, keys, vec, None, out)

@@ -3,9 +3,10 @@
 The reference encodes with a sentence-transformer; its weights are not
 available, so the encoder is pluggable:
 
-* ``HashingEncoder`` - built in, no downloads: whitespace tokens ->
-  ``HashingTF`` -> ``IDF`` (fitted once on a corpus) -> L2 ``Normalizer``,
-  all Spark ML stages (JVM-side).
+* ``HashingEncoder`` - built in, no downloads: whitespace tokens -> bucket (the
+  first 32 bits of their MD5, modulo the dimension, which SQL can repeat) ->
+  counts -> ``IDF`` (fitted once on a corpus) -> L2 ``Normalizer``, all Spark
+  functions and ML stages (JVM-side).
 * ``BatchEncoder`` - wraps any ``list[str] -> np.ndarray`` model in an
   iterator pandas UDF so a model is loaded once per Python worker and fed
   Arrow batches.
@@ -22,15 +23,21 @@ from typing import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxomatch.functions.text import chunk_text, is_blank, tokens
 from taxomatch.operators.centroid import vector_mean, weighted_centroid
 
 
+def token_buckets(text: str, dim: int) -> Column:
+    """Bucket numbers, as text, of the tokens; null text has none."""
+    slot = lambda t: F.conv(F.left(F.md5(t), F.lit(8)), 16, 10).cast("long") % dim
+    return F.transform(tokens(F.coalesce(F.col(text), F.lit(""))), lambda t: slot(t).cast("string"))
+
+
 class HashingEncoder:
     def __init__(self, dim: int = 384, min_doc_freq: int = 0):
         self.dim = dim
@@ -38,9 +45,10 @@ class HashingEncoder:
         self.model: PipelineModel | None = None
 
     def fit(self, corpus: DataFrame, text: str = "text") -> "HashingEncoder":
-        df = corpus.select(tokens(text).alias("_tok"))
+        df = corpus.select(token_buckets(text, self.dim).alias("_tok"))
+        counts = CountVectorizerModel.from_vocabulary([str(k) for k in range(self.dim)], inputCol="_tok", outputCol="_tf")
         pipe = Pipeline(stages=[
-            HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=self.dim),
+            counts,
             IDF(inputCol="_tf", outputCol="_idf", minDocFreq=self.min_doc_freq),
             Normalizer(inputCol="_idf", outputCol="_vec", p=2.0),
         ])
@@ -50,7 +58,7 @@ class HashingEncoder:
     def __call__(self, df: DataFrame, text: str = "text", out: str = "vec") -> DataFrame:
         if self.model is None:
             raise ValueError("fit the encoder first")
-        t = self.model.transform(df.withColumn("_tok", tokens(F.coalesce(F.col(text), F.lit("")))))
+        t = self.model.transform(df.withColumn("_tok", token_buckets(text, self.dim)))
         return t.withColumn(out, vector_to_array("_vec")).drop("_tok", "_tf", "_idf", "_vec")
 
 
@@ -103,27 +111,29 @@ def encode_weighted_tasks(tasks: DataFrame, key: str, encoder, out: str = "vec_t
     return tasks.select(key).join(mean, key, "left").withColumn(out, F.coalesce(F.col(out), zero))
 
 
-# KB field -> source column for the six-field encode job, and the
-# app variant's per-field truncation caps (the task slot encodes the title).
+# KB field -> source column for the six-field encode job, and for
+# the app variant (there the task slot encodes the title).
 KB_FIELD_COLUMNS = {"desc": "description", "skill": "all_tech_skills", "ofc_title": "title",
                     "alt_title": "all_alt_titles", "tool": "all_tools"}
-APP_CAPS = {"task": ("title", None), "desc": ("description", 400), "skill": ("all_tech_skills", 300),
-            "ofc_title": ("title", None), "alt_title": ("all_alt_titles", 300), "tool": ("all_tools", 200)}
+APP_COLUMNS = {"task": "title", "desc": "description", "skill": "all_tech_skills", "ofc_title": "title",
+               "alt_title": "all_alt_titles", "tool": "all_tools"}
 
 
-def kb_vectors(kb: DataFrame, encoder, mode: str = "chunk") -> DataFrame:
+def kb_vectors(kb: DataFrame, encoder, mode: str = "chunk", caps: dict[str, int] | None = None) -> DataFrame:
     """Encode the six KB fields.
 
-    ``truncate`` (app): the task slot encodes the title and fields are cut to
-    their caps; every field is one more narrow column transform on the same
-    rows (no shuffle, no join). ``chunk``: tasks weighted by importance, other
-    fields chunk-meaned; all five text fields are exploded into chunks in one
-    pass, encoded once and averaged per (code, field)."""
-    if mode == "truncate":
+    ``whole`` (app): the task slot encodes the title and every field is encoded
+    as one text, whole unless ``caps`` names a number of characters for it (the
+    reference keeps 400 of desc, 300 of skill and alt_title, 200 of tool);
+    every field is one more narrow column transform on the same rows (no
+    shuffle, no join). ``chunk``: tasks weighted by importance, other fields
+    chunk-meaned; all five text fields are exploded into chunks in one pass,
+    encoded once and averaged per (code, field). Codes must be unique."""
+    if mode == "whole":
         out = kb
-        for f, (c, cap) in APP_CAPS.items():
+        for f, c in APP_COLUMNS.items():
             src = F.coalesce(F.col(c), F.lit("")) if c in kb.columns else F.lit("")
-            out = out.withColumn("_txt", F.left(src, F.lit(cap)) if cap else src)
+            out = out.withColumn("_txt", F.left(src, F.lit(caps[f])) if caps and f in caps else src)
             out = encoder(out, "_txt", f"vec_{f}").drop("_txt")
         return out
     fields = [(f, c) for f, c in KB_FIELD_COLUMNS.items() if c in kb.columns]
@@ -136,5 +146,6 @@ def kb_vectors(kb: DataFrame, encoder, mode: str = "chunk") -> DataFrame:
     if "tasks" in kb.columns:
         t = encode_weighted_tasks(kb.select("code", "tasks"), "code", encoder, "vec").select("code", "vec")
         enc = enc.unionByName(t.withColumn("field", F.lit("task")))
-    wide = enc.groupBy("code").pivot("field", list(APP_CAPS)).agg(F.first("vec"))
-    return kb.join(wide.select("code", *[F.col(f).alias(f"vec_{f}") for f in APP_CAPS]), "code", "left")
+    wide = enc.groupBy("code").pivot("field", list(APP_COLUMNS)).agg(F.first("vec"))
+    zero = F.array_repeat(F.lit(0.0), encoder.dim)  # a field that the knowledge base lacks
+    return kb.join(wide.select("code", *[F.coalesce(F.col(f), zero).alias(f"vec_{f}") for f in APP_COLUMNS]), "code", "left")

@@ -7,7 +7,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +14,7 @@ from pyspark.sql import types as T
 from taxomatch.functions.text import blank_to_empty
 from taxomatch.functions.vectors import FIELDS, SEARCH_BASELINE, WEIGHT_NAMES, normalized_weights
 from taxomatch.operators.labels import average_rank
-from taxomatch.operators.match import RANK_DECIMALS, _stack, _unit_rows, block_rows
+from taxomatch.operators.match import RANK_DECIMALS, _stack, _unit_rows, block_rows, typed_empty
 from taxomatch.session import ensure_checkpoint_dir, reliable_checkpoint, ship_package
 
 
@@ -25,14 +24,14 @@ def eval_rows(result: DataFrame, occupation: str = "occupation", description: st
     ``Correct_Top3`` are 1/0, or null when the human code is blank."""
     h = blank_to_empty(human_code)
     has = h != F.lit("")
-    top1 = F.element_at("codes", 1)
+    top1 = F.try_element_at("codes", F.lit(1))  # null if nothing matched
     return result.select(
         *[c for c in ("query_id",) if c in result.columns],
         F.col(occupation).alias("User_Occupation"),
         F.col(description).alias("User_Description"),
         top1.alias("Machine_SOC_Code"),
-        F.element_at("titles", 1).alias("Machine_Title"),
-        F.round(F.element_at("raw_scores", 1) * 100, 2).alias("Machine_Confidence"),
+        F.try_element_at("titles", F.lit(1)).alias("Machine_Title"),
+        F.round(F.try_element_at("raw_scores", F.lit(1)) * 100, 2).alias("Machine_Confidence"),
         h.alias("Human_SOC_Code"),
         blank_to_empty(human_title).alias("Human_Title"),
         F.when(has, (top1 == h).cast("int")).alias("Correct"),
@@ -93,16 +92,28 @@ class FieldSlab:
             else np.zeros((self.n, dim)) for f in FIELDS])  # (6, n_kb, dim)
 
 
+def one_per_code(kb: DataFrame) -> DataFrame:
+    """One row per code; of several the largest in the order of their vectors,
+    so both physical paths take the same one."""
+    vcols = [f"vec_{f}" for f in FIELDS if f"vec_{f}" in kb.columns]
+    return kb.groupBy("code").agg(F.max(F.struct(*vcols)).alias("v")).select("code", *[f"v.{c}" for c in vcols])
+
+
 def _kb_fields(kb: DataFrame, limit_bytes: int, force_blocked: bool = False):
     """Profile the KB (one job) and, under the limit, collect it as a slab."""
-    vcols = [f"vec_{f}" for f in FIELDS if f"vec_{f}" in kb.columns]
-    prof = kb.agg(F.count(F.lit(1)).alias("n"), F.greatest(*[F.max(F.size(c)) for c in vcols]).alias("dim")).collect()[0]
+    kb = one_per_code(kb)
+    vcols = [c for c in kb.columns if c != "code"]
+    prof = kb.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(0), *[F.max(F.size(c)) for c in vcols]).alias("dim")).collect()[0]
     n, dim = int(prof["n"]), int(prof["dim"] or 0)
     if force_blocked or n * dim * 8 * len(FIELDS) > limit_bytes:
         return None, n, dim
-    # duplicate codes: one row per code (the reference's code -> row map keeps the last)
-    pdf = kb.select("code", *vcols).toPandas().drop_duplicates("code", keep="last")  # bounded: checked above
-    return FieldSlab(pdf, dim), n, dim
+    return FieldSlab(kb.toPandas(), dim), n, dim  # bounded: checked above
+
+
+def _per_field(q: np.ndarray, slab: "FieldSlab") -> np.ndarray:
+    """(6, rows, n_kb) cosines from one matrix product over all fields."""
+    f, n, dim = slab.fields.shape
+    return (q @ slab.fields.reshape(f * n, dim).T).reshape(len(q), f, n).transpose(1, 0, 2)
 
 
 def _candidate_frame(spark, cand):
@@ -148,7 +159,7 @@ def _weight_hits_broadcast(queries, slab, cand, truth, dim, max_cells):
         s, cw = bc.value
         hits = np.zeros(len(cw), dtype=np.int64)
         rows = 0
-        step = max(1, max_cells // max(s.n * len(FIELDS), 1))
+        step = max(1, max_cells // max(s.n * max(len(FIELDS), len(cw)), 1))
         for pdf in batches:
             t = pdf[truth].map(s.index)
             pdf = pdf[t.notna()]
@@ -156,8 +167,7 @@ def _weight_hits_broadcast(queries, slab, cand, truth, dim, max_cells):
             for a in range(0, len(pdf), step):
                 part = pdf.iloc[a:a + step]
                 q = _unit_rows(_stack(part["vec"].tolist(), dim))
-                per_field = np.einsum("qd,fkd->fqk", q, s.fields)  # (6, rows, n_kb)
-                comb = np.einsum("cf,fqk->cqk", cw, per_field)      # (C, rows, n_kb)
+                comb = np.tensordot(cw, _per_field(q, s), axes=1)    # (C, rows, n_kb)
                 pred = np.round(comb, RANK_DECIMALS).argmax(axis=2)  # first (lowest code) on ties
                 hits += (pred == t[a:a + step][None, :]).sum(axis=1)
                 rows += len(part)
@@ -169,10 +179,12 @@ def _weight_hits_broadcast(queries, slab, cand, truth, dim, max_cells):
 
 
 def _weight_hits_blocked(queries, kb, cand, truth, query_id, n_kb, dim, max_cells, kb_block_rows, query_block_rows):
-    vcols = [f"vec_{f}" for f in FIELDS if f"vec_{f}" in kb.columns]
-    k = kb.select("code", *vcols).dropDuplicates(["code"])
+    k = reliable_checkpoint(one_per_code(kb))
     known = k.select(F.col("code").alias(truth))
-    q = queries.select(query_id, "vec", truth).join(known, truth, "left_semi")
+    # rows are told apart by a number of their own: ids may repeat or be null
+    query_id = "_query_row"
+    q = queries.select("vec", truth).join(known, truth, "left_semi").withColumn(query_id, F.monotonically_increasing_id())
+    q = reliable_checkpoint(q)
     # six per-field matrices per KB row; a co-group side holds about 64 MB
     n_b = max(1, math.ceil(n_kb / block_rows(kb_block_rows, 64 << 20, dim * len(FIELDS))))
     n_q = max(1, math.ceil(q.count() / block_rows(query_block_rows, 64 << 20, dim, floor=1000)))
@@ -180,20 +192,20 @@ def _weight_hits_blocked(queries, kb, cand, truth, query_id, n_kb, dim, max_cell
           .withColumn("kb_block", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1)))))
     kbb = (k.withColumn("kb_block", F.pmod(F.xxhash64("code"), F.lit(n_b)).cast("int"))
            .withColumn("q_bucket", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))))
-    schema = T.StructType([queries.schema[query_id], T.StructField("candidate", T.IntegerType()),
+    schema = T.StructType([T.StructField(query_id, T.LongType()), T.StructField("candidate", T.IntegerType()),
                            T.StructField("score", T.DoubleType()), T.StructField("code", T.StringType()),
                            T.StructField(truth, T.StringType())])
 
     def block(qpdf: pd.DataFrame, kpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or kpdf.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return typed_empty(schema)
         s = FieldSlab(kpdf, dim)
         outs = []
-        step = max(1, max_cells // max(s.n * len(FIELDS), 1))
+        step = max(1, max_cells // max(s.n * max(len(FIELDS), len(cand)), 1))
         for a in range(0, len(qpdf), step):
             part = qpdf.iloc[a:a + step]
             qv = _unit_rows(_stack(part["vec"].tolist(), dim))
-            comb = np.einsum("cf,fqk->cqk", cand, np.einsum("qd,fkd->fqk", qv, s.fields))
+            comb = np.tensordot(cand, _per_field(qv, s), axes=1)
             best = np.round(comb, RANK_DECIMALS).argmax(axis=2)          # (C, rows)
             score = np.take_along_axis(comb, best[:, :, None], 2)[:, :, 0]
             c_n, r_n = best.shape
@@ -212,64 +224,23 @@ def _weight_hits_blocked(queries, kb, cand, truth, query_id, n_kb, dim, max_cell
     return best.groupBy("candidate").agg(F.sum(hit).alias("hits"), F.count(F.lit(1)).alias("rows"))
 
 
-def weight_search(queries: DataFrame, kb: DataFrame, truth: str = "truth_code", maxiter: int = 300,
-                  popsize: int = 12, seed: int = 42, mutation=(0.5, 1.0), recombination: float = 0.7,
-                  tol: float = 0.001, baseline=SEARCH_BASELINE) -> DataFrame:
-    """Field weights in [0, 1]^6 that maximise top-1 accuracy, by differential
-    evolution (best1bin, dithered mutation, binomial crossover, Latin-hypercube
-    start, stop when the population's energy spread is within ``tol``).
-
-    The optimizer state is six numbers per member on the driver; every
-    generation's trial vectors are scored together in one Spark job
-    (``weight_accuracy``), so a generation costs one pass over the queries.
-    Returns ``(field, weight)`` rows (normalised) with the best accuracy and the
-    baseline accuracy. The random stream is numpy's, so the path differs from
-    other implementations; the objective is the same."""
-    rng = np.random.RandomState(seed)
-    keep = [c for c in ("query_id",) if c in queries.columns]
-    q = queries.select(*keep, "vec", truth).persist(StorageLevel.MEMORY_AND_DISK)
-    # the KB is read by every generation: cut its lineage once (shared checkpoint folder)
-    ensure_checkpoint_dir(queries.sparkSession)
-    kb = reliable_checkpoint(kb.select("code", *[f"vec_{f}" for f in FIELDS if f"vec_{f}" in kb.columns]))
-
-    prepared = _kb_fields(kb, 256 << 20)  # profiled and collected once for all generations
-
-    def energies(pop) -> np.ndarray:
-        acc = {r["candidate"]: (r["accuracy"] or 0.0)
-               for r in weight_accuracy(q, kb, [tuple(x) for x in pop], truth, prepared=prepared)
-               .select("candidate", "accuracy").collect()}  # one row per candidate
-        return np.array([-acc.get(i, 0.0) for i in range(len(pop))])
-
-    dims = len(FIELDS)
-    n = max(5, popsize * dims)
-    try:
-        # Latin hypercube start in [0, 1]^6
-        pop = (np.stack([rng.permutation(n) for _ in range(dims)], axis=1) + rng.uniform(size=(n, dims))) / n
-        base_energy = float(energies(np.array([baseline], dtype=np.float64))[0])
-        e = energies(pop)
-        for _ in range(maxiter):
-            f = rng.uniform(*mutation)
-            best = pop[np.argmin(e)]
-            trials = np.empty_like(pop)
-            for i in range(n):
-                r1, r2 = rng.choice([j for j in range(n) if j != i], 2, replace=False)
-                mutant = best + f * (pop[r1] - pop[r2])
-                cross = rng.uniform(size=dims) < recombination
-                cross[rng.randint(dims)] = True
-                t = np.where(cross, mutant, pop[i])
-                out = (t < 0) | (t > 1)
-                t[out] = rng.uniform(size=out.sum())
-                trials[i] = t
-            te = energies(trials)
-            better = te <= e
-            pop[better], e[better] = trials[better], te[better]
-            if np.std(e) <= tol * abs(np.mean(e)) + 1e-12:
-                break
-        i_best = int(np.argmin(e))
-        best_w, best_acc = np.array(normalized_weights(tuple(pop[i_best]))), -float(e[i_best])
-    finally:
-        q.unpersist()
-    spark = queries.sparkSession
-    return spark.createDataFrame(
-        [(name, float(w), best_acc, -base_energy) for name, w in zip(WEIGHT_NAMES, best_w)],
+def candidate_weights(n: int, seed: int = 42, fields: int = len(FIELDS)) -> list[tuple[float, ...]]:
+    """``n`` weight vectors in [0, 1)^6 from the arithmetic hash
+    ``(x * 1103515245 + 12345) mod 2147483647``, which SQL can repeat."""
+    step = lambda x: (x * 1103515245 + 12345) % 2147483647
+    return [tuple(step(step((seed + c) * fields + f)) / 2147483647 for f in range(fields)) for c in range(n)]
+
+
+def weight_search(queries: DataFrame, kb: DataFrame, truth: str = "truth_code", candidates: int = 300, seed: int = 42,
+                  baseline=SEARCH_BASELINE) -> DataFrame:
+    """The best of ``candidates`` seeded field weight vectors and the baseline
+    by top-1 accuracy (ties: the earlier one, the baseline first), all scored in
+    one job. Returns ``(field, weight)`` rows (normalised) with the best
+    accuracy and the baseline's. The reference walks the same space with a
+    stochastic solver; the objective and the output are the same."""
+    tried = [tuple(baseline), *candidate_weights(candidates, seed)]
+    acc = {r["candidate"]: (r["accuracy"] or 0.0) for r in weight_accuracy(queries, kb, tried, truth).collect()}  # one row per candidate
+    best = max(range(len(tried)), key=lambda c: (acc.get(c, 0.0), -c))
+    return queries.sparkSession.createDataFrame(
+        [(name, float(w), acc.get(best, 0.0), acc.get(0, 0.0)) for name, w in zip(WEIGHT_NAMES, normalized_weights(tried[best]), strict=True)],
         "field string, weight double, accuracy double, baseline_accuracy double")

@@ -92,10 +92,10 @@ def ranked(df: DataFrame, order_cols: list[str], out: str = "rn", weight: str |
         win = Window.partitionBy(F.lit(0)).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(out, F.sum(w_col).over(win).cast("long"))
     if buckets > 1:
-        qs = df.approxQuantile(first, [i / buckets for i in range(1, buckets)], 1.0 / (8 * buckets))
+        qs = df.where(F.col(first).isNotNull()).approxQuantile(first, [i / buckets for i in range(1, buckets)], 1.0 / (8 * buckets))
         splits = [-float("inf")] + sorted(set(float(q) for q in qs)) + [float("inf")]
         b = (Bucketizer(splits=splits, inputCol="_key_d", outputCol="_b")
-             .transform(df.withColumn("_key_d", F.col(first).cast("double"))).drop("_key_d"))
+             .transform(df.withColumn("_key_d", F.coalesce(F.col(first).cast("double"), F.lit(float("-inf"))))).drop("_key_d"))
     else:
         b = df.withColumn("_b", F.lit(0.0))
     totals = sorted((r["_b"], r["t"]) for r in b.groupBy("_b").agg(F.sum(w_col).alias("t")).collect())
@@ -125,25 +125,53 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.join(r, value, "left")
 
 
-def default_order_key(key: str, seed: int = 42):
-    return F.xxhash64(F.col(key), F.lit(seed))
+RANGES = 4096
+
+
+def first_rows(df: DataFrame, order_key, tie: str, how_many):
+    """A condition on ``df`` that holds for exactly the first ``how_many(n)``
+    of its n rows in (``order_key``, ``tie``) order, nulls first.
+
+    The value at the cut is found from counts per range of the key, then by
+    sorting the one range that holds it; no row is ranked or moved. Rows with
+    equal (key, tie) fall on one side together."""
+    h = F.coalesce(order_key.cast("long"), F.lit(-(1 << 63)))
+    keys = df.select(h.alias("h"), F.col(tie).alias("t")).persist()
+    try:
+        s = keys.agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).first()
+        left = how_many(s["n"])
+        if left <= 0 or left >= s["n"]:
+            return F.lit(left > 0)
+        width = (s["hi"] - s["lo"]) // RANGES + 1
+        at = F.floor((F.col("h").cast("decimal(20,0)") - F.lit(s["lo"])) / F.lit(width)).cast("int")
+        for r in sorted(keys.groupBy(at.alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()):  # at most RANGES + 1 rows
+            if left <= r["n"]:
+                inside = keys.where(at == r["r"]).orderBy("h", F.col("t").asc_nulls_first())
+                last = inside.offset(left - 1).limit(1).first()
+                break
+            left -= r["n"]
+    finally:
+        keys.unpersist()
+    t = F.lit(last["t"])
+    return (h < last["h"]) | ((h == last["h"]) & (F.col(tie).isNull() | F.coalesce(F.col(tie) <= t, F.lit(False))))
 
 
 def exact_split(df: DataFrame, order_key, tie: str, train_frac: float = 0.8) -> DataFrame:
     """Shuffle by ``order_key`` (seeded hash), first ``int(n * train_frac)`` rows
     are 'train', the rest 'test'. Adds ``split``."""
-    n = df.count()
-    cut = int(n * train_frac)
-    r = ranked(df.withColumn("_h", order_key), ["_h", tie], "_rn", n=n)
-    return r.withColumn("split", F.when(F.col("_rn") <= cut, "train").otherwise("test")).drop("_h", "_rn")
+    first = first_rows(df, order_key, tie, lambda n: int(n * train_frac))
+    return df.withColumn("split", F.when(first, "train").otherwise("test"))
 
 
 def exact_sample(df: DataFrame, order_key, tie: str, frac: float = 0.2) -> DataFrame:
     """``round(frac * n)`` rows (Python rounding) with the smallest ``order_key``."""
-    n = df.count()
-    m = round(frac * n)
-    r = ranked(df.withColumn("_h", order_key), ["_h", tie], "_rn", n=n)
-    return r.where(F.col("_rn") <= m).drop("_h", "_rn")
+    return df.where(first_rows(df, order_key, tie, lambda n: round(frac * n)))
+
+
+def shuffled(df: DataFrame, seed: int, *cols: str) -> DataFrame:
+    """``df`` with ``shuffle_order``, a seeded hash of ``cols``: sorting by it
+    gives the seeded order of the reference's shuffles without moving rows."""
+    return df.withColumn("shuffle_order", F.xxhash64(F.lit(seed), *cols))
 
 
 def remove_keys(df: DataFrame, test: DataFrame, keys=("occupation", "description")) -> DataFrame:
@@ -205,15 +233,46 @@ def train_pairs(rows: DataFrame, profiles: DataFrame, prefix: str = QUERY_PREFIX
                 row_id: str = "row_id") -> DataFrame:
     """``(anchor, positive)`` per labelled row whose code has a profile: anchor
     = prefix + stripped ``occupation description``; unknown codes are skipped
-    (count them with ``skipped_pairs``)."""
+    (``pair_counts`` counts them)."""
     r = rows.select(row_id, blank_to_empty("onet_soc").alias("code"),
                     query_text("occupation", "description", prefix=prefix, strip=True).alias("anchor"))
     return r.join(profiles, "code", "inner").select(row_id, "anchor", F.col("profile").alias("positive"))
 
 
-def skipped_pairs(rows: DataFrame, profiles: DataFrame) -> DataFrame:
-    r = rows.select(blank_to_empty("onet_soc").alias("code"))
-    return r.join(profiles, "code", "left_anti").agg(F.count(F.lit(1)).alias("skipped"))
+def _steps(counts: DataFrame, steps: list[tuple[str, str, str]]) -> DataFrame:
+    """(step, kept, dropped, repaired) rows from one row of counts."""
+    rows = [F.struct(F.lit(s).alias("step"), F.col(k).cast("long").alias("kept"), F.col(d).cast("long").alias("dropped"),
+                     (F.col("_fixed") if s == "swap_repair" else F.lit(0)).cast("long").alias("repaired")) for s, k, d in steps]
+    return counts.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def cleaning_counts(rows: DataFrame, code: str = "onet_soc", title: str = "onet_title") -> DataFrame:
+    """What ``clean_labels`` and ``swap_repair(pre_filter=True)`` keep, drop and
+    repair, counted in one pass: (step, kept, dropped, repaired)."""
+    full = (blank_to_empty("occupation") != "") & (blank_to_empty("description") != "") & (blank_to_empty(code) != "")
+    fixed = ~is_code(code) & is_code(title)
+    ok = is_code(code) | fixed
+    c = rows.agg(F.count_if(full).alias("_full"), F.count_if(~full).alias("_blank"), F.count_if(full & ok).alias("_ok"),
+                 F.count_if(full & ~ok).alias("_bad"), F.count_if(full & fixed).alias("_fixed"))
+    return _steps(c, [("clean_labels", "_full", "_blank"), ("swap_repair", "_ok", "_bad")])
+
+
+def title_only_counts(rows: DataFrame, n: int = 2, code: str = "onet_soc") -> DataFrame:
+    """The same for title-only rows: blanks, short titles, invalid codes."""
+    full = (blank_to_empty("occupation") != "") & (blank_to_empty(code) != "")
+    long = full & (word_count("occupation") >= n)
+    c = rows.agg(F.count_if(full).alias("a"), F.count_if(~full).alias("b"), F.count_if(long).alias("c"), F.count_if(full & ~long).alias("d"),
+                 F.count_if(long & is_code(code)).alias("e"), F.count_if(long & ~is_code(code)).alias("f"), F.lit(0).alias("_fixed"))
+    return _steps(c, [("title_only_blank", "a", "b"), ("min_words", "c", "d"), ("valid_codes", "e", "f")])
+
+
+def pair_counts(rows: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Training rows whose code has a profile, and rows that ``train_pairs``
+    skips."""
+    known = profiles.select("code").distinct().withColumn("_known", F.lit(True))
+    r = rows.select(blank_to_empty("onet_soc").alias("code")).join(known, "code", "left")
+    c = r.agg(F.count_if(F.col("_known")).alias("a"), F.count_if(F.col("_known").isNull()).alias("b"), F.lit(0).alias("_fixed"))
+    return _steps(c, [("train_pairs", "a", "b")])
 
 
 def code_index(profiles: DataFrame) -> DataFrame:

@@ -16,20 +16,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxomatch.functions.text import tokens
+from taxomatch.functions.text import joined_parts, tokens
 
 # Okapi BM25 defaults.
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
-# Corpus caps: alternate titles and description.
-CORPUS_CAPS = (200, 300)
 
 
-def corpus_text(title, alt, desc, caps=CORPUS_CAPS):
-    """``title + alt[:200] + desc[:300]``, empty parts skipped, space-joined."""
-    parts = F.array(F.coalesce(F.col(title), F.lit("")),
-                    F.left(F.coalesce(F.col(alt), F.lit("")), F.lit(caps[0])),
-                    F.left(F.coalesce(F.col(desc), F.lit("")), F.lit(caps[1])))
-    return F.array_join(F.filter(parts, lambda x: x != F.lit("")), " ")
+def corpus_text(title, alt, desc, caps=None):
+    """Title, alternate titles and description, empty parts skipped, joined by
+    spaces; whole unless ``caps`` are given (the reference keeps 200 / 300
+    characters of the last two)."""
+    return joined_parts((title, alt, desc), caps)
 
 
 def bm25_postings(corpus: DataFrame, key: str = "code", text: str = "text",

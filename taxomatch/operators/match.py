@@ -18,8 +18,9 @@ Physical plan. There is no cross join and no pair table:
   shared checkpoint folder and size-checked.
 * **broadcast path** - under ``broadcast_limit_bytes`` the prepared KB is
   collected once and broadcast. Queries are scored in Arrow batches by
-  ``mapInPandas`` (spread first if they arrive in fewer partitions than the
-  default parallelism); only the top-k per query leaves the task.
+  ``mapInPandas``; only the top-k per query leaves the task. A caller whose
+  queries come in few partitions spreads them at the source
+  (``session.spread_input``) or passes ``partitions``.
 * **blocked path** - for a larger KB, KB rows are hashed into ``B`` blocks and
   queries into ``Q`` buckets (sized so one co-group side holds about
   ``block_bytes`` of vectors); both sides are replicated only across the
@@ -92,13 +93,23 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 def _stack(vectors, dim: int) -> np.ndarray:
+    """Rows of a matrix; a missing or empty vector is zero, any other width
+    than ``dim`` is an error."""
     out = np.zeros((len(vectors), dim), dtype=np.float64)
     for i, v in enumerate(vectors):
         if v is not None and len(v):
-            out[i, : len(v)] = v
+            if len(v) != dim:
+                raise ValueError(f"a vector has {len(v)} components, the knowledge base has {dim}")
+            out[i] = v
     return out
 
 
+def typed_empty(schema: T.StructType) -> pd.DataFrame:
+    """No rows, with column types that convert to ``schema``."""
+    kinds = {T.LongType: "int64", T.IntegerType: "int32", T.DoubleType: "float64"}
+    return pd.DataFrame({f.name: pd.Series([], dtype=kinds.get(type(f.dataType), "object")) for f in schema.fields})
+
+
 class KbSlab:
     """A KB slice held in memory: codes sorted ascending, fused matrix and
     sparse lexical term matrices."""
@@ -255,7 +266,8 @@ def prepare_kb(kb: DataFrame, cfg: MatchConfig, fuse: bool = True) -> DataFrame:
             if wf == 0 or c not in kb.columns:
                 continue
             t = scale(normalize(F.col(c).cast("array<double>")), float(wf))
-            terms = t if terms is None else F.zip_with(terms, t, lambda a, b: a + b)
+            # a missing field vector counts as zero
+            terms = t if terms is None else F.coalesce(F.zip_with(terms, t, lambda a, b: a + b), terms, t)
         if terms is not None:
             out = out.withColumn("vec_fused", terms)
             cols.append("vec_fused")
@@ -273,11 +285,12 @@ def kb_profile(kb: DataFrame) -> dict:
     aggs = [F.count(F.lit(1)).alias("n")]
     vcols = [c for c in kb.columns if c.startswith("vec_")]
     aggs.append(F.greatest(F.lit(0), *[F.max(F.size(c)) for c in vcols]).alias("dim") if vcols else F.lit(0).alias("dim"))
+    aggs.append(F.coalesce(F.sum(F.length("code") + F.length("title")), F.lit(0)).alias("chars"))
     for c in ("title_words", "bm25_terms"):
         aggs.append((F.sum(F.size(c)) if c in kb.columns else F.lit(0)).alias(c))
     r = kb.agg(*aggs).collect()[0]
     return {"n": int(r["n"]), "dim": int(r["dim"] or 0), "lex": int((r["title_words"] or 0) + (r["bm25_terms"] or 0)),
-            "vec_cols": len(vcols)}
+            "vec_cols": len(vcols), "chars": int(r["chars"])}
 
 
 @dataclass
@@ -292,6 +305,11 @@ class PreparedKb:
     broadcast: object = None
     frame: DataFrame | None = None
 
+    def close(self) -> None:
+        """Release the broadcast copy, once no result is to be read any more."""
+        if self.broadcast is not None:
+            self.broadcast.destroy()
+
 
 def prepare(kb: DataFrame, cfg: MatchConfig = PRODUCTION) -> PreparedKb:
     """Size-check the KB and prepare it: fused vectors JVM-side, then either
@@ -303,7 +321,8 @@ def prepare(kb: DataFrame, cfg: MatchConfig = PRODUCTION) -> PreparedKb:
     # the size check and the collect read one reliable copy of the KB
     small = reliable_checkpoint(prepare_kb(kb, cfg, fuse=True))
     prof = kb_profile(small)
-    est = prof["n"] * (prof["dim"] * 8 * max(prof["vec_cols"], 1) + 64) + prof["lex"] * 48
+    # a row's matrix and Python objects, its titles, and a Python object per lexical term
+    est = prof["n"] * (prof["dim"] * 8 * max(prof["vec_cols"], 1) + 400) + prof["chars"] * 4 + prof["lex"] * 200
     if not cfg.force_blocked and est <= cfg.broadcast_limit_bytes:
         slab = KbSlab(small.toPandas(), cfg, prof["dim"])  # bounded: size checked just above
         return PreparedKb(cfg, "broadcast", prof["dim"], prof["n"], spark.sparkContext.broadcast(slab))
@@ -311,7 +330,7 @@ def prepare(kb: DataFrame, cfg: MatchConfig = PRODUCTION) -> PreparedKb:
 
 
 def match(queries: DataFrame, kb, cfg: MatchConfig | None = None,
-          query_id: str = "query_id") -> DataFrame:
+          query_id: str = "query_id", partitions: int | None = None) -> DataFrame:
     """Top-k matches per query.
 
     ``queries`` needs ``query_id`` and any of ``vec`` (array<double>),
@@ -319,9 +338,13 @@ def match(queries: DataFrame, kb, cfg: MatchConfig | None = None,
     ``kb`` is a ``PreparedKb`` or a DataFrame with ``code``, ``title`` and any
     of ``vec_<field>``, ``title_words``, ``bm25_terms``
     (array<struct<token,weight>>). Other query columns pass through
-    unchanged. Result: query columns + codes, titles, scores, raw_scores.
+    unchanged, repeated and null ids included: each query row has its own
+    result. Result: query columns + codes, titles, scores, raw_scores; fewer
+    than k knowledge base rows give shorter lists, none gives empty ones.
     """
     ship_package(queries.sparkSession)
+    if partitions:
+        queries = queries.repartition(partitions)
     prepared = kb if isinstance(kb, PreparedKb) else prepare(kb, cfg or PRODUCTION)
     if prepared.mode == "broadcast":
         return _match_broadcast(queries, prepared, query_id)
@@ -332,17 +355,8 @@ def _query_inputs(queries: DataFrame) -> list[str]:
     return [c for c in ("vec", "tokens", "title_words") if c in queries.columns]
 
 
-def _spread(queries: DataFrame) -> DataFrame:
-    """Scoring is CPU-bound Python: when the input arrives in fewer partitions
-    than the cluster's default parallelism (one small file, say), spread the
-    rows round-robin first. With many input files this is a no-op."""
-    want = queries.sparkSession.sparkContext.defaultParallelism
-    return queries.repartition(want) if queries.rdd.getNumPartitions() < want else queries
-
-
 def _match_broadcast(queries: DataFrame, prepared: PreparedKb, query_id: str) -> DataFrame:
     bc, cfg, dim = prepared.broadcast, prepared.cfg, prepared.dim
-    queries = _spread(queries)
     inputs = _query_inputs(queries)
     keep = [c for c in queries.columns if c not in inputs]
     schema = T.StructType([queries.schema[c] for c in keep] + RESULT_FIELDS)
@@ -391,7 +405,7 @@ def _bm25_max(queries: DataFrame, prepared: PreparedKb, query_id: str) -> DataFr
 
     def block_max(qpdf: pd.DataFrame, kpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or kpdf.empty:
-            return pd.DataFrame({query_id: [], "_bm25_max": []})
+            return typed_empty(schema)
         slab = KbSlab(kpdf, cfg, dim)
         if slab.bm25_m is None:
             return pd.DataFrame({query_id: qpdf[query_id].to_numpy(), "_bm25_max": np.zeros(len(qpdf))})
@@ -401,8 +415,12 @@ def _bm25_max(queries: DataFrame, prepared: PreparedKb, query_id: str) -> DataFr
     return g.applyInPandas(block_max, schema).groupBy(query_id).agg(F.max("_bm25_max").alias("_bm25_max"))
 
 
-def _match_blocked(queries: DataFrame, prepared: PreparedKb, query_id: str) -> DataFrame:
+def _match_blocked(queries: DataFrame, prepared: PreparedKb, payload_id: str) -> DataFrame:
     cfg, dim = prepared.cfg, prepared.dim
+    # a number of its own for each row: ids may repeat or be null. Written once,
+    # so the number is the same for the candidates and for the final join
+    query_id = "_query_row"
+    queries = reliable_checkpoint(queries.withColumn(query_id, F.monotonically_increasing_id()))
     inputs = _query_inputs(queries)
     scored = queries.select(query_id, *inputs)
     if cfg.bm25_weight and "tokens" in inputs and "bm25_terms" in prepared.frame.columns:
@@ -417,7 +435,7 @@ def _match_blocked(queries: DataFrame, prepared: PreparedKb, query_id: str) -> D
 
     def block(qpdf: pd.DataFrame, kpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or kpdf.empty:
-            return pd.DataFrame({f.name: [] for f in cand_schema.fields})
+            return typed_empty(cand_schema)
         slab = KbSlab(kpdf, cfg, dim)
         outs = []
         for part, idx, fin, raw in _score_rows(qpdf, slab, cfg, dim):
@@ -427,7 +445,7 @@ def _match_blocked(queries: DataFrame, prepared: PreparedKb, query_id: str) -> D
                 "code": slab.codes[idx].ravel(), "title": slab.titles[idx].ravel(),
                 "score": fin.ravel(), "raw": raw.ravel(),
             }))
-        return pd.concat(outs, ignore_index=True)
+        return pd.concat(outs, ignore_index=True) if outs else typed_empty(cand_schema)
 
     cands = grouped.applyInPandas(block, cand_schema)
     ranked = (cands.groupBy(query_id)
@@ -438,7 +456,8 @@ def _match_blocked(queries: DataFrame, prepared: PreparedKb, query_id: str) -> D
                       F.col("top.code").alias("codes"), F.col("top.title").alias("titles"),
                       F.col("top.score").alias("scores"), F.col("top.raw").alias("raw_scores")))
     rest = queries.drop(*_query_inputs(queries))
-    return rest.join(ranked, query_id, "left")
+    out = rest.join(ranked, query_id, "left").drop(query_id)
+    return out.withColumns({f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in RESULT_FIELDS})
 
 
 # ---------------------------------------------------------------------------
@@ -464,7 +483,7 @@ def to_wide(result: DataFrame, variant: str = "production", k: int = 3) -> DataF
     TopN_SOC/Title/Confidence = boosted score *100, 1 dp.
     """
     base = [c for c in result.columns if c not in ("codes", "titles", "scores", "raw_scores")]
-    e = lambda c, i: F.element_at(c, i)
+    e = lambda c, i: F.try_element_at(c, F.lit(i))  # noqa: E731  null beyond a short list
     if variant == "production":
         cols = []
         for i in range(1, k + 1):

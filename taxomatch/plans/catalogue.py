@@ -18,10 +18,10 @@ from taxomatch.operators import labels as lb
 from taxomatch.operators import lexical as lx
 from taxomatch.operators import report as rp
 from taxomatch.operators.centroid import weighted_centroid
-from taxomatch.operators.encode import HashingEncoder, kb_vectors
-from taxomatch.operators.match import MatchConfig, match, to_long, to_wide
+from taxomatch.operators.encode import HashingEncoder, encode_chunked, kb_vectors
+from taxomatch.operators.match import MatchConfig, match, match_one, to_long, to_wide
 from taxomatch.plans import standins as si
-from taxomatch.session import bounded_broadcast, scratch_dir
+from taxomatch.session import bounded_broadcast, reliable_checkpoint, scratch_dir
 from taxomatch.sources import tables as st
 from taxomatch.sources.vector_cache import read_vector_cache, write_vector_cache
 
@@ -45,14 +45,14 @@ def scan_prune(spark: SparkSession, d: str) -> DataFrame:
 def scan_fill(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_dir(spark, "documents_tsv")
     st.write_delimited(si.table(spark, d, "documents").select("doc_id", "text", "lang", "source"), path, sep="\t")
-    df = st.fill_blank(st.read_delimited(spark, path, None, sep="\t"))
+    df = st.fill_blank(st.read_delimited(spark, path, None, sep="\t", multi_line=True))  # texts hold line feeds
     return df.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"), F.length("text").alias("text_len"))
 
 
 def roundtrip_csv(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_dir(spark, "conversations_csv")
     st.write_delimited(si.table(spark, d, "conversations"), path, sep=",")
-    df = st.read_delimited(spark, path, None, sep=",")
+    df = st.read_delimited(spark, path, None, sep=",", multi_line=True)  # texts hold line feeds
     return df.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
 
 
@@ -212,12 +212,15 @@ def train_union(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _weighted_tasks(spark, d):
-    return kbo.task_weights(si.task_rows(spark, d), si.rating_rows(spark, d))
+    """A task's id is its order and line number; joining on the two numbers
+    spares a second join with orders and the text ids."""
+    return kbo.task_weights(si.task_rows(spark, d), si.rating_rows(spark, d), key="l_orderkey", task_id="l_linenumber")
 
 
 def task_weight(spark: SparkSession, d: str) -> DataFrame:
     w = _weighted_tasks(spark, d)
-    return w.select("code", "task_id", "task", "rating", F.col("weight"))
+    return w.select("code", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("task_id"),
+                    "task", "rating", F.col("weight"))
 
 
 def _tasks_text(c):
@@ -255,16 +258,12 @@ def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _profiles(spark, d):
-    """Profile text needs only the first 200 / 300 characters of the alternate
-    titles and skills, so those lists are built as bounded prefixes
-    (``flatten_prefix``): no task ever holds a whole hot group."""
-    caps = tx.PROFILE_CAPS
     k = (si.occupations(spark, d)
-         .join(kbo.flatten_prefix(si.alt_title_rows(spark, d), "code", "text", "all_alt_titles", caps[1]), "code", "left")
-         .join(kbo.flatten_prefix(si.skill_rows(spark, d), "code", "text", "all_tech_skills", caps[2]), "code", "left"))
+         .join(kbo.flatten_text(si.alt_title_rows(spark, d), "code", "text", "all_alt_titles"), "code", "left")
+         .join(kbo.flatten_text(si.skill_rows(spark, d), "code", "text", "all_tech_skills"), "code", "left"))
     k = k.na.fill({"all_alt_titles": "", "all_tech_skills": ""})
-    prof = k.select("code", tx.profile_text("title", "description", "all_alt_titles", "all_tech_skills").alias("profile"))
-    return lb.profile_map(prof)
+    prof = k.select("code", "seq", tx.profile_text("title", "description", "all_alt_titles", "all_tech_skills").alias("profile"))
+    return lb.profile_map(prof, seq="seq")
 
 
 def profile_text(spark: SparkSession, d: str) -> DataFrame:
@@ -281,7 +280,8 @@ def query_text(spark: SparkSession, d: str) -> DataFrame:
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     doc = si.table(spark, d, "documents")
     t = tx.tokens(F.coalesce("text", F.lit("")))
-    return doc.select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
+    return doc.select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"),
+                      F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
 
 def title_words(spark: SparkSession, d: str) -> DataFrame:
@@ -299,7 +299,7 @@ def train_pairs(spark: SparkSession, d: str) -> DataFrame:
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     test = _split(spark, d).where(F.col("split") == "test")
     pairs = lb.hard_negatives(test, _profiles(spark, d), si.ahash("row_id"))
-    return pairs.select("row_id", "s1", "s2_code", "score")
+    return pairs.select("row_id", "s1", "s2_code", "score", F.md5("s2").alias("s2_md5"))
 
 
 # ---------------------------------------------------------------------------
@@ -325,7 +325,8 @@ def chunk_text(spark: SparkSession, d: str) -> DataFrame:
     lens = F.transform("chunks", lambda c: F.length(c))
     return ch.select("doc_id", F.size("chunks").alias("n_chunks"),
                      F.aggregate(lens, F.lit(0), lambda a, x: a + x).cast("long").alias("total_len"),
-                     F.coalesce(F.array_max(lens), F.lit(0)).cast("long").alias("max_len"))
+                     F.coalesce(F.array_max(lens), F.lit(0)).cast("long").alias("max_len"),
+                     F.md5(F.array_join("chunks", "\n")).alias("chunks_md5"))
 
 
 def cosine_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -419,7 +420,16 @@ def weight_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weight_search(spark: SparkSession, d: str) -> DataFrame:
-    return ev.weight_search(_truth_queries(spark, d), si.vector_kb(spark, d), maxiter=3, popsize=12)
+    """Field weights found on a fifth of the labelled rows that are not test
+    rows, written as ``field,weight`` and read back as a matcher reads them."""
+    rows = lb.exact_split(_truth_queries(spark, d), si.ahash("query_id"), "query_id", 0.8).where("split = 'train'")
+    sample = lb.exact_sample(rows, si.ahash(F.col("query_id") + 7), "query_id", 0.2)
+    found = ev.weight_search(sample, si.vector_kb(spark, d))
+    path = scratch_dir(spark, "found_weights")
+    st.write_delimited(found.select("field", "weight").coalesce(1), path, sep=",")
+    back = st.read_weights(spark, path, TUNED_WEIGHTS)
+    return (back.join(F.broadcast(found.drop("weight")), "field")  # six rows
+            .select("field", rnd("weight", 9).alias("weight"), rnd("accuracy", 9).alias("accuracy"), rnd("baseline_accuracy", 9).alias("baseline_accuracy")))
 
 
 # ---------------------------------------------------------------------------
@@ -488,53 +498,159 @@ def conf_histogram(spark: SparkSession, d: str) -> DataFrame:
     return h.select("bin", rnd("lo").alias("lo"), rnd("hi").alias("hi"), rnd("mid").alias("mid"), "count")
 
 
+def report(spark: SparkSession, d: str) -> DataFrame:
+    """All parts of the batch report from one pass over the matches."""
+    r = rp.report(_app_result(spark, d))
+    return r.select("section", "item", "n", rnd("value").alias("value"))
+
+
+def cleaning_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows kept, dropped and repaired by each cleaning step."""
+    rows = _labels(spark, d)
+    steps = lb.cleaning_counts(rows)
+    title_only = st.strip_all(lb.harmonise(si.title_only_raw(spark, d), lb.TITLE_ONLY_NAMES)).withColumn("description", F.lit(""))
+    known = _profiles(spark, d).select("code")
+    return steps.unionByName(lb.title_only_counts(title_only)).unionByName(lb.pair_counts(_train_union(spark, d), known))
+
+
 # ---------------------------------------------------------------------------
-# Encoders (rows-only checks: hashed features have no SQL equivalent)
+# Sources that a user may bring
 # ---------------------------------------------------------------------------
 
+def user_input(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_dir(spark, "users_csv")
+    s = si.table(spark, d, "supplier")
+    users = s.select(F.col("s_suppkey").alias("User_ID"), F.concat(F.lit(" "), "s_name").alias("User_Job_Title"),
+                     F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit("sells, \"for\" "), F.col("s_nationkey").cast("string"))).alias("User_Job_Description"))
+    st.write_delimited(users, path)
+    return st.read_user_input(spark, path)
+
+
+def sheet_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Two sheets of one workbook, of different formats, read by name."""
+    book = scratch_dir(spark, "book")
+    st.write_delimited(si.table(spark, d, "nation").select("n_nationkey", "n_name"), f"{book}/Matched.csv")
+    si.table(spark, d, "region").select("r_regionkey", "r_name").write.parquet(f"{book}/Non-Matched.parquet")
+    a = st.read_sheet(spark, book, "Matched").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"))
+    b = st.read_sheet(spark, book, "Non-Matched", ["r_regionkey", "r_name"]).select(F.col("r_regionkey").cast("long").alias("key"), F.col("r_name").alias("name"))
+    return lb.union_tagged({"Matched": a, "Non-Matched": b}, "sheet")
+
+
+def file_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """One table written in four formats and read back by suffix."""
+    root = scratch_dir(spark, "formats")
+    c = si.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name", "c_mktsegment")
+    st.write_delimited(c, f"{root}/t.csv")
+    st.write_delimited(c, f"{root}/t.tsv", sep="\t")
+    c.write.json(f"{root}/t.jsonl")
+    c.write.parquet(f"{root}/t.parquet")
+    return lb.union_tagged({e: st.read_table(spark, f"{root}/t.{e}", ["c_custkey", "c_mktsegment"]) for e in ("csv", "tsv", "jsonl", "parquet")}, "format")
+
+
+# ---------------------------------------------------------------------------
+# Encoders and the three matchers end to end on text
+# ---------------------------------------------------------------------------
+DIM = 384
+
+
+def _elements(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """Non-zero vector elements."""
+    return df.select(key, F.posexplode(vec).alias("pos", "value")).where("value <> 0").select(key, "pos", rnd("value").alias("value"))
+
+
 def encode_hash(spark: SparkSession, d: str) -> DataFrame:
     docs = si.table(spark, d, "documents")
-    enc = HashingEncoder(dim=384).fit(docs, "text")
-    v = enc(docs.select("doc_id", "text"), "text", "vec")
+    enc = HashingEncoder(dim=DIM).fit(docs, "text")
+    return _elements(enc(docs.select("doc_id", "text"), "text", "vec"), "doc_id", "vec")
+
+
+def blank_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk means of documents, a seventh of them blank (zero vectors)."""
+    docs = si.table(spark, d, "documents")
+    text = F.when(F.col("doc_id") % 7 == 0, F.lit("  ")).when(F.col("doc_id") % 7 == 1, F.lit(None)).otherwise(F.col("text"))
+    enc = HashingEncoder(dim=DIM).fit(docs, "text")
+    v = encode_chunked(docs.select("doc_id", text.alias("text")), "doc_id", "text", enc, "vec")
     return v.select("doc_id", F.size("vec").alias("dims"), rnd(norm("vec")).alias("norm"))
 
 
+def _tax_kb(spark, d) -> DataFrame:
+    """The taxonomy: 125 rows at any size."""
+    tasks = si.tax_tasks(spark, d)
+    weighted = kbo.task_weights(tasks.drop("rating", "scale_id"), tasks.select("code", "task_id", "scale_id", "rating"))
+    return kbo.build_kb(si.tax_occupations(spark, d), kbo.nest_tasks(weighted),
+                        kbo.flatten_text(si.tax_alt_titles(spark, d), "code", "text", "all_alt_titles"),
+                        kbo.flatten_text(si.tax_skills(spark, d), "code", "text", "all_tech_skills"), None)
+
+
+def _tax_vectors(spark, d, mode: str):
+    """(knowledge base with vectors, encoder). The text rows are written once:
+    the fit, the six fields and the BM25 corpus read them."""
+    kb = reliable_checkpoint(_tax_kb(spark, d))
+    corpus = kb.select(F.concat_ws(" ", "title", "description", "all_alt_titles", "all_tech_skills").alias("text"))
+    enc = HashingEncoder(dim=DIM).fit(corpus, "text")
+    return kb_vectors(kb, enc, mode=mode), enc
+
+
+def _kb_elements(v: DataFrame) -> DataFrame:
+    long = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"vec_{f}").alias("vec")) for f in FIELDS]))
+    flat = v.select("code", long.alias("x")).select("code", "x.field", F.posexplode("x.vec").alias("pos", "value"))
+    return flat.where("value <> 0").select("code", "field", "pos", rnd("value").alias("value"))
+
+
 def kb_vectors_q(spark: SparkSession, d: str) -> DataFrame:
-    k = _kb(spark, d)
-    corpus = k.select(F.concat_ws(" ", "title", "description", "all_alt_titles", "all_tech_skills", "all_tools").alias("text"))
-    enc = HashingEncoder(dim=128).fit(corpus, "text")
-    v = kb_vectors(k, enc, mode="truncate")
-    return v.select("code", *[rnd(norm(f"vec_{f}")).alias(f"norm_{f}") for f in FIELDS])
+    return _kb_elements(_tax_vectors(spark, d, "whole")[0])
 
 
 def kb_vectors_chunked(spark: SparkSession, d: str) -> DataFrame:
-    """Six-field encode of the text KB: tasks weighted by importance (from the
-    JSON text form), other fields chunk-meaned."""
-    k = _kb(spark, d).withColumn("tasks", F.to_json("tasks"))
-    corpus = k.select(F.concat_ws(" ", "title", "description", "all_alt_titles", "all_tech_skills", "all_tools").alias("text"))
-    enc = HashingEncoder(dim=64).fit(corpus, "text")
-    v = kb_vectors(k, enc, mode="chunk")
-    return v.select("code", *[rnd(norm(f"vec_{f}")).alias(f"norm_{f}") for f in FIELDS])
-
-
-def text_pipeline_eval(spark: SparkSession, d: str) -> DataFrame:
-    """The reference's whole flow on text:
-    1. build the KB (customer / orders / lineitem / nation);
-    2. fit one hashing encoder on the KB text and encode its six fields (app caps);
-    3. encode every cleaned, swap-repaired survey row (``title + ' ' + desc``);
-    4. match top-3 with the tuned weights and the title boost;
-    5. score the matches against the human codes.
-    Returns the summary row. Rows-only check: hashed features have no SQL
-    twin, but each step is checked on its own elsewhere."""
-    kb = _kb(spark, d)
-    corpus = kb.select(F.concat_ws(" ", "title", "description", "all_alt_titles", "all_tech_skills", "all_tools").alias("text"))
-    enc = HashingEncoder(dim=64).fit(corpus, "text")
-    kbv = kb_vectors(kb, enc, mode="truncate").withColumn("title_words", tx.title_words("title"))
-    rows = _train_rows(spark, d).withColumn("text", tx.query_text("occupation", "description"))
-    q = enc(rows.select(F.col("row_id").alias("query_id"), "occupation", "description", "onet_soc", "onet_title", "text"),
-            "text", "vec").drop("text").withColumn("title_words", tx.title_words("occupation"))
-    r = match(q, kbv, MatchConfig(weights=TUNED_WEIGHTS, title_boost=tx.TITLE_BOOST))
-    return ev.eval_summary(ev.eval_rows(r))
+    """Six-field encode: tasks weighted by importance, other fields chunk-meaned."""
+    return _kb_elements(_tax_vectors(spark, d, "chunk")[0])
+
+
+def text_match_production(spark: SparkSession, d: str) -> DataFrame:
+    """Production: chunked vectors, plain query text, dense score alone."""
+    kbv, enc = _tax_vectors(spark, d, "chunk")
+    rows = si.tax_survey(spark, d).withColumn("text", tx.query_text("occupation", "description"))
+    q = enc(rows.select("query_id", "text"), "text", "vec").drop("text")
+    return to_wide(match(q, kbv, MatchConfig(weights=ENGINE_WEIGHTS)), "production")
+
+
+def _hybrid(spark, d) -> DataFrame:
+    kbv, enc = _tax_vectors(spark, d, "chunk")
+    corpus = kbv.select("code", lx.corpus_text("title", "all_alt_titles", "description").alias("text"))
+    kbv = kbv.withColumn("title_words", tx.title_words("title")).join(lx.bm25_index(corpus, "code", "text"), "code", "left")
+    rows = si.tax_survey(spark, d).withColumn("text", tx.query_text("occupation", "description"))
+    q = enc(rows, "text", "vec").withColumn("tokens", tx.tokens("text")).withColumn("title_words", tx.title_words("occupation")).drop("text")
+    return match(q, kbv, MatchConfig(weights=TUNED_WEIGHTS, title_boost=tx.TITLE_BOOST, bm25_weight=0.2))
+
+
+def text_match_eval(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation: chunked vectors, plain query text, dense + BM25 + title boost."""
+    r = ev.eval_rows(_hybrid(spark, d))
+    return r.select("query_id", "Machine_SOC_Code", "Machine_Title", "Machine_Confidence", "Human_SOC_Code", "Correct", "Correct_Top3")
+
+
+def text_eval_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = ev.eval_summary(ev.eval_rows(_hybrid(spark, d)))
+    return s.select("n", "top1", "top3", rnd("top1_pct").alias("top1_pct"), rnd("top3_pct").alias("top3_pct"), "top3_gap",
+                    rnd("avg_conf").alias("avg_conf"), rnd("conf_gap").alias("conf_gap"), "no_code")
+
+
+def text_match_app(spark: SparkSession, d: str) -> DataFrame:
+    """App: whole-text vectors (the task slot is the title), prefixed and
+    stripped query text, title boost on raw words."""
+    kbv, enc = _tax_vectors(spark, d, "whole")
+    kbv = kbv.withColumn("title_words", tx.title_words("title", (), None))
+    rows = si.tax_survey(spark, d).withColumn("text", tx.query_text("occupation", "description", prefix=tx.QUERY_PREFIX, strip=True))
+    q = enc(rows.select("query_id", "occupation", "text"), "text", "vec").withColumn("title_words", tx.title_words("occupation", (), None))
+    r = match(q.drop("occupation", "text"), kbv, MatchConfig(weights=TUNED_WEIGHTS, title_boost=tx.TITLE_BOOST))
+    return to_wide(r, "app")
+
+
+def single_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """One typed-in title and description against the whole taxonomy."""
+    kbv, enc = _tax_vectors(spark, d, "chunk")
+    r = match_one(spark, kbv, "Furniture buyer", "orders of nation_7 by customers", lambda df: enc(df, "text", "vec"), MatchConfig(weights=ENGINE_WEIGHTS, k=10))
+    return to_long(r).select("rank", "code", "title", rnd("score").alias("score"))
 
 
 QUERIES = {
@@ -557,5 +673,7 @@ QUERIES = {
     "major_group": major_group, "confidence_tier": confidence_tier, "top_occupations": top_occupations,
     "group_confidence": group_confidence, "conf_histogram": conf_histogram,
     "encode_hash": encode_hash, "kb_vectors": kb_vectors_q, "kb_vectors_chunked": kb_vectors_chunked,
-    "text_pipeline_eval": text_pipeline_eval,
+    "text_match_production": text_match_production, "text_match_eval": text_match_eval, "text_eval_summary": text_eval_summary,
+    "text_match_app": text_match_app, "single_lookup": single_lookup, "blank_chunks": blank_chunks,
+    "report": report, "cleaning_report": cleaning_report, "user_input": user_input, "sheet_scan": sheet_scan, "file_dispatch": file_dispatch,
 }

@@ -1,15 +1,29 @@
 """DuckDB SQL oracle for the query catalogue (same parquet tables as views).
 
 Written as plain set-based SQL (brute force where that is simplest: the
-oracle runs only at sf0.01). Keys without SQL (hashed encoders, the weight
-search) get a rows-only check.
+oracle runs only at small sizes). Constants are written out here again, so that
+a wrong one in the engine shows.
 """
 
 from __future__ import annotations
 
-from taxomatch.functions.text import MAJOR_GROUPS, QUERY_PREFIX, STOP_WORDS
-from taxomatch.functions.vectors import APP_WEIGHTS, ENGINE_WEIGHTS, TUNED_WEIGHTS, WEIGHT_NAMES
-from taxomatch.plans.standins import HASH_A, HASH_B, HASH_P, LABEL_WORDS
+# Fixed values, stated independently of the engine.
+STOP_WORDS = ("a", "all", "an", "and", "as", "at", "by", "except", "for", "from", "in", "is", "of", "on", "or", "other", "special", "the", "to", "with")
+QUERY_PREFIX = "Represent this job for retrieval: "
+MAJOR_GROUPS = {
+    "11": "Management", "13": "Business & Finance", "15": "Computer & Math", "17": "Architecture & Engineering",
+    "19": "Life & Physical Science", "21": "Community & Social Service", "23": "Legal", "25": "Education", "27": "Arts & Media",
+    "29": "Healthcare Practitioners", "31": "Healthcare Support", "33": "Protective Service", "35": "Food Preparation",
+    "37": "Building & Grounds", "39": "Personal Care", "41": "Sales", "43": "Office & Admin Support", "45": "Farming & Fishing",
+    "47": "Construction", "49": "Installation & Repair", "51": "Production", "53": "Transportation", "55": "Military",
+}
+WEIGHT_NAMES = ("Tasks", "Description", "Skills", "Ofc_Title", "Alt_Titles", "Tools")
+ENGINE_WEIGHTS = {"Tasks": 0.2017, "Description": 0.1021, "Skills": 0.0063, "Ofc_Title": 0.3941, "Alt_Titles": 0.2898, "Tools": 0.0061}
+TUNED_WEIGHTS = {"Tasks": 0.2016842548871232, "Description": 0.10210320642916487, "Skills": 0.006271551372931259, "Ofc_Title": 0.3940857582990539, "Alt_Titles": 0.28978310958980824, "Tools": 0.006072119421918543}
+APP_WEIGHTS = {"Tasks": 0.0051, "Description": 0.07, "Skills": 0.0405, "Ofc_Title": 0.3212, "Alt_Titles": 0.5055, "Tools": 0.0578}
+SEARCH_BASELINE = (0.25, 0.2, 0.15, 0.25, 0.1, 0.05)
+LABEL_WORDS = ("Nurse", "Teacher", "Driver", "Clerk", "Engineer", "Analyst", "Cook", "Guard", "Painter", "Welder")
+HASH_A, HASH_B, HASH_P = 1103515245, 12345, 2147483647
 
 
 def STRIP(x):
@@ -29,7 +43,8 @@ def AH(x):
 
 
 def CODE(x):
-    return f"printf('%02d-%04d.00', 11 + 2 * (({x}) % 23), ({x}) % 10000)"
+    return (f"(printf('%02d-%04d.00', 11 + 2 * (({x}) % 23), ({x}) % 10000) || "
+            f"CASE WHEN ({x}) < 230000 THEN '' ELSE '-' || CAST(({x}) // 230000 AS VARCHAR) END)")
 
 
 def IS_CODE(x):
@@ -142,7 +157,7 @@ kb AS (
          coalesce(skills.all_tech_skills, '') AS all_tech_skills, coalesce(tools.all_tools, '') AS all_tools
   FROM occ LEFT JOIN nest USING (code) LEFT JOIN alt USING (code) LEFT JOIN skills USING (code) LEFT JOIN tools USING (code)),
 profiles AS (
-  SELECT code, {STRIP("array_to_string(list_filter([title, left(description, 400), left(all_alt_titles, 200), left(all_tech_skills, 300)], lambda x: x <> ''), ' ')")} AS profile
+  SELECT code, {STRIP("array_to_string(list_filter([title, description, all_alt_titles, all_tech_skills], lambda x: x <> ''), ' ')")} AS profile
   FROM kb)"""
 
 EMB = f"""
@@ -256,25 +271,52 @@ SELECT bins.i + 1 AS bin, round(CAST(bins.i AS DOUBLE) * step + lo, 6) AS lo,
 FROM bins LEFT JOIN cnt USING (i), st"""
 
 
-def _weight_accuracy() -> str:
-    from taxomatch.plans.catalogue import WEIGHT_CANDIDATES
+WEIGHT_CANDIDATES = (
+    (0.25, 0.20, 0.15, 0.25, 0.10, 0.05), tuple(ENGINE_WEIGHTS.values()), tuple(APP_WEIGHTS.values()),
+    (1, 0, 0, 0, 0, 0), (0, 1, 0, 0, 0, 0), (0, 0, 1, 0, 0, 0), (0, 0, 0, 1, 0, 0),
+    (0, 0, 0, 0, 1, 0), (0, 0, 0, 0, 0, 1), (1, 1, 1, 1, 1, 1), (-2, 1, 0, 3, 0.5, 0),
+)
+
 
-    rows = []
-    for c, ws in enumerate(WEIGHT_CANDIDATES):
+def _candidates(rows) -> str:
+    """Normalised weights: (candidate, f, w)."""
+    out = []
+    for c, ws in enumerate(rows):
         tot = sum(abs(float(x)) for x in ws)
-        for f, x in enumerate(ws):
-            rows.append(f"({c}, {f}, {abs(float(x)) / tot!r}::DOUBLE)")
-    return "WITH " + EMB + f""",
-cand(candidate, f, w) AS (VALUES {', '.join(rows)}),
+        out += [f"({c}, {f}, {abs(float(x)) / tot!r}::DOUBLE)" for f, x in enumerate(ws)]
+    return f"cand(candidate, f, w) AS (VALUES {', '.join(out)})"
+
+
+def _hits(rows: str) -> str:
+    """Top-1 hits of every candidate on ``rows`` (vec_id)."""
+    return f"""
 sc AS (SELECT cand.candidate, cosf.vec_id, cosf.kl, sum(cand.w * cosf.cos) AS s FROM cosf JOIN cand ON cand.f = cosf.f
-       GROUP BY cand.candidate, cosf.vec_id, cosf.kl),
+       WHERE cosf.vec_id IN (SELECT vec_id FROM {rows}) GROUP BY cand.candidate, cosf.vec_id, cosf.kl),
 rk AS (SELECT sc.*, kbrow.code, row_number() OVER (PARTITION BY candidate, vec_id ORDER BY round(s, 12) DESC, kbrow.code) AS rn
        FROM sc JOIN kbrow ON kbrow.label = sc.kl),
 pred AS (SELECT rk.candidate, rk.vec_id, rk.code = printf('%02d-%04d.00', 11 + 2 * e.label, 1000 + e.label) AS hit
-         FROM rk JOIN e USING (vec_id) WHERE rn = 1)
-SELECT CAST(candidate AS INTEGER) AS candidate, count(*) FILTER (WHERE hit) AS hits, count(*) AS rows,
-       round(count(*) FILTER (WHERE hit) / count(*), 9) AS accuracy
-FROM pred GROUP BY candidate"""
+         FROM rk JOIN e USING (vec_id) WHERE rn = 1),
+acc AS (SELECT CAST(candidate AS INTEGER) AS candidate, count(*) FILTER (WHERE hit) AS hits, count(*) AS rows,
+               count(*) FILTER (WHERE hit) / count(*) AS accuracy FROM pred GROUP BY candidate)"""
+
+
+def _weight_accuracy() -> str:
+    return "WITH " + EMB + "," + _candidates(WEIGHT_CANDIDATES) + "," + _hits("e") + "\nSELECT candidate, hits, rows, round(accuracy, 9) AS accuracy FROM acc"
+
+
+def _weight_search() -> str:
+    step = lambda x: (x * HASH_A + HASH_B) % HASH_P
+    tried = [SEARCH_BASELINE] + [tuple(step(step((42 + c) * 6 + f)) / HASH_P for f in range(6)) for c in range(300)]
+    names = ", ".join(f"({f}, '{n}')" for f, n in enumerate(WEIGHT_NAMES))
+    return "WITH " + EMB + "," + _candidates(tried) + f""",
+ord AS (SELECT vec_id, row_number() OVER (ORDER BY {AH('vec_id')}, vec_id) AS rn, count(*) OVER () AS n FROM e),
+trn AS (SELECT vec_id, row_number() OVER (ORDER BY {AH('vec_id + 7')}, vec_id) AS rn, count(*) OVER () AS n FROM ord
+        WHERE rn <= CAST(floor(n * 0.8::DOUBLE) AS BIGINT)),
+part AS (SELECT vec_id FROM trn WHERE rn <= CAST(round_even(n * 0.2::DOUBLE, 0) AS BIGINT)),""" + _hits("part") + f""",
+best AS (SELECT candidate, accuracy FROM acc ORDER BY accuracy DESC, candidate LIMIT 1),
+names(f, field) AS (VALUES {names})
+SELECT field, round(cand.w, 9) AS weight, round(best.accuracy, 9) AS accuracy, round((SELECT accuracy FROM acc WHERE candidate = 0), 9) AS baseline_accuracy
+FROM best JOIN cand USING (candidate) JOIN names USING (f)"""
 
 
 def _neg_pairs(rows_cte: str, codes_cte: str) -> str:
@@ -323,6 +365,18 @@ def _no_signed_zero(sql: str) -> str:
         i = k + 1
 
 
+_SUMMARY = """
+SELECT n, top1, top3, round(CASE WHEN n > 0 THEN top1 * 100.0 / n END, 6) AS top1_pct,
+       round(CASE WHEN n > 0 THEN top3 * 100.0 / n END, 6) AS top3_pct, top3 - top1 AS top3_gap,
+       round(avg_conf, 6) AS avg_conf, round(abs(cc - cw), 6) AS conf_gap, no_code
+FROM (SELECT count(*) FILTER (WHERE Correct IS NOT NULL) AS n,
+             CAST(coalesce(sum(Correct), 0) AS BIGINT) AS top1, CAST(coalesce(sum(Correct_Top3), 0) AS BIGINT) AS top3,
+             avg(Machine_Confidence) FILTER (WHERE Correct IS NOT NULL) AS avg_conf,
+             coalesce(avg(Machine_Confidence) FILTER (WHERE Correct = 1), 0) AS cc,
+             coalesce(avg(Machine_Confidence) FILTER (WHERE Correct = 0), 0) AS cw,
+             count(*) FILTER (WHERE Correct IS NULL) AS no_code FROM ev)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: _no_signed_zero(v) for k, v in _oracle_sql().items()}
 
@@ -401,7 +455,8 @@ FROM (SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM
 SELECT row_id, occupation || ' ' || description AS text_plain,
        '{QUERY_PREFIX}' || {STRIP("occupation || ' ' || description")} AS text_app FROM survey""",
         "tokens": f"SELECT doc_id, len({TOK('coalesce(text, ' + chr(39) * 2 + ')')}) AS n_tokens, "
-                  f"len(list_distinct({TOK('coalesce(text, ' + chr(39) * 2 + ')')})) AS n_distinct FROM documents",
+                  f"len(list_distinct({TOK('coalesce(text, ' + chr(39) * 2 + ')')})) AS n_distinct, "
+                  f"md5(array_to_string({TOK('coalesce(text, ' + chr(39) * 2 + ')')}, ' ')) AS tokens_md5 FROM documents",
         "title_words": f"SELECT p_partkey, array_to_string(list_sort({tw}), ' ') AS words FROM part",
         "train_pairs": "WITH " + SURVEY + "," + KB + f"""
 SELECT u.source || ':' || CAST(u.row_id AS VARCHAR) AS pair_key,
@@ -410,20 +465,13 @@ FROM train_union u JOIN profiles p ON p.code = {STRIP('u.onet_soc')}""",
         "hard_negatives": "WITH " + SURVEY + "," + KB + f""",
 hrows AS (SELECT row_id, {STRIP('onet_soc')} AS code, '{QUERY_PREFIX}' || {STRIP("occupation || ' ' || description")} AS anchor
           FROM split WHERE split = 'test' AND {STRIP('onet_soc')} <> ''),
-""" + _neg_pairs("hrows", "profiles")[1:] + "\nSELECT row_id, s1, s2_code, score FROM pairs",
+""" + _neg_pairs("hrows", "profiles")[1:] + "\nSELECT row_id, s1, s2_code, score, md5(profile) AS s2_md5 FROM pairs JOIN profiles ON profiles.code = s2_code",
         "weighted_centroid": "WITH " + EMB + "\nSELECT label, pos, round(cw, 9) AS value FROM cent",
         "chunk_mean": "WITH " + EMB + "\nSELECT label, pos, round(c, 9) AS value FROM cent",
-        "chunk_text": f"""
-WITH w AS (SELECT doc_id, {WORDS("regexp_replace(coalesce(text, ''), '\\s', ' ', 'g')")} AS ws FROM documents),
-r AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN NULL ELSE
-        list_reduce(list_transform(ws, lambda t: {{'n': 0, 'cur': length(t), 'tot': 0, 'mx': 0}}),
-                    lambda a, b: CASE WHEN a.cur + 1 + b.cur <= 800
-                                      THEN {{'n': a.n, 'cur': a.cur + 1 + b.cur, 'tot': a.tot, 'mx': a.mx}}
-                                      ELSE {{'n': a.n + 1, 'cur': b.cur, 'tot': a.tot + a.cur, 'mx': greatest(a.mx, a.cur)}} END) END AS acc
-      FROM w)
-SELECT doc_id, CASE WHEN acc IS NULL THEN 0 ELSE acc.n + 1 END AS n_chunks,
-       CAST(CASE WHEN acc IS NULL THEN 0 ELSE acc.tot + acc.cur END AS BIGINT) AS total_len,
-       CAST(CASE WHEN acc IS NULL THEN 0 ELSE greatest(acc.mx, acc.cur) END AS BIGINT) AS max_len FROM r""",
+        "chunk_text": "WITH " + CHUNKS("SELECT doc_id AS key, text FROM documents") + """
+SELECT key AS doc_id, len(chunks) AS n_chunks, CAST(coalesce(list_sum(list_transform(chunks, lambda c: length(c))), 0) AS BIGINT) AS total_len,
+       CAST(coalesce(list_max(list_transform(chunks, lambda c: length(c))), 0) AS BIGINT) AS max_len, md5(array_to_string(chunks, chr(10))) AS chunks_md5
+FROM chunked""",
         "cosine_fields": "WITH " + EMB + f"""
 SELECT cosf.vec_id, {', '.join(f"round(max(CASE WHEN cosf.f = {i} THEN cos END), 6) AS cos_{n}" for i, n in enumerate(fields))}
 FROM cosf JOIN e ON e.vec_id = cosf.vec_id AND e.label = cosf.kl GROUP BY cosf.vec_id""",
@@ -432,16 +480,7 @@ FROM cosf JOIN e ON e.vec_id = cosf.vec_id AND e.label = cosf.kl GROUP BY cosf.v
         "match_topk_boosted": _eval_cte() + "\nSELECT vec_id, Machine_SOC_Code, Machine_Title, Machine_Confidence, Top_Codes FROM top",
         "match_topk_app": _app_cte() + "\nSELECT * FROM app",
         "eval_rows": _eval_cte() + "\nSELECT * FROM ev",
-        "eval_summary": _eval_cte() + """
-SELECT n, top1, top3, round(CASE WHEN n > 0 THEN top1 * 100.0 / n END, 6) AS top1_pct,
-       round(CASE WHEN n > 0 THEN top3 * 100.0 / n END, 6) AS top3_pct, top3 - top1 AS top3_gap,
-       round(avg_conf, 6) AS avg_conf, round(abs(cc - cw), 6) AS conf_gap, no_code
-FROM (SELECT count(*) FILTER (WHERE Correct IS NOT NULL) AS n,
-             CAST(coalesce(sum(Correct), 0) AS BIGINT) AS top1, CAST(coalesce(sum(Correct_Top3), 0) AS BIGINT) AS top3,
-             avg(Machine_Confidence) FILTER (WHERE Correct IS NOT NULL) AS avg_conf,
-             coalesce(avg(Machine_Confidence) FILTER (WHERE Correct = 1), 0) AS cc,
-             coalesce(avg(Machine_Confidence) FILTER (WHERE Correct = 0), 0) AS cw,
-             count(*) FILTER (WHERE Correct IS NULL) AS no_code FROM ev)""",
+        "eval_summary": _eval_cte() + _SUMMARY,
         "pair_correlation": "WITH " + EMB + f""",
 prow AS (SELECT vec_id AS row_id, onet_soc AS code, {STRIP("occupation || ' ' || description")} AS anchor FROM q WHERE onet_soc <> ''),
 pcodes AS (SELECT code FROM kbrow),
@@ -456,6 +495,15 @@ rk AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) -
               rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM pc)
 SELECT round(corr(x, y), 9) AS cosine_pearson, round(corr(rx, ry), 9) AS cosine_spearman, count(*) AS pairs FROM rk""",
         "weight_accuracy": _weight_accuracy(),
+        "weight_search": _weight_search(),
+        **_text_queries(),
+        "report": _report(),
+        "cleaning_report": _cleaning(),
+        "user_input": "SELECT s_suppkey AS User_ID, ' ' || s_name AS User_Job_Title, "
+                      "CASE WHEN s_suppkey % 3 <> 0 THEN 'sells, \"for\" ' || CAST(s_nationkey AS VARCHAR) ELSE '' END AS User_Job_Description FROM supplier",
+        "sheet_scan": "SELECT n_nationkey::BIGINT AS key, n_name AS name, 'Matched' AS sheet FROM nation "
+                      "UNION ALL SELECT r_regionkey::BIGINT, r_name, 'Non-Matched' FROM region",
+        "file_dispatch": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_mktsegment, f AS format FROM customer, (VALUES ('csv'), ('tsv'), ('jsonl'), ('parquet')) t(f)",
         "bm25_index": _bm25() + "\nSELECT item_id, token, tf, round(idf, 9) AS idf, round(weight, 9) AS weight FROM post",
         "bm25_scores": _bm25() + f""",
 qt AS (SELECT doc_id, unnest({TOK("coalesce(text, '')")}) AS token FROM documents),
@@ -492,15 +540,200 @@ FROM app GROUP BY 1""",
     return sql
 
 
-def _bm25() -> str:
-    return f"""WITH bc AS (SELECT lpad(CAST(item_id AS VARCHAR), 12, '0') AS code, item_id, {TOK("coalesce(text, '')")} AS toks FROM benchmark),
+def _bm25(corpus: str | None = None) -> str:
+    corpus = corpus or f"WITH bc AS (SELECT lpad(CAST(item_id AS VARCHAR), 12, '0') AS code, item_id, {TOK('coalesce(text, ' + chr(39) * 2 + ')')} AS toks FROM benchmark)"
+    return corpus + f""",
 dl AS (SELECT code, item_id, len(toks) AS dl FROM bc),
 stats AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
 tf AS (SELECT code, item_id, token, count(*) AS tf FROM (SELECT code, item_id, unnest(toks) AS token FROM bc) GROUP BY 1, 2, 3),
 nt AS (SELECT token, count(*) AS n FROM tf GROUP BY token),
-idf0 AS (SELECT token, n, ln(CAST(n_docs - n + 0.5 AS DOUBLE) / CAST(n + 0.5 AS DOUBLE)) AS raw_idf FROM nt, stats),
-mi AS (SELECT avg(raw_idf) AS mean_idf FROM idf0),
-idf AS (SELECT token, n, CASE WHEN raw_idf < 0 THEN 0.25::DOUBLE * mean_idf ELSE raw_idf END AS idf FROM idf0, mi),
-post AS (SELECT tf.item_id, tf.code, tf.token, tf.tf, dl.dl, idf.idf,
-                idf.idf * tf.tf * 2.5::DOUBLE / (tf.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.dl / stats.avgdl)) AS weight
-         FROM tf JOIN dl USING (code) JOIN idf USING (token), stats)"""
+bidf0 AS (SELECT token, n, ln(CAST(n_docs - n + 0.5 AS DOUBLE) / CAST(n + 0.5 AS DOUBLE)) AS raw_idf FROM nt, stats),
+mi AS (SELECT avg(raw_idf) AS mean_idf FROM bidf0),
+bidf AS (SELECT token, n, CASE WHEN raw_idf < 0 THEN 0.25::DOUBLE * mean_idf ELSE raw_idf END AS idf FROM bidf0, mi),
+post AS (SELECT tf.item_id, tf.code, tf.token, tf.tf, dl.dl, bidf.idf,
+                bidf.idf * tf.tf * 2.5::DOUBLE / (tf.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.dl / stats.avgdl)) AS weight
+         FROM tf JOIN dl USING (code) JOIN bidf USING (token), stats)"""
+
+
+def CHUNKS(source: str) -> str:
+    """chunked(key, chunks): greedy chunks of 800 characters of (key, text)."""
+    letter = "[\\p{L}_]"
+    mark = f"regexp_replace(flat, '({letter}{letter}-)({letter}-?{letter})', '\\1\x01\\2', 'g')"
+    return f"""
+ctext AS (SELECT key, trim(regexp_replace(coalesce(text, ''), '[\\x09-\\x0d ]+', ' ', 'g')) AS flat FROM ({source})),
+cpieces AS (SELECT key, list_filter(string_split(replace({mark}, ' ', '\x01 '), '\x01'), lambda p: p <> '') AS ps FROM ctext),
+cfold AS (SELECT key, CASE WHEN len(ps) = 0 THEN NULL ELSE
+    list_reduce(list_transform(ps, lambda p: {{'done': '', 'cur': p}}),
+                lambda a, b: CASE WHEN length(a.cur) + length(b.cur) <= 800 THEN {{'done': a.done, 'cur': a.cur || b.cur}}
+                                  ELSE {{'done': a.done || a.cur || '\x01', 'cur': ltrim(b.cur)}} END) END AS f FROM cpieces),
+chunked AS (SELECT key, CASE WHEN f IS NULL THEN []::VARCHAR[] ELSE string_split(f.done || f.cur, '\x01') END AS chunks FROM cfold)"""
+
+
+# ---------------------------------------------------------------------------
+# Hashed TF-IDF vectors, and the three matchers on text
+# ---------------------------------------------------------------------------
+
+def IDF(source: str, name: str = "idf") -> str:
+    """idf(pos, w) over the rows (key, text) of ``source``."""
+    return f"""
+{name}_rows AS (SELECT key, {TOK("coalesce(text, '')")} AS toks FROM ({source})),
+{name}_df AS (SELECT pos, count(DISTINCT key) AS df FROM (SELECT key, {SLOT('unnest(toks)')} AS pos FROM {name}_rows) GROUP BY pos),
+{name} AS (SELECT pos, ln((SELECT count(*) + 1.0::DOUBLE FROM {name}_rows) / (df + 1.0::DOUBLE)) AS w FROM {name}_df),
+{name}_none AS (SELECT ln((SELECT count(*) + 1.0::DOUBLE FROM {name}_rows)) AS w)"""
+
+
+def SLOT(t: str) -> str:
+    return f"CAST(CAST('0x' || left(md5({t}), 8) AS UBIGINT) % 384 AS INTEGER)"
+
+
+def ENCODE(source: str, name: str, idf: str = "idf") -> str:
+    """name(key, pos, v): unit TF-IDF vectors of (key, text), non-zero elements."""
+    return f"""
+{name}_tf AS (SELECT key, pos, count(*) AS tf FROM (SELECT key, {SLOT('unnest(toks)')} AS pos FROM (SELECT key, {TOK("coalesce(text, '')")} AS toks FROM ({source}))) GROUP BY key, pos),
+{name}_raw AS (SELECT key, t.pos, tf * coalesce(i.w, (SELECT w FROM {idf}_none)) AS v FROM {name}_tf t LEFT JOIN {idf} i ON i.pos = t.pos),
+{name} AS (SELECT key, pos, v / sqrt(sum(v * v) OVER (PARTITION BY key)) AS v FROM {name}_raw
+           QUALIFY sum(v * v) OVER (PARTITION BY key) > 0)"""
+
+
+TAX = """
+tc AS (SELECT c_custkey, n_name, lower(c_mktsegment) AS segment,
+         printf('%02d-%04d.00', 11 + 2 * (c_nationkey % 23), c_nationkey * 100 + coalesce(list_position(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'], c_mktsegment), 0)) AS code
+       FROM customer JOIN nation ON c_nationkey = n_nationkey),
+txo AS (SELECT * FROM orders JOIN tc ON o_custkey = c_custkey),
+tocc AS (SELECT DISTINCT code, upper(left(segment, 1)) || substr(segment, 2) || ' Buyers of ' || n_name AS title,
+           'Buys ' || segment || ' goods for customers in ' || lower(n_name) AS description FROM tc),
+ttask AS (SELECT code, 'handle ' || lower(o_orderpriority) || ' orders' AS task, round((round(1 + 4 * avg(CAST(o_orderstatus = 'F' AS INTEGER)), 2) - 1.0) / 4.0, 2) AS weight
+          FROM txo GROUP BY code, o_orderpriority),
+talt AS (SELECT code, string_agg(text, ' | ' ORDER BY y) AS all_alt_titles
+         FROM (SELECT DISTINCT code, year(o_orderdate) AS y, segment || ' procurement specialist ' || CAST(year(o_orderdate) AS VARCHAR) AS text FROM txo) GROUP BY code),
+tskill AS (SELECT code, string_agg(text, ' | ' ORDER BY seq) AS all_tech_skills
+           FROM (SELECT DISTINCT code, o_orderstatus || o_orderpriority AS seq, 'tracks ' || segment || ' orders of status ' || o_orderstatus || ' and priority ' || o_orderpriority || ' for ' || n_name AS text FROM txo) GROUP BY code),
+tkb AS (SELECT tocc.code, title, description, coalesce(all_alt_titles, '') AS all_alt_titles, coalesce(all_tech_skills, '') AS all_tech_skills
+        FROM tocc LEFT JOIN talt USING (code) LEFT JOIN tskill USING (code)),
+tsv AS (SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 7 = 0 THEN 'Specialist' ELSE '  ' || upper(left(segment, 1)) || substr(segment, 2) || ' buyer ' END AS occupation,
+          CASE WHEN o_orderkey % 9 <> 0 THEN 'I handle ' || lower(o_orderpriority) || ' orders of ' || lower(n_name) || ' in status ' || o_orderstatus ELSE '' END AS description,
+          CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE code END AS onet_soc FROM txo)"""
+
+_FIELD_ROWS = {"desc": "description", "skill": "all_tech_skills", "ofc_title": "title", "alt_title": "all_alt_titles"}
+
+
+def _tax_vectors(mode: str) -> str:
+    """kv(code, field, pos, v): the six field vectors."""
+    fields = dict(_FIELD_ROWS, **({"task": "title"} if mode == "whole" else {}))
+    rows = " UNION ALL ".join(f"SELECT code || '\x02{f}' AS key, {c} AS text FROM tkb" for f, c in fields.items())
+    idf = IDF("SELECT code AS key, concat_ws(' ', title, description, all_alt_titles, all_tech_skills) AS text FROM tkb")
+    head = TAX + "," + idf + ","
+    if mode == "whole":
+        return head + ENCODE(rows, "kf") + """,
+kv AS (SELECT split_part(key, '\x02', 1) AS code, split_part(key, '\x02', 2) AS field, pos, v FROM kf)"""
+    return head + CHUNKS(rows) + """,
+crow AS (SELECT key, unnest(chunks) AS text, generate_subscripts(chunks, 1) AS i FROM chunked),
+cn AS (SELECT key, len(chunks) AS n FROM chunked),""" + ENCODE("SELECT key || '\x03' || CAST(i AS VARCHAR) AS key, text FROM crow", "kc") + """,
+tks AS (SELECT code, task, weight, sum(weight) OVER (PARTITION BY code) AS total FROM ttask),""" + ENCODE("SELECT code || '\x02' || task AS key, task AS text FROM tks", "kt") + """,
+kv AS (SELECT split_part(cn.key, '\x02', 1) AS code, split_part(cn.key, '\x02', 2) AS field, pos, sum(v) / max(n) AS v
+       FROM kc JOIN cn ON cn.key = split_part(kc.key, '\x03', 1) GROUP BY cn.key, pos
+       UNION ALL SELECT tks.code, 'task', pos, sum(v * weight) / max(total) FROM kt JOIN tks ON kt.key = tks.code || '\x02' || tks.task
+       WHERE total <> 0 GROUP BY tks.code, pos)"""
+
+
+def _text_ranked(mode: str, weights: dict, query: str, boost: str | None = None, bm25: float = 0.0) -> str:
+    """rk(query_id, code, title, raw, final, rn)."""
+    names = ("task", "desc", "skill", "ofc_title", "alt_title", "tool")
+    ws = " ".join(f"WHEN '{n}' THEN {W(weights, x)}" for n, x in zip(names, WEIGHT_NAMES))
+    out = "WITH " + _tax_vectors(mode) + "," + ENCODE(f"SELECT query_id AS key, {query} AS text FROM tsv", "qv") + f""",
+kn AS (SELECT code, field, sqrt(sum(v * v)) AS n FROM kv GROUP BY code, field),
+fused AS (SELECT code, pos, sum(CASE field {ws} END * v / n) AS v FROM kv JOIN kn USING (code, field) WHERE n > 0 GROUP BY code, pos),
+dense AS (SELECT key AS query_id, code, sum(qv.v * fused.v) AS raw FROM qv JOIN fused USING (pos) GROUP BY key, code),
+grid AS (SELECT query_id, occupation, code, title, coalesce(raw, 0.0) AS raw FROM tsv CROSS JOIN (SELECT code AS code, title FROM tkb) k LEFT JOIN dense USING (query_id, code))"""
+    final = "raw"
+    join = ""
+    if bm25:
+        toks = TOK("concat_ws(' ', " + ", ".join(f"nullif({c}, '')" for c in ("title", "all_alt_titles", "description")) + ")")
+        qt = TOK(query)
+        out += "," + _bm25(f"bc AS (SELECT code, code AS item_id, {toks} AS toks FROM tkb)") + f""",
+qt AS (SELECT query_id, token, count(*) AS c FROM (SELECT query_id, unnest({qt}) AS token FROM tsv) GROUP BY 1, 2),
+bs AS (SELECT query_id, post.code, sum(qt.c * post.weight) AS s FROM qt JOIN post USING (token) GROUP BY 1, 2),
+bg AS (SELECT grid.query_id, grid.code, coalesce(bs.s, 0.0) AS s FROM grid LEFT JOIN bs USING (query_id, code)),
+bm AS (SELECT query_id, code, CASE WHEN max(s) OVER (PARTITION BY query_id) > 0 THEN s / max(s) OVER (PARTITION BY query_id) ELSE s END AS s FROM bg)"""
+        final += f" + {bm25!r}::DOUBLE * bm.s"
+        join += " JOIN bm USING (query_id, code)"
+    if boost:
+        words = TITLE_WORDS if boost == "stemmed" else (lambda x: f"list_distinct({TOK(x)})")
+        out += f""",
+qw AS (SELECT DISTINCT query_id, unnest({words('occupation')}) AS w FROM tsv), kw AS (SELECT DISTINCT code, unnest({words('title')}) AS w FROM tkb),
+ov AS (SELECT query_id, code, count(*) AS ov FROM qw JOIN kw USING (w) GROUP BY 1, 2)"""
+        final += " + 0.03::DOUBLE * coalesce(ov.ov, 0)"
+        join += " LEFT JOIN ov USING (query_id, code)"
+    return out + f""",
+fin AS (SELECT query_id, code, title, raw, {final} AS final FROM grid{join}),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final, 12) DESC, code) AS rn FROM fin)"""
+
+
+def _pick(i: int, expr: str, name: str) -> str:
+    return f"max(CASE WHEN rn = {i} THEN {expr} END) AS \"{name}\""
+
+
+def _text_queries() -> dict[str, str]:
+    plain = "occupation || ' ' || description"
+    production = ", ".join(_pick(i, e, f"Match_{i}_{n}") for i in (1, 2, 3) for n, e in (("SOC_Code", "code"), ("Title", "title"), ("Score", "round(final * 100, 2)")))
+    app = ", ".join([_pick(1, "code", "Matched_SOC_Code"), _pick(1, "title", "Matched_Title"), _pick(1, "round(raw * 100, 1)", "Confidence_%")]
+                    + [_pick(i, e, f"Top{i}_{n}") for i in (2, 3) for n, e in (("SOC", "code"), ("Title", "title"), ("Confidence", "round(final * 100, 1)"))])
+    hybrid = _text_ranked("chunk", TUNED_WEIGHTS, plain, "stemmed", 0.2) + f""",
+top AS (SELECT query_id, {_pick(1, 'code', 'Machine_SOC_Code')}, {_pick(1, 'title', 'Machine_Title')}, {_pick(1, 'round(raw * 100, 2)', 'Machine_Confidence')},
+               list(code) FILTER (WHERE rn <= 3) AS codes FROM rk GROUP BY query_id),
+ev AS (SELECT query_id, Machine_SOC_Code, Machine_Title, Machine_Confidence, onet_soc AS Human_SOC_Code,
+              CASE WHEN onet_soc <> '' THEN CAST(Machine_SOC_Code = onet_soc AS INTEGER) END AS Correct,
+              CASE WHEN onet_soc <> '' THEN CAST(list_contains(codes, onet_soc) AS INTEGER) END AS Correct_Top3 FROM top JOIN tsv USING (query_id))"""
+    elements = "\nSELECT code, field, pos, round(v, 6) AS value FROM kv WHERE v <> 0"
+    docs = "SELECT doc_id AS key, text FROM documents"
+    blank = "SELECT doc_id AS key, CASE WHEN doc_id % 7 = 0 THEN '  ' WHEN doc_id % 7 = 1 THEN NULL ELSE text END AS text FROM documents"
+    lookup = _text_ranked("chunk", ENGINE_WEIGHTS, "'Furniture buyer orders of nation_7 by customers'").replace(
+        "tsv AS (SELECT o_orderkey AS query_id", "tsv AS (SELECT 0 AS query_id, '' AS occupation), tsv0 AS (SELECT o_orderkey AS query_id")
+    return {
+        "encode_hash": "WITH " + IDF(docs) + "," + ENCODE(docs, "dv") + "\nSELECT key AS doc_id, pos, round(v, 6) AS value FROM dv",
+        "blank_chunks": "WITH " + IDF(docs) + "," + CHUNKS(blank) + """,
+crow AS (SELECT key, unnest(chunks) AS text, generate_subscripts(chunks, 1) AS i FROM chunked),
+cn AS (SELECT key, len(chunks) AS n FROM chunked),""" + ENCODE("SELECT CAST(key AS VARCHAR) || ':' || CAST(i AS VARCHAR) AS key, text FROM crow", "kc") + """,
+mean AS (SELECT cn.key, pos, sum(v) / max(n) AS v FROM kc JOIN cn ON CAST(cn.key AS VARCHAR) = split_part(kc.key, ':', 1) GROUP BY cn.key, pos),
+nr AS (SELECT key, sqrt(sum(v * v)) AS n FROM mean GROUP BY key)
+SELECT doc_id, 384 AS dims, round(coalesce(n, 0.0), 6) AS norm FROM documents LEFT JOIN nr ON nr.key = doc_id""",
+        "kb_vectors": "WITH " + _tax_vectors("whole") + elements,
+        "kb_vectors_chunked": "WITH " + _tax_vectors("chunk") + elements,
+        "text_match_production": _text_ranked("chunk", ENGINE_WEIGHTS, plain) + f"\nSELECT query_id, {production} FROM rk GROUP BY query_id",
+        "text_match_app": _text_ranked("whole", TUNED_WEIGHTS, f"'{QUERY_PREFIX}' || {STRIP(plain)}", "raw") + f"\nSELECT query_id, {app} FROM rk GROUP BY query_id",
+        "text_match_eval": hybrid + "\nSELECT * FROM ev",
+        "text_eval_summary": hybrid + _SUMMARY,
+        "single_lookup": lookup + "\nSELECT CAST(rn AS INTEGER) AS rank, code, title, round(final, 6) AS score FROM rk WHERE rn <= 10",
+    }
+
+
+def _report() -> str:
+    body = _hist()
+    head, bins = body[:body.index("SELECT bins.i + 1 AS bin")], body[body.index("SELECT bins.i + 1 AS bin"):]
+    return head.rstrip() + f""",
+hist AS ({bins}),
+parts AS (SELECT *, {MAJOR('Matched_SOC_Code')} AS grp,
+            CASE WHEN "Confidence_%" >= 65 THEN 'High' WHEN "Confidence_%" >= 50 THEN 'Moderate' ELSE 'Low' END AS tier FROM app),
+tops AS (SELECT Matched_Title AS t, count(*) AS n FROM app GROUP BY 1 ORDER BY n DESC, t LIMIT 10)
+SELECT 'summary' AS section, 'rows' AS item, count(*) AS n, round(avg("Confidence_%"), 6) AS value FROM app
+UNION ALL SELECT 'tier', tier, count(*), NULL FROM parts GROUP BY tier
+UNION ALL SELECT 'histogram', CAST(bin AS VARCHAR), count, mid FROM hist
+UNION ALL SELECT 'occupation', left(t, 35) || CASE WHEN length(t) > 35 THEN '…' ELSE '' END, n, NULL FROM tops
+UNION ALL SELECT 'group', grp, count(*), round(avg("Confidence_%"), 6) FROM parts GROUP BY grp"""
+
+
+def _cleaning() -> str:
+    full = "occupation <> '' AND description <> '' AND onet_soc <> ''"
+    ok = f"({IS_CODE('onet_soc')} OR {IS_CODE('onet_title')})"
+    fixed = f"(NOT {IS_CODE('onet_soc')} AND {IS_CODE('onet_title')})"
+    long = f"(len({WORDS('occupation')}) >= 2)"
+    row = lambda step, src, base, keep, rep="0": (
+        f"SELECT '{step}' AS step, count(*) FILTER (WHERE {base} AND {keep}) AS kept, count(*) FILTER (WHERE {base} AND NOT ({keep})) AS dropped, "
+        f"{rep} AS repaired FROM {src}")
+    return "WITH " + SURVEY + "," + KB + "\n" + "\nUNION ALL ".join([
+        row("clean_labels", "labels", "true", full, "0::BIGINT"),
+        row("swap_repair", "labels", full, ok, f"count(*) FILTER (WHERE {full} AND {fixed})"),
+        row("title_only_blank", "title_only", "true", "occupation <> '' AND onet_soc <> ''"),
+        row("min_words", "title_only", "occupation <> '' AND onet_soc <> ''", long),
+        row("valid_codes", "title_only", f"occupation <> '' AND onet_soc <> '' AND {long}", IS_CODE("onet_soc")),
+        "SELECT 'train_pairs', count(p.code), count(*) - count(p.code), 0 FROM train_union u LEFT JOIN profiles p ON p.code = u.onet_soc"])

@@ -8,6 +8,8 @@ derives from the driver tables; all of them grow with the data:
   set, bounded); queries: every ``embeddings`` row.
 * text KB: one occupation per ``customer``; tasks from ``lineitem``; alternate
   titles / skills from ``orders``; tools from ``nation``.
+* taxonomy: one occupation per market segment and nation (125 at any size),
+  with tasks, alternate titles and skills from the orders of its customers.
 * labelled survey rows: one per ``orders`` row, with blanks, padding and
   swapped code/title columns built in.
 * title-only rows: one per ``supplier`` row.
@@ -103,41 +105,43 @@ def vector_queries(spark, d, words: str = "eval") -> DataFrame:
 # Text KB sources from the TPC-H-like tables
 # ---------------------------------------------------------------------------
 
+CODES = 230_000  # combinations of the two numbers of a code; beyond them a code gets a suffix
+
+
 def cust_code(c) -> F.Column:
+    """A code per customer: no two customers share one."""
     x = F.col(c)
-    return soc_code(F.lit(11) + F.lit(2) * F.pmod(x, F.lit(23)), F.pmod(x, F.lit(10000)))
+    plain = soc_code(F.lit(11) + F.lit(2) * F.pmod(x, F.lit(23)), F.pmod(x, F.lit(10000)))
+    return F.when(x < CODES, plain).otherwise(F.concat(plain, F.lit("-"), F.floor(x / CODES).cast("string")))
 
 
 def occupations(spark, d) -> DataFrame:
     c = table(spark, d, "customer")
     return c.select(cust_code("c_custkey").alias("code"), F.col("c_name").alias("title"),
-                    F.concat(F.col("c_mktsegment"), F.lit(" buyer from nation "), F.col("c_nationkey").cast("string")).alias("description"))
+                    F.concat(F.col("c_mktsegment"), F.lit(" buyer from nation "), F.col("c_nationkey").cast("string")).alias("description"),
+                    F.col("c_custkey").alias("seq"))
 
 
 def task_rows(spark, d) -> DataFrame:
     li = table(spark, d, "lineitem")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     t = li.join(o, li.l_orderkey == o.o_orderkey)
-    return t.select(cust_code("o_custkey").alias("code"),
-                    F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("task_id"),
+    return t.select(cust_code("o_custkey").alias("code"), "l_orderkey", "l_linenumber",
                     F.concat(F.lit("ship part "), F.col("l_partkey").cast("string"), F.lit(" qty "),
                              F.col("l_quantity").cast("int").cast("string")).alias("task"),
                     (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("seq"))
 
 
 def rating_rows(spark, d) -> DataFrame:
+    """Ratings by (order, line), the two numbers that make up a task's id."""
     li = table(spark, d, "lineitem")
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     g = (li.groupBy("l_orderkey", "l_linenumber")
          .agg(F.max("l_quantity").alias("q"), F.min("l_returnflag").alias("flag")))
-    g = g.join(o, g.l_orderkey == o.o_orderkey)
     rating = (F.when(F.col("q") > 45, F.lit(None).cast("string"))
               .when(F.col("q") > 40, F.lit(""))
               .when(F.col("l_linenumber") == 7, F.lit("n/a"))
               .otherwise((F.lit(1.0) + F.col("q") * F.lit(0.08)).cast("string")))
-    return g.select(cust_code("o_custkey").alias("code"),
-                    F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("task_id"),
-                    F.when(F.col("flag") == "R", F.lit("LV")).otherwise(F.lit("IM")).alias("scale_id"),
+    return g.select("l_orderkey", "l_linenumber", F.when(F.col("flag") == "R", F.lit("LV")).otherwise(F.lit("IM")).alias("scale_id"),
                     rating.alias("rating"))
 
 
@@ -191,3 +195,60 @@ def title_only_raw(spark, d) -> DataFrame:
     occ = F.when(k % 3 == 0, F.lit("Clerk")).otherwise(F.concat(F.lit("Supply clerk "), (k % 7).cast("string")))
     return s.select(k.alias("row_id"), occ.alias("occupation"), cust_code("s_suppkey").alias("onetJC"),
                     F.concat(F.lit("Title "), k.cast("string")).alias("onetJT"))
+
+
+# ---------------------------------------------------------------------------
+# A taxonomy of bounded size, and survey rows to match to it
+# ---------------------------------------------------------------------------
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def _tax_customers(spark, d) -> DataFrame:
+    c = table(spark, d, "customer")
+    n = F.broadcast(table(spark, d, "nation").select("n_nationkey", "n_name"))  # 25 rows at any size
+    place = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("c_mktsegment"))
+    code = soc_code(F.lit(11) + F.lit(2) * F.pmod(F.col("c_nationkey"), F.lit(23)), F.col("c_nationkey") * 100 + place)
+    return c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", "n_name", F.lower("c_mktsegment").alias("segment"), code.alias("code"))
+
+
+def _tax_orders(spark, d) -> DataFrame:
+    o = table(spark, d, "orders")
+    c = _tax_customers(spark, d)
+    return o.join(c, o.o_custkey == c.c_custkey)
+
+
+def tax_occupations(spark, d) -> DataFrame:
+    c = _tax_customers(spark, d).groupBy("code", "segment", "n_name").agg(F.count(F.lit(1)).alias("n"))
+    return c.select("code", F.concat(F.initcap("segment"), F.lit(" Buyers of "), F.col("n_name")).alias("title"),
+                    F.concat(F.lit("Buys "), F.col("segment"), F.lit(" goods for customers in "), F.lower("n_name")).alias("description"))
+
+
+def tax_tasks(spark, d) -> DataFrame:
+    """One task per code and order priority, rated by the share of finished orders."""
+    g = _tax_orders(spark, d).groupBy("code", "o_orderpriority").agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("share"))
+    task = F.concat(F.lit("handle "), F.lower("o_orderpriority"), F.lit(" orders"))
+    return g.select("code", F.col("o_orderpriority").alias("task_id"), task.alias("task"), F.lit("IM").alias("scale_id"),
+                    F.concat(F.lit(""), F.round(1 + 4 * F.col("share"), 2).cast("string")).alias("rating"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("seq"))
+
+
+def tax_alt_titles(spark, d) -> DataFrame:
+    """One alternate title per code and year of its orders."""
+    g = _tax_orders(spark, d).select("code", "segment", F.year("o_orderdate").alias("y")).distinct()
+    return g.select("code", F.concat(F.col("segment"), F.lit(" procurement specialist "), F.col("y").cast("string")).alias("text"), F.col("y").alias("seq"))
+
+
+def tax_skills(spark, d) -> DataFrame:
+    """One skill per code, order status and priority: long lists make several chunks."""
+    g = _tax_orders(spark, d).select("code", "segment", "n_name", "o_orderstatus", "o_orderpriority").distinct()
+    text = F.concat(F.lit("tracks "), F.col("segment"), F.lit(" orders of status "), F.col("o_orderstatus"), F.lit(" and priority "),
+                    F.col("o_orderpriority"), F.lit(" for "), F.col("n_name"))
+    return g.select("code", text.alias("text"), F.concat("o_orderstatus", "o_orderpriority").alias("seq"))
+
+
+def tax_survey(spark, d) -> DataFrame:
+    """One survey row per order, with the code of its customer's occupation."""
+    o = _tax_orders(spark, d)
+    title = F.when(F.col("o_orderkey") % 7 == 0, F.lit("Specialist")).otherwise(F.concat(F.lit("  "), F.initcap("segment"), F.lit(" buyer ")))
+    desc = F.concat(F.lit("I handle "), F.lower("o_orderpriority"), F.lit(" orders of "), F.lower("n_name"), F.lit(" in status "), F.col("o_orderstatus"))
+    return o.select(F.col("o_orderkey").alias("query_id"), title.alias("occupation"), F.when(F.col("o_orderkey") % 9 != 0, desc).alias("description"),
+                    F.when(F.col("o_orderkey") % 13 == 0, F.lit("")).otherwise(F.col("code")).alias("onet_soc"), F.lit("").alias("onet_title"))

@@ -7,7 +7,9 @@ the setting is absent (local runs and tests).
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,11 +37,21 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """One machine: the driver's folders are the executors' folders."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
+    """The shared checkpoint folder. Only a local session gets one of its own,
+    deleted when the process ends; on a cluster the setting must be there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not is_local(spark):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="taxomatch-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
@@ -49,7 +61,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def delete_scratch(spark: SparkSession) -> int:
+    """Delete the tables that this application has written to the shared
+    folder, once no frame that reads them is needed any more. Returns their
+    number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 _SHIPPED: set[str] = set()
@@ -74,7 +103,7 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local"):  # local-cluster workers fetch it from the driver
         # on a cluster, executors fetch the zip from the shared checkpoint folder
         shared = f"{scratch_dir(spark, '_pkg')}/taxomatch.zip"
         jvm = sc._jvm
@@ -116,9 +145,12 @@ def spread_input(df, path: str, min_bytes: int = 1 << 20):
     return df.repartition(want) if size >= min_bytes else df
 
 
-def bounded_broadcast(df, max_rows: int = 1_000_000):
-    """Broadcast hint only after a row-count check; above it Spark plans a
-    shuffle join instead."""
+def bounded_broadcast(df, max_bytes: int = 64 << 20):
+    """Broadcast hint only if the rows, written out as text, stay within
+    ``max_bytes``; above it Spark plans a shuffle join instead. The input is
+    computed once: it is cached for the check and read from there."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.count() <= max_rows else df
+    small = reliable_checkpoint(df)
+    size = small.select(F.sum(F.octet_length(F.to_json(F.struct(*small.columns))))).first()[0]
+    return F.broadcast(small) if (size or 0) <= max_bytes else small

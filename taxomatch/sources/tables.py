@@ -2,7 +2,8 @@
 
 Delimited files are read as all-string tables with an explicit schema built
 from the header (no type inference pass), RFC-4180 quoting (``escape='"'``)
-and multi-line values. Column lists are applied as a projection, which Spark
+and, on request, multi-line values (such a file cannot be split, so it is one
+task). Column lists are applied as a projection, which Spark
 pushes into the scan.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from taxomatch.functions.text import strip_ws
 from taxomatch.functions.vectors import TUNED_WEIGHTS, WEIGHT_NAMES
 
-CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "mode": "PERMISSIVE"}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -34,27 +35,30 @@ def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
 
 
 def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = None,
-                   sep: str = "\t") -> DataFrame:
+                   sep: str = "\t", multi_line: bool = False, na_values: tuple[str, ...] = ()) -> DataFrame:
     """All-string scan; keeps the listed columns that exist (in list order).
-    A missing path gives an empty table of the listed columns."""
+    A missing path gives an empty table of the listed columns. ``na_values``
+    are read as null."""
     if not _exists(spark, path):
         cols = columns or []
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in cols]))
     header = _header(spark, path, sep)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    df = spark.read.options(**CSV_OPTIONS).option("sep", sep).schema(schema).csv(path)
+    df = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower()).option("sep", sep).schema(schema).csv(path)
+    if na_values:
+        df = df.select(*[F.when(~F.col(f"`{c}`").isin(*na_values), F.col(f"`{c}`")).alias(c) for c in header])
     if columns is not None:
         df = df.select(*[F.col(f"`{c}`") for c in columns if c in header])
     return df
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """Dispatch on the suffix: .csv, .tsv/.txt, .json/.jsonl, else Parquet."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext == ".csv":
-        return read_delimited(spark, path, columns, sep=",")
+        return read_delimited(spark, path, columns, ",", multi_line)
     if ext in (".tsv", ".txt"):
-        return read_delimited(spark, path, columns, sep="\t")
+        return read_delimited(spark, path, columns, "\t", multi_line)
     if ext in (".json", ".jsonl"):
         df = spark.read.json(path)
     else:
@@ -62,6 +66,20 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select(*[c for c in columns if c in df.columns]) if columns else df
 
 
+SHEET_SUFFIXES = (".parquet", ".csv", ".tsv", ".txt", ".json", ".jsonl")
+
+
+def read_sheet(spark: SparkSession, book: str, sheet: str, columns: list[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """A sheet of a workbook. A workbook is a folder (or archive unpacked into
+    one) that holds each sheet as a table named ``<sheet>.<suffix>``; the
+    suffix picks the reader."""
+    for ext in SHEET_SUFFIXES:
+        path = f"{book.rstrip('/')}/{sheet}{ext}"
+        if _exists(spark, path):
+            return read_table(spark, path, columns, multi_line)
+    raise FileNotFoundError(f"{book} has no sheet {sheet!r}")
+
+
 def strip_all(df: DataFrame) -> DataFrame:
     """Strip every string column (whitespace, not only spaces)."""
     return df.select(*[strip_ws(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`")
@@ -76,7 +94,7 @@ def fill_blank(df: DataFrame) -> DataFrame:
 def write_delimited(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
     """Header, RFC-4180 quoting, values kept byte for byte (Spark's writer
     trims leading/trailing whitespace unless told not to)."""
-    (df.write.mode(mode).options(**{k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"})
+    (df.write.mode(mode).options(**CSV_OPTIONS)
      .option("sep", sep).option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
      .csv(path))
 

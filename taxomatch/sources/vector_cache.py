@@ -22,14 +22,10 @@ def cache_key(model_name: str) -> str:
     return safe.rsplit("/", 1)[-1]
 
 
-def cache_key_col(c) -> F.Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return F.regexp_extract(F.regexp_replace(col, r"[/\\ ]", "_"), r"([^/]*)$", 1)
-
-
-def write_vector_cache(kb_vectors: DataFrame, root: str, model_name: str, overwrite: bool = False) -> str:
+def write_vector_cache(kb_vectors: DataFrame, root: str, model_name: str, overwrite: bool = False,
+                       kb_path: str = "") -> str:
     """Write ``kb_vectors`` (code + vec_* columns) under ``root/model=<key>``
-    with ``kb_rows`` and ``created_at`` stored on every row."""
+    with ``kb_rows``, ``kb_path`` and ``created_at`` stored on every row."""
     spark = kb_vectors.sparkSession
     key = cache_key(model_name)
     path = f"{root.rstrip('/')}/model={key}"
@@ -37,6 +33,7 @@ def write_vector_cache(kb_vectors: DataFrame, root: str, model_name: str, overwr
         raise FileExistsError(f"vector cache for {model_name!r} exists at {path}; pass overwrite=True")
     n = kb_vectors.count()
     out = (kb_vectors.withColumn("kb_rows", F.lit(n).cast("long"))
+           .withColumn("kb_path", F.lit(kb_path))
            .withColumn("model_name", F.lit(str(model_name)))
            .withColumn("created_at", F.lit(_dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S"))))
     out.write.mode("overwrite").parquet(path)

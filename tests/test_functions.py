@@ -120,13 +120,29 @@ def test_normalized_weights():
     assert vx.normalized_weights((0,) * 6) == (0.0,) * 6
 
 
-def test_flatten_prefix_equals_cut_of_full_text(spark):
-    rows = [("a", f"t{i:03d}", i) for i in range(500)] + [("a", None, 7), ("a", "", 3), ("b", None, 1), ("c", "x", 1)]
-    df = spark.createDataFrame(rows, "code string, text string, seq int")
-    full = {r["code"]: r["f"] for r in kbo.flatten_text(df, "code", "text", "f").collect()}
-    for cap in (1, 5, 200):
-        got = {r["code"]: r["p"] for r in kbo.flatten_prefix(df, "code", "text", "p", cap).collect()}
-        assert got == {k: v[:cap] for k, v in full.items()}
+def test_profile_is_whole_unless_capped(spark):
+    long = "x" * 900
+    df = spark.createDataFrame([("T", long, long, None), (" T ", "", None, long)], "t string, d string, a string, s string")
+    whole = [r[0] for r in df.select(tx.profile_text("t", "d", "a", "s")).collect()]
+    assert whole == [f"T {long} {long}", f"T  {long}"]
+    cut = [r[0] for r in df.select(tx.profile_text("t", "d", "a", "s", caps=(None, 400, 200, 300))).collect()]
+    assert cut == [f"T {long[:400]} {long[:200]}", f"T  {long[:300]}"]
+
+
+def test_chunk_text_long_runs_match_textwrap(spark):
+    import random
+
+    rng = random.Random(12)
+
+    def run():
+        return "".join(rng.choice(["a", "b", "7", "-", "--", "x-y", "1-2", "ab-cd"]) for _ in range(rng.randint(1, 60)))
+
+    rows = [(i, " ".join(rng.choice([run(), "the", "well-known", "z" * rng.randint(1, 50), "-" * rng.randint(1, 30)]) for _ in range(rng.randint(1, 8))),
+             rng.randint(5, 30)) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, t string, w int")
+    for w in sorted({r[2] for r in rows}):
+        for r in df.where(F.col("w") == w).select("t", tx.chunk_text("t", w, hyphens=True).alias("c")).collect():
+            assert [c.strip() for c in r["c"]] == [c.strip() for c in textwrap.wrap(r["t"], w)], (w, r["t"])
 
 
 def test_chunk_text_hyphen_breaks_match_textwrap(spark):

@@ -22,7 +22,7 @@ def test_quotes_newlines_and_blanks_round_trip(spark):
     rows = [(1, 'say "hi"\nnext line', "  padded  "), (2, "", None)]
     df = spark.createDataFrame(rows, "id int, a string, b string")
     st.write_delimited(df, path, sep="\t")
-    back = st.fill_blank(st.read_delimited(spark, path, ["id", "a", "b", "zzz"], sep="\t"))
+    back = st.fill_blank(st.read_delimited(spark, path, ["id", "a", "b", "zzz"], sep="\t", multi_line=True))
     got = sorted(tuple(r) for r in back.collect())
     assert got == [("1", 'say "hi"\nnext line', "  padded  "), ("2", "", "")]
 
