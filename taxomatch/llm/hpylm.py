@@ -63,44 +63,96 @@ def stirling(discount: float) -> np.ndarray:
     return s
 
 
+def _sitters(group: np.ndarray, p: np.ndarray, names: np.ndarray, salt: int) -> np.ndarray:
+    """How many of a group open a table: binomial, by its Poisson limit for a
+    small mean and by its normal limit for a large one."""
+    with np.errstate(over="ignore"):
+        bits = mix(names ^ mix(np.array([salt], np.uint64) * ODD))
+    one, two, three = (((bits >> np.uint64(s)) & np.uint64((1 << 21) - 1)).astype(np.float64) / (1 << 21) + 0.5 / (1 << 21) for s in (0, 21, 42))
+    mean = group * p
+    normal = np.sqrt(-2 * np.log(one)) * np.cos(2 * np.pi * two)
+    out = np.floor(mean + np.sqrt(mean * (1 - p)) * normal + three)
+    few = np.flatnonzero(mean < 8)
+    term = np.exp(-mean[few])
+    upto, n = term.copy(), np.zeros(len(few))
+    for j in range(1, 40):
+        over = one[few] > upto
+        if not over.any():
+            break
+        n += over
+        term = term * mean[few] / j
+        upto += term
+    out[few] = n
+    return np.clip(out, 0, group).astype(np.int64)
+
+
 def draw_tables(count: np.ndarray, names: np.ndarray, salt: int, discount: float, others: np.ndarray, parent: np.ndarray) -> np.ndarray:
     """Tables of each dish. others: tables of the restaurant's other dishes."""
     tables = np.minimum(count, 1)
-    log_s = stirling(discount)
-    small = np.minimum(count, EXACT)
-    draw = uniform(names, salt)
-    for c in np.unique(small[small > 1]).tolist():
-        at = np.flatnonzero(small == c)
-        for lo in range(0, len(at), max(1, (1 << 20) // c)):
-            k = at[lo:lo + max(1, (1 << 20) // c)]
-            t = np.arange(c)
-            w = np.cumsum(np.log(STRENGTH + discount * (others[k][:, None] + t)), axis=1) + np.log(parent[k])[:, None] * (t + 1) + log_s[c, 1:c + 1]
-            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-            tables[k] = 1 + (w < (draw[k] * w[:, -1])[:, None]).sum(axis=1)
-    k, seated, step = np.flatnonzero(count > EXACT), EXACT, 0
+    log_s = stirling(discount).astype(np.float32)
+    more = np.flatnonzero(count > 1)  # a single customer has one table
+    small = np.minimum(count[more], EXACT).astype(np.uint8)
+    more = more[np.argsort(small, kind="stable")]
+    edges = np.cumsum(np.bincount(small, minlength=EXACT + 1))
+    for c in np.flatnonzero(np.diff(edges, prepend=0)).tolist():
+        at, t = more[edges[c - 1]:edges[c]], np.arange(c)
+        for lo in range(0, len(at), (1 << 18) // c):
+            k = at[lo:lo + (1 << 18) // c]
+            # log weight of 1, 2, ... tables; single precision is ample for a draw
+            w = (STRENGTH + discount * others[k]).astype(np.float32)[:, None] + (discount * t).astype(np.float32)
+            w *= parent[k].astype(np.float32)[:, None]
+            np.log(w, out=w)
+            np.cumsum(w, axis=1, out=w)
+            w += log_s[c, 1:c + 1]
+            w -= w.max(axis=1, keepdims=True)
+            np.exp(w, out=w)
+            np.cumsum(w, axis=1, out=w)
+            tables[k] = 1 + (w < (uniform(names[k], salt) * w[:, -1]).astype(np.float32)[:, None]).sum(axis=1)
+    # the conditional hardly changes beyond EXACT customers while the tables are
+    # few; where they are many, the further customers sit in groups that grow
+    k, seated, step = np.flatnonzero((count > EXACT) & (tables > EXACT // 4)), EXACT, 0
     while len(k):
         group = np.minimum(count[k] - seated, max(1, seated // 8))
         new = (STRENGTH + discount * (others[k] + tables[k])) * parent[k]
         p = new / (new + seated - discount * tables[k])
         step += 1
-        one, two = uniform(names[k], salt + 1000 * step), uniform(names[k], salt + 1000 * step + 500)
-        normal = np.sqrt(-2 * np.log(one)) * np.cos(2 * np.pi * two)
-        spread = np.sqrt(group * p * (1 - p))
-        more = np.floor(group * p + spread * normal + uniform(names[k], salt + 1000 * step + 250))
-        tables[k] += np.clip(more, 0, group).astype(np.int64)
+        tables[k] += _sitters(group, p, names[k], salt + 1000 * step)
         seated += max(1, seated // 8)
         k = k[count[k] > seated]
     return tables
 
 
+def classes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in order, a place of each, start of each among the
+    sorted places, sorted places). Unlike numpy's unique it does without a
+    stable sort."""
+    order = np.argsort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[order][1:] != x[order][:-1]
+    start = np.flatnonzero(new)
+    return x[order[start]], order[start], start, order
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Counts as bytes, those from 255 on once more in full at the end."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype("<i8").tobytes()
+
+
+def unpack(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    if len(raw) > n:
+        out[out == 255] = np.frombuffer(raw[n:], "<i8")
+    return out
+
+
 class Tokens:
     """A block's tokens, its distinct words (the two marks last) and pairs."""
 
     def __init__(self, b: Block):
         self.block, self.rows = b.block, b.rows
         held = np.array(b.rows.column("_c1").to_pylist(), bool)
-        n = len(b.words)
-        self.words = np.concatenate([b.hashes(1), [END, BEGIN]]).astype(np.uint64)
+        self.words = np.concatenate([b.hashes(1), np.array([END, BEGIN], np.uint64)])
+        n = len(self.words) - 2
         self.size = b.sizes + 1
         self.ends = np.cumsum(self.size)
         last = self.ends - 1
@@ -116,11 +168,19 @@ class Tokens:
         self.count[n + 1] = (~held).sum()
         with np.errstate(over="ignore"):
             pair = mix(mix(self.words)[context] * np.uint64(5) + self.words[self.token] * ODD)
-        self.pairs, at, self.pair = np.unique(pair, return_index=True, return_inverse=True)
+        self.pairs, at, start, self._sorted = classes(pair)
         self.context, self.word = context[at], self.token[at]
-        self.pair_count = np.bincount(self.pair[train], minlength=len(self.pairs))
+        self.pair_count = np.add.reduceat(train[self._sorted].astype(np.int64), start)
+        self._start = start
         self.order = np.argsort(self.words)
 
+    @property
+    def pair(self) -> np.ndarray:
+        """The pair of each token."""
+        out = np.empty(len(self._sorted), np.int64)
+        out[self._sorted] = np.repeat(np.arange(len(self.pairs)), np.diff(self._start, append=len(self._sorted)))
+        return out
+
     def put(self, sorted_values: np.ndarray) -> np.ndarray:
         """Values in the order of the sorted words back to the words' order."""
         out = np.empty_like(sorted_values)
@@ -130,7 +190,7 @@ class Tokens:
 
 def _questions(block: int, hashes: np.ndarray, columns: list[np.ndarray], buckets: int, pairs: bool) -> pa.RecordBatch:
     parts = cut(hashes, buckets)
-    blobs = [pa.array([x[s].tobytes() for _, s in parts], pa.binary()) for x in (hashes, *columns)]
+    blobs = [pa.array([hashes[s].tobytes() for _, s in parts], pa.binary()), *(pa.array([pack(x[s]) for _, s in parts], pa.binary()) for x in columns)]
     blobs += [pa.array([None] * len(parts), pa.binary())] * (3 - len(blobs))
     return pa.RecordBatch.from_arrays([pa.array([-1 - k if pairs else k for k, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), *blobs],
                                       names=["bucket", "block", "a", "b", "c"])
@@ -144,34 +204,45 @@ def _answers(kind: str, bucket: int, blocks: list[int], a: list, b: list, total:
                      "x": pa.array([None] * n + [int(total[0])], pa.int64()), "y": pa.array([None] * n + [int(total[1])], pa.int64())})
 
 
-def _column(group: pa.Table, name: str, kind) -> tuple[list[np.ndarray], np.ndarray]:
-    parts = [np.frombuffer(x, kind) for x in group.column(name).to_pylist()]
-    return parts, np.concatenate(parts)
+class Asked:
+    """The questions of one bucket: all hashes, their classes, and sums over
+    the classes of a column of counts."""
+
+    def __init__(self, group: pa.Table):
+        parts = [np.frombuffer(x, np.uint64) for x in group.column("a").to_pylist()]
+        self.group, self.sizes = group, [len(p) for p in parts]
+        self.bucket, self.blocks = group.column("bucket")[0].as_py(), group.column("block").to_pylist()
+        self.flat = np.concatenate(parts)
+        self.known, _, self.start, self.order = classes(self.flat)
+        self.times = np.diff(self.start, append=len(self.flat))
+
+    def sums(self, column: str) -> np.ndarray:
+        x = np.concatenate([unpack(r, n) for r, n in zip(self.group.column(column).to_pylist(), self.sizes, strict=True)])
+        return np.add.reduceat(x[self.order], self.start)
+
+    def back(self, of_class: np.ndarray) -> list[np.ndarray]:
+        """A value per class as one array per question."""
+        out = np.empty(len(self.flat), of_class.dtype)
+        out[self.order] = np.repeat(of_class, self.times)
+        return np.split(out, np.cumsum(self.sizes)[:-1])
 
 
 def _counted(group: pa.Table) -> pa.Table:
     """Sums of the counts of words (buckets from 0) or pairs (below)."""
     group = group.sort_by("block")  # a pair's owner is the first block that asks
-    bucket = group.column("bucket")[0].as_py()
-    hashes, flat = _column(group, "a", np.uint64)
-    count = _column(group, "b", np.int64)[1]
-    blocks = group.column("block").to_pylist()
-    ends = np.cumsum([len(h) for h in hashes])[:-1]
-    known, at, back, asked = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
-    total = np.zeros(len(known), np.int64)
-    np.add.at(total, back, count)
-    if bucket >= 0:
-        words = known != BEGIN
-        return _answers("words", bucket, blocks, [x.tobytes() for x in np.split(total[back], ends)], [None] * len(blocks),
+    q = Asked(group)
+    total = q.sums("b")
+    if q.bucket >= 0:
+        words = q.known != BEGIN
+        return _answers("words", q.bucket, q.blocks, [pack(x) for x in q.back(total)], [None] * len(q.blocks),
                         (total[words].sum(), (total[words] > 0).sum()))
-    owner = np.zeros(len(flat), bool)
-    owner[at] = True
-    shared = asked[back] > 1
+    owner = np.zeros(len(q.flat), bool)
+    owner[np.minimum.reduceat(q.order, q.start)] = True
     bits, counts = [], []
-    for s, o, c in zip(np.split(shared, ends), np.split(owner, ends), np.split(total[back], ends), strict=True):
+    for s, o, c in zip(q.back(q.times > 1), np.split(owner, np.cumsum(q.sizes)[:-1]), q.back(total), strict=True):
         bits.append(np.packbits(np.concatenate([s, o])).tobytes())
-        counts.append(c[s].tobytes())
-    return _answers("pairs", bucket, blocks, bits, counts, ((total == 1).sum(), (total == 2).sum()))
+        counts.append(pack(c[s]))
+    return _answers("pairs", q.bucket, q.blocks, bits, counts, ((total == 1).sum(), (total == 2).sum()))
 
 
 class Told:
@@ -182,7 +253,7 @@ class Told:
         in_order = t.words[t.order]
 
         def words(kind: str, part: int) -> np.ndarray:
-            return t.put(np.concatenate([np.frombuffer(got[kind, k][part], np.int64) for k, _ in cut(in_order, buckets)]))
+            return t.put(np.concatenate([unpack(got[kind, k][part], s.stop - s.start) for k, s in cut(in_order, buckets)]))
 
         self.count = words("words", 0)
         self.pair_count, self.owner = t.pair_count.copy(), np.zeros(len(t.pairs), bool)
@@ -190,8 +261,8 @@ class Told:
             bits, counts = got["pairs", -1 - k]
             shared, owner = np.split(np.unpackbits(np.frombuffer(bits, np.uint8), count=2 * (s.stop - s.start)).astype(bool), 2)
             self.owner[s] = owner
-            self.pair_count[np.arange(s.start, s.stop)[shared]] = np.frombuffer(counts, np.int64)
-        self.sums = {}
+            self.pair_count[np.flatnonzero(shared) + s.start] = unpack(counts, int(shared.sum()))
+        self.sums, self.parents = {}, {}
         for kind in {k for k, _ in got} - {"words", "pairs"}:
             self.sums[int(kind)] = words(kind, 0), words(kind, 1)
 
@@ -203,6 +274,12 @@ class Seating:
     def __init__(self, pair_discount: float, word_discount: float, outcomes: int, scalars: list[tuple[int, int]]):
         self.pair_discount, self.word_discount, self.outcomes, self.scalars = pair_discount, word_discount, outcomes, scalars
 
+    def block_parent(self, sweep: int, t: Tokens, told: Told) -> np.ndarray:
+        """``parent`` of a block's words, computed once per block and sweep."""
+        if sweep not in told.parents:
+            told.parents[sweep] = self.parent(sweep, told.sums[sweep][0], t.words)
+        return told.parents[sweep]
+
     def parent(self, sweep: int, customers: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Probability of each word in the parent restaurant."""
         total, tables = self.scalars[sweep]
@@ -221,14 +298,12 @@ class Seating:
         """Tables of each pair of a block after a sweep: one at first."""
         if sweep == 0:
             return np.minimum(told.pair_count, 1)
-        customers, tables = told.sums[sweep - 1]
-        parent = self.parent(sweep - 1, customers, t.words)
+        tables, parent = told.sums[sweep - 1][1], self.block_parent(sweep - 1, t, told)
         return draw_tables(told.pair_count, t.pairs, sweep, self.pair_discount, np.maximum(tables[t.context] - 1, 0), parent[t.word])
 
     def probability(self, sweep: int, t: Tokens, told: Told) -> np.ndarray:
         """Predictive probability of each pair of a block."""
-        customers, tables = told.sums[sweep]
-        parent = self.parent(sweep, customers, t.words)[t.word]
+        tables, parent = told.sums[sweep][1], self.block_parent(sweep, t, told)[t.word]
         own = self.pair_tables(sweep, t, told)
         seen = told.count[t.context]
         fresh = STRENGTH + self.pair_discount * tables[t.context]
@@ -257,7 +332,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     every row; the rows for which ``held_out`` is not true are learned from."""
     docs = docs.select(key, F.col(text).alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
 
-    with block_table(docs, "_text", [key, "_held"], lower=True) as (table, buckets):
+    with block_table(docs, "_text", [key, "_held"], lower=True, hashed=True) as (table, buckets):
 
         def counts(b: Block) -> Iterator[pa.RecordBatch]:
             t = Tokens(b)
@@ -308,18 +383,13 @@ def _sweep(table: DataFrame, base: DataFrame, sums: list[DataFrame], seats: Seat
         return pa.Table.from_batches([_questions(t.block, t.words[t.order], [as_word, as_context], buckets, False)])
 
     def summed(group: pa.Table) -> pa.Table:
-        hashes, flat = _column(group, "a", np.uint64)
-        ends = np.cumsum([len(h) for h in hashes])[:-1]
-        known, back = np.unique(flat, return_inverse=True)
-        both = np.zeros((2, len(known)), np.int64)
-        for k, c in enumerate("bc"):
-            np.add.at(both[k], back, _column(group, c, np.int64)[1])
-        customers = both[0]
-        own = seats.word_tables(sweep, customers, known)
-        out = _answers(str(sweep), group.column("bucket")[0].as_py(), group.column("block").to_pylist(),
-                       *([x.tobytes() for x in np.split(s[back], ends)] for s in both), (customers.sum(), own.sum()))
+        q = Asked(group)
+        customers = q.sums("b")
+        own = seats.word_tables(sweep, customers, q.known)
+        out = _answers(str(sweep), q.bucket, q.blocks, [pack(x) for x in q.back(customers)], [pack(x) for x in q.back(q.sums("c"))],
+                       (customers.sum(), own.sum()))
         # counts of counts, for the discount
-        more = _answers("few", group.column("bucket")[0].as_py(), [], [], [], ((customers == 1).sum(), (customers == 2).sum()))
+        more = _answers("few", q.bucket, [], [], [], ((customers == 1).sum(), (customers == 2).sum()))
         return pa.concat_tables([out, more])
 
     told = base.unionAll(sums[-1]) if sums else base

@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import contextlib
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,13 @@ def from_ipc(raw: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(raw).read_next_batch()
 
 
+def numbering() -> defaultdict:
+    """A dictionary that numbers its keys in the order of their first look-up."""
+    out: defaultdict = defaultdict()
+    out.default_factory = out.__len__
+    return out
+
+
 class Block:
     """A row of the table: ``rows`` are the carried columns of its documents."""
 
@@ -52,45 +61,53 @@ class Block:
         self.ids = np.frombuffer(row["ids"], "<u4")
         ends = np.cumsum(np.frombuffer(row["lengths"], "<u4").astype(np.int64)).tolist()
         raw = row["words"]
+        self.names = np.frombuffer(raw, np.uint64) if row["lengths"] == b"" else None
         self.words = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         self.ends = np.cumsum(self.sizes)
 
     def hashes(self, seed: int) -> np.ndarray:
-        """XXH64 of each distinct word."""
+        """XXH64 of each distinct word; seed 1 is what a hashed block holds."""
         import xxhash
 
+        if self.names is not None:
+            return self.names
         return np.array([xxhash.xxh64_intdigest(w, seed) for w in self.words], np.uint64)
 
 
-def blocks(docs: DataFrame, text: str, carry: list[str], lower: bool, keep_text: bool = False) -> DataFrame:
-    """One row per block. ``carry``: columns kept for each document."""
+def blocks(docs: DataFrame, text: str, carry: list[str], lower: bool, keep_text: bool = False, hashed: bool = False) -> DataFrame:
+    """One row per block. ``carry``: columns kept for each document; ``hashed``:
+    the words' XXH64 of seed 1 take the place of the words."""
 
     def out(number: int, held: list[pa.RecordBatch], sizes: list[int], ids: list[np.ndarray], words: dict[bytes, int]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+        if hashed:
+            import xxhash
+
+            kept, lengths = np.array([xxhash.xxh64_intdigest(w, 1) for w in words], np.uint64).tobytes(), b""
+        else:
+            kept, lengths = b"".join(words), np.array([len(w) for w in words], "<u4").tobytes()
         row = {"block": number, "docs": len(sizes), "n_words": int(sum(sizes)), "rows": to_ipc(rows[0] if rows else held[0]),
                "sizes": np.array(sizes, "<u4").tobytes(), "ids": np.concatenate(ids).astype("<u4").tobytes() if ids else b"",
-               "words": b"".join(words), "lengths": np.array([len(w) for w in words], "<u4").tobytes()}
+               "words": kept, "lengths": lengths}
         kinds = [pa.int64()] * 3 + [pa.binary()] * 5
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident()
         number = TaskContext.get().partitionId() << 32
-        held, sizes, ids, words, size = [], [], [], {}, 0
+        held, sizes, ids, words, size = [], [], [], numbering(), 0
         for b in text_slices(batches, "_text", BLOCK_BYTES // 4):
             raw = raw_texts(b.column("_text"))
             parts = [(x.lower() if lower else x).split() for x in raw]  # ASCII letters and white space
-            flat = [w for p in parts for w in p]
-            for w in dict.fromkeys(flat):
-                words.setdefault(w, len(words))
-            ids.append(np.fromiter(map(words.__getitem__, flat), np.uint32, len(flat)))
-            sizes += map(len, parts)
+            own = list(map(len, parts))
+            ids.append(np.fromiter(map(words.__getitem__, chain.from_iterable(parts)), np.uint32, sum(own)))
+            sizes += own
             held.append(b if keep_text else b.drop_columns(["_text"]))
             size += sum(map(len, raw))
             if size >= BLOCK_BYTES:
                 yield out(number, held, sizes, ids, words)
                 number += 1
-                held, sizes, ids, words, size = [], [], [], {}, 0
+                held, sizes, ids, words, size = [], [], [], numbering(), 0
                 pa.default_memory_pool().release_unused()
         if held:
             yield out(number, held, sizes, ids, words)
@@ -100,13 +117,13 @@ def blocks(docs: DataFrame, text: str, carry: list[str], lower: bool, keep_text:
 
 
 @contextlib.contextmanager
-def block_table(docs: DataFrame, text: str, carry: list[str], lower: bool, keep_text: bool = False) -> Iterator[tuple[DataFrame, int]]:
+def block_table(docs: DataFrame, text: str, carry: list[str], lower: bool, keep_text: bool = False, hashed: bool = False) -> Iterator[tuple[DataFrame, int]]:
     """The written table and the number of buckets for questions; the table is
     dropped at the end."""
     spark = docs.sparkSession
     name = f"word_blocks_{uuid.uuid4().hex[:12]}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    frame = blocks(docs, text, carry, lower, keep_text)
+    frame = blocks(docs, text, carry, lower, keep_text, hashed)
     frame.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
     try:
         own = spark.table(name)

@@ -89,11 +89,11 @@ def hpylm_first(df, spark, vocab):
     train = df.where("doc_id < 1000").select("doc_id", F.col("text").alias("_text"), F.lit(False).alias("_held"))
     probe = spark.createDataFrame([(1, w) for w in [*vocab, "unknown"]], "doc_id long, text string")
     both = train.unionAll(probe.select("doc_id", "text", F.lit(True))).coalesce(1)
-    row = next(iter(wordblocks.blocks(both, "_text", ["doc_id", "_held"], True).collect())).asDict()
+    row = next(iter(wordblocks.blocks(both, "_text", ["doc_id", "_held"], True, hashed=True).collect())).asDict()
     b = wordblocks.Block(row)
     t = hpylm.Tokens(b)
     told = hpylm.Told.__new__(hpylm.Told)
-    told.count, told.pair_count, told.owner, told.sums = t.count, t.pair_count, np.ones(len(t.pairs), bool), {}
+    told.count, told.pair_count, told.owner, told.sums, told.parents = t.count, t.pair_count, np.ones(len(t.pairs), bool), {}, {}
     ones, twos = (t.pair_count == 1).sum(), (t.pair_count == 2).sum()
     v = int((t.count[:-1] > 0).sum())
     seats = hpylm.Seating(hpylm._discount(ones, twos), 0.5, v + 1, [])
@@ -131,18 +131,34 @@ def test_table_counts_follow_the_exact_conditional():
     assert np.abs(np.bincount(got, minlength=c + 1) / n - want).max() < 0.01
 
 
-def test_large_tables_agree_with_seating_one_by_one():
-    d, others, parent, c, n = 0.5, 40, 0.01, 1500, 300
-    rng = np.random.default_rng(1)
-    plain = []
-    for _ in range(n):
-        t = 1
+def test_many_customers_follow_the_exact_conditional():
+    """Beyond EXACT customers: against the Stirling numbers of all of them."""
+    n = 4000
+    names = np.random.default_rng(1).integers(1, 1 << 62, n).astype(np.uint64)
+    for d, others, parent, c in ((0.5, 40, 0.01, 1500), (0.8, 3000, 0.002, 900), (0.8, 20, 1e-5, 400)):
+        s = np.full(c + 2, -np.inf)
+        s[1] = 0
+        t = np.arange(1, c + 1)
         for k in range(1, c):
-            new = (hpylm.STRENGTH + d * (others + t)) * parent
-            t += rng.random() < new / (new + k - d * t)
-        plain.append(t)
-    got = hpylm.draw_tables(np.full(n, c), rng.integers(1, 1 << 62, n).astype(np.uint64), 2, d, np.full(n, others), np.full(n, parent))
-    assert abs(np.mean(got) - np.mean(plain)) < 0.15 * np.mean(plain) + 0.3
+            s[1:-1] = np.logaddexp(s[:-2], np.log(np.maximum(k - d * t, 1e-300)) + s[1:-1])
+        w = np.cumsum(np.log(hpylm.STRENGTH + d * (others + t - 1))) + t * math.log(parent) + s[1:-1]
+        w = np.exp(w - w.max())
+        want = (w * t).sum() / w.sum()
+        got = hpylm.draw_tables(np.full(n, c), names, 2, d, np.full(n, others), np.full(n, parent))
+        assert abs(got.mean() - want) < 0.1 * want, (d, got.mean(), want)
+
+
+def test_sitters_have_the_right_mean():
+    names = np.random.default_rng(2).integers(1, 1 << 62, 50_000).astype(np.uint64)
+    for group, p in ((8, 0.01), (100, 0.03), (1000, 0.2), (5000, 0.9)):
+        got = hpylm._sitters(np.full(len(names), group), np.full(len(names), p), names, 3)
+        assert abs(got.mean() - group * p) < 0.03 * group * p + 0.01 and got.max() <= group
+
+
+def test_counts_are_packed_and_unpacked():
+    for x in ([], [0, 1, 254], [255, 256, 3, 10**12], [255] * 9):
+        x = np.array(x, np.int64)
+        assert hpylm.unpack(hpylm.pack(x), len(x)).tolist() == x.tolist()
 
 
 def test_empty_tables(spark, no_docs, docs):
