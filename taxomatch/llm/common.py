@@ -24,10 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def saved(df: DataFrame, name: str, passing: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: the plan
-    runs once, and later stages survive the loss of any executor."""
+    runs once, and later stages survive the loss of any executor. The path is
+    added to ``passing``, for a caller that deletes it when it is done."""
     path = scratch_dir(df.sparkSession, name)
+    if passing is not None:
+        passing.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -332,14 +332,14 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     every row; the rows for which ``held_out`` is not true are learned from."""
     docs = docs.select(key, F.col(text).alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
 
-    with block_table(docs, "_text", [key, "_held"], lower=True, hashed=True) as (table, buckets):
+    with block_table(docs, "_text", [key, "_held"], lower=True, hashed=True) as (table, buckets, passing):
 
         def counts(b: Block) -> Iterator[pa.RecordBatch]:
             t = Tokens(b)
             yield _questions(t.block, t.words[t.order], [t.count[t.order]], buckets, False)
             yield _questions(t.block, t.pairs, [t.pair_count], buckets, True)
 
-        base = saved(answer(ask(table, counts, QUESTION), _counted, ANSWER), "counts")
+        base = saved(answer(ask(table, counts, QUESTION), _counted, ANSWER), "counts", passing)
         _release(table)
         total = _totals(base)
         n, v = total.get("words", (0, 0))
@@ -347,7 +347,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         base = base.where("kind in ('words', 'pairs')")
         sums: list[DataFrame] = []
         for sweep in range(samples + 1):
-            customers, tables, word_discount = _sweep(table, base, sums, seats, sweep, buckets)
+            customers, tables, word_discount = _sweep(table, base, sums, seats, sweep, buckets, passing)
             if sweep == 0:
                 seats.word_discount = word_discount
             seats.scalars.append((customers, tables))
@@ -371,7 +371,8 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         return saved(with_answers(table, every, scores, schema), "scores")
 
 
-def _sweep(table: DataFrame, base: DataFrame, sums: list[DataFrame], seats: Seating, sweep: int, buckets: int) -> tuple[int, int, float]:
+def _sweep(table: DataFrame, base: DataFrame, sums: list[DataFrame], seats: Seating, sweep: int, buckets: int,
+           passing: list[str]) -> tuple[int, int, float]:
     """Seat every dish once, append the sums per word to ``sums``; returns the
     parent restaurant's customers and tables, and its discount by the counts."""
 
@@ -393,7 +394,7 @@ def _sweep(table: DataFrame, base: DataFrame, sums: list[DataFrame], seats: Seat
         return pa.concat_tables([out, more])
 
     told = base.unionAll(sums[-1]) if sums else base
-    done = saved(answer(with_answers(table, told, tables, QUESTION), summed, ANSWER), "sums")
+    done = saved(answer(with_answers(table, told, tables, QUESTION), summed, ANSWER), "sums", passing)
     sums.append(done.where("kind not like 'total %'"))
     total = _totals(done)
     return *total.get(str(sweep), (0, 0)), _discount(*total.get("few", (0, 0)))

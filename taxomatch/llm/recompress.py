@@ -154,7 +154,7 @@ def _windows(b: Block, window: int, candidate: np.ndarray):
     return start, one, two
 
 
-def _marked(table: DataFrame, buckets: int, window: int, rounds: int, out, schema: str) -> DataFrame:
+def _marked(table: DataFrame, buckets: int, passing: list[str], window: int, rounds: int, out, schema: str) -> DataFrame:
     """``out(block, removed)``: removed holds a flag for each word."""
 
     def symbols(b: Block) -> Iterator[pa.RecordBatch]:
@@ -200,7 +200,7 @@ def _marked(table: DataFrame, buckets: int, window: int, rounds: int, out, schem
         return out(b, removed)
 
     shared = answer(ask(table, symbols, QUESTION), _shared, ANSWER)
-    second = saved(with_answers(table, shared, verify, QUESTION), "window-questions")
+    second = saved(with_answers(table, shared, verify, QUESTION), "window-questions", passing)
     notes = second.where("bucket < 0").selectExpr("bucket", "block", "hashes as shared")
     return with_answers(table, answer(second.where("bucket >= 0"), _shared, ANSWER).unionAll(notes), remove, schema)
 
@@ -222,8 +222,8 @@ def removal_digests(docs: DataFrame, window: int = 35, key: str = "doc_id", text
             sha.append(hashlib.sha256(b" ".join([words[k] for k in own.tolist()])).hexdigest())
         return pa.table({key: b.rows.column("_c0"), "n_words": sizes, "n_removed": gone, "kept_sha256": sha})
 
-    with block_table(docs, text, [key], lower=False) as (table, buckets):
-        return saved(_marked(table, buckets, window, rounds, out, f"{key_fields(docs, key)}, n_words long, n_removed long, kept_sha256 string"), "removed")
+    with block_table(docs, text, [key], lower=False) as (table, buckets, passing):
+        return saved(_marked(table, buckets, passing, window, rounds, out, f"{key_fields(docs, key)}, n_words long, n_removed long, kept_sha256 string"), "removed")
 
 
 def without_repeats(docs: DataFrame, window: int = 35, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -245,6 +245,6 @@ def without_repeats(docs: DataFrame, window: int = 35, text: str = "text", round
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"_c{k} {kinds[c]}" for k, c in enumerate(others)), "_text string", "_removed long"])
-    with block_table(docs, text, others, lower=False, keep_text=True) as (table, buckets):
-        done = saved(_marked(table, buckets, window, rounds, out, schema), "cut")
+    with block_table(docs, text, others, lower=False, keep_text=True) as (table, buckets, passing):
+        done = saved(_marked(table, buckets, passing, window, rounds, out, schema), "cut")
     return done.select(*[F.col("_text" if c == text else f"_c{others.index(c)}").alias(c) for c in docs.columns], "_removed")

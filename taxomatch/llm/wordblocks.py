@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxomatch.llm.common import map_arrow, raw_texts, resident, text_slices
-from taxomatch.session import ship_package
+from taxomatch.llm.common import delete, map_arrow, raw_texts, resident, text_slices
+from taxomatch.session import scratch_dir, ship_package
 
 BLOCK_BYTES = 8 << 20
 SCHEMA = "block long, docs long, n_words long, rows binary, sizes binary, ids binary, words binary, lengths binary"
@@ -117,20 +117,24 @@ def blocks(docs: DataFrame, text: str, carry: list[str], lower: bool, keep_text:
 
 
 @contextlib.contextmanager
-def block_table(docs: DataFrame, text: str, carry: list[str], lower: bool, keep_text: bool = False, hashed: bool = False) -> Iterator[tuple[DataFrame, int]]:
-    """The written table and the number of buckets for questions; the table is
-    dropped at the end."""
+def block_table(docs: DataFrame, text: str, carry: list[str], lower: bool, keep_text: bool = False, hashed: bool = False) -> Iterator[tuple[DataFrame, int, list[str]]]:
+    """The written table, the number of buckets for questions, and a list for
+    the paths of other tables that are only needed inside. The table lies in
+    the shared checkpoint folder; all of them are deleted at the end."""
     spark = docs.sparkSession
     name = f"word_blocks_{uuid.uuid4().hex[:12]}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     frame = blocks(docs, text, carry, lower, keep_text, hashed)
-    frame.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
+    passing = [scratch_dir(spark, "word-blocks")]
+    frame.write.format("parquet").option("compression", "zstd").option("path", passing[0]).bucketBy(buckets, "block").saveAsTable(name)
     try:
         own = spark.table(name)
         total = own.agg(F.sum("n_words")).first()[0] or 0
-        yield own, max(1, -(-total // BUCKET_WORDS))
+        yield own, max(1, -(-total // BUCKET_WORDS)), passing
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in passing:
+            delete(spark, path)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:

@@ -1,12 +1,9 @@
-import os
+"""Odd inputs that the operators' tests share."""
+
 import random
-import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
 PARTS = ["</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<\\s>", "\\", "\n", "\t", " ", "  ", "　", "\xa0", "a", "the", "The", "é", "é", "ß", "İ", "Σ",
          "1", "42", "'s", "don't", "<|endoftext|>", "<|startoftext|>", "<|x", "🙂", "中文", "𝒳", ".", "!!", "$1", "\x1c", "\x85", "\x00", "\r\n"]
 
@@ -20,13 +17,13 @@ def odd_texts(n: int, seed: int = 1) -> list:
     return [*out, None, "", "  \n", out[0], out[0], long, "x" * 50_000]
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture(scope="module")
 def odd_docs(spark):
     """Odd texts with null and repeated ids and columns whose names clash."""
     rows = [(k if k % 17 else None, t, "x", 1.5, True) for k, t in enumerate(odd_texts(60), 1)] + [(3, "the same id", "y", 2.5, False)]
     return spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, score double, _text boolean").repartition(3)
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture(scope="module")
 def no_docs(spark):
     return spark.createDataFrame([], "doc_id long, text string")

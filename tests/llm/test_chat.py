@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import PARTS, odd_texts
+from odd import PARTS, odd_texts
 from taxomatch.llm import chat
 
 ROLES = ["user", "assistant", "system", "tool", "a\nb", "a\\n", "\\\\n", "</s>", "", None]

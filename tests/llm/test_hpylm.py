@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from odd import no_docs  # noqa: F401  fixtures
 from taxomatch.llm import hpylm, wordblocks
 from taxomatch.llm.common import crc_mod
 

@@ -1,5 +1,6 @@
 """Registered queries, their SQL, and the pipeline against brute force."""
 
+import os
 import sys
 
 import numpy as np
@@ -7,7 +8,10 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-import oracle_check as oc
+from odd import odd_texts  # noqa: F401  puts this folder on the path first
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+import oracle_check as oc  # noqa: E402
 from taxomatch.llm import quality
 from taxomatch.llm.common import saved, table
 from taxomatch.llm.queries import ORACLE_SQL, QUERIES

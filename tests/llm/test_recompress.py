@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+from odd import no_docs  # noqa: F401  fixtures
 from taxomatch.llm import recompress, wordblocks
 
 
@@ -99,7 +100,7 @@ def test_table_is_dropped_and_empty_input(spark, no_docs):
 
 def test_blocks_are_not_shuffled_for_answers(spark):
     df = spark.createDataFrame([(k, f"some text {k}") for k in range(50)], "doc_id long, text string")
-    with wordblocks.block_table(df, "text", ["doc_id"], False) as (table, buckets):
+    with wordblocks.block_table(df, "text", ["doc_id"], False) as (table, buckets, _):
         q = wordblocks.answer(wordblocks.ask(table, lambda b: iter(()), recompress.QUESTION), recompress._shared, recompress.ANSWER)
         plan = wordblocks.with_answers(table, q, lambda b, a: a, recompress.ANSWER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2  # questions and answers

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from odd import no_docs, odd_docs  # noqa: F401  fixtures
 from taxomatch.llm import simhash
 from taxomatch.llm.components import components, forest
 

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from odd import no_docs, odd_docs  # noqa: F401  fixtures
 from taxomatch.llm import bpe_codec, bpe_count, packing, wordids
 
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
