@@ -49,6 +49,9 @@ def histogram(df: DataFrame, column: str, bins: int = 20, weight: str | None = N
     range. ``weight``: a column of row counts. Columns: bin (1-based), lo, hi, mid,
     count."""
     c = F.col(f"`{column}`")
+    if weight is None:  # the values are counted once; both passes below read the counts
+        df = reliable_checkpoint(df.groupBy(c.alias(column)).agg(F.count(F.lit(1)).alias("_rows")))
+        weight = "_rows"
     st = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).collect()[0]
     spark = df.sparkSession
     if st["lo"] is None:
@@ -63,7 +66,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20, weight: str | None = N
     i0 = F.least(F.greatest(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)), F.lit(0)), F.lit(bins - 1)).cast("int")
     # correct float rounding against the exact edges, as numpy does
     i1 = F.when(x < edge(i0), i0 - 1).when((x >= edge(i0 + 1)) & (i0 != bins - 1), i0 + 1).otherwise(i0)
-    counts = (df.where(c.isNotNull()).select(i1.alias("i"), (F.col(weight) if weight else F.lit(1)).alias("w"))
+    counts = (df.where(c.isNotNull()).select(i1.alias("i"), F.col(weight).alias("w"))
               .groupBy("i").agg(F.sum("w").alias("count")))
     frame = spark.range(bins).select(F.col("id").cast("int").alias("i"))
     return (frame.join(counts, "i", "left")

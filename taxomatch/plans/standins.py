@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from taxomatch.functions.text import title_words
 from taxomatch.functions.vectors import mask_positions
 from taxomatch.operators.centroid import centroids
-from taxomatch.session import bounded_broadcast, spread_input
+from taxomatch.session import spread_input
 
 # Stand-in vocabulary for the ten embedding labels (fixed values of this repo).
 LABEL_WORDS = ("Nurse", "Teacher", "Driver", "Clerk", "Engineer", "Analyst", "Cook", "Guard", "Painter", "Welder")
@@ -162,7 +162,7 @@ def skill_rows(spark, d) -> DataFrame:
 def tool_rows(spark, d) -> DataFrame:
     c = table(spark, d, "customer")
     n = table(spark, d, "nation")
-    return (c.join(bounded_broadcast(n), c.c_nationkey == n.n_nationkey)
+    return (c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)  # 25 rows at any size
             .select(cust_code("c_custkey").alias("code"), F.col("n_name").alias("text"),
                     F.col("c_custkey").alias("seq")))
 

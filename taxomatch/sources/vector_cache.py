@@ -14,6 +14,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxomatch.session import reliable_checkpoint
 from taxomatch.sources.tables import _exists
 
 
@@ -31,6 +32,7 @@ def write_vector_cache(kb_vectors: DataFrame, root: str, model_name: str, overwr
     path = f"{root.rstrip('/')}/model={key}"
     if _exists(spark, path) and not overwrite:
         raise FileExistsError(f"vector cache for {model_name!r} exists at {path}; pass overwrite=True")
+    kb_vectors = reliable_checkpoint(kb_vectors)  # counted and written from one copy
     n = kb_vectors.count()
     out = (kb_vectors.withColumn("kb_rows", F.lit(n).cast("long"))
            .withColumn("kb_path", F.lit(kb_path))
