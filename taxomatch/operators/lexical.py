@@ -13,10 +13,11 @@ idf(t) = ln((N - n(t) + 0.5) / (n(t) + 0.5)); a negative idf is replaced by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxomatch.functions.text import joined_parts, tokens
+from taxomatch.session import bounded_broadcast
 
 # Okapi BM25 defaults.
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
@@ -57,3 +58,16 @@ def bm25_index(corpus: DataFrame, key: str = "code", text: str = "text", **kw) -
     post = bm25_postings(corpus, key, text, **kw)
     return (post.groupBy(key)
             .agg(F.collect_list(F.struct("token", "weight")).alias("bm25_terms")))
+
+
+def overlap_topk(queries: DataFrame, kb: DataFrame, k: int = 3, query_id: str = "query_id") -> DataFrame:
+    """(query_id, rank, code, overlap): the ``k`` KB rows that share most words
+    with a query, ties by code; KB rows that share none are not listed. Both
+    sides hold ``title_words`` (word sets). JVM-side: a join on the word with
+    the KB's words, broadcast if their size allows, counts, and a rank whose
+    limit Spark applies before the shuffle."""
+    words = queries.select(query_id, F.explode("title_words").alias("_w"))
+    known = bounded_broadcast(kb.select("code", F.explode("title_words").alias("_w")).distinct())
+    shared = words.distinct().join(known, "_w").groupBy(query_id, "code").agg(F.count(F.lit(1)).alias("overlap"))
+    best = Window.partitionBy(query_id).orderBy(F.desc("overlap"), "code")
+    return shared.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query_id, "rank", "code", "overlap")

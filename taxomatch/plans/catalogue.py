@@ -463,11 +463,8 @@ def title_overlap(spark: SparkSession, d: str) -> DataFrame:
     corpus = _bench_corpus(spark, d).withColumn("title_words", tx.title_words("text"))
     docs = si.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"),
                                                    tx.title_words("text").alias("title_words"))
-    w0 = {n: 0.0 for n in TUNED_WEIGHTS}
-    r = match(docs, corpus, MatchConfig(weights=w0, title_boost=1.0, k=3))
-    return (to_long(r).where(F.col("score") > 0)
-            .select(F.col("query_id").alias("doc_id"), "rank", F.col("code").cast("long").alias("item_id"),
-                    F.col("score").cast("long").alias("overlap")))
+    r = lx.overlap_topk(docs, corpus, 3)
+    return r.select(F.col("query_id").alias("doc_id"), "rank", F.col("code").cast("long").alias("item_id"), "overlap")
 
 
 # ---------------------------------------------------------------------------

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from taxomatch.operators import evaluate as ev
 from taxomatch.operators import labels as lb
 from taxomatch.operators import report as rp
-from taxomatch.operators.lexical import bm25_index
-from taxomatch.operators.match import MatchConfig, match, prepare, to_wide
+from taxomatch.operators.lexical import bm25_index, overlap_topk
+from taxomatch.operators.match import MatchConfig, match, prepare, to_long, to_wide
 from taxomatch.session import delete_scratch, ensure_checkpoint_dir, scratch_dir
 from taxomatch.sources import tables as st
 
@@ -61,6 +61,15 @@ def test_a_vector_of_another_width_is_an_error(spark, force):
         match(q, kb_rows(spark, 3), MatchConfig(weights=W, force_blocked=force)).collect()
 
 
+def test_overlap_join_equals_the_boost_of_the_matcher(spark):
+    words = lambda *w: list(w)
+    kb = spark.createDataFrame([(f"c{k}", f"T {k}", words("a", f"w{k % 3}", f"v{k}")) for k in range(7)], "code string, title string, title_words array<string>")
+    q = spark.createDataFrame([(1, words("a", "w1", "a")), (2, words("v3", "w0")), (3, words("zzz")), (4, []), (5, None)], "query_id long, title_words array<string>")
+    got = sorted((r.query_id, r["rank"], r.code, r.overlap) for r in overlap_topk(q, kb, 3).collect())
+    r = to_long(match(q, kb, MatchConfig(weights={}, title_boost=1.0, k=3))).where("score > 0").collect()
+    assert got == sorted((x.query_id, x["rank"], x.code, int(x.score)) for x in r) and got
+
+
 def test_prepared_kb_is_closed(spark):
     p = prepare(kb_rows(spark, 3), MatchConfig(weights=W))
     assert len(rows_of(match(queries(spark), p))) == 5
