@@ -18,7 +18,7 @@ from unicodedata import normalize
 import numpy as np
 
 FENCE = "<|startoftext|>"
-PER_CALL = 256
+PER_LINE, PER_CALL = 128, 8192
 #: Fixed value: the split pattern of the file, without its white space part.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -54,19 +54,25 @@ class WordIds:
         return [np.array(x.ids, "<u4") for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _dealt(self, words: list[str]) -> list[bytes]:
-        """The ids of each word of a batch."""
-        got = self._encode([" ".join(words)])[0]
-        ends = np.flatnonzero(self.last[got]) + 1
-        upto = np.cumsum([1 if w.isalpha() else len(self.pieces((w if w.isascii() else normalize("NFC", w)).lower())) for w in words])
-        if len(ends) != upto[-1] or (len(got) and ends[-1] != len(got)):
-            got = self._encode([FENCE.join(words)])[0]
-            at = np.flatnonzero(got == self.fence)
-            lo, hi = [0, *(at + 1).tolist()], [*at.tolist(), len(got)]
-        else:
-            hi = np.concatenate([[0], ends])[upto].tolist()
-            lo = [0, *hi[:-1]]
+        """The ids of each word, PER_LINE words to a text."""
+        lines = [words[k:k + PER_LINE] for k in range(0, len(words), PER_LINE)]
+        got = self._encode([" ".join(x) for x in lines])
+        count = np.array([1 if w.isalpha() else len(self.pieces((w if w.isascii() else normalize("NFC", w)).lower())) for w in words])
+        flat = np.concatenate(got)
+        ends = np.concatenate([[0], np.flatnonzero(self.last[flat]) + 1])
+        upto = np.cumsum(count)
+        border = upto[np.cumsum([len(x) for x in lines]) - 1]
+        if border[-1] + 1 == len(ends) and (ends[border] == np.cumsum([len(g) for g in got])).all():
+            hi = ends[upto].tolist()
+            raw = flat.tobytes()
+            return [raw[4 * a:4 * b] for a, b in zip([0, *hi[:-1]], hi, strict=True)]
+        return [x for line in lines for x in self._fenced(line)]
+
+    def _fenced(self, words: list[str]) -> list[bytes]:
+        got = self._encode([FENCE.join(words)])[0]
+        at = np.flatnonzero(got == self.fence)
         raw = got.tobytes()
-        return [raw[4 * a:4 * b] for a, b in zip(lo, hi, strict=True)]
+        return [raw[4 * a:4 * b] for a, b in zip([0, *(at + 1).tolist()], [*at.tolist(), len(got)], strict=True)]
 
     def learn(self, words: Iterable[bytes]) -> None:
         """Put the words into the table."""
@@ -87,9 +93,10 @@ class WordIds:
     def of(self, words: list[bytes]) -> list:
         """What the table holds for each word, learning those it lacks."""
         got = list(map(self.ids.get, words))
-        if None in got:
-            self.learn([w for w, x in zip(words, got, strict=True) if x is None])
-            got = list(map(self.ids.__getitem__, words))
+        lacking = [k for k, x in enumerate(got) if x is None]
+        self.learn([words[k] for k in lacking])
+        for k in lacking:
+            got[k] = self.ids[words[k]]
         return got
 
     def trim(self) -> None:
