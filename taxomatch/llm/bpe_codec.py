@@ -29,13 +29,13 @@ from taxomatch.llm.common import key_fields, keyed, map_arrow, raw_texts, reside
 from taxomatch.llm.wordids import WordIds
 
 WINDOW = 16  # bytes that a border depends on
-MASK = 63  # one border in 64 bytes
-CHUNKS = 120_000  # table size
+MASK = 127  # one border in 128 bytes
+CHUNKS = 80_000  # table size
 
 
 def borders(buf: np.ndarray) -> np.ndarray:
     """Positions where a chunk ends: the rolling hash of the last WINDOW bytes
-    has its six top bits clear."""
+    has its seven top bits clear."""
     if not len(buf):
         return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
@@ -48,7 +48,7 @@ def borders(buf: np.ndarray) -> np.ndarray:
             far[span:] = h[:-span] if span < len(h) else 0
             h = h + far * np.uint32(pow(0x01000193, span, 1 << 32))
             span *= 2
-    return np.flatnonzero((h >> np.uint32(26)) & np.uint32(MASK) == 0) + 1
+    return np.flatnonzero((h >> np.uint32(25)) & np.uint32(MASK) == 0) + 1
 
 
 class Chunk:
@@ -63,15 +63,11 @@ class Chunk:
 
 class ChunkCodec:
     def __init__(self, path: str):
-        self.words = WordIds(path, 200_000, lambda ids: (ids, self._text(ids)))
+        self.words = WordIds(path, 200_000, shown=True)
         if self.words.tok.decoder is not None:
             raise ValueError("only files without a decoder are supported")
         self.chunks: dict[bytes, Chunk | None] = {}
 
-    def _text(self, ids: bytes) -> bytes:
-        token = self.words.token
-        return " ".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()]).encode()
-
     def encode(self, raws: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as bytes, decoded text) of each text."""
         self.words.trim()

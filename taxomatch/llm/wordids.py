@@ -12,7 +12,7 @@ them as a fence.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from unicodedata import normalize
 
 import numpy as np
@@ -24,11 +24,11 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
 class WordIds:
-    """``ids[word]``: ``make`` of the word's ids as little-endian unsigned
-    32-bit bytes. Two generations of at most ``limit`` words and one slice are
+    """``ids[word]``: the word's ids as little-endian unsigned 32-bit bytes or,
+    if ``shown``, a pair of them and the tokens joined by spaces. Two generations of at most ``limit`` words and one slice are
     kept; a word that is used moves to the young one."""
 
-    def __init__(self, path: str, limit: int = 300_000, make: Callable = lambda ids: ids):
+    def __init__(self, path: str, limit: int = 300_000, shown: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -46,14 +46,14 @@ class WordIds:
         mark = self.tok.model.end_of_word_suffix
         self.last = np.array([bool(mark) and t.endswith(mark) for t in self.token])
         self.pieces = regex.compile(SPLIT).findall
-        self.limit, self.make = limit, make
+        self.limit, self.shown = limit, shown
         self.ids: dict[bytes, object] = {}
         self.old: dict[bytes, object] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _dealt(self, words: list[str]) -> list[bytes]:
+    def _dealt(self, words: list[str]) -> list:
         """The ids of each word, PER_LINE words to a text."""
         lines = [words[k:k + PER_LINE] for k in range(0, len(words), PER_LINE)]
         got = self._encode([" ".join(x) for x in lines])
@@ -64,15 +64,21 @@ class WordIds:
         border = upto[np.cumsum([len(x) for x in lines]) - 1]
         if border[-1] + 1 == len(ends) and (ends[border] == np.cumsum([len(g) for g in got])).all():
             hi = ends[upto].tolist()
-            raw = flat.tobytes()
-            return [raw[4 * a:4 * b] for a, b in zip([0, *hi[:-1]], hi, strict=True)]
+            return self._cut(flat, [0, *hi[:-1]], hi)
         return [x for line in lines for x in self._fenced(line)]
 
-    def _fenced(self, words: list[str]) -> list[bytes]:
+    def _fenced(self, words: list[str]) -> list:
         got = self._encode([FENCE.join(words)])[0]
         at = np.flatnonzero(got == self.fence)
-        raw = got.tobytes()
-        return [raw[4 * a:4 * b] for a, b in zip([0, *(at + 1).tolist()], [*at.tolist(), len(got)], strict=True)]
+        return self._cut(got, [0, *(at + 1).tolist()], [*at.tolist(), len(got)])
+
+    def _cut(self, ids: np.ndarray, lo: list[int], hi: list[int]) -> list:
+        raw = ids.tobytes()
+        out = [raw[4 * a:4 * b] for a, b in zip(lo, hi, strict=True)]
+        if not self.shown:
+            return out
+        token = list(map(self.token.__getitem__, ids.tolist()))
+        return list(zip(out, [" ".join(token[a:b]).encode() for a, b in zip(lo, hi, strict=True)], strict=True))
 
     def learn(self, words: Iterable[bytes]) -> None:
         """Put the words into the table."""
@@ -83,12 +89,13 @@ class WordIds:
             if (known := self.old.get(w)) is not None:
                 self.ids[w] = known
             elif b"<|" in w:  # may hold a special token
-                self.ids[w] = self.make(self._encode([w.decode()])[0].tobytes())
+                got = self._encode([w.decode()])[0]
+                self.ids[w] = self._cut(got, [0], [len(got)])[0]
             else:
                 plain.append(w)
         for k in range(0, len(plain), PER_CALL):
             part = plain[k:k + PER_CALL]
-            self.ids.update(zip(part, map(self.make, self._dealt([w.decode() for w in part])), strict=True))
+            self.ids.update(zip(part, self._dealt([w.decode() for w in part]), strict=True))
 
     def of(self, words: list[bytes]) -> list:
         """What the table holds for each word, learning those it lacks."""
