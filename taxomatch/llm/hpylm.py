@@ -7,12 +7,15 @@ after that context; each of its tables is a customer of the parent.
 
 Seating is sampled by Gibbs sweeps over table counts: for each dish of each
 restaurant the number of tables is drawn given its customers, the restaurant's
-other tables and the parent's probabilities of the previous sweep; up to EXACT
-customers from the exact conditional (generalised Stirling numbers), beyond
-that by seating the further customers in growing groups. The draws come from a
-hash of (context, word, sweep), so whoever needs a dish's tables draws the same
-number, and no table count is ever moved. A token's probability is averaged
-over the sampled seatings.
+other tables and the parent's probabilities of the previous sweep, from the
+conditional at any number of customers: generalised Stirling numbers by their
+recursion up to EXACT customers, beyond that as ``stirling`` gives them. The
+dishes of a sweep are drawn side by side, each against the others' tables of the
+previous sweep; its own are not among them. (A word of the parent restaurant:
+its own are drawn again for its present customers, as no one keeps the former
+number.) The draws come from a hash of (context, word, sweep), so whoever needs
+a dish's tables draws the same number, and no table count is ever moved. A
+token's probability is averaged over the sampled seatings.
 
 Counts come from the whole corpus: blocks ask for the counts of their distinct
 words and pairs, and buckets of hash ranges sum them; the block that a bucket
@@ -35,12 +38,15 @@ from pyspark.sql import functions as F
 
 from taxomatch.llm.common import key_fields, saved
 from taxomatch.llm.recompress import ODD, mix
+from taxomatch.llm.stirling import few_tables, lgamma, log_stirling
 from taxomatch.llm.wordblocks import Block, answer, ask, block_table, cut, with_answers
 
 END = np.uint64(0x5D1F0C2E9A7B3846)  # names of the two marks
 BEGIN = np.uint64(0xA8C3E1F7246B590D)
 SAMPLES = 2
 EXACT = 64
+CELLS = 128  # steps of the draw of a large number
+FEW, ROWS = 40, 8192  # tables and customers whose Stirling numbers are kept
 STRENGTH = 1.0
 QUESTION = "bucket int, block long, a binary, b binary, c binary"
 ANSWER = "kind string, bucket int, block long, a binary, b binary, x long, y long"
@@ -108,20 +114,65 @@ def draw_tables(count: np.ndarray, names: np.ndarray, salt: int, discount: float
             np.exp(w, out=w)
             np.cumsum(w, axis=1, out=w)
             tables[k] = 1 + (w < (uniform(names[k], salt) * w[:, -1]).astype(np.float32)[:, None]).sum(axis=1)
-    # the conditional hardly changes beyond EXACT customers while the tables are
-    # few; where they are many, the further customers sit in groups that grow
-    k, seated, step = np.flatnonzero((count > EXACT) & (tables > EXACT // 4)), EXACT, 0
-    while len(k):
-        group = np.minimum(count[k] - seated, max(1, seated // 8))
-        new = (STRENGTH + discount * (others[k] + tables[k])) * parent[k]
-        p = new / (new + seated - discount * tables[k])
-        step += 1
-        tables[k] += _sitters(group, p, names[k], salt + 1000 * step)
-        seated += max(1, seated // 8)
-        k = k[count[k] > seated]
+    large = np.flatnonzero(count > EXACT)
+    for lo in range(0, len(large), 4096):
+        k = large[lo:lo + 4096]
+        tables[k] = _draw_large(count[k], uniform(names[k], salt), discount, others[k], parent[k])
     return tables
 
 
+def _bisect(lo: np.ndarray, hi: np.ndarray, beyond) -> np.ndarray:
+    """The first number from lo for which ``beyond`` holds, or hi."""
+    lo, hi = lo.copy(), hi.copy()
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        up = (lo < hi) & ~beyond(np.minimum(mid, hi))
+        lo, hi = np.where(up, mid + 1, lo), np.where(up, hi, np.maximum(mid, lo))
+    return lo
+
+
+def _draw_large(count: np.ndarray, u: np.ndarray, discount: float, others: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Tables of dishes of more than EXACT customers. Where numbers beyond FEW
+    weigh nothing, all up to FEW are weighed, else those around the peak."""
+    base, each = STRENGTH / discount + others, np.log(discount * parent)
+    known, which = np.unique(count, return_inverse=True)
+    t, kept = np.arange(1, FEW + 1), known < ROWS
+    rows = np.empty((len(known), FEW))
+    rows[kept] = few_tables(discount, ROWS, FEW)[known[kept]]
+    rows[~kept] = log_stirling(discount, known[~kept][:, None], t)
+    w = np.cumsum(np.log(base[:, None] + (t - 1)), axis=1) + each[:, None] * t + rows[which]
+    w -= w.max(axis=1, keepdims=True)
+    many = np.flatnonzero(w[:, -1] > -30)
+    w = np.cumsum(np.exp(w), axis=1)
+    out = 1 + (w < (u * w[:, -1])[:, None]).sum(axis=1)
+    if len(many):
+        out[many] = _draw_peak(count[many], u[many], discount, base[many], each[many])
+    return out
+
+
+def _draw_peak(count: np.ndarray, u: np.ndarray, discount: float, base: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """The weights of 1, 2, ... tables have one peak, no wider than a Poisson
+    distribution's; the numbers around it lie in up to CELLS cells, of one
+    number each where they are few."""
+
+    def weight(t: np.ndarray) -> np.ndarray:
+        return t * each + lgamma(base + t) + log_stirling(discount, count, t)
+
+    peak = _bisect(np.ones_like(count), count, lambda t: weight(np.minimum(t + 1, count)) <= weight(t))
+    reach = (8 * np.sqrt(peak)).astype(np.int64) + 12
+    first, end = np.maximum(peak - reach, 1), np.minimum(peak + reach, count) + 1
+    width = -(-(end - first) // CELLS)
+    start = first + width * np.arange(CELLS)[:, None]
+    w = weight(np.clip(start + (width - 1) / 2, 1, count))
+    w = np.where(start < end, np.exp(w - w.max(axis=0)), 0) * np.clip(end - start, 0, width)
+    upto = np.cumsum(w, axis=0)
+    u = u * upto[-1]
+    cell = np.minimum((upto < u).sum(axis=0), CELLS - 1)
+    at = cell, np.arange(len(cell))
+    inside = (u - upto[at] + w[at]) / w[at] * np.minimum(width, end - start[at])
+    return np.clip(start[at] + inside.astype(np.int64), 1, end - 1)
+
+
 def classes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct values in order, a place of each, start of each among the
     sorted places, sorted places). Unlike numpy's unique it does without a
@@ -173,6 +224,7 @@ class Tokens:
         self.pair_count = np.add.reduceat(train[self._sorted].astype(np.int64), start)
         self._start = start
         self.order = np.argsort(self.words)
+        self.seated: dict[int, np.ndarray] = {}  # tables of the pairs after a sweep
 
     @property
     def pair(self) -> np.ndarray:
@@ -291,15 +343,18 @@ class Seating:
         """Tables of each word in the parent restaurant: one at first."""
         if sweep == 0:
             return np.minimum(customers, 1)
-        before = self.scalars[sweep - 1][1]
-        return draw_tables(customers, words, 7000 + sweep, self.word_discount, np.full(len(customers), max(0, before - 1)), np.full(len(customers), 1 / self.outcomes))
+        others = np.maximum(self.scalars[sweep - 1][1] - self.word_tables(sweep - 1, customers, words), 0)
+        return draw_tables(customers, words, 7000 + sweep, self.word_discount, others, np.full(len(customers), 1 / self.outcomes))
 
     def pair_tables(self, sweep: int, t: Tokens, told: Told) -> np.ndarray:
         """Tables of each pair of a block after a sweep: one at first."""
         if sweep == 0:
             return np.minimum(told.pair_count, 1)
-        tables, parent = told.sums[sweep - 1][1], self.block_parent(sweep - 1, t, told)
-        return draw_tables(told.pair_count, t.pairs, sweep, self.pair_discount, np.maximum(tables[t.context] - 1, 0), parent[t.word])
+        if sweep not in t.seated:
+            others = told.sums[sweep - 1][1][t.context] - self.pair_tables(sweep - 1, t, told)
+            parent = self.block_parent(sweep - 1, t, told)[t.word]
+            t.seated[sweep] = draw_tables(told.pair_count, t.pairs, sweep, self.pair_discount, np.maximum(others, 0), parent)
+        return t.seated[sweep]
 
     def probability(self, sweep: int, t: Tokens, told: Told) -> np.ndarray:
         """Predictive probability of each pair of a block."""
@@ -393,7 +448,9 @@ def _sweep(table: DataFrame, base: DataFrame, sums: list[DataFrame], seats: Seat
         more = _answers("few", q.bucket, [], [], [], ((customers == 1).sum(), (customers == 2).sum()))
         return pa.concat_tables([out, more])
 
-    told = base.unionAll(sums[-1]) if sums else base
+    told = base
+    for s in sums:
+        told = told.unionAll(s)
     done = saved(answer(with_answers(table, told, tables, QUESTION), summed, ANSWER), "sums", passing)
     sums.append(done.where("kind not like 'total %'"))
     total = _totals(done)

@@ -149,6 +149,34 @@ def test_many_customers_follow_the_exact_conditional():
         assert abs(got.mean() - want) < 0.1 * want, (d, got.mean(), want)
 
 
+def exact_tables(d, others, parent, c, most):
+    """Mean, deviation and weights of 1 to ``most`` tables, by the recursion."""
+    s, t = np.full(most + 2, -np.inf), np.arange(1, most + 1)
+    s[1] = 0
+    for k in range(1, c):
+        s[1:-1] = np.logaddexp(s[:-2], np.log(np.maximum(k - d * t, 1e-300)) + s[1:-1])
+    w = np.cumsum(np.log(hpylm.STRENGTH + d * (others + t - 1))) + t * math.log(parent) + s[1:-1]
+    w = np.exp(w - w.max())
+    w /= w.sum()
+    assert w[-1] < 1e-9
+    mean = (w * t).sum()
+    return mean, math.sqrt((w * (t - mean) ** 2).sum()), w
+
+
+@pytest.mark.parametrize(("d", "others", "parent", "c"), [(0.8, 3000, 0.01, 1000), (0.8, 3000, 0.01, 20_000), (0.8, 20_000, 0.005, 1000), (0.8, 20_000, 0.005, 20_000),
+                                                          (0.6, 100_000, 0.01, 20_000), (0.5, 30_000, 0.02, 1000), (0.9, 2000, 0.2, 20_000), (0.05, 3000, 0.05, 1000)])
+def test_large_counts_of_many_tables_follow_the_exact_conditional(d, others, parent, c):
+    mean, deviation, w = exact_tables(d, others, parent, c, min(c, 1500))
+    n = 4000
+    names = np.random.default_rng(3).integers(1, 1 << 62, n).astype(np.uint64)
+    got = hpylm.draw_tables(np.full(n, c), names, 2, d, np.full(n, others), np.full(n, parent))
+    assert mean > 25
+    assert abs(got.mean() - mean) < 5 * deviation / math.sqrt(n), (got.mean(), mean)
+    assert abs(got.std() - deviation) < 0.06 * deviation
+    share = np.searchsorted(np.sort(got), np.arange(1, len(w) + 1), side="right") / n
+    assert np.abs(share - np.cumsum(w)).max() < 0.035  # of the distribution, Kolmogorov's distance
+
+
 def test_sitters_have_the_right_mean():
     names = np.random.default_rng(2).integers(1, 1 << 62, 50_000).astype(np.uint64)
     for group, p in ((8, 0.01), (100, 0.03), (1000, 0.2), (5000, 0.9)):
