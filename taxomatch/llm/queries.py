@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxomatch.llm import bpe_codec, bpe_count, chat, hpylm, lattice, nearest, packing, quality, recompress, simhash, sql
+from taxomatch.llm import bpe_codec, bpe_count, chat, hpylm, lattice, nearest, packing, quality, recompress, runs, simhash, sql
 from taxomatch.llm.common import crc_mod, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -70,10 +72,28 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("held_out", crc_mod("doc_id", 3) == 1).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_cost_balanced_packing, op2_simhash_tiles, op3_budgeted_chat, op4_chunk_reuse_bpe, op5_e8_near_dedup, op6_heap_token_counts, op7_recompression_dedup, op8_pitman_yor_scores, op9_block_matrix_search, op10_subword_quality)}
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents, chosen by their id, go on with one period."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of them with a planted one."""
+    return runs.run_digests(table(spark, sf_dir, "documents"), min_words=24, times=3, rewrite=planted_period)
+
+
+QUERIES = {f.__name__: f for f in (op1_cost_balanced_packing, op2_simhash_tiles, op3_budgeted_chat, op4_chunk_reuse_bpe, op5_e8_near_dedup, op6_heap_token_counts, op7_recompression_dedup, op8_pitman_yor_scores, op9_block_matrix_search, op10_subword_quality,
+                                  op11_periodic_runs)}
 ORACLE_SQL: dict[str, str] = {
     "op3_budgeted_chat": sql.OP3,
     "op5_e8_near_dedup": sql.OP5,
     "op7_recompression_dedup": sql.OP7,
     "op9_block_matrix_search": sql.OP9,
+    "op11_periodic_runs": sql.OP11,
 }

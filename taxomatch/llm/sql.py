@@ -76,3 +76,45 @@ WITH v AS ({_VALID}), scored AS (
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP11 = rf"""
+WITH RECURSIVE bits AS (
+  SELECT n, 0 AS k, n AS c FROM range(256) r(n)
+  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+), crc AS (
+  SELECT doc_id, 0 AS k, 4294967295::BIGINT AS c FROM documents
+  UNION ALL SELECT doc_id, crc.k + 1, xor(b.c, crc.c >> 8) FROM crc JOIN bits b ON b.k = 8 AND b.n = xor(crc.c & 255, ascii(substr(doc_id::VARCHAR, crc.k + 1, 1))) WHERE crc.k < length(doc_id::VARCHAR)
+), hashed AS (SELECT doc_id, xor(c, 4294967295) AS h FROM crc WHERE k = length(doc_id::VARCHAR)
+), plain AS (
+  SELECT d.doc_id, {_WORDS} AS ws, h FROM documents d JOIN hashed h ON d.doc_id = h.doc_id
+), cuts AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a, h // 10 AS g FROM plain
+), steps AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM cuts
+), words AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_concat(ws[:a], list_transform(range(a, n), lambda i: ws[a + (i - a) % p + 1])) END AS ws FROM steps
+), places AS (
+  SELECT doc_id, n, i, ws[i + 1] AS word, CASE WHEN i + 16 <= n THEN md5(array_to_string(ws[i + 1:i + 16], ' ')) END AS gram
+  FROM (SELECT doc_id, n, ws, unnest(range(n)) AS i FROM words)
+), seeds AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM places x JOIN places y ON x.doc_id = y.doc_id AND x.gram = y.gram AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM seeds
+), stretches AS (SELECT doc_id, q, min(i) AS s, max(i) + 16 AS e FROM islands GROUP BY doc_id, q, island
+), whole AS (
+  SELECT doc_id, s, e + q AS ends, min(q) AS q FROM stretches WHERE e - s >= greatest(24 - q, 2 * q) GROUP BY doc_id, s, e + q
+), ranked AS (
+  SELECT *, ends - s AS n, row_number() OVER (PARTITION BY doc_id ORDER BY (ends - s) / q DESC, s, q) AS rank FROM whole
+), told AS (
+  SELECT doc_id, count(*) AS n_runs, max(s) FILTER (rank = 1) AS start, max(n) FILTER (rank = 1) AS length, max(q) FILTER (rank = 1) AS period,
+    string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM ranked GROUP BY doc_id
+), edges AS (
+  SELECT doc_id, at, sum(d) AS d FROM (SELECT doc_id, s + q AS at, 1 AS d FROM whole UNION ALL SELECT doc_id, ends, -1 FROM whole) GROUP BY doc_id, at
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM (
+    SELECT p.doc_id, p.i, p.word, sum(coalesce(e.d, 0)) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS inside
+    FROM places p LEFT JOIN edges e ON p.doc_id = e.doc_id AND p.i = e.at) WHERE inside = 0 GROUP BY doc_id
+)
+SELECT w.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM words w LEFT JOIN told t ON w.doc_id = t.doc_id LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
