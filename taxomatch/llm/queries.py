@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxomatch.llm import bpe_codec, bpe_count, chat, hpylm, lattice, nearest, packing, quality, recompress, runs, simhash, sql
+from taxomatch.llm import alignment, bpe_codec, bpe_count, chat, hpylm, lattice, nearest, packing, quality, recompress, runs, simhash, sql
 from taxomatch.llm.common import crc_mod, table
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op1_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +89,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(table(spark, sf_dir, "documents"), min_words=24, times=3, rewrite=planted_period)
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return alignment.alignment_digests(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
 QUERIES = {f.__name__: f for f in (op1_cost_balanced_packing, op2_simhash_tiles, op3_budgeted_chat, op4_chunk_reuse_bpe, op5_e8_near_dedup, op6_heap_token_counts, op7_recompression_dedup, op8_pitman_yor_scores, op9_block_matrix_search, op10_subword_quality,
-                                  op11_periodic_runs)}
+                                  op11_periodic_runs, op12_cross_tokenizer_alignment)}
 ORACLE_SQL: dict[str, str] = {
     "op3_budgeted_chat": sql.OP3,
     "op5_e8_near_dedup": sql.OP5,

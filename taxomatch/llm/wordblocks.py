@@ -117,26 +117,32 @@ def blocks(docs: DataFrame, text: str, carry: list[str], lower: bool, keep_text:
 
 
 @contextlib.contextmanager
-def block_table(docs: DataFrame, text: str, carry: list[str], lower: bool, keep_text: bool = False, hashed: bool = False) -> Iterator[tuple[DataFrame, int, list[str]]]:
-    """The written table, the number of buckets for questions, and a list for
+def bucketed(frame: DataFrame, name: str) -> Iterator[tuple[DataFrame, list[str]]]:
+    """``frame`` written once as a table bucketed by ``block``, and a list for
     the paths of other tables that are only needed inside. The table lies in
     the shared checkpoint folder; all of them are deleted at the end."""
-    spark = docs.sparkSession
-    name = f"word_blocks_{uuid.uuid4().hex[:12]}"
+    spark = frame.sparkSession
+    name = f"{name}_{uuid.uuid4().hex[:12]}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    frame = blocks(docs, text, carry, lower, keep_text, hashed)
-    passing = [scratch_dir(spark, "word-blocks")]
+    passing = [scratch_dir(spark, name)]
     frame.write.format("parquet").option("compression", "zstd").option("path", passing[0]).bucketBy(buckets, "block").saveAsTable(name)
     try:
-        own = spark.table(name)
-        total = own.agg(F.sum("n_words")).first()[0] or 0
-        yield own, max(1, -(-total // BUCKET_WORDS)), passing
+        yield spark.table(name), passing
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         for path in passing:
             delete(spark, path)
 
 
+@contextlib.contextmanager
+def block_table(docs: DataFrame, text: str, carry: list[str], lower: bool, keep_text: bool = False, hashed: bool = False) -> Iterator[tuple[DataFrame, int, list[str]]]:
+    """The written table, the number of buckets for questions, and the list of
+    ``bucketed``."""
+    with bucketed(blocks(docs, text, carry, lower, keep_text, hashed), "word_blocks") as (own, passing):
+        total = own.agg(F.sum("n_words")).first()[0] or 0
+        yield own, max(1, -(-total // BUCKET_WORDS)), passing
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for b in batches:
         for k in range(b.num_rows):
