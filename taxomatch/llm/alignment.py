@@ -2,16 +2,17 @@
 
 Both tokenizers' tokens cover the same bytes: a space and the text. Between two
 neighbouring shared cuts (byte offsets where tokens of both end) lies a group.
-``groups`` finds them: it takes the end near the middle of an interval of A's
-tokens, looks by bisection whether a token of B ends there too, goes on with the
-ends beside it until one is shared, and treats the two halves alike; an interval
-without a shared end inside is a group. Inside a group the links, that is the
-pairs of overlapping tokens, number its tokens less one.
+``shared_cuts`` finds them: it takes the end near the middle of an interval of
+A's tokens, looks by bisection whether a token of B ends there too, goes on with
+the ends beside it until one is shared, and treats the two halves alike; an
+interval without a shared end inside is a leaf, one group. All open intervals
+take each step together. Inside a group the links, that is the pairs of
+overlapping tokens, number its tokens less one.
 
 A text is first divided where a cut is certain: before a single space between
 two visible characters both tokenizers start anew, because neither has a token
 with a space after another character. Each distinct stretch between such spaces
-is tokenised and aligned once per worker, whatever its length.
+of a block of documents, whatever its length, is tokenised and aligned once.
 
 How many documents hold a pair linked is counted in two steps: a task writes its
 documents as blocks (stretch numbers, and each distinct pair once with the
@@ -32,9 +33,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,72 +49,56 @@ from taxomatch.session import ship_package
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
 BLOCK_BYTES = 8 << 20
-UNITS = 100_000  # stretches that a worker keeps, in each of two generations
-LONGEST = 200  # characters of a stretch that is kept
+LINE = 64  # stretches that are sent to a tokenizer in one text
 PAIR = 32  # bits of B's id in a pair
 
 
-def groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
-    """(first token of A, end, first token of B, end) of each group. Both lists
-    are the tokens' ends in ascending order and have the same last one."""
-    out, todo = [], [(0, len(ends_a), 0, len(ends_b))]
-    while todo:
-        a, a_end, b, b_end = todo.pop()
-        cut = _shared_end(ends_a, ends_b, a, a_end - 1, b, b_end - 1)
-        if cut is None:
-            out.append((a, a_end, b, b_end))
-        else:
-            i, j = cut
-            todo += [(i, a_end, j, b_end), (a, i, b, j)]  # the left half is taken next
-    return out
-
-
-def _shared_end(ends_a: list[int], ends_b: list[int], a: int, a_end: int, b: int, b_end: int) -> tuple[int, int] | None:
-    """The shared end nearest to the middle of A's ends from a to a_end."""
-    if b >= b_end:
-        return None
-    middle = (a + a_end) // 2
-    for away in range((a_end - a) // 2 + 1):
-        for i in (middle - away, middle + away) if away else (middle,):
-            if a <= i < a_end:
-                j = bisect_left(ends_b, ends_a[i], b, b_end)
-                if j < b_end and ends_b[j] == ends_a[i]:
-                    return i + 1, j + 1
-    return None
-
-
-def links(ends_a: list[int], ends_b: list[int], group: tuple[int, int, int, int]) -> Iterator[tuple[int, int]]:
-    """The overlapping tokens of a group, by their places."""
-    i, i_end, j, j_end = group
-    while i < i_end and j < j_end:
-        yield i, j
-        if ends_a[i] <= ends_b[j]:
-            i += 1
-        else:
-            j += 1
-
-
-class Unit:
-    """An aligned stretch. ``groups``: (bytes, A's ids, B's ids) of each."""
-
-    __slots__ = ("ok", "n_a", "n_b", "groups", "text", "pairs")
-
-    def __init__(self, raw: bytes, a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]):
-        parts_a, parts_b = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
-        self.ok = b"".join(parts_a) == raw == b"".join(parts_b)
-        self.n_a, self.n_b, self.groups, self.text, self.pairs = len(a), len(b), (), b"", ()
-        if not self.ok:
-            return
-        ends_a, ends_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
-        cuts = groups(ends_a, ends_b)
-        self.pairs = tuple(a[i] << PAIR | b[j] for g in cuts for i, j in links(ends_a, ends_b, g))
-        self.groups = tuple((ends_a[i1 - 1] - (ends_a[i0 - 1] if i0 else 0), a[i0:i1], b[j0:j1]) for i0, i1, j0, j1 in cuts)
-        self.text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for _, x, y in self.groups).encode()
-
-
-class Aligner:
-    """Tokenises and aligns the stretches of texts: A is a byte-level file of
-    ``tokenizers``, B a model of ``sentencepiece`` that puts a space in front."""
+def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of A, tokens of B) up to each shared cut, the last one included.
+    Both arrays are the tokens' ends in ascending order, with the same last."""
+    found_a, found_b = [np.array([len(ends_a)])], [np.array([len(ends_b)])]
+    a, a_end, b, b_end = (np.array([x]) for x in (0, len(ends_a), 0, len(ends_b)))
+    while len(a):
+        i, j = _near_middle(ends_a, ends_b, a, a_end - 1, b, b_end - 1)
+        cut = i >= 0
+        a, a_end, b, b_end, i, j = (x[cut] for x in (a, a_end, b, b_end, i + 1, j + 1))
+        found_a.append(i)
+        found_b.append(j)
+        a, a_end, b, b_end = (np.concatenate(x) for x in ((a, i), (i, a_end), (b, j), (j, b_end)))
+        open_ = (a_end - a > 1) & (b_end - b > 1)
+        a, a_end, b, b_end = a[open_], a_end[open_], b[open_], b_end[open_]
+    return np.sort(np.concatenate(found_a)), np.sort(np.concatenate(found_b))
+
+
+def _near_middle(ends_a: np.ndarray, ends_b: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each interval the shared end nearest to the middle of A's ends from a
+    to a_end, as places in both arrays; -1 where there is none."""
+    out_a, out_b = np.full(len(a), -1), np.full(len(a), -1)
+    middle, todo, away = (a + a_end) // 2, np.flatnonzero((a < a_end) & (b < b_end)), 0
+    while len(todo):
+        for side in (-1, 1) if away else (1,):
+            i = middle[todo] + side * away
+            inside = (i >= a[todo]) & (i < a_end[todo])
+            k, i = todo[inside], i[inside]
+            j = np.searchsorted(ends_b, ends_a[i])
+            hit = (j < b_end[k]) & (ends_b[np.minimum(j, len(ends_b) - 1)] == ends_a[i])
+            out_a[k[hit]], out_b[k[hit]] = i[hit], j[hit]
+            todo = todo[out_a[todo] < 0]
+        away += 1
+        todo = todo[(middle[todo] - away >= a[todo]) | (middle[todo] + away < a_end[todo])]
+    return out_a, out_b
+
+
+def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token of A, token of B) of all links, by A; and the links of each token of A."""
+    first = np.searchsorted(ends_b, np.concatenate([[0], ends_a[:-1]]), "right")
+    many = np.searchsorted(ends_b, ends_a) - first + 1
+    return np.repeat(np.arange(len(ends_a)), many), ranges(first, many), many
+
+
+class Tokenizers:
+    """A is a byte-level file of ``tokenizers``, B a model of ``sentencepiece``
+    that puts a space in front of a text."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -135,51 +119,95 @@ class Aligner:
         if any("▁" in p.lstrip("▁") for _, p in pieces):
             raise ValueError(f"{path_b} has pieces with a space after another character")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
-        self.young: dict[str, Unit] = {}
-        self.old: dict[str, Unit] = {}
-
-    def units(self, stretches: list[str]) -> list[Unit]:
-        """The aligned stretches (distinct ones); those that are not too long
-        are kept for the next call."""
-        if len(self.young) > UNITS:
-            self.old, self.young = self.young, {}
-        got = [self.young.get(s) or self.old.get(s) for s in stretches]
-        lacking = [k for k, u in enumerate(got) if u is None]
-        for lo in range(0, len(lacking), 8192):
-            part = lacking[lo:lo + 8192]
-            new = [stretches[k] for k in part]
-            for k, s, x, y in zip(part, new, self.a.encode_batch_fast([" " + s for s in new], add_special_tokens=False), self.b.encode(new, num_threads=1), strict=True):
-                got[k] = Unit(b" " + s.encode(), x.ids, y, self.bytes_a, self.bytes_b)
-        for s, u in zip(stretches, got, strict=True):
-            if len(s) <= LONGEST and s not in self.young:
-                self.young[s] = u
-        return got
-
-
-def _aligner(path_a: str, path_b: str) -> Aligner:
-    return resident(("align", path_a, path_b), lambda: Aligner(path_a, path_b))
+        self.size_a, self.size_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        # ids as digits, with what stands behind them: inside and at the end of a group
+        self.shown = [*(f"{i}," for i in range(len(self.bytes_a))), *(f"{i}|" for i in range(len(self.bytes_a))),
+                      *(f"{i}," for i in range(len(self.bytes_b))), *(f"{i};" for i in range(len(self.bytes_b)))]
+
+    def encode(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether each stretch's tokens are its bytes, all ids of A, of B); the
+        ids are those of the good stretches, one after the other."""
+        good = np.array(["▁" not in s for s in stretches], bool)  # that mark and a space are one to B
+        lines: list[list[int]] = [[]]
+        for k in np.flatnonzero(good).tolist():
+            s = stretches[k]
+            if s[0].isspace() or s[-1].isspace():  # a text's own end: a space beside it would not be a certain cut
+                lines += [[k], []]
+                continue
+            if len(lines[-1]) == LINE:
+                lines.append([])
+            lines[-1].append(k)
+        lines = [line for line in lines if line]
+        ids_a, ids_b = [], []
+        for line, x, y, same in self._lines(lines, stretches):
+            if same:
+                ids_a.append(x)
+                ids_b.append(y)
+                continue
+            for [k], x, y, same in self._lines([[k] for k in line], stretches):
+                good[k] = same
+                if same:
+                    ids_a.append(x)
+                    ids_b.append(y)
+        return good, *(np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in (ids_a, ids_b))
+
+    def _lines(self, lines: list[list[int]], stretches: list[str]) -> Iterator[tuple[list[int], list[int], list[int], bool]]:
+        for lo in range(0, len(lines), 256):
+            part = lines[lo:lo + 256]
+            text = [" ".join([stretches[k] for k in line]) for line in part]
+            for line, t, x, y in zip(part, text, self.a.encode_batch_fast([" " + t for t in text], add_special_tokens=False), self.b.encode(text, num_threads=1), strict=True):
+                raw, x = b" " + t.encode(), x.ids
+                yield line, x, y, b"".join(map(self.bytes_a.__getitem__, x)) == raw == b"".join(map(self.bytes_b.__getitem__, y))
+
+
+def _tokenizers(path_a: str, path_b: str) -> Tokenizers:
+    return resident(("align", path_a, path_b), lambda: Tokenizers(path_a, path_b))
 
 
 class Aligned:
-    """The texts of a slice: their stretches' numbers and the stretches."""
+    """The texts of a slice: their valid documents' stretch numbers, and what
+    there is of each distinct stretch. ``a_cut``, ``b_cut``: tokens up to the end
+    of each group; ``u_*``: tokens, groups and links up to the end of each stretch."""
 
-    def __init__(self, aligner: Aligner, column: pa.Array):
+    def __init__(self, tok: Tokenizers, column: pa.Array):
         parts = [CUT.split(t) if t else [] for t in texts(column)]
         names = numbering()
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         unit = np.fromiter(map(names.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
-        self.units = aligner.units(list(names))
-        bad = np.array([not u.ok for u in self.units], bool)
+        good, self.a, self.b = tok.encode(list(names))
+        valid = np.ones(len(parts), bool)
         doc = np.repeat(np.arange(len(parts)), sizes)
-        self.valid = np.ones(len(parts), bool)
-        self.valid[doc[bad[unit]]] = False
-        keep = self.valid[doc]
-        self.unit, self.sizes = unit[keep], np.where(self.valid, sizes, 0)
+        valid[doc[~good[unit]]] = False
+        self.sizes, keep = np.where(valid, sizes, 0), valid[doc]
         self.doc = doc[keep]
-
-    def summed(self, per_unit: list[int]) -> np.ndarray:
+        self.unit = (np.cumsum(good) - 1)[unit[keep]]  # among the good ones
+        size = np.fromiter((len(s.encode()) + 1 for s, g in zip(names, good.tolist(), strict=True) if g), np.int64, int(good.sum()))
+        self.n_units, self.tok = len(size), tok
+        self.ends_a, self.ends_b = np.cumsum(tok.size_a[self.a]), np.cumsum(tok.size_b[self.b])
+        self.a_cut, self.b_cut = shared_cuts(self.ends_a, self.ends_b) if len(size) else (np.zeros(0, np.int64),) * 2
+        border = np.cumsum(size)
+        self.u_a, self.u_b = np.searchsorted(self.ends_a, border) + 1, np.searchsorted(self.ends_b, border) + 1
+        self.u_groups = np.searchsorted(self.a_cut, self.u_a) + 1
+        at_a, at_b, many = overlaps(self.ends_a, self.ends_b) if len(size) else (np.zeros(0, np.int64),) * 3
+        self.pairs = self.a[at_a] << PAIR | self.b[at_b]
+        self.u_pairs = np.cumsum(many)[self.u_a - 1]
+
+    def summed(self, upto: np.ndarray) -> np.ndarray:
         """The sum over a document's stretches."""
-        return sums(np.array(per_unit, np.int64)[self.unit], self.sizes)
+        return sums(np.diff(upto, prepend=0)[self.unit], self.sizes)
+
+    def shown(self) -> list[str]:
+        """Each stretch's groups as text, with a semicolon at the end."""
+        last_a, last_b = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
+        last_a[self.a_cut - 1], last_b[self.b_cut - 1] = 1, 1
+        n_a, n_b = np.diff(self.a_cut, prepend=0), np.diff(self.b_cut, prepend=0)
+        place = np.cumsum(n_a + n_b) - n_a - n_b  # of each group among all tokens
+        kind = np.empty(len(self.a) + len(self.b), np.int64)
+        kind[ranges(place, n_a)] = self.a + last_a * len(self.tok.bytes_a)
+        kind[ranges(place + n_a, n_b)] = self.b + last_b * len(self.tok.bytes_b) + 2 * len(self.tok.bytes_a)
+        piece = list(map(self.tok.shown.__getitem__, kind.tolist()))
+        end = (self.u_a + self.u_b).tolist()
+        return ["".join(piece[lo:hi]) for lo, hi in zip([0, *end[:-1]], end, strict=True)]
 
 
 def sums(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -198,20 +226,25 @@ FIELDS = [pa.field("block", pa.int64()), *[pa.field(n, pa.binary()) for n in ("r
           pa.field("pairs", pa.list_(pa.int64())), pa.field("docs", pa.list_(pa.int64()))]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _block(number: int, rows: pa.RecordBatch, t: Aligned) -> pa.RecordBatch:
     """A row of the block table. ``at``: places among the distinct pairs of the
     pairs of each distinct stretch; ``docs``: documents that hold each pair."""
-    n_pairs = np.fromiter((len(u.pairs) for u in t.units), np.int64, len(t.units))
-    pairs, at = np.unique(np.fromiter(chain.from_iterable(u.pairs for u in t.units), np.int64, int(n_pairs.sum())), return_inverse=True)
-    used = np.unique(t.doc * max(1, len(t.units)) + t.unit)  # stretches of each document, once
-    doc, unit = used // max(1, len(t.units)), used % max(1, len(t.units))
-    held = at[ranges((np.cumsum(n_pairs) - n_pairs)[unit], n_pairs[unit])]
-    once = np.unique(np.repeat(doc, n_pairs[unit]) * max(1, len(pairs)) + held) % max(1, len(pairs))
-    shown = list(map([u.text for u in t.units].__getitem__, t.unit.tolist()))
-    ends = np.cumsum(t.sizes).tolist()
-    sha = b"".join(hashlib.sha256(b";".join(shown[hi - n:hi])).digest() if n else bytes(32) for hi, n in zip(ends, t.sizes.tolist(), strict=True))
+    pairs = _distinct(t.pairs)
+    at = np.searchsorted(pairs, t.pairs)
+    n_pairs = np.diff(t.u_pairs, prepend=0)
+    used = _distinct(t.doc * max(1, t.n_units) + t.unit)  # stretches of each document, once
+    doc, unit = used // max(1, t.n_units), used % max(1, t.n_units)
+    held = at[ranges((t.u_pairs - n_pairs)[unit], n_pairs[unit])]
+    once = _distinct(np.repeat(doc, n_pairs[unit]) * max(1, len(pairs)) + held) % max(1, len(pairs))
+    shown, ends = list(map(t.shown().__getitem__, t.unit.tolist())), np.cumsum(t.sizes).tolist()
+    sha = b"".join(hashlib.sha256("".join(shown[hi - n:hi])[:-1].encode()).digest() if n else bytes(32) for hi, n in zip(ends, t.sizes.tolist(), strict=True))
     pack = lambda x, kind="<i8": np.asarray(x).astype(kind).tobytes()
-    row = [number, to_ipc(rows), pack(t.summed([u.n_a for u in t.units])), pack(t.summed([u.n_b for u in t.units])), pack(t.summed([len(u.groups) for u in t.units])),
+    row = [number, to_ipc(rows), pack(t.summed(t.u_a)), pack(t.summed(t.u_b)), pack(t.summed(t.u_groups)),
            sha, pack(t.sizes, "<u4"), pack(t.unit, "<u4"), pack(n_pairs, "<u4"), pack(at, "<u4"), pairs, np.bincount(once, minlength=len(pairs)).astype(np.int64)]
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, FIELDS, strict=True)], names=[f.name for f in FIELDS])
 
@@ -220,7 +253,7 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, key: str, text: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for b in text_slices(batches, "_text", BLOCK_BYTES):
-            yield _block(number, b.select(["_key"]), Aligned(_aligner(path_a, path_b), b.column("_text")))
+            yield _block(number, b.select(["_key"]), Aligned(_tokenizers(path_a, path_b), b.column("_text")))
             number += 1
 
     return map_arrow(docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")), run, BLOCK)
@@ -249,24 +282,27 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id",
                          F.col("n").alias("n_docs"), "best")
 
 
+def _lists(ids: np.ndarray, start: np.ndarray, size: np.ndarray, g: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[g])]), pa.int32()), pa.array(ids[ranges(start[g], size[g])], pa.int32()))
+
+
 def align(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, groups) of every row; a group is its first byte and end in the space
     and the text, and the ids of both tokenizers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "_text"):
-            t = Aligned(_aligner(path_a, path_b), b.column("_text"))
-            out = []
-            for hi, n in zip(np.cumsum(t.sizes).tolist(), t.sizes.tolist(), strict=True):
-                own, end = [], 0
-                for u in t.unit[hi - n:hi].tolist():
-                    for size, x, y in t.units[u].groups:
-                        own.append({"start": end, "end": end + size, "a": x, "b": y})
-                        end += size
-                out.append(own)
-            ids = pa.list_(pa.int32())
-            group = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("a", ids), ("b", ids)])
-            yield keyed({key: b.column(0), "groups": pa.array(out, pa.list_(group))})
+            t = Aligned(_tokenizers(path_a, path_b), b.column("_text"))
+            n_groups = np.diff(t.u_groups, prepend=0)[t.unit]
+            g = ranges(t.u_groups[t.unit] - n_groups, n_groups)  # groups of all documents, in order
+            end = np.cumsum(np.diff(t.ends_a[t.a_cut - 1], prepend=0)[g])
+            many = sums(n_groups, t.sizes)
+            ends = end - np.repeat(np.concatenate([[0], end])[np.cumsum(many) - many], many)
+            start = ends - np.diff(end, prepend=0)
+            ids = [_lists(x, cut - np.diff(cut, prepend=0), np.diff(cut, prepend=0), g) for x, cut in ((t.a, t.a_cut), (t.b, t.b_cut))]
+            group = pa.StructArray.from_arrays([pa.array(start), pa.array(ends), *ids], names=["start", "end", "a", "b"])
+            out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), group)
+            yield keyed({key: b.column(0), "groups": out})
 
     src = docs.select(key, docs[text].cast("string").alias("_text"))
     return map_arrow(src, run, f"{key_fields(src, key)}, groups array<struct<start:long,end:long,a:array<int>,b:array<int>>>")
