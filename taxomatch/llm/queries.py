@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxomatch.llm import alignment, bpe_codec, bpe_count, chat, hpylm, lattice, nearest, packing, quality, recompress, runs, simhash, sql
+from taxomatch.llm import alignment, bpe_codec, bpe_count, chat, hpylm, lattice, mixing, nearest, packing, quality, recompress, runs, simhash, sql
 from taxomatch.llm.common import crc_mod, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -95,12 +95,18 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.alignment_digests(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
 
 
+def op13_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a mix of all sources takes."""
+    return mixing.taken(table(spark, sf_dir, "documents"), block=256, shard=1024, most=3)
+
+
 QUERIES = {f.__name__: f for f in (op1_cost_balanced_packing, op2_simhash_tiles, op3_budgeted_chat, op4_chunk_reuse_bpe, op5_e8_near_dedup, op6_heap_token_counts, op7_recompression_dedup, op8_pitman_yor_scores, op9_block_matrix_search, op10_subword_quality,
-                                  op11_periodic_runs, op12_cross_tokenizer_alignment)}
+                                  op11_periodic_runs, op12_cross_tokenizer_alignment, op13_weighted_mix)}
 ORACLE_SQL: dict[str, str] = {
     "op3_budgeted_chat": sql.OP3,
     "op5_e8_near_dedup": sql.OP5,
     "op7_recompression_dedup": sql.OP7,
     "op9_block_matrix_search": sql.OP9,
     "op11_periodic_runs": sql.OP11,
+    "op13_weighted_mix": sql.OP13,
 }

@@ -108,13 +108,83 @@ WITH RECURSIVE bits AS (
   SELECT doc_id, count(*) AS n_runs, max(s) FILTER (rank = 1) AS start, max(n) FILTER (rank = 1) AS length, max(q) FILTER (rank = 1) AS period,
     string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM ranked GROUP BY doc_id
 ), edges AS (
-  SELECT doc_id, at, sum(d) AS d FROM (SELECT doc_id, s + q AS at, 1 AS d FROM whole UNION ALL SELECT doc_id, ends, -1 FROM whole) GROUP BY doc_id, at
+  SELECT doc_id, place, sum(d) AS d FROM (SELECT doc_id, s + q AS place, 1 AS d FROM whole UNION ALL SELECT doc_id, ends, -1 FROM whole) GROUP BY doc_id, place
 ), kept AS (
   SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM (
     SELECT p.doc_id, p.i, p.word, sum(coalesce(e.d, 0)) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS inside
-    FROM places p LEFT JOIN edges e ON p.doc_id = e.doc_id AND p.i = e.at) WHERE inside = 0 GROUP BY doc_id
+    FROM places p LEFT JOIN edges e ON p.doc_id = e.doc_id AND p.i = e.place) WHERE inside = 0 GROUP BY doc_id
 )
 SELECT w.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
   (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM words w LEFT JOIN told t ON w.doc_id = t.doc_id LEFT JOIN kept k ON w.doc_id = k.doc_id
 """
+
+_P = 2147483647
+_ROUNDS = [48271 + 2 * 7919 * k * k for k in range(1, 13)]
+
+
+def _fifth(name: str, x: str, new: str, source: str) -> str:
+    """Steps that add ``new``: x to the fifth, modulo the prime."""
+    return f"""{name}a AS (SELECT *, ({x}) % {_P} AS x1 FROM {source}), {name}b AS (SELECT *, x1 * x1 % {_P} AS x2 FROM {name}a),
+{name} AS (SELECT * EXCLUDE (x1, x2), x2 * x2 % {_P} * x1 % {_P} AS {new} FROM {name}b)"""
+
+
+def _permute(source: str, out: str) -> str:
+    """Steps that move x by rounds of exchanges between partners."""
+    steps = []
+    for k, c in enumerate(_ROUNDS):
+        steps.append(f"""{out}p{k} AS (SELECT *, ((seed * {c} % {_P} % "full" - x) % "full" + "full") % "full" AS partner FROM {source}), {out}m{k} AS (SELECT *, (greatest(x, partner) % {_P} * {c} + seed) % {_P} AS mark FROM {out}p{k}),
+{out}{k} AS (SELECT * EXCLUDE (partner, mark) REPLACE (CASE WHEN mark * mark % {_P} % 2 = 1 THEN partner ELSE x END AS x) FROM {out}m{k})""")
+        source = f"{out}{k}"
+    return ",\n".join(steps)
+
+
+OP13 = rf"""
+WITH RECURSIVE sized AS (
+  SELECT row_number() OVER () AS row, doc_id, source AS name, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), sources AS (
+  SELECT name, size, row_number() OVER (ORDER BY name IS NULL, encode(name)) - 1 AS source FROM (SELECT name, sum(size)::BIGINT AS size FROM sized GROUP BY name)
+), weighed AS (SELECT *, source % 3 + 1 AS weight FROM sources
+), shares AS (
+  SELECT 0 AS step, sum(size)::BIGINT AS rest, sum(weight)::BIGINT AS parts FROM weighed
+  UNION ALL
+  SELECT step + 1, (sum(size) - coalesce(sum(3 * size) FILTER (weight * rest > 3 * size * parts), 0))::BIGINT, (sum(weight) - coalesce(sum(weight) FILTER (weight * rest > 3 * size * parts), 0))::BIGINT
+  FROM shares, weighed WHERE step < 40 GROUP BY step, rest, parts
+), share AS (SELECT rest, parts FROM shares WHERE step = 40
+), aimed AS (
+  SELECT w.*, CASE WHEN weight * rest > 3 * size * parts THEN (3 * size)::DOUBLE ELSE (weight * rest)::DOUBLE / parts END AS target,
+    CASE WHEN weight * rest > 3 * size * parts THEN 3 * size ELSE weight * rest // parts END AS aim, (size + 255) // 256 AS blocks, size // 256 AS "full" FROM weighed w, share
+), counted AS (SELECT *, CASE WHEN size > 0 THEN (aim // size) * blocks + (aim % size + 255) // 256 ELSE 0 END AS many FROM aimed
+), planned AS (SELECT *, (sum(many) OVER (ORDER BY source) - many)::BIGINT AS low FROM counted
+), total AS (SELECT greatest(1, sum(many))::BIGINT AS n FROM counted
+), numbers AS (SELECT unnest(range((SELECT sum(many)::BIGINT FROM counted))) AS number
+), {_fifth("one", f"number % {_P} * 48271 + number // {_P} * 69621 + 11", "h1", "numbers")},
+{_fifth("two", f"h1 * 16807 + number % {_P} + 7", "h2", "one")},
+points AS (SELECT number, (h1 * {_P} + h2) % n AS point FROM two, total
+), drawn AS (SELECT p.number, s.source FROM points p JOIN planned s ON p.point >= s.low AND p.point < s.low + s.many
+), ranked AS (SELECT number, source, row_number() OVER (PARTITION BY source ORDER BY number) - 1 AS rank FROM drawn
+), balance AS (
+  SELECT p.source, p.many, coalesce(d.n, 0) AS drawn, greatest(coalesce(d.n, 0) - p.many, 0) AS over, greatest(p.many - coalesce(d.n, 0), 0) AS under
+  FROM planned p LEFT JOIN (SELECT source, count(*) AS n FROM drawn GROUP BY source) d ON p.source = d.source
+), placed AS (SELECT *, sum(over) OVER (ORDER BY source) - over AS over_before, sum(under) OVER (ORDER BY source) - under AS under_before FROM balance
+), final AS (
+  SELECT r.source, r.rank FROM ranked r JOIN placed p ON r.source = p.source WHERE r.rank < p.many
+  UNION ALL
+  SELECT q.source, (q.drawn + p.over_before + r.rank - p.many - q.under_before)::BIGINT FROM ranked r JOIN placed p ON r.source = p.source AND r.rank >= p.many
+  JOIN placed q ON p.over_before + r.rank - p.many >= q.under_before AND p.over_before + r.rank - p.many < q.under_before + q.under
+), slots AS (SELECT f.source, p.size, p.aim, p."full", f.rank // p.blocks AS epoch, f.rank % p.blocks AS place FROM final f JOIN planned p ON f.source = p.source
+), {_fifth("seeded", "source * 8 + epoch + 3", "seed", "slots")},
+inner_ AS (SELECT *, place AS x FROM seeded WHERE place < "full"
+), {_permute("inner_", "perm")},
+blocked AS (SELECT source, size, aim, epoch, place, x AS block FROM perm{len(_ROUNDS) - 1} UNION ALL SELECT source, size, aim, epoch, place, place FROM seeded WHERE place >= "full"
+), filled AS (SELECT source, block, least(256, size - block * 256, aim - epoch * size - place * 256) AS words FROM blocked
+), spread AS (
+  SELECT s.row, s.doc_id, s.size, n.source, n.size AS source_size, n.target, (sum(s.size) OVER (PARTITION BY n.source ORDER BY s.doc_id NULLS FIRST, s.size, s.row) - s.size)::BIGINT AS start
+  FROM sized s JOIN planned n ON s.name IS NOT DISTINCT FROM n.name
+), met AS (
+  SELECT row, sum(least(start + size, block * 256 + words) - greatest(start, block * 256)) AS taken FROM (
+    SELECT row, source, start, size, unnest(range(start // 256, (start + size - 1) // 256 + 1)) AS block FROM spread WHERE size > 0) d
+  JOIN filled f USING (source, block) WHERE least(start + size, block * 256 + words) > greatest(start, block * 256) GROUP BY row
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM spread LEFT JOIN met ON spread.row = met.row
+"""
