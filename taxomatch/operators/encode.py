@@ -84,7 +84,8 @@ class BatchEncoder:
 def encode_chunked(df: DataFrame, key: str, text: str, encoder, out: str = "vec", width: int = 800) -> DataFrame:
     """Mean of chunk vectors per row; blank text -> zero vector. Chunks are
     exploded (one row per chunk) so long texts spread over tasks."""
-    chunks = df.select(key, F.explode(chunk_text(text, width, hyphens=True)).alias("_chunk"))
+    # outer, then a filter: a plain explode would make the chunks twice, once for a size filter of the optimizer
+    chunks = df.select(key, F.explode_outer(chunk_text(text, width, hyphens=True)).alias("_chunk")).where("_chunk is not null")
     enc = encoder(chunks, "_chunk", "_cv")
     mean = vector_mean(enc, key, "_cv", out)
     dim = encoder.dim

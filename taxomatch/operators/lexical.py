@@ -13,11 +13,11 @@ idf(t) = ln((N - n(t) + 0.5) / (n(t) + 0.5)); a negative idf is replaced by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxomatch.functions.text import joined_parts, tokens
-from taxomatch.session import bounded_broadcast
+from taxomatch.operators.topk import sparse_topk
 
 # Okapi BM25 defaults.
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
@@ -38,7 +38,7 @@ def bm25_postings(corpus: DataFrame, key: str = "code", text: str = "text",
     # corpus-level scalars are collected (two numbers), not cross-joined
     st = dl.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl")).collect()[0]
     n_docs, avgdl = int(st["N"]), float(st["avgdl"] or 0.0)
-    tf = (docs.select(key, F.explode("_toks").alias("token"))
+    tf = (docs.select(key, F.explode_outer("_toks").alias("token")).where("token is not null")
           .groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf")))
     raw = (tf.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
            .withColumn("raw_idf", F.log((F.lit(float(n_docs)) - F.col("n") + 0.5) / (F.col("n") + 0.5))))
@@ -63,11 +63,19 @@ def bm25_index(corpus: DataFrame, key: str = "code", text: str = "text", **kw) -
 def overlap_topk(queries: DataFrame, kb: DataFrame, k: int = 3, query_id: str = "query_id") -> DataFrame:
     """(query_id, rank, code, overlap): the ``k`` KB rows that share most words
     with a query, ties by code; KB rows that share none are not listed. Both
-    sides hold ``title_words`` (word sets). JVM-side: a join on the word with
-    the KB's words, broadcast if their size allows, counts, and a rank whose
-    limit Spark applies before the shuffle."""
-    words = queries.select(query_id, F.explode("title_words").alias("_w"))
-    known = bounded_broadcast(kb.select("code", F.explode("title_words").alias("_w")).distinct())
-    shared = words.distinct().join(known, "_w").groupBy(query_id, "code").agg(F.count(F.lit(1)).alias("overlap"))
-    best = Window.partitionBy(query_id).orderBy(F.desc("overlap"), "code")
-    return shared.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query_id, "rank", "code", "overlap")
+    sides hold ``title_words`` (word sets). Query rows with equal ids are one
+    query; ``topk`` says which words are joined at all."""
+    words = queries.select(query_id, F.explode_outer("title_words").alias("token"))  # outer: the words are not made twice, once for a size filter
+    known = kb.select("code", F.explode_outer("title_words").alias("token")).where("token is not null").distinct().withColumn("weight", F.lit(1.0))
+    best = sparse_topk(words, known, kb.select("code"), k, query_id, repeats=False)
+    return best.select(query_id, "rank", "code", F.col("score").cast("long").alias("overlap"))
+
+
+def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, query_id: str = "query_id", text: str = "text", **kw) -> DataFrame:
+    """(query_id, rank, code, score): the ``k`` rows of ``corpus`` (code, text)
+    with the highest BM25 score for a query's ``tokens``, by the query's highest
+    score if that is positive; fewer hits than ``k`` are followed by the lowest
+    codes at 0. Query rows with equal ids are one query."""
+    words = queries.select(query_id, F.explode_outer("tokens").alias("token"))
+    best = sparse_topk(words, bm25_postings(corpus, "code", text, **kw), corpus.select("code"), k, query_id, fill=queries)
+    return best.select(query_id, "rank", "code", F.col("relative").alias("score"))

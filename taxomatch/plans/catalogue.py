@@ -449,14 +449,10 @@ def bm25_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    corpus = _bench_corpus(spark, d)
-    kb = corpus.join(lx.bm25_index(corpus, "code", "text"), "code", "left")
     docs = si.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"),
                                                    tx.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    w0 = {n: 0.0 for n in TUNED_WEIGHTS}
-    r = match(docs, kb, MatchConfig(weights=w0, bm25_weight=1.0, k=3))
-    return (to_long(r).select(F.col("query_id").alias("doc_id"), "rank", F.col("code").cast("long").alias("item_id"),
-                              rnd("score").alias("score")))
+    r = lx.bm25_topk(docs, _bench_corpus(spark, d), 3)
+    return r.select(F.col("query_id").alias("doc_id"), "rank", F.col("code").cast("long").alias("item_id"), rnd("score").alias("score"))
 
 
 def title_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -551,8 +547,9 @@ DIM = 384
 
 
 def _elements(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """Non-zero vector elements."""
-    return df.select(key, F.posexplode(vec).alias("pos", "value")).where("value <> 0").select(key, "pos", rnd("value").alias("value"))
+    """Non-zero vector elements (outer: the vectors are not made twice, once for
+    a size filter of the optimizer)."""
+    return df.select(key, F.posexplode_outer(vec).alias("pos", "value")).where("value <> 0").select(key, "pos", rnd("value").alias("value"))
 
 
 def encode_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -590,7 +587,7 @@ def _tax_vectors(spark, d, mode: str):
 
 def _kb_elements(v: DataFrame) -> DataFrame:
     long = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"vec_{f}").alias("vec")) for f in FIELDS]))
-    flat = v.select("code", long.alias("x")).select("code", "x.field", F.posexplode("x.vec").alias("pos", "value"))
+    flat = v.select("code", long.alias("x")).select("code", "x.field", F.posexplode_outer("x.vec").alias("pos", "value"))
     return flat.where("value <> 0").select("code", "field", "pos", rnd("value").alias("value"))
 
 
