@@ -13,9 +13,10 @@ recursion up to EXACT customers, beyond that as ``stirling`` gives them. The
 dishes of a sweep are drawn side by side, each against the others' tables of the
 previous sweep; its own are not among them. (A word of the parent restaurant:
 its own are drawn again for its present customers, as no one keeps the former
-number.) The draws come from a hash of (context, word, sweep), so whoever needs
-a dish's tables draws the same number, and no table count is ever moved. A
-token's probability is averaged over the sampled seatings.
+number.) The draws come from a hash of (context, word, sweep), so all blocks that
+hold a dish draw the same number; a block writes what it drew beside its sums
+and reads it in later passes, so each sweep is drawn once. A token's probability
+is averaged over the sampled seatings.
 
 Counts come from the whole corpus: blocks ask for the counts of their distinct
 words and pairs, and buckets of hash ranges sum them; the block that a bucket
@@ -28,7 +29,6 @@ repeated rows count as often as they come; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +49,8 @@ CELLS = 128  # steps of the draw of a large number
 FEW, ROWS = 40, 8192  # tables and customers whose Stirling numbers are kept
 STRENGTH = 1.0
 QUESTION = "bucket int, block long, a binary, b binary, c binary"
-ANSWER = "kind string, bucket int, block long, a binary, b binary, x long, y long"
+ANSWER = "kind string, bucket int, block long, a binary, b binary, c binary, x long, y long"
+SEATED = -1 << 31  # in place of a bucket: a row that is kept for its own block
 
 
 def uniform(names: np.ndarray, salt: int) -> np.ndarray:
@@ -69,29 +70,6 @@ def stirling(discount: float) -> np.ndarray:
     return s
 
 
-def _sitters(group: np.ndarray, p: np.ndarray, names: np.ndarray, salt: int) -> np.ndarray:
-    """How many of a group open a table: binomial, by its Poisson limit for a
-    small mean and by its normal limit for a large one."""
-    with np.errstate(over="ignore"):
-        bits = mix(names ^ mix(np.array([salt], np.uint64) * ODD))
-    one, two, three = (((bits >> np.uint64(s)) & np.uint64((1 << 21) - 1)).astype(np.float64) / (1 << 21) + 0.5 / (1 << 21) for s in (0, 21, 42))
-    mean = group * p
-    normal = np.sqrt(-2 * np.log(one)) * np.cos(2 * np.pi * two)
-    out = np.floor(mean + np.sqrt(mean * (1 - p)) * normal + three)
-    few = np.flatnonzero(mean < 8)
-    term = np.exp(-mean[few])
-    upto, n = term.copy(), np.zeros(len(few))
-    for j in range(1, 40):
-        over = one[few] > upto
-        if not over.any():
-            break
-        n += over
-        term = term * mean[few] / j
-        upto += term
-    out[few] = n
-    return np.clip(out, 0, group).astype(np.int64)
-
-
 def draw_tables(count: np.ndarray, names: np.ndarray, salt: int, discount: float, others: np.ndarray, parent: np.ndarray) -> np.ndarray:
     """Tables of each dish. others: tables of the restaurant's other dishes."""
     tables = np.minimum(count, 1)
@@ -224,7 +202,6 @@ class Tokens:
         self.pair_count = np.add.reduceat(train[self._sorted].astype(np.int64), start)
         self._start = start
         self.order = np.argsort(self.words)
-        self.seated: dict[int, np.ndarray] = {}  # tables of the pairs after a sweep
 
     @property
     def pair(self) -> np.ndarray:
@@ -248,11 +225,12 @@ def _questions(block: int, hashes: np.ndarray, columns: list[np.ndarray], bucket
                                       names=["bucket", "block", "a", "b", "c"])
 
 
-def _answers(kind: str, bucket: int, blocks: list[int], a: list, b: list, total: tuple[int, int]) -> pa.Table:
+def _answers(kind: str, bucket: int, blocks: list[int], a: list, b: list, total: tuple[int, int], c: list | None = None) -> pa.Table:
     """The answers, and a row of the bucket's totals."""
     n = len(blocks)
+    c = c or [None] * n
     return pa.table({"kind": [kind] * n + ["total " + kind], "bucket": pa.array([bucket] * (n + 1), pa.int32()), "block": pa.array([*blocks, -1], pa.int64()),
-                     "a": pa.array([*a, None], pa.binary()), "b": pa.array([*b, None], pa.binary()),
+                     "a": pa.array([*a, None], pa.binary()), "b": pa.array([*b, None], pa.binary()), "c": pa.array([*c, None], pa.binary()),
                      "x": pa.array([None] * n + [int(total[0])], pa.int64()), "y": pa.array([None] * n + [int(total[1])], pa.int64())})
 
 
@@ -298,10 +276,12 @@ def _counted(group: pa.Table) -> pa.Table:
 
 
 class Told:
-    """What a block has been told, in the order of its words and pairs."""
+    """What a block has been told, in the order of its words and pairs:
+    ``sums[s]`` customers, context tables and own tables of its words after
+    sweep s, ``seated[s]`` the tables of its pairs that it drew itself."""
 
     def __init__(self, t: Tokens, answers: pa.Table, buckets: int):
-        got = {(k, n): (a, b) for k, n, a, b in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "a", "b")), strict=True)}
+        got = {(k, n): blobs for k, n, *blobs in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "a", "b", "c")), strict=True)}
         in_order = t.words[t.order]
 
         def words(kind: str, part: int) -> np.ndarray:
@@ -310,13 +290,17 @@ class Told:
         self.count = words("words", 0)
         self.pair_count, self.owner = t.pair_count.copy(), np.zeros(len(t.pairs), bool)
         for k, s in cut(t.pairs, buckets):
-            bits, counts = got["pairs", -1 - k]
+            bits, counts, _ = got["pairs", -1 - k]
             shared, owner = np.split(np.unpackbits(np.frombuffer(bits, np.uint8), count=2 * (s.stop - s.start)).astype(bool), 2)
             self.owner[s] = owner
             self.pair_count[np.flatnonzero(shared) + s.start] = unpack(counts, int(shared.sum()))
-        self.sums, self.parents = {}, {}
-        for kind in {k for k, _ in got} - {"words", "pairs"}:
-            self.sums[int(kind)] = words(kind, 0), words(kind, 1)
+        self.seated = {0: np.minimum(self.pair_count, 1)}  # one table each at first
+        self.sums = {}
+        for kind, bucket in got:
+            if bucket == SEATED:
+                self.seated[int(kind.removeprefix("seated "))] = unpack(got[kind, bucket][0], len(t.pairs))
+        for kind in {k for k, n in got if n != SEATED} - {"words", "pairs"}:
+            self.sums[int(kind)] = tuple(words(kind, part) for part in range(3))
 
 
 class Seating:
@@ -326,16 +310,10 @@ class Seating:
     def __init__(self, pair_discount: float, word_discount: float, outcomes: int, scalars: list[tuple[int, int]]):
         self.pair_discount, self.word_discount, self.outcomes, self.scalars = pair_discount, word_discount, outcomes, scalars
 
-    def block_parent(self, sweep: int, t: Tokens, told: Told) -> np.ndarray:
-        """``parent`` of a block's words, computed once per block and sweep."""
-        if sweep not in told.parents:
-            told.parents[sweep] = self.parent(sweep, told.sums[sweep][0], t.words)
-        return told.parents[sweep]
-
-    def parent(self, sweep: int, customers: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Probability of each word in the parent restaurant."""
+    def parent(self, sweep: int, customers: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Probability of each word in the parent restaurant, by its customers
+        and tables there."""
         total, tables = self.scalars[sweep]
-        own = self.word_tables(sweep, customers, words)
         fresh = (STRENGTH + self.word_discount * tables) / self.outcomes
         return (np.maximum(customers - self.word_discount * own, 0) + fresh) / (STRENGTH + total)
 
@@ -347,22 +325,22 @@ class Seating:
         return draw_tables(customers, words, 7000 + sweep, self.word_discount, others, np.full(len(customers), 1 / self.outcomes))
 
     def pair_tables(self, sweep: int, t: Tokens, told: Told) -> np.ndarray:
-        """Tables of each pair of a block after a sweep: one at first."""
-        if sweep == 0:
-            return np.minimum(told.pair_count, 1)
-        if sweep not in t.seated:
-            others = told.sums[sweep - 1][1][t.context] - self.pair_tables(sweep - 1, t, told)
-            parent = self.block_parent(sweep - 1, t, told)[t.word]
-            t.seated[sweep] = draw_tables(told.pair_count, t.pairs, sweep, self.pair_discount, np.maximum(others, 0), parent)
-        return t.seated[sweep]
+        """Tables of each pair of a block after a sweep, drawn from what is
+        known after the one before."""
+        if sweep in told.seated:
+            return told.seated[sweep]
+        customers, tables, own = told.sums[sweep - 1]
+        others = tables[t.context] - told.seated[sweep - 1]
+        parent = self.parent(sweep - 1, customers, own)[t.word]
+        return draw_tables(told.pair_count, t.pairs, sweep, self.pair_discount, np.maximum(others, 0), parent)
 
     def probability(self, sweep: int, t: Tokens, told: Told) -> np.ndarray:
         """Predictive probability of each pair of a block."""
-        tables, parent = told.sums[sweep][1], self.block_parent(sweep, t, told)[t.word]
-        own = self.pair_tables(sweep, t, told)
+        customers, tables, own = told.sums[sweep]
+        parent = self.parent(sweep, customers, own)[t.word]
         seen = told.count[t.context]
         fresh = STRENGTH + self.pair_discount * tables[t.context]
-        inside = (np.maximum(told.pair_count - self.pair_discount * own, 0) + fresh * parent) / (STRENGTH + seen)
+        inside = (np.maximum(told.pair_count - self.pair_discount * told.seated[sweep], 0) + fresh * parent) / (STRENGTH + seen)
         return np.where(seen > 0, inside, parent)
 
 
@@ -376,12 +354,6 @@ def _totals(answers: DataFrame) -> dict[str, tuple[int, int]]:
     return {r["kind"].removeprefix("total "): (r["x"], r["y"]) for r in rows}
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark's cleaner drop the shuffle files of what has been written."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of
     every row; the rows for which ``held_out`` is not true are learned from."""
@@ -395,7 +367,6 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
             yield _questions(t.block, t.pairs, [t.pair_count], buckets, True)
 
         base = saved(answer(ask(table, counts, QUESTION), _counted, ANSWER), "counts", passing)
-        _release(table)
         total = _totals(base)
         n, v = total.get("words", (0, 0))
         seats = Seating(_discount(*total.get("pairs", (0, 0))), 0.5, v + 1, [])
@@ -406,8 +377,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
             if sweep == 0:
                 seats.word_discount = word_discount
             seats.scalars.append((customers, tables))
-            _release(table)
-
+    
         def scores(b: Block, answers: pa.Table) -> pa.Table:
             t = Tokens(b)
             told = Told(t, answers, buckets)
@@ -428,22 +398,27 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
 
 def _sweep(table: DataFrame, base: DataFrame, sums: list[DataFrame], seats: Seating, sweep: int, buckets: int,
            passing: list[str]) -> tuple[int, int, float]:
-    """Seat every dish once, append the sums per word to ``sums``; returns the
-    parent restaurant's customers and tables, and its discount by the counts."""
+    """Seat every dish once; append to ``sums`` the sums per word and what each
+    block has drawn, for its later passes. Returns the parent restaurant's
+    customers and tables, and its discount by the counts."""
 
     def tables(b: Block, answers: pa.Table) -> pa.Table:
         t = Tokens(b)
         told = Told(t, answers, buckets)
-        own = np.where(told.owner, seats.pair_tables(sweep, t, told), 0).astype(np.int64)
+        drawn = seats.pair_tables(sweep, t, told)
+        own = np.where(told.owner, drawn, 0).astype(np.int64)
         as_word, as_context = (np.bincount(x, weights=own, minlength=len(t.words)).astype(np.int64)[t.order] for x in (t.word, t.context))
-        return pa.Table.from_batches([_questions(t.block, t.words[t.order], [as_word, as_context], buckets, False)])
+        asked = _questions(t.block, t.words[t.order], [as_word, as_context], buckets, False)
+        none = pa.array([None], pa.binary())
+        kept = pa.RecordBatch.from_arrays([pa.array([SEATED], pa.int32()), pa.array([t.block], pa.int64()), pa.array([pack(drawn)], pa.binary()), none, none], schema=asked.schema)
+        return pa.Table.from_batches([asked, kept] if sweep else [asked])
 
     def summed(group: pa.Table) -> pa.Table:
         q = Asked(group)
         customers = q.sums("b")
         own = seats.word_tables(sweep, customers, q.known)
         out = _answers(str(sweep), q.bucket, q.blocks, [pack(x) for x in q.back(customers)], [pack(x) for x in q.back(q.sums("c"))],
-                       (customers.sum(), own.sum()))
+                       (customers.sum(), own.sum()), [pack(x) for x in q.back(own)])
         # counts of counts, for the discount
         more = _answers("few", q.bucket, [], [], [], ((customers == 1).sum(), (customers == 2).sum()))
         return pa.concat_tables([out, more])
@@ -451,7 +426,9 @@ def _sweep(table: DataFrame, base: DataFrame, sums: list[DataFrame], seats: Seat
     told = base
     for s in sums:
         told = told.unionAll(s)
-    done = saved(answer(with_answers(table, told, tables, QUESTION), summed, ANSWER), "sums", passing)
-    sums.append(done.where("kind not like 'total %'"))
+    asked = saved(with_answers(table, told, tables, QUESTION), "drawn", passing)
+    done = saved(answer(asked.where(F.col("bucket") != SEATED), summed, ANSWER), "sums", passing)
+    kept = asked.where(F.col("bucket") == SEATED).selectExpr(f"'seated {sweep}' as kind", "bucket", "block", "a", "b", "c", "cast(null as bigint) as x", "cast(null as bigint) as y")
+    sums.append(done.where("kind not like 'total %'").unionAll(kept))
     total = _totals(done)
     return *total.get(str(sweep), (0, 0)), _discount(*total.get("few", (0, 0)))

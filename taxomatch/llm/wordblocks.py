@@ -30,6 +30,7 @@ from taxomatch.session import scratch_dir, ship_package
 
 BLOCK_BYTES = 8 << 20
 SCHEMA = "block long, docs long, n_words long, rows binary, sizes binary, ids binary, words binary, lengths binary"
+MOST_BUCKETS = 100_000  # Spark's own limit
 BUCKET_WORDS = 1_500_000  # words of the input for each bucket
 
 
@@ -123,7 +124,9 @@ def bucketed(frame: DataFrame, name: str) -> Iterator[tuple[DataFrame, list[str]
     the shared checkpoint folder; all of them are deleted at the end."""
     spark = frame.sparkSession
     name = f"{name}_{uuid.uuid4().hex[:12]}"
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # as many as the input's tasks ask for: a bucket's share does not grow with the input
+    tasks = frame.rdd.getNumPartitions()
+    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, 2 * tasks))
     passing = [scratch_dir(spark, name)]
     frame.write.format("parquet").option("compression", "zstd").option("path", passing[0]).bucketBy(buckets, "block").saveAsTable(name)
     try:

@@ -94,17 +94,17 @@ def hpylm_first(df, spark, vocab):
     b = wordblocks.Block(row)
     t = hpylm.Tokens(b)
     told = hpylm.Told.__new__(hpylm.Told)
-    told.count, told.pair_count, told.owner, told.sums, told.parents = t.count, t.pair_count, np.ones(len(t.pairs), bool), {}, {}
+    told.count, told.pair_count, told.owner, told.sums, told.seated = t.count, t.pair_count, np.ones(len(t.pairs), bool), {}, {0: np.minimum(t.pair_count, 1)}
     ones, twos = (t.pair_count == 1).sum(), (t.pair_count == 2).sum()
     v = int((t.count[:-1] > 0).sum())
     seats = hpylm.Seating(hpylm._discount(ones, twos), 0.5, v + 1, [])
     for s in range(hpylm.SAMPLES + 1):
-        own = seats.pair_tables(s, t, told)
+        own = told.seated[s] = seats.pair_tables(s, t, told)
         sums = tuple(np.bincount(x, weights=own, minlength=len(t.words)).astype(np.int64) for x in (t.word, t.context))
         if s == 0:
             seats.word_discount = hpylm._discount((sums[0] == 1).sum(), (sums[0] == 2).sum())
-        told.sums[s] = sums
-        seats.scalars.append((int(sums[0].sum()), int(seats.word_tables(s, sums[0], t.words).sum())))
+        told.sums[s] = *sums, seats.word_tables(s, sums[0], t.words)
+        seats.scalars.append((int(sums[0].sum()), int(told.sums[s][2].sum())))
     p = np.mean([seats.probability(s, t, told) for s in range(1, hpylm.SAMPLES + 1)], axis=0)
     first = t.ends - t.size
     return {w: math.log10(p[t.pair[first[len(first) - len(vocab) - 1 + k]]]) for k, w in enumerate([*vocab, "unknown"])}
@@ -177,13 +177,6 @@ def test_large_counts_of_many_tables_follow_the_exact_conditional(d, others, par
     assert np.abs(share - np.cumsum(w)).max() < 0.035  # of the distribution, Kolmogorov's distance
 
 
-def test_sitters_have_the_right_mean():
-    names = np.random.default_rng(2).integers(1, 1 << 62, 50_000).astype(np.uint64)
-    for group, p in ((8, 0.01), (100, 0.03), (1000, 0.2), (5000, 0.9)):
-        got = hpylm._sitters(np.full(len(names), group), np.full(len(names), p), names, 3)
-        assert abs(got.mean() - group * p) < 0.03 * group * p + 0.01 and got.max() <= group
-
-
 def test_counts_are_packed_and_unpacked():
     for x in ([], [0, 1, 254], [255, 256, 3, 10**12], [255] * 9):
         x = np.array(x, np.int64)
