@@ -99,14 +99,19 @@ def draw_tables(count: np.ndarray, names: np.ndarray, salt: int, discount: float
     return tables
 
 
-def _bisect(lo: np.ndarray, hi: np.ndarray, beyond) -> np.ndarray:
-    """The first number from lo for which ``beyond`` holds, or hi."""
-    lo, hi = lo.copy(), hi.copy()
-    while (lo < hi).any():
-        mid = (lo + hi) // 2
-        up = (lo < hi) & ~beyond(np.minimum(mid, hi))
-        lo, hi = np.where(up, mid + 1, lo), np.where(up, hi, np.maximum(mid, lo))
-    return lo
+def _near_peak(count: np.ndarray, falls) -> np.ndarray:
+    """A number from 1 to count no further from the first for which ``falls``
+    holds (and then for all after it) than its square root, a fraction of what
+    is weighed around it. Halved by proportion, each dish by itself."""
+    lo, hi = np.ones(len(count)), count.astype(np.float64)  # falls at hi, not before lo
+    todo = np.arange(len(count))
+    while len(todo):
+        mid = np.floor(np.sqrt(lo[todo] * hi[todo]))
+        down = falls(todo, mid.astype(np.int64))
+        hi[todo[down]] = mid[down]
+        lo[todo[~down]] = mid[~down] + 1
+        todo = todo[hi[todo] - lo[todo] > np.sqrt(lo[todo])]
+    return hi.astype(np.int64)
 
 
 def _draw_large(count: np.ndarray, u: np.ndarray, discount: float, others: np.ndarray, parent: np.ndarray) -> np.ndarray:
@@ -133,10 +138,10 @@ def _draw_peak(count: np.ndarray, u: np.ndarray, discount: float, base: np.ndarr
     distribution's; the numbers around it lie in up to CELLS cells, of one
     number each where they are few."""
 
-    def weight(t: np.ndarray) -> np.ndarray:
-        return t * each + lgamma(base + t) + log_stirling(discount, count, t)
+    def weight(t: np.ndarray, k=slice(None)) -> np.ndarray:
+        return t * each[k] + lgamma(base[k] + t) + log_stirling(discount, count[k], t)
 
-    peak = _bisect(np.ones_like(count), count, lambda t: weight(np.minimum(t + 1, count)) <= weight(t))
+    peak = _near_peak(count, lambda k, t: weight(np.minimum(t + 1, count[k]), k) <= weight(t, k))
     reach = (8 * np.sqrt(peak)).astype(np.int64) + 12
     first, end = np.maximum(peak - reach, 1), np.minimum(peak + reach, count) + 1
     width = -(-(end - first) // CELLS)
@@ -155,11 +160,22 @@ def classes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     """(distinct values in order, a place of each, start of each among the
     sorted places, sorted places). Unlike numpy's unique it does without a
     stable sort."""
-    order = np.argsort(x)
+    order = _order(x)
+    y = x[order]
     new = np.ones(len(x), bool)
-    new[1:] = x[order][1:] != x[order][:-1]
+    new[1:] = y[1:] != y[:-1]
     start = np.flatnonzero(new)
-    return x[order[start]], order[start], start, order
+    return y[start], order[start], start, order
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """As argsort: the hashes' high bits are sorted with the places in their low
+    ones, which numpy does several times faster; if that leaves any two out of
+    order, they are sorted in full."""
+    low = np.uint64((1 << max(1, int(len(x)).bit_length())) - 1)
+    order = (np.sort((x & ~low) | np.arange(len(x), dtype=np.uint64)) & low).astype(np.int64)
+    y = x[order]
+    return order if (y[1:] >= y[:-1]).all() else np.argsort(x)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -201,7 +217,7 @@ class Tokens:
         self.context, self.word = context[at], self.token[at]
         self.pair_count = np.add.reduceat(train[self._sorted].astype(np.int64), start)
         self._start = start
-        self.order = np.argsort(self.words)
+        self.order = _order(self.words)
 
     @property
     def pair(self) -> np.ndarray:

@@ -187,3 +187,16 @@ def test_empty_tables(spark, no_docs, docs):
     assert hpylm.score(no_docs, F.lit(True)).count() == 0
     rows = hpylm.score(docs, F.lit(True)).collect()  # nothing to learn from
     assert len(rows) == docs.count() and {r.train_tokens for r in rows} == {0} and {r.base_score for r in rows} == {0.0}
+
+
+def test_hashes_are_ordered_also_where_their_high_bits_agree():
+    rng = np.random.default_rng(4)
+    for x in (np.zeros(0, np.uint64), rng.integers(0, 1 << 63, 5000).astype(np.uint64), rng.integers(0, 50, 5000).astype(np.uint64), np.array([3, 2, 1], np.uint64)):
+        order = hpylm._order(x)
+        assert (x[order] == np.sort(x)).all() and sorted(order.tolist()) == list(range(len(x)))
+
+
+def test_near_peak_is_near():
+    peak = np.array([1, 2, 10, 77, 1000, 5000])
+    got = hpylm._near_peak(np.array([1, 100, 100, 100, 20_000, 5000]), lambda k, t: t >= peak[k])
+    assert (np.abs(got - peak) <= np.sqrt(peak) + 1).all()
