@@ -95,6 +95,8 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 def _stack(vectors, dim: int) -> np.ndarray:
     """Rows of a matrix; a missing or empty vector is zero, any other width
     than ``dim`` is an error."""
+    if len(vectors) and all(v is not None and len(v) == dim for v in vectors):
+        return np.concatenate(vectors).astype(np.float64, copy=False).reshape(len(vectors), dim)
     out = np.zeros((len(vectors), dim), dtype=np.float64)
     for i, v in enumerate(vectors):
         if v is not None and len(v):

@@ -19,7 +19,8 @@ from taxomatch.operators import lexical as lx
 from taxomatch.operators import report as rp
 from taxomatch.operators.centroid import weighted_centroid
 from taxomatch.operators.encode import HashingEncoder, encode_chunked, kb_vectors
-from taxomatch.operators.match import MatchConfig, match, match_one, to_long, to_wide
+from taxomatch.operators.match import MatchConfig, match, match_one, prepare_kb, to_long, to_wide
+from taxomatch.operators.simjoin import SimilarityJoin
 from taxomatch.plans import standins as si
 from taxomatch.session import bounded_broadcast, reliable_checkpoint, scratch_dir
 from taxomatch.sources import tables as st
@@ -356,6 +357,15 @@ def match_topk_blocked(spark: SparkSession, d: str) -> DataFrame:
     return to_wide(r.select("query_id", "codes", "titles", "scores", "raw_scores"), "production").withColumnRenamed("query_id", "vec_id")
 
 
+def similarity_join(spark: SparkSession, d: str) -> DataFrame:
+    """Every embedding that is no query is a KB row: its six masked fields, each
+    of length 1, weighted and summed; a fifth of the embeddings are queries."""
+    e = si.embeddings(spark, d)
+    kb = prepare_kb(si.field_kb(e.where("vec_id % 5 <> 0")), MatchConfig(weights=ENGINE_WEIGHTS))
+    found = SimilarityJoin(kb, vec="vec_fused", block_rows=256).topk(e.where("vec_id % 5 = 0").select("vec_id", F.col("v").alias("vec")), 3)
+    return found.select("vec_id", "rank", "code", rnd("score").alias("score"))
+
+
 def match_topk_boosted(spark: SparkSession, d: str) -> DataFrame:
     r = _match(spark, d, MatchConfig(weights=TUNED_WEIGHTS, title_boost=tx.TITLE_BOOST))
     w = to_wide(r.select("query_id", "codes", "titles", "scores", "raw_scores"), "eval")
@@ -659,7 +669,7 @@ QUERIES = {
     "json_roundtrip": json_roundtrip, "profile_text": profile_text, "query_text": query_text, "tokens": tokens,
     "title_words": title_words, "train_pairs": train_pairs, "hard_negatives": hard_negatives,
     "weighted_centroid": weighted_centroid_q, "chunk_mean": chunk_mean, "chunk_text": chunk_text,
-    "cosine_fields": cosine_fields, "match_topk": match_topk, "match_topk_blocked": match_topk_blocked,
+    "cosine_fields": cosine_fields, "match_topk": match_topk, "match_topk_blocked": match_topk_blocked, "similarity_join": similarity_join,
     "match_topk_boosted": match_topk_boosted, "match_topk_app": match_topk_app,
     "eval_rows": eval_rows, "eval_summary": eval_summary, "pair_correlation": pair_correlation,
     "weight_accuracy": weight_accuracy, "weight_search": weight_search,

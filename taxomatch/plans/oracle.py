@@ -477,6 +477,16 @@ SELECT cosf.vec_id, {', '.join(f"round(max(CASE WHEN cosf.f = {i} THEN cos END),
 FROM cosf JOIN e ON e.vec_id = cosf.vec_id AND e.label = cosf.kl GROUP BY cosf.vec_id""",
         "match_topk": _production(),
         "match_topk_blocked": _production(),
+        "similarity_join": """
+WITH el AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings),
+fn AS (SELECT vec_id, pos % 6 AS f, sqrt(sum(x * x)) AS n FROM el GROUP BY 1, 2),
+qn AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM el GROUP BY 1),
+w AS (SELECT unnest(range(6)) AS f, unnest([0.2017, 0.1021, 0.0063, 0.3941, 0.2898, 0.0061])::DOUBLE AS w),
+kb AS (SELECT el.vec_id, el.pos, CASE WHEN fn.n > 0 THEN w.w * el.x / fn.n ELSE 0 END AS x FROM el JOIN fn ON el.vec_id = fn.vec_id AND el.pos % 6 = fn.f JOIN w ON w.f = fn.f WHERE el.vec_id % 5 <> 0),
+q AS (SELECT el.vec_id, el.pos, CASE WHEN n > 0 THEN el.x / n ELSE 0 END AS x FROM el JOIN qn ON el.vec_id = qn.vec_id WHERE el.vec_id % 5 = 0),
+s AS (SELECT q.vec_id, kb.vec_id AS kb_id, sum(q.x * kb.x) AS s FROM q JOIN kb USING (pos) GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, kb_id) AS rn FROM s)
+SELECT vec_id, CAST(rn AS INTEGER) AS rank, lpad(CAST(kb_id AS VARCHAR), 12, '0') AS code, round(s, 6) AS score FROM rk WHERE rn <= 3""",
         "match_topk_boosted": _eval_cte() + "\nSELECT vec_id, Machine_SOC_Code, Machine_Title, Machine_Confidence, Top_Codes FROM top",
         "match_topk_app": _app_cte() + "\nSELECT * FROM app",
         "eval_rows": _eval_cte() + "\nSELECT * FROM ev",

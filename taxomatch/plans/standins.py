@@ -89,6 +89,13 @@ def vector_kb(spark, d, words: str = "eval") -> DataFrame:
     return kb.withColumn("title_words", tw)
 
 
+def field_kb(e: DataFrame) -> DataFrame:
+    """One KB row per embedding: field f keeps the positions with index mod 6 == f."""
+    names = ("task", "desc", "skill", "ofc_title", "alt_title", "tool")
+    code = F.lpad(F.col("vec_id").cast("string"), 12, "0")
+    return e.select(code.alias("code"), code.alias("title"), *[mask_positions("v", k, 6).alias(f"vec_{f}") for k, f in enumerate(names)])
+
+
 def vector_queries(spark, d, words: str = "eval") -> DataFrame:
     e = embeddings(spark, d)
     title = F.concat(_word(F.col("label") + F.col("vec_id") % 3), F.lit(" Supervisors"))
