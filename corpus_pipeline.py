@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxomatch.llm import packing, quality, recompress, simhash
-from taxomatch.llm.common import saved, table
+from taxomatch.llm.common import fresh_name, saved, table
 from taxomatch.llm.queries import WORD_BPE
 
 
@@ -30,10 +30,11 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of repeated windows of 35 words; n_chars
     follows the text. A document that repeats others whole stays, empty."""
-    out = recompress.without_repeats(docs, window=35)
+    removed = fresh_name(docs, "_removed")
+    out = recompress.without_repeats(docs, window=35, removed=removed)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(kind))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(kind))
     return out.select(*docs.columns)
 
 

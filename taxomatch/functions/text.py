@@ -214,10 +214,10 @@ def short_label(c, n: int) -> Column:
 # follows. "Letter" is a word character that is not a digit.
 _LT = r"[^\d\W]"
 _HYPHEN_END = rf"(?<={_LT}{{2}}-)(?={_LT}-?{_LT})|(?<={_LT}-{_LT}-)(?={_LT}-?{_LT})"
-# It also breaks before and after two or more hyphens between words (looked
-# for over at most 1,000 hyphens).
+# It also breaks before and after two or more hyphens between words: a run of
+# any length is found forwards, from the character in front of it.
 _WP = r"[\w!\"'&.,?]"
-_HYPHEN_END += rf"|(?<={_WP})(?=-{{2,}}\w)|(?<={_WP}-{{2,1000}})(?=\w)"
+_DASHES = rf"({_WP})(-{{2,}})(?=\w)"
 
 
 def chunk_text(c, width: int = 800, hyphens: bool = False) -> Column:
@@ -230,8 +230,9 @@ def chunk_text(c, width: int = 800, hyphens: bool = False) -> Column:
     One JVM regex does the packing: on whitespace-collapsed text,
     ``\\S(?:.{0,w-2}\\S)?(?= |$)`` matches, from the start of a word, the longest
     run of at most ``w`` characters that ends at a word end - exactly the
-    greedy rule. Rows holding an unbreakable run longer than ``width`` (rare) take
-    the piece-by-piece fold, which cuts such a run as ``textwrap`` does."""
+    greedy rule. Rows holding an unbreakable run longer than ``width`` or, with
+    ``hyphens``, two or more hyphens between words (both rare) take the
+    piece-by-piece fold, which cuts and breaks them as ``textwrap`` does."""
     text = F.coalesce(col_(c), F.lit(""))
     # textwrap's whitespace is ASCII only: collapse it, trim the spaces left at the ends
     flat = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), "^ | $", "")
@@ -245,6 +246,8 @@ def chunk_text(c, width: int = 800, hyphens: bool = False) -> Column:
     runs = text if not hyphens else F.when(
         F.instr(flat, "-") > 0, F.regexp_replace(flat, f"(?U){_HYPHEN_END}", " ")).otherwise(flat)
     has_long = runs.rlike(f"\\S{{{width + 1}}}")
+    if hyphens:  # dash runs between words are marked, and packed, by the fold
+        has_long = has_long | ((F.instr(flat, "--") > 0) & flat.rlike(f"(?U){_DASHES}"))
     return F.when(has_long, _chunk_fold(flat, width, hyphens)).otherwise(fast)
 
 
@@ -262,7 +265,9 @@ def _chunk_fold(flat: Column, width: int, hyphens: bool) -> Column:
     """``flat``: text with single spaces. Pieces are the words or, with
     hyphens, their breakable parts; a piece that starts a word has a space in
     front."""
-    marked = F.regexp_replace(flat, f"(?U){_HYPHEN_END}", "\u0001") if hyphens else flat
+    marked = flat
+    if hyphens:
+        marked = F.regexp_replace(F.regexp_replace(flat, f"(?U){_HYPHEN_END}", "\u0001"), f"(?U){_DASHES}", "$1\u0001$2\u0001")
     pieces = F.filter(F.split(F.regexp_replace(marked, " ", "\u0001 "), "\u0001"), lambda p: p != F.lit(""))
     init = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
@@ -279,7 +284,7 @@ def _chunk_fold(flat: Column, width: int, hyphens: bool) -> Column:
         opened = F.concat(cur, glue)
         first = F.when(room > 0, _cut_run(body, room, hyphens)).otherwise(F.lit(0))
         start = F.struct(F.when(room > 0, F.concat(done, F.array(F.concat(opened, F.left(body, first)))))
-                         .when(cur == "", done).otherwise(F.concat(done, F.array(opened))).alias("done"),
+                         .otherwise(closed).alias("done"),
                          F.substring(body, first + 1, F.length(body)).alias("cur"))
 
         def again(a, _):

@@ -1,5 +1,6 @@
 """Golden cases for the column functions and small operators (hand-written)."""
 
+import random
 import textwrap
 
 from pyspark.sql import functions as F
@@ -166,3 +167,14 @@ def test_title_code_join_fanout_modes(spark):
     assert fan == [(1, "29-1"), (1, "29-2"), (2, "43-1"), (3, None)]
     one = {r["id"]: (r["code"], r["codes"]) for r in kbo.title_code_join(survey, tax, "t", "title", "code", fanout=False).collect()}
     assert one == {1: ("29-1", ["29-1", "29-2"]), 2: ("43-1", ["43-1"]), 3: (None, None)}
+
+
+def test_chunk_text_breaks_around_dash_runs_of_any_length(spark):
+    rng = random.Random(3)
+    texts = ["a " * 395 + "word" + "-" * n + "behind it " * 20 for n in (2, 999, 1000, 1001, 1700, 5000)]
+    for _ in range(40):
+        parts = [rng.choice(["x", "well-known", "a--b", "end.", "--", "-", "q" * 30, "don't---stop", "3--4"]) + rng.choice([" ", " ", "-" * rng.choice([1, 2, 1001, 1500])]) for _ in range(rng.randint(1, 60))]
+        texts.append("".join(parts).strip())
+    got = one_col(spark, texts, lambda c: tx.chunk_text(c, 80, hyphens=True))
+    assert got == [textwrap.wrap(" ".join(t.split()), 80) for t in texts]
+    assert one_col(spark, texts[:6], lambda c: tx.chunk_text(c, 800, hyphens=True)) == [textwrap.wrap(t, 800) for t in texts[:6]]
