@@ -4,8 +4,8 @@ Turns are ranked in a conversation and cut into blocks of BLOCK turns, so no
 group grows with a conversation. In a block, prefix sums of turn tokens choose
 turn-aligned windows: a window closes before the turn that would take its new
 tokens beyond the room that the budget leaves after the system turn and the
-history. Each later window starts with the conversation's system turn, then
-repeats at most ``history_turns`` earlier turns of at most ``history`` tokens
+history. Each window after the conversation's first system turn, wherever that
+stands, starts with it, then repeats at most ``history_turns`` earlier turns of at most ``history`` tokens
 in sum. Only assistant turns that are new in a window are under the loss mask,
 so every target counts once.
 
@@ -101,7 +101,7 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, history_tur
     rows = ranked(rows)
     head = F.concat(F.lit("<s>"), escape_role(F.col("role")), F.lit("\n"))
     rows = rows.withColumn("head", head).select(
-        "conv", "rank", (F.col("role") == TARGET).alias("target"), (F.col("rank").eqNullSafe(0) & (F.col("role") == SYSTEM)).alias("system"),
+        "conv", "rank", (F.col("role") == TARGET).alias("target"), (F.col("role") == SYSTEM).alias("system"),
         F.regexp_count("text", F.lit(TOKEN)).cast("long").alias("n"), F.concat("head", escape(F.col("text")), F.lit("</s>")).alias("shown"),
         F.char_length("head").alias("from"))
     rows = rows.withColumn("chars", F.char_length("shown"))
@@ -110,7 +110,7 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, history_tur
     blocks = saved(blocks, "blocks")
     tails = blocks.select(F.col("conv").alias("_conv"), (F.col("block") + 1).alias("_block"),
                           F.expr(f"slice(turns, greatest(1, size(turns) - {history_turns - 1}), {history_turns})").alias("tail"))
-    lead = rows.where("system").select(F.col("conv").alias("_sconv"), F.struct(*fields).alias("lead"))
+    lead = rows.where("system").groupBy(F.col("conv").alias("_sconv")).agg(F.min(F.struct(*fields)).alias("lead"))  # rank is the first field
     out = blocks.join(tails, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block")), "left")
     out = out.join(lead, F.col("conv").eqNullSafe(F.col("_sconv")), "left")
     out = out.withColumn("room", F.greatest(F.lit(1).cast("long"), F.lit(budget - history) - F.coalesce(F.col("lead.n"), F.lit(0))))
@@ -119,10 +119,10 @@ def windows(turns: DataFrame, budget: int = 512, history: int = 128, history_tur
     out = out.withColumn("new", F.expr("filter(turns, (t, i) -> number[i] = window)"))
     out = out.withColumn("first", F.expr("new[0].rank"))
     # earlier turns, the nearest first, as long as their tokens fit; the system turn is put in front anyway
-    out = out.withColumn("before", F.expr(f"slice(reverse(filter(concat(coalesce(tail, array()), turns), t -> t.rank < first and t.rank >= first - {history_turns} and not t.system)), 1, {history_turns})"))
+    out = out.withColumn("before", F.expr(f"slice(reverse(filter(concat(coalesce(tail, array()), turns), t -> t.rank < first and t.rank >= first - {history_turns} and not t.rank <=> lead.rank)), 1, {history_turns})"))
     out = out.withColumn("upto", _sums(F.expr("transform(before, t -> t.n)")))
     out = out.withColumn("before", F.expr(f"reverse(filter(before, (t, i) -> upto[i] <= {history}))"))
-    out = out.withColumn("before", F.expr("if(lead is not null and first > 0, concat(array(lead), before), before)"))
+    out = out.withColumn("before", F.expr("if(lead.rank < first, concat(array(lead), before), before)"))
     out = out.withColumn("all", F.concat("before", "new")).withColumn("ends", _sums(F.expr("transform(all, t -> cast(t.chars as bigint))")))
     return out.select(
         "conv", "first", F.size("before").alias("n_context"), F.size("new").alias("n_new"), F.expr("aggregate(all, 0L, (a, t) -> a + t.n)").alias("n_tokens"),

@@ -11,9 +11,10 @@ holds more than one block of each, and the heaps are merged by rank.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and rows with a null id, take no part; vectors of another length
-are no candidates; of several rows with one id the smallest vector counts;
-equal scores go to the smaller id; fewer candidates give fewer rows; an empty
-table gives an empty result.
+are no candidates; rows that share an id are rows of their own, as queries and
+as candidates of each other; equal scores go to the smaller id; fewer candidates
+give fewer rows; an empty table gives an empty result; a vector of any length is
+held whole; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from taxomatch.llm.lattice import by_length, valid
 
 QUERIES = 1024  # rows of a query block
 CANDIDATES = 4096  # rows of a candidate block
-BLOCK = "dim int, ids binary, vecs binary, codes binary, steps binary, errors binary"
+BLOCK = "dim int, rows binary, ids binary, vecs binary, codes binary, steps binary, errors binary"
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +85,7 @@ def search_tile(heaps: Heaps, q: dict, c: dict) -> None:
     tile *= c["step"]
     # |x.y - x'.y'| <= |x'||y - y'| + |x - x'||y'| + |x - x'||y - y'|, and |x'| <= 1 + |x - x'|
     off = np.multiply.outer(1 + q["error"], c["error"]) + np.multiply.outer(q["error"], 1 + c["error"]) + np.multiply.outer(q["error"], c["error"]) + 1e-9
-    own = q["ids"][:, None] == c["ids"]
+    own = q["rows"][:, None] == c["rows"]
     low = np.where(own, -np.inf, tile - off)
     if low.shape[1] > heaps.k:
         floor = np.partition(low, low.shape[1] - heaps.k, axis=1)[:, low.shape[1] - heaps.k]
@@ -105,7 +106,7 @@ def search_tile(heaps: Heaps, q: dict, c: dict) -> None:
 def block_of(batch: pa.RecordBatch, prefix: str, row: int) -> dict:
     get = lambda c, kind: np.frombuffer(batch.column(prefix + c)[row].as_py(), kind)
     dim = batch.column("dim")[row].as_py()
-    return {"ids": get("ids", "<i8"), "x": get("vecs", "<f8").reshape(-1, dim), "codes": get("codes", "i1").reshape(-1, dim),
+    return {"rows": get("rows", "<i8"), "ids": get("ids", "<i8"), "x": get("vecs", "<f8").reshape(-1, dim), "codes": get("codes", "i1").reshape(-1, dim),
             "step": get("steps", "<f8"), "error": get("errors", "<f8")}
 
 
@@ -115,29 +116,29 @@ def blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
-        def out(dim: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        def out(dim: int, rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             codes, step, error = quantise(x)
             return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (ids.astype("<i8"), x.astype("<f8"), codes, step, error)]],
-                names=["dim", "ids", "vecs", "codes", "steps", "errors"])
+                [pa.array([dim], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (rows.astype("<i8"), ids.astype("<i8"), x.astype("<f8"), codes, step, error)]],
+                names=["dim", "rows", "ids", "vecs", "codes", "steps", "errors"])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for at, x in by_length(batch.column(1)):
+            rows, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at, x in by_length(batch.column(2)):
                 parts = held.setdefault(x.shape[1], [])
-                parts.append((ids[at], x))
-                if sum(len(i) for i, _ in parts) >= size:
-                    i, x = (np.concatenate(p) for p in zip(*parts, strict=True))
+                parts.append((rows[at], ids[at], x))
+                if sum(len(i) for i, *_ in parts) >= size:
+                    r, i, x = (np.concatenate(p) for p in zip(*parts, strict=True))
                     whole = len(i) // size * size
                     for lo in range(0, whole, size):
-                        yield out(x.shape[1], i[lo:lo + size], x[lo:lo + size])
-                    held[x.shape[1]] = [(i[whole:], x[whole:])]
+                        yield out(x.shape[1], r[lo:lo + size], i[lo:lo + size], x[lo:lo + size])
+                    held[x.shape[1]] = [(r[whole:], i[whole:], x[whole:])]
         for dim, parts in held.items():
-            i, x = (np.concatenate(p) for p in zip(*parts, strict=True))
+            r, i, x = (np.concatenate(p) for p in zip(*parts, strict=True))
             if len(i):
-                yield out(dim, i, x)
+                yield out(dim, r, i, x)
 
-    return map_arrow(rows.select(key, "v"), run, BLOCK)
+    return map_arrow(rows.select("_row", key, "v"), run, BLOCK)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding",
@@ -145,20 +146,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
     """(query_id, rank, vec_id, score): the k nearest of every row for which
     ``is_query``, a condition on the key, holds."""
     rows = vectors.where(valid(vector) & F.col(key).isNotNull())
-    rows = rows.groupBy(F.col(key).cast("long").alias(key)).agg(F.min(F.col(vector).cast("array<double>")).alias("v"))
-    rows = saved(rows, "vectors")
+    rows = rows.select(F.monotonically_increasing_id().alias("_row"), F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v"))
+    rows = saved(rows, "vectors")  # the rows' own numbers are fixed from here on
     # each task makes blocks of its own rows, so a task should have some blocks' worth
     n = rows.count()
     queries = rows.where(is_query)
-    q = queries.repartition(max(1, -(-queries.count() // query_rows)), key)
-    c = rows.repartition(max(1, -(-n // candidate_rows)), key)
+    q = queries.repartition(max(1, -(-queries.count() // query_rows)), "_row")
+    c = rows.repartition(max(1, -(-n // candidate_rows)), "_row")
     number = F.monotonically_increasing_id()
     q = saved(blocks(q, key, query_rows).withColumn("qb", number), "query-blocks")
     c = saved(blocks(c, key, candidate_rows).withColumn("cb", number), "candidate-blocks")
     # every candidate block goes to every query block of its length: the block numbers are the grid
     grid = c.select("dim", "cb").join(q.select("dim", "qb"), "dim")
     grid = saved(grid.select("qb", "cb"), "grid")
-    pairs = grid.join(c, "cb").join(q.toDF("qdim", *[f"q_{x}" for x in ("ids", "vecs", "codes", "steps", "errors")], "qb"), "qb")
+    pairs = grid.join(c, "cb").join(q.toDF("qdim", *[f"q_{x}" for x in ("rows", "ids", "vecs", "codes", "steps", "errors")], "qb"), "qb")
     pairs = pairs.repartition(max(1, min(grid.count(), 4 * rows.sparkSession.sparkContext.defaultParallelism)), "qb", "cb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,12 +168,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
                 query = block_of(batch, "q_", row)
                 heaps = Heaps(query["ids"], k)
                 search_tile(heaps, query, block_of(batch, "", row))
-                found = [(i, -v, s) for i, h in zip(heaps.ids.tolist(), heaps.heaps, strict=True) for s, v in h]
+                found = [(r, i, -v, s) for r, i, h in zip(query["rows"].tolist(), heaps.ids.tolist(), heaps.heaps, strict=True) for s, v in h]
                 if found:
-                    i, v, s = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())],
-                                                     names=["query_id", "vec_id", "score"])
+                    r, i, v, s = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(i, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())],
+                                                     names=["own", "query_id", "vec_id", "score"])
 
-    found = map_arrow(pairs, run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = map_arrow(pairs, run, "own long, query_id long, vec_id long, score double")
+    best = Window.partitionBy("own").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

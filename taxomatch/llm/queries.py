@@ -70,7 +70,8 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
-    return quality.score(docs, model).withColumn("held_out", crc_mod("doc_id", 3) == 1).select("doc_id", "held_out", "score", "predicted")
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))  # a null id is held out of nothing
+    return quality.score(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "score", "predicted")
 
 
 def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:

@@ -16,7 +16,8 @@ as well, so the symbols decide nothing but how much is verified.
 
 Defined results: null, empty and white-space texts have no words; a document of
 fewer words than a window keeps all; repeated rows repeat each other's windows;
-an empty table gives an empty result. Rows keep their number and their id,
+an empty table gives an empty result; a text of any length is one document of
+its block; names of other columns cannot clash with inner ones. Rows keep their number and their id,
 null or repeated; other columns are carried only if asked for.
 """
 
@@ -226,11 +227,14 @@ def removal_digests(docs: DataFrame, window: int = 35, key: str = "doc_id", text
         return saved(_marked(table, buckets, passing, window, rounds, out, f"{key_fields(docs, key)}, n_words long, n_removed long, kept_sha256 string"), "removed")
 
 
-def without_repeats(docs: DataFrame, window: int = 35, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 35, text: str = "text", rounds: int = ROUNDS, removed: str = "_removed") -> DataFrame:
     """``docs`` with every repeated passage cut from its text (a word goes with
-    the white space after it) and a column ``_removed``; texts in which nothing
+    the white space after it) and a column ``removed``, a name that ``docs`` has
+    not, for the number of words cut; texts in which nothing
     repeats, null included, are left as they are."""
     others = [c for c in docs.columns if c != text]
+    if removed in docs.columns:
+        raise ValueError(f"docs has a column {removed} already")
 
     def out(b: Block, removed: np.ndarray) -> pa.Table:
         _, gone = _per_document(b, removed)
@@ -247,4 +251,4 @@ def without_repeats(docs: DataFrame, window: int = 35, text: str = "text", round
     schema = ", ".join([*(f"_c{k} {kinds[c]}" for k, c in enumerate(others)), "_text string", "_removed long"])
     with block_table(docs, text, others, lower=False, keep_text=True) as (table, buckets, passing):
         done = saved(_marked(table, buckets, passing, window, rounds, out, schema), "cut")
-    return done.select(*[F.col("_text" if c == text else f"_c{others.index(c)}").alias(c) for c in docs.columns], "_removed")
+    return done.select(*[F.col("_text" if c == text else f"_c{others.index(c)}").alias(c) for c in docs.columns], F.col("_removed").alias(removed))

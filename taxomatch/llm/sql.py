@@ -15,7 +15,7 @@ WITH RECURSIVE said AS (
     3 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '([<\[])(\\*)(/?(?:s>|INST\]|SYS>))', '\1\\\2\3', 'g')) + 1
       + length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]|SYS>))', '\1\\\2\3', 'g')) + 4 AS chars
   FROM said
-), leads AS (SELECT conv_id, n, chars FROM turns WHERE rank = 0 AND role = 'system'
+), leads AS (SELECT conv_id, min(rank) AS rank, arg_min(n, rank) AS n, arg_min(chars, rank) AS chars FROM turns WHERE role = 'system' GROUP BY conv_id
 ), sized AS (
   SELECT t.*, sum(t.n) OVER (PARTITION BY t.conv_id, t.rank // 256 ORDER BY t.rank) AS upto, greatest(1, 512 - 128 - coalesce(l.n, 0)) AS room
   FROM turns t LEFT JOIN leads l ON t.conv_id IS NOT DISTINCT FROM l.conv_id
@@ -28,11 +28,12 @@ WITH RECURSIVE said AS (
 ), firsts AS (SELECT DISTINCT conv_id, first FROM walk WHERE first > 0
 ), history AS (
   SELECT f.conv_id, t.chars, sum(t.n) OVER (PARTITION BY f.conv_id, f.first ORDER BY t.rank DESC) AS upto
-  FROM firsts f JOIN turns t ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.rank < f.first AND t.rank >= f.first - 8 AND NOT (t.rank = 0 AND t.role = 'system')
+  FROM firsts f JOIN turns t ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.rank < f.first AND t.rank >= f.first - 8 LEFT JOIN leads l ON l.conv_id IS NOT DISTINCT FROM f.conv_id
+  WHERE t.rank IS DISTINCT FROM l.rank
 ), repeated AS (
   SELECT conv_id, sum(chars) AS chars FROM (
     SELECT conv_id, chars FROM history WHERE upto <= 128
-    UNION ALL SELECT f.conv_id, l.chars FROM firsts f JOIN leads l ON f.conv_id IS NOT DISTINCT FROM l.conv_id) GROUP BY conv_id
+    UNION ALL SELECT f.conv_id, l.chars FROM firsts f JOIN leads l ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND l.rank < f.first) GROUP BY conv_id
 ), summed AS (
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rank)) AS turns_sha256,
     coalesce(string_agg(text, '' ORDER BY rank) FILTER (role = 'assistant'), '') AS target, sum(chars) AS chars
@@ -70,10 +71,10 @@ FROM words w LEFT JOIN summed s ON w.doc_id = s.doc_id
 """
 
 OP9 = f"""
-WITH v AS ({_VALID}), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) / (q.norm * c.norm) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
-), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WITH v AS MATERIALIZED (SELECT *, row_number() OVER () AS own FROM ({_VALID}) WHERE vec_id IS NOT NULL), scored AS (
+  SELECT q.own, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) / (q.norm * c.norm) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.own <> c.own AND len(q.e) = len(c.e)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 

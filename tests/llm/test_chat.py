@@ -80,3 +80,14 @@ def test_escape_is_reversible(spark):
     df = spark.createDataFrame([(t or "",) for t in odd_texts(300, 9)], "t string")
     same = df.select((chat.unescape(chat.escape(F.col("t"))) == F.col("t")) & (chat.unescape_role(chat.escape_role(F.col("t"))) == F.col("t")))
     assert {r[0] for r in same.collect()} == {True}
+
+
+def test_a_system_turn_that_is_not_first_is_kept(spark):
+    """A null-numbered user turn stands ahead of the system turn."""
+    rows = [(1, None, "user", "hello"), (1, 0, "system", "be brief")]
+    rows += [(1, k, "user" if k % 2 else "assistant", " ".join(["word"] * 30)) for k in range(1, 21)]
+    rows += [(1, 30, "system", "a later one")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.windows(df, 120, 30, 2).orderBy("first").collect()
+    assert len(got) > 3 and [r.text.startswith("<s>system\nbe brief</s>") for r in got] == [False] + [True] * (len(got) - 1)
+    assert sum(r.text.count("be brief") for r in got) == len(got) and got[1].n_context > 0

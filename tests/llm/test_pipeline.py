@@ -103,3 +103,23 @@ def test_entry_without_the_subpackage(monkeypatch):
 
     assert e.queries() and not any(k.startswith("op") or k == "pipeline" for k in e.queries())
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_substring_stage_with_clashing_names_nulls_and_repeats(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, 3, "a"), (1, long, 4, None), (None, None, None, "b"), (2, "", 0, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _removed long, _text string")
+    got = sorted(((r.doc_id or 0, r.text, r["_removed"], r["_text"]) for r in corpus_pipeline.substring_dedup(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, "", 3, "a"), (1, "", 4, None), (0, None, None, "b"), (2, "", 0, "c")], key=repr)
+
+
+def test_null_id_is_held_out_of_nothing(spark, tmp_path):
+    from taxomatch.llm.queries import op10_subword_quality
+
+    docs = [(k, f"{'good clean prose' if k % 2 else 'zz zz qq'} {k}") for k in range(60)] + [(None, "good clean prose")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in op10_subword_quality(spark, str(tmp_path)).collect()}
+    assert got[None].held_out is False and len(got) == 61

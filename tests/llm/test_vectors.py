@@ -77,11 +77,11 @@ def test_block_search_is_exact(spark):
     rows = [r for r in odd_vectors() if r[0] != 100] + [(100, odd_vectors()[0][1]), (100, odd_vectors()[0][1])]
     df = spark.createDataFrame([(k, v, "x") for k, v in rows], "vec_id long, embedding array<float>, score string")
     got = nearest.nearest(df, F.col("vec_id") % 10 == 0, 5, query_rows=4, candidate_rows=13).collect()
-    good = {k: v for k, v in rows if usable(v) and k is not None}
+    good = [(k, v) for k, v in rows if usable(v) and k is not None]
     want = []
-    for q in (k for k in good if k % 10 == 0):
-        found = sorted((-cosine(np.float32(good[q]), np.float32(v)), k) for k, v in good.items() if k != q and len(v) == len(good[q]))[:5]
-        want += [(q, n, k) for n, (s, k) in enumerate(found, 1)]
+    for at, (q, x) in enumerate(good):
+        found = sorted((-cosine(np.float32(x), np.float32(v)), k) for i, (k, v) in enumerate(good) if i != at and len(v) == len(x))[:5]
+        want += [(q, n, k) for n, (s, k) in enumerate(found, 1) if q % 10 == 0]
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(want)
 
 
@@ -100,3 +100,10 @@ def test_few_candidates_and_empty_table(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in nearest.nearest(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1)]
     none = df.limit(0)
     assert nearest.nearest(none, F.lit(True)).count() == 0 and lattice.near_duplicates(none).count() == 0
+
+
+def test_rows_that_share_an_id_are_candidates_of_each_other(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.2]), (2, [1.0, 0.3]), (0, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in nearest.nearest(df, F.col("vec_id") % 50 == 0).collect())
+    assert got == sorted([(0, 1, 1), (0, 2, 1), (0, 3, 2), (0, 4, 0), (0, 1, 2), (0, 2, 1), (0, 3, 1), (0, 4, 0)])
