@@ -7,15 +7,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taxomatch.functions.text import blank_to_empty
 from taxomatch.functions.vectors import FIELDS, SEARCH_BASELINE, WEIGHT_NAMES, normalized_weights
-from taxomatch.operators.labels import average_rank
 from taxomatch.operators.match import RANK_DECIMALS, _stack, _unit_rows, block_rows, typed_empty
-from taxomatch.session import ensure_checkpoint_dir, reliable_checkpoint, ship_package
+from taxomatch.operators.prefix import running_sum, written
+from taxomatch.session import reliable_checkpoint, ship_package
 
 
 def eval_rows(result: DataFrame, occupation: str = "occupation", description: str = "description",
@@ -62,17 +62,30 @@ def eval_summary(rows: DataFrame) -> DataFrame:
         "avg_conf", F.abs(F.col("_cc") - F.col("_cw")).alias("conf_gap"), "no_code")
 
 
+def _ranks(cells: DataFrame, value: str, out: str) -> DataFrame:
+    """(value, out): the average rank of each distinct value, by running sums of
+    the counts."""
+    d = running_sum(cells.groupBy(value).agg(F.sum("_c").alias("_c")), [], [value], "_before", "_c")
+    return d.select(value, (F.col("_before") + (F.col("_c") + 1) / 2.0).alias(out))
+
+
 def pair_correlation(pairs: DataFrame, pred: str = "cosine", label: str = "score") -> DataFrame:
     """Pearson and Spearman (Pearson of average ranks) of predicted similarity
-    against the label. Ranks are computed without a single-partition window."""
-    ensure_checkpoint_dir(pairs.sparkSession)
-    # the pairs feed six jobs (two ranks, each counting and bucketing): cut the
-    # lineage once in the shared checkpoint folder instead of recomputing them
-    base = reliable_checkpoint(pairs.select(F.col(pred).cast("double").alias("_x"), F.col(label).cast("double").alias("_y")))
-    ranked = average_rank(average_rank(base, "_x", "_rx"), "_y", "_ry")
-    return ranked.agg(F.corr("_x", "_y").alias("cosine_pearson"),
-                      F.corr("_rx", "_ry").alias("cosine_spearman"),
-                      F.count(F.lit(1)).alias("pairs"))
+    against the label, over pairs that have both. Pairs are counted per distinct
+    (similarity, label) once; ranks meet those counts, never the pairs."""
+    base = pairs.select(F.col(pred).cast("double").alias("_x"), F.col(label).cast("double").alias("_y")).where("_x is not null and _y is not null")
+    cells = written(base.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_c")), "correlation-cells")
+    n, x, y = cells.agg(F.sum("_c"), F.sum(F.col("_c") * F.col("_x")), F.sum(F.col("_c") * F.col("_y"))).first()
+    n, x, y = n or 0, (x or 0.0) / max(n or 0, 1), (y or 0.0) / max(n or 0, 1)
+    ranked = cells.join(_ranks(cells, "_x", "_rx"), "_x").join(_ranks(cells, "_y", "_ry"), "_y")
+
+    def corr(a: str, b: str, mean_a: float, mean_b: float) -> Column:
+        da, db, c = F.col(a) - F.lit(mean_a), F.col(b) - F.lit(mean_b), F.col("_c")
+        return F.try_divide(F.sum(c * da * db), F.sqrt(F.sum(c * da * da)) * F.sqrt(F.sum(c * db * db)))
+
+    middle = (n + 1) / 2
+    return ranked.agg(corr("_x", "_y", x, y).alias("cosine_pearson"), corr("_rx", "_ry", middle, middle).alias("cosine_spearman"),
+                      F.coalesce(F.sum("_c"), F.lit(0)).alias("pairs"))
 
 
 # ---------------------------------------------------------------------------

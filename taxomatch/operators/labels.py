@@ -10,11 +10,12 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxomatch.functions.text import (QUERY_PREFIX, blank_to_empty, is_code, query_text,
                                       word_count)
+from taxomatch.operators.prefix import running_sum, written
 
 # Column names of the two survey workbooks and their internal
 # names, and the keyword lists the app uses to guess title / description columns.
@@ -128,44 +129,58 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
 RANGES = 4096
 
 
-def first_rows(df: DataFrame, order_key, tie: str, how_many):
-    """A condition on ``df`` that holds for exactly the first ``how_many(n)``
-    of its n rows in (``order_key``, ``tie``) order, nulls first.
+def first_rows(df: DataFrame, order_key, tie: str, how_many) -> Column:
+    """A condition on ``df`` that holds for exactly the first ``how_many(n)`` of
+    its n rows in (``order_key``, ``tie``) order, nulls first.
 
     The value at the cut is found from counts per range of the key, then by
-    sorting the one range that holds it; no row is ranked or moved. Rows with
-    equal (key, tie) fall on one side together."""
+    sorting the one range that holds it; no row is ranked or moved, and the jobs
+    read these two columns alone, so ``df`` should be written (``exact_split``
+    and ``exact_sample`` do that). Rows with equal (key, tie) fall on one side
+    together."""
     h = F.coalesce(order_key.cast("long"), F.lit(-(1 << 63)))
-    keys = df.select(h.alias("h"), F.col(tie).alias("t")).persist()
-    try:
-        s = keys.agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).first()
-        left = how_many(s["n"])
-        if left <= 0 or left >= s["n"]:
-            return F.lit(left > 0)
-        width = (s["hi"] - s["lo"]) // RANGES + 1
-        at = F.floor((F.col("h").cast("decimal(20,0)") - F.lit(s["lo"])) / F.lit(width)).cast("int")
-        for r in sorted(keys.groupBy(at.alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()):  # at most RANGES + 1 rows
-            if left <= r["n"]:
-                inside = keys.where(at == r["r"]).orderBy("h", F.col("t").asc_nulls_first())
-                last = inside.offset(left - 1).limit(1).first()
-                break
-            left -= r["n"]
-    finally:
-        keys.unpersist()
-    t = F.lit(last["t"])
-    return (h < last["h"]) | ((h == last["h"]) & (F.col(tie).isNull() | F.coalesce(F.col(tie) <= t, F.lit(False))))
+    rows = df.select(h.alias("_h"), F.col(tie).alias("_t"))
+    s = rows.agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("lo"), F.max("_h").alias("hi")).first()
+    left = how_many(s["n"])
+    if left <= 0 or left >= s["n"]:
+        return F.lit(left > 0)
+    width = (s["hi"] - s["lo"]) // RANGES + 1
+    at = F.floor((F.col("_h").cast("decimal(20,0)") - F.lit(s["lo"])) / F.lit(width)).cast("int")
+    for r in sorted(rows.groupBy(at.alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()):  # at most RANGES + 1 rows
+        if left <= r["n"]:
+            inside = rows.where(at == r["r"]).orderBy("_h", F.col("_t").asc_nulls_first())
+            last = inside.offset(left - 1).limit(1).first()
+            break
+        left -= r["n"]
+    t = F.lit(last["_t"])
+    return (h < last["_h"]) | ((h == last["_h"]) & (F.col(tie).isNull() | F.coalesce(F.col(tie) <= t, F.lit(False))))
+
+
+def _with_hash(df: DataFrame, order_key) -> DataFrame:
+    """``df`` written once with its order: whatever made it runs once, however
+    often the cut and the result read it."""
+    return written(df.withColumn("_h", F.coalesce(order_key.cast("long"), F.lit(-(1 << 63)))), "ordered-rows")
 
 
 def exact_split(df: DataFrame, order_key, tie: str, train_frac: float = 0.8) -> DataFrame:
     """Shuffle by ``order_key`` (seeded hash), first ``int(n * train_frac)`` rows
     are 'train', the rest 'test'. Adds ``split``."""
-    first = first_rows(df, order_key, tie, lambda n: int(n * train_frac))
-    return df.withColumn("split", F.when(first, "train").otherwise("test"))
+    rows = _with_hash(df, order_key)
+    first = first_rows(rows, F.col("_h"), tie, lambda n: int(n * train_frac))
+    return rows.withColumn("split", F.when(first, "train").otherwise("test")).drop("_h")
 
 
 def exact_sample(df: DataFrame, order_key, tie: str, frac: float = 0.2) -> DataFrame:
     """``round(frac * n)`` rows (Python rounding) with the smallest ``order_key``."""
-    return df.where(first_rows(df, order_key, tie, lambda n: round(frac * n)))
+    rows = _with_hash(df, order_key)
+    return rows.where(first_rows(rows, F.col("_h"), tie, lambda n: round(frac * n))).drop("_h")
+
+
+def shuffle_order(df: DataFrame, order_key, *tie: str) -> DataFrame:
+    """``df`` with ``position``, from 0: the place of each row in the order of
+    ``order_key`` (a seeded hash), ties by ``tie``. Numbered over range
+    partitions; no task holds all rows."""
+    return running_sum(df.withColumn("_order", order_key), [], ["_order", *tie], "position").drop("_order")
 
 
 def shuffled(df: DataFrame, seed: int, *cols: str) -> DataFrame:
@@ -174,6 +189,17 @@ def shuffled(df: DataFrame, seed: int, *cols: str) -> DataFrame:
     return df.withColumn("shuffle_order", F.xxhash64(F.lit(seed), *cols))
 
 
+def removed_counts(df: DataFrame, test: DataFrame, keys=("occupation", "description")) -> DataFrame:
+    """Rows that ``remove_keys`` keeps and removes, as a cleaning step: rows and
+    test keys are counted per key, so a key of any weight is one row."""
+    k = [blank_to_empty(c).alias(c) for c in keys]
+    rows = df.select(*k).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    known = test.select(*k).distinct().withColumn("_known", F.lit(True))
+    c = rows.join(known, list(keys), "left").agg(F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("_n"))), F.lit(0)).alias("a"),
+                                                 F.coalesce(F.sum(F.when(F.col("_known"), F.col("_n"))), F.lit(0)).alias("b"), F.lit(0).alias("_fixed"))
+    return _steps(c, [("train_minus_test", "a", "b")])
+
+
 def remove_keys(df: DataFrame, test: DataFrame, keys=("occupation", "description")) -> DataFrame:
     """Rows of ``df`` whose composite text key is not in ``test`` (anti-join;
     AQE splits a skewed key)."""
@@ -277,27 +303,17 @@ def pair_counts(rows: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def code_index(profiles: DataFrame) -> DataFrame:
     """Per KB code: its major group (first two characters), index inside the
-    group (0-based, code order), group size, global index and KB size.
+    group (0-based, code order), group size, global index and KB size. Written
+    once.
 
-    Code order is (group, code) order, so the global index is the group's
-    offset plus the index inside the group: the group sizes (one row per
-    two-character prefix) are the only thing collected, and the one window is
-    partitioned by group over KB-sized data."""
+    Codes are numbered over range partitions, whatever the size of a group. Code
+    order is (group, code) order, so a code's place in its group is its number
+    less the group's first."""
     codes = profiles.select("code").distinct().withColumn("grp", F.left("code", F.lit(2)))
-    sizes = sorted((r["grp"], int(r["n"])) for r in codes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, run = {}, 0
-    for g, n in sizes:
-        offsets[g] = run
-        run += n
-    off_map = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]) if offsets else None
-    size_map = F.create_map(*[F.lit(x) for g, n in sizes for x in (g, n)]) if sizes else None
-    g = Window.partitionBy("grp").orderBy("code")
-    out = codes.withColumn("gidx", F.row_number().over(g) - 1)
-    if off_map is None:
-        return out.withColumn("gsize", F.lit(0)).withColumn("aidx", F.lit(0)).withColumn("asize", F.lit(0))
-    return (out.withColumn("gsize", F.element_at(size_map, F.col("grp")).cast("long"))
-            .withColumn("aidx", F.element_at(off_map, F.col("grp")).cast("long") + F.col("gidx"))
-            .withColumn("asize", F.lit(run).cast("long")))
+    numbered = written(running_sum(codes, [], ["code"], "aidx", total="asize"), "code-numbers")
+    groups = numbered.groupBy("grp").agg(F.min("aidx").alias("_first"), F.count(F.lit(1)).alias("gsize"))
+    out = numbered.join(groups, "grp").withColumn("gidx", F.col("aidx") - F.col("_first"))
+    return written(out.select("code", "grp", "gidx", "gsize", "aidx", "asize"), "code-index")
 
 
 def hard_negatives(rows: DataFrame, profiles: DataFrame, order_key, prefix: str = QUERY_PREFIX,

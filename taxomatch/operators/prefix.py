@@ -48,3 +48,11 @@ def running_sum(df: DataFrame, by: list[str], order: list[Column | str], out: st
         same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
     inside = F.col("_own") if value else F.col("_at") - F.col("_first")
     return rows.join(pieces, same).select(*df.columns, (F.col("_before") + inside).alias(out), *([F.col("_total").alias(total)] if total else []))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: a frame with several
+    readers is computed once and survives lost executors."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -297,6 +297,12 @@ def train_pairs(spark: SparkSession, d: str) -> DataFrame:
     return p.select("pair_key", "anchor", "positive")
 
 
+def shuffle_order(spark: SparkSession, d: str) -> DataFrame:
+    """Training rows of both sources in their seeded order."""
+    rows = _train_union(spark, d).select("source", "row_id", "onet_soc")
+    return lb.shuffle_order(rows, si.ahash(F.col("row_id") + 42), "source", "row_id")
+
+
 def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     test = _split(spark, d).where(F.col("split") == "test")
     pairs = lb.hard_negatives(test, _profiles(spark, d), si.ahash("row_id"))
@@ -513,7 +519,9 @@ def cleaning_report(spark: SparkSession, d: str) -> DataFrame:
     steps = lb.cleaning_counts(rows)
     title_only = st.strip_all(lb.harmonise(si.title_only_raw(spark, d), lb.TITLE_ONLY_NAMES)).withColumn("description", F.lit(""))
     known = _profiles(spark, d).select("code")
-    return steps.unionByName(lb.title_only_counts(title_only)).unionByName(lb.pair_counts(_train_union(spark, d), known))
+    test = _split(spark, d).where(F.col("split") == "test")
+    return (steps.unionByName(lb.title_only_counts(title_only)).unionByName(lb.removed_counts(rows, test))
+            .unionByName(lb.pair_counts(_train_union(spark, d), known)))
 
 
 # ---------------------------------------------------------------------------
@@ -667,7 +675,7 @@ QUERIES = {
     "train_minus_test": train_minus_test, "train_union": train_union,
     "task_weight": task_weight, "task_nest": task_nest, "flatten_text": flatten_text, "kb_build": kb_build,
     "json_roundtrip": json_roundtrip, "profile_text": profile_text, "query_text": query_text, "tokens": tokens,
-    "title_words": title_words, "train_pairs": train_pairs, "hard_negatives": hard_negatives,
+    "title_words": title_words, "train_pairs": train_pairs, "hard_negatives": hard_negatives, "shuffle_order": shuffle_order,
     "weighted_centroid": weighted_centroid_q, "chunk_mean": chunk_mean, "chunk_text": chunk_text,
     "cosine_fields": cosine_fields, "match_topk": match_topk, "match_topk_blocked": match_topk_blocked, "similarity_join": similarity_join,
     "match_topk_boosted": match_topk_boosted, "match_topk_app": match_topk_app,

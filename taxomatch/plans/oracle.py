@@ -443,6 +443,7 @@ SELECT l.row_id FROM labels l
 WHERE NOT EXISTS (SELECT 1 FROM tk WHERE tk.occupation = l.occupation AND tk.description = l.description)
   AND l.onet_soc <> ''""",
         "train_union": "WITH " + SURVEY + "\nSELECT source, row_id, occupation, onet_soc FROM train_union",
+        "shuffle_order": "WITH " + SURVEY + f"\nSELECT source, row_id, onet_soc, row_number() OVER (ORDER BY {AH('row_id + 42')}, source, row_id) - 1 AS position FROM train_union",
         "task_weight": "WITH " + KB + "\nSELECT code, task_id, task, rating, weight FROM wtasks",
         "task_nest": "WITH " + KB + "\nSELECT code, n_tasks, tasks_text FROM nest",
         "flatten_text": "WITH " + KB + "\nSELECT code, all_alt_titles FROM alt",
@@ -746,4 +747,6 @@ def _cleaning() -> str:
         row("title_only_blank", "title_only", "true", "occupation <> '' AND onet_soc <> ''"),
         row("min_words", "title_only", "occupation <> '' AND onet_soc <> ''", long),
         row("valid_codes", "title_only", f"occupation <> '' AND onet_soc <> '' AND {long}", IS_CODE("onet_soc")),
+        "SELECT 'train_minus_test', count(*) FILTER (WHERE t.occupation IS NULL), count(t.occupation), 0 FROM labels l "
+        "LEFT JOIN (SELECT DISTINCT occupation, description FROM split WHERE split = 'test') t ON t.occupation = l.occupation AND t.description = l.description",
         "SELECT 'train_pairs', count(p.code), count(*) - count(p.code), 0 FROM train_union u LEFT JOIN profiles p ON p.code = u.onet_soc"])
