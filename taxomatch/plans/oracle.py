@@ -287,17 +287,45 @@ def _candidates(rows) -> str:
     return f"cand(candidate, f, w) AS (VALUES {', '.join(out)})"
 
 
-def _hits(rows: str) -> str:
+def _hits(rows: str, cand: str = "cand", x: str = "") -> str:
     """Top-1 hits of every candidate on ``rows`` (vec_id)."""
     return f"""
-sc AS (SELECT cand.candidate, cosf.vec_id, cosf.kl, sum(cand.w * cosf.cos) AS s FROM cosf JOIN cand ON cand.f = cosf.f
+sc{x} AS (SELECT cand.candidate, cosf.vec_id, cosf.kl, sum(cand.w * cosf.cos) AS s FROM cosf JOIN {cand} AS cand ON cand.f = cosf.f
        WHERE cosf.vec_id IN (SELECT vec_id FROM {rows}) GROUP BY cand.candidate, cosf.vec_id, cosf.kl),
-rk AS (SELECT sc.*, kbrow.code, row_number() OVER (PARTITION BY candidate, vec_id ORDER BY round(s, 12) DESC, kbrow.code) AS rn
-       FROM sc JOIN kbrow ON kbrow.label = sc.kl),
-pred AS (SELECT rk.candidate, rk.vec_id, rk.code = printf('%02d-%04d.00', 11 + 2 * e.label, 1000 + e.label) AS hit
-         FROM rk JOIN e USING (vec_id) WHERE rn = 1),
-acc AS (SELECT CAST(candidate AS INTEGER) AS candidate, count(*) FILTER (WHERE hit) AS hits, count(*) AS rows,
-               count(*) FILTER (WHERE hit) / count(*) AS accuracy FROM pred GROUP BY candidate)"""
+rk{x} AS (SELECT s.*, kbrow.code, row_number() OVER (PARTITION BY candidate, vec_id ORDER BY round(s, 12) DESC, kbrow.code) AS rn
+       FROM sc{x} s JOIN kbrow ON kbrow.label = s.kl),
+pred{x} AS (SELECT r.candidate, r.vec_id, r.code = printf('%02d-%04d.00', 11 + 2 * e.label, 1000 + e.label) AS hit
+         FROM rk{x} r JOIN e USING (vec_id) WHERE rn = 1),
+acc{x} AS (SELECT CAST(candidate AS INTEGER) AS candidate, count(*) FILTER (WHERE hit) AS hits, count(*) AS rows,
+               count(*) FILTER (WHERE hit) / count(*) AS accuracy FROM pred{x} GROUP BY candidate)"""
+
+
+def _line_search(rounds: int, rows: str) -> str:
+    """w{rounds}(f, w): weights after that many exact line searches from w0,
+    with h0(hits) hits, on ``rows`` (vec_id)."""
+    out = f"""
+rows_ AS MATERIALIZED (SELECT c.vec_id, c.kl, c.f, c.cos, e.label = c.kl AS self, k.code < own.code AS lower FROM cosf c JOIN e USING (vec_id) JOIN kbrow k ON k.label = c.kl
+          JOIN kbrow own ON own.label = e.label WHERE c.vec_id IN (SELECT vec_id FROM {rows}))"""
+    for k in range(rounds):
+        out += f""",
+rest{k} AS (SELECT a.f AS dir, sum(b.w) AS rest FROM w{k} a JOIN w{k} b ON a.f <> b.f GROUP BY a.f HAVING sum(b.w) > 0),
+at{k} AS (SELECT dir, vec_id, kl, self, lower, sum(CASE WHEN r.f <> dir THEN cos * w / rest ELSE 0 END) AS s0, sum(CASE WHEN r.f = dir THEN cos ELSE 0 END) AS s1
+          FROM rows_ r JOIN w{k} w ON w.f = r.f CROSS JOIN rest{k} GROUP BY ALL),
+lead{k} AS (SELECT t.dir, t.vec_id, t.lower, CASE WHEN abs(o.s0 - t.s0) < 5e-13 THEN 0.0::DOUBLE ELSE o.s0 - t.s0 END AS a0,
+                   CASE WHEN abs(o.s1 - t.s1) < 5e-13 THEN 0.0::DOUBLE ELSE o.s1 - t.s1 END AS a1
+            FROM at{k} t JOIN at{k} o ON o.dir = t.dir AND o.vec_id = t.vec_id AND o.self WHERE NOT t.self),
+iv{k} AS (SELECT dir, CAST(floor(max(CASE WHEN a0 < 0 AND a1 > 0 THEN a0 / (a0 - a1) ELSE 0 END) * 1e9 + 0.5) AS BIGINT) AS lo,
+                 CAST(floor(min(CASE WHEN a0 > 0 AND a1 < 0 THEN a0 / (a0 - a1) ELSE 1 END) * 1e9 + 0.5) AS BIGINT) AS hi
+          FROM lead{k} GROUP BY dir, vec_id
+          HAVING NOT bool_or(CASE WHEN a0 = 0 AND a1 = 0 THEN lower ELSE a0 <= 0 AND a1 <= 0 END)),
+pt{k} AS (SELECT dir, p, sum(d) AS d FROM (SELECT dir, lo AS p, 1 AS d FROM iv{k} WHERE lo < hi UNION ALL SELECT dir, hi, -1 FROM iv{k} WHERE lo < hi) GROUP BY dir, p),
+pc{k} AS (SELECT dir, p, lead(p) OVER (PARTITION BY dir ORDER BY p) - p AS len, sum(d) OVER (PARTITION BY dir ORDER BY p) AS hits FROM pt{k}),
+st{k} AS (SELECT dir, (p + len // 2) // 1000 * 1000 / 1e9::DOUBLE AS share, pc{k}.hits AS hits FROM pc{k}, h{k} WHERE len >= 10000 AND pc{k}.hits > h{k}.hits
+          ORDER BY pc{k}.hits DESC, len DESC, dir, p LIMIT 1),
+h{k + 1} AS (SELECT coalesce((SELECT hits FROM st{k}), (SELECT hits FROM h{k})) AS hits),
+w{k + 1} AS MATERIALIZED (SELECT w.f, CASE WHEN st.dir IS NULL THEN w.w WHEN w.f = st.dir THEN st.share ELSE (1 - st.share) * w.w / r.rest END AS w
+            FROM w{k} w LEFT JOIN st{k} st ON true LEFT JOIN rest{k} r ON r.dir = st.dir)"""
+    return out
 
 
 def _weight_accuracy() -> str:
@@ -313,10 +341,13 @@ ord AS (SELECT vec_id, row_number() OVER (ORDER BY {AH('vec_id')}, vec_id) AS rn
 trn AS (SELECT vec_id, row_number() OVER (ORDER BY {AH('vec_id + 7')}, vec_id) AS rn, count(*) OVER () AS n FROM ord
         WHERE rn <= CAST(floor(n * 0.8::DOUBLE) AS BIGINT)),
 part AS (SELECT vec_id FROM trn WHERE rn <= CAST(round_even(n * 0.2::DOUBLE, 0) AS BIGINT)),""" + _hits("part") + f""",
-best AS (SELECT candidate, accuracy FROM acc ORDER BY accuracy DESC, candidate LIMIT 1),
+best AS (SELECT candidate, hits FROM acc ORDER BY hits DESC, candidate LIMIT 1),
+w0 AS MATERIALIZED (SELECT f, w FROM best JOIN cand USING (candidate)), h0 AS (SELECT hits FROM best),""" + _line_search(3, "part") + f""",
+ends AS (SELECT 0 AS candidate, f, w FROM w0 UNION ALL SELECT 1, f, w FROM w3),""" + _hits("part", "ends", "_end") + f""",
+kept AS (SELECT candidate, accuracy FROM acc_end ORDER BY hits DESC, candidate DESC LIMIT 1),
 names(f, field) AS (VALUES {names})
-SELECT field, round(cand.w, 9) AS weight, round(best.accuracy, 9) AS accuracy, round((SELECT accuracy FROM acc WHERE candidate = 0), 9) AS baseline_accuracy
-FROM best JOIN cand USING (candidate) JOIN names USING (f)"""
+SELECT field, round(ends.w, 9) AS weight, round(kept.accuracy, 9) AS accuracy, round((SELECT accuracy FROM acc WHERE candidate = 0), 9) AS baseline_accuracy
+FROM kept JOIN ends USING (candidate) JOIN names USING (f)"""
 
 
 def _neg_pairs(rows_cte: str, codes_cte: str) -> str:
