@@ -43,6 +43,33 @@ def scan_prune(spark: SparkSession, d: str) -> DataFrame:
     return st.read_delimited(spark, path, ["p_partkey", "p_name", "no_such_column"], sep="\t")
 
 
+def _mixed_folder(spark, d) -> DataFrame:
+    """Customers in three folders of delimited files: other columns in another
+    order in each, and rows that lack or exceed cells in two of them."""
+    root = scratch_dir(spark, "mixed_tsv")
+    c = si.table(spark, d, "customer")
+    c = c.withColumn("key", F.col("c_custkey").cast("string")).withColumn("nation", F.col("c_nationkey").cast("string"))
+    k = F.col("c_custkey")
+    layouts = {"a": ["key", "c_name", "c_mktsegment"], "b": ["c_mktsegment", "nation", "key"], "c": ["c_name", "key"]}
+    for place, (name, cols) in enumerate(layouts.items()):
+        row = F.concat_ws("\t", *cols)
+        if name != "b":
+            row = F.when(k % 11 == 0, F.concat(row, F.lit("\textra\tcells"))).when(k % 7 == 0, F.col(cols[0])).otherwise(row)
+        # one text column, headed by the names: the lines stand as they are
+        lines = c.where(k % 3 == place).select(row.alias("\t".join(cols)))
+        st.write_delimited(lines, f"{root}/{name}", sep="\u0001")
+    df = st.read_folder(spark, root, ["key", "c_name", "c_mktsegment", "no_such_column", "nation"], file="file")
+    return df.withColumn("folder", F.regexp_extract("file", "([^/]+)/[^/]+$", 1)).drop("file")
+
+
+def mixed_sources(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed_folder(spark, d).withColumnRenamed("_malformed", "malformed")
+
+
+def mixed_counts(spark: SparkSession, d: str) -> DataFrame:
+    return st.malformed_counts(_mixed_folder(spark, d), "folder")
+
+
 def scan_fill(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_dir(spark, "documents_tsv")
     st.write_delimited(si.table(spark, d, "documents").select("doc_id", "text", "lang", "source"), path, sep="\t")
@@ -667,7 +694,7 @@ def single_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "scan_prune": scan_prune, "scan_fill": scan_fill, "roundtrip_csv": roundtrip_csv, "strip_all": strip_all,
-    "preview_limit": preview_limit, "weights_merge": weights_merge, "vector_cache": vector_cache,
+    "mixed_sources": mixed_sources, "mixed_counts": mixed_counts, "preview_limit": preview_limit, "weights_merge": weights_merge, "vector_cache": vector_cache,
     "harmonise": harmonise, "union_tagged": union_tagged, "taxonomy_fix": taxonomy_fix,
     "title_code_join": title_code_join, "unmatched_report": unmatched_report, "map_columns": map_columns,
     "clean_labels": clean_labels, "swap_repair": swap_repair, "swap_repair_eval": swap_repair_eval,

@@ -287,6 +287,17 @@ def _candidates(rows) -> str:
     return f"cand(candidate, f, w) AS (VALUES {', '.join(out)})"
 
 
+MIXED = """
+cu AS (SELECT CAST(c_custkey AS VARCHAR) AS key, c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR) AS nation, c_custkey % 3 AS place, c_custkey % 11 = 0 AS wide, c_custkey % 7 = 0 AND c_custkey % 11 <> 0 AS narrow FROM customer),
+mixed AS (
+  SELECT 'a' AS folder, key, CASE WHEN NOT narrow THEN c_name END AS c_name, CASE WHEN NOT narrow THEN c_mktsegment END AS c_mktsegment, CAST(NULL AS VARCHAR) AS nation,
+         CASE WHEN wide THEN concat_ws(chr(9), key, c_name, c_mktsegment, 'extra', 'cells') WHEN narrow THEN key END AS malformed FROM cu WHERE place = 0
+  UNION ALL SELECT 'b', key, NULL, c_mktsegment, nation, NULL FROM cu WHERE place = 1
+  UNION ALL SELECT 'c', CASE WHEN NOT narrow THEN key END, c_name, NULL, NULL,
+         CASE WHEN wide THEN concat_ws(chr(9), c_name, key, 'extra', 'cells') WHEN narrow THEN c_name END FROM cu WHERE place = 2)
+"""
+
+
 def _hits(rows: str, cand: str = "cand", x: str = "") -> str:
     """Top-1 hits of every candidate on ``rows`` (vec_id)."""
     return f"""
@@ -416,6 +427,8 @@ def _oracle_sql() -> dict[str, str]:
     tw = TITLE_WORDS("concat_ws(' ', p_name, p_type, 'Workers of all Supervisors')")
     fields = ("task", "desc", "skill", "ofc_title", "alt_title", "tool")
     sql = {
+        "mixed_sources": "WITH " + MIXED + "SELECT * FROM mixed",
+        "mixed_counts": "WITH " + MIXED + "SELECT folder, count(*) AS rows, count(malformed) AS malformed FROM mixed GROUP BY folder",
         "scan_prune": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name FROM part",
         "scan_fill": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, "
                      "md5(coalesce(text, '')) AS text_md5, length(coalesce(text, '')) AS text_len FROM documents",

@@ -9,7 +9,10 @@ pushes into the scan.
 
 from __future__ import annotations
 
+import csv
 import os
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +55,71 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = N
     return df
 
 
+def _headers(spark: SparkSession, path: str, sep: str, threads: int) -> dict[tuple[str, ...], list[str]]:
+    """Files under ``path`` by their header. The listing is Spark's; of each
+    file the driver reads the first line, ``threads`` files at a time. Empty
+    files have none."""
+    files = [r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").collect()]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first_line(file: str):
+        p = jvm.org.apache.hadoop.fs.Path(file)
+        stream = p.getFileSystem(conf).open(p)
+        codec = codecs.getCodec(p)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        try:
+            return reader.readLine()
+        finally:
+            reader.close()
+
+    groups: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(threads) as pool:
+        for file, line in zip(files, pool.map(first_line, files), strict=True):
+            if line:
+                groups.setdefault(tuple(next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep))), []).append(file)
+    return groups
+
+
+def read_folder(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = "\t", multi_line: bool = False,
+                malformed: str = "_malformed", file: str | None = None, threads: int = 16) -> DataFrame:
+    """All-string scan of a folder of delimited files, each with a header of its
+    own: columns are matched by name, in any order; a column that a file lacks
+    is null there. Files of one header are one scan.
+
+    A row with more or fewer cells than its file's header keeps its place, with
+    the whole line in the column ``malformed`` (null for good rows): see
+    ``malformed_counts``; a result without that column reads only its own
+    columns. ``columns``: those of them that some file has, in list
+    order; ``file`` names a column for the file's path. A header name that
+    repeats in one file, or is one of the two names above, is an error; a header
+    holds no line breaks. A missing or empty folder gives an empty table."""
+    found = _headers(spark, path, sep, threads) if _exists(spark, path) else {}
+    extra = [malformed, *([file] if file else [])]
+    for header in found:
+        if len(set(header)) < len(header) or set(header) & set(extra):
+            raise ValueError(f"header {header} repeats a name or uses one of {extra}: {found[header][0]}")
+    every = list(dict.fromkeys(c for header in sorted(found) for c in header))
+    keep = [c for c in columns if c in every] if columns is not None else every
+    scans = []
+    for header in sorted(found):
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, malformed)])
+        df = (spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower()).option("sep", sep)
+              .option("columnNameOfCorruptRecord", malformed).schema(schema).csv(found[header]))
+        # Spark counts the cells of a row only where all columns are read: this one asks for them
+        bad = F.when(F.coalesce(*[F.col(f"`{c}`") for c in (*header, malformed)]).isNotNull(), F.col(f"`{malformed}`")).alias(malformed)
+        scans.append(df.select(*[(F.col(f"`{c}`") if c in header else F.lit(None).cast("string")).alias(c) for c in keep],
+                               bad, *([F.col("_metadata.file_path").alias(file)] if file else [])))
+    if not scans:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in (*(columns or []), *extra)]))
+    return reduce(DataFrame.unionByName, scans)
+
+
+def malformed_counts(df: DataFrame, by: str, malformed: str = "_malformed") -> DataFrame:
+    """Rows and malformed rows per value of ``by`` (the file column, say)."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.count(malformed).alias("malformed"))
+
+
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """Dispatch on the suffix: .csv, .tsv/.txt, .json/.jsonl, else Parquet."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()

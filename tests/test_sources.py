@@ -86,3 +86,106 @@ def test_spread_input_only_for_large_single_partition_inputs(spark):
     many = spark.read.parquet(big).repartition(want + 1)
     assert spread_input(many, big) is many                      # already parallel: unchanged
     assert spread.count() == spark.read.parquet(big).count()
+
+
+def _files(root, **texts):
+    import os
+
+    os.makedirs(root, exist_ok=True)
+    for name, text in texts.items():
+        with open(f"{root}/{name}.txt", "w", encoding="utf-8", newline="") as f:
+            f.write(text)
+
+
+def test_folder_of_files_with_headers_of_their_own(spark):
+    root = tempfile.mkdtemp(prefix="taxomatch-mixed-")
+    _files(root, one="a\tb\n1\t2\n3\n4\t5\t6\n", two="b\ta\n20\t10\n", three='﻿a\t"c ""x"""\n7\t"8\t8"\n', empty="", bare="b\ta\n")
+    df = st.read_folder(spark, root, file="file")
+    assert sorted(df.columns) == sorted(["a", "b", 'c "x"', "_malformed", "file"])
+    got = sorted((r["a"], r["b"], r['c "x"'], r["_malformed"]) for r in df.collect())
+    assert got == [("1", "2", None, None), ("10", "20", None, None), ("3", None, None, "3"), ("4", "5", None, "4\t5\t6"), ("7", None, "8\t8", None)]
+    counts = {r["file"].rsplit("/", 1)[1]: (r["rows"], r["malformed"]) for r in st.malformed_counts(df, "file").collect()}
+    assert counts == {"one.txt": (3, 2), "two.txt": (1, 0), "three.txt": (1, 0)}
+    # a malformed row is seen though its missing cell is not asked for
+    narrow = st.read_folder(spark, root, ["a", "nope"])
+    assert narrow.columns == ["a", "_malformed"] and narrow.where("_malformed is not null").count() == 2
+    assert st.malformed_counts(narrow.withColumn("all", F.lit(1)), "all").first()["malformed"] == 2
+
+
+def test_folder_edges(spark):
+    root = tempfile.mkdtemp(prefix="taxomatch-mixed-")
+    assert st.read_folder(spark, root + "/none", ["a"]).columns == ["a", "_malformed"]
+    assert st.read_folder(spark, root, ["a"]).count() == 0
+    _files(root + "/x", twice="a\ta\n1\t2\n")
+    with pytest.raises(ValueError):
+        st.read_folder(spark, root)
+    _files(root + "/y", lines='a\tb\n"1\n1"\t2\n')
+    df = st.read_folder(spark, root + "/y", multi_line=True)
+    assert [tuple(r) for r in df.collect()] == [("1\n1", "2", None)]
+
+
+def test_folder_of_compressed_files(spark):
+    root = tempfile.mkdtemp(prefix="taxomatch-mixed-")
+    rows = spark.createDataFrame([("1", "2")], "a string, b string")
+    for k, cols in enumerate((["a", "b"], ["b", "a"])):
+        rows.select(*cols).write.option("header", True).option("sep", "\t").option("compression", "gzip").csv(f"{root}/{k}")
+    assert [tuple(r) for r in st.read_folder(spark, root, ["a", "b"]).collect()] == [("1", "2", None)] * 2
+
+
+def _cached(spark, root):
+    return sorted(r["code"] for r in read_vector_cache(spark, root, "m").collect())
+
+
+def test_vector_cache_interrupted_write_is_never_seen(spark):
+    from taxomatch.sources import vector_cache as vc
+
+    root = tempfile.mkdtemp(prefix="taxomatch-vc-")
+    rows = lambda *codes: spark.createDataFrame([(c, [1.0]) for c in codes], "code string, vec_task array<double>")
+    vc.stage_vectors(rows("a"), root, "m")                      # ended before it published
+    with pytest.raises(FileNotFoundError):
+        read_vector_cache(spark, root, "m")
+    write_vector_cache(rows("a", "b"), root, "m")               # nothing was published: not an overwrite
+    with pytest.raises(Exception):                              # a writer whose job fails midway
+        write_vector_cache(rows("x").withColumn("vec_task", F.raise_error(F.lit("lost")).cast("array<double>")), root, "m", overwrite=True)
+    assert _cached(spark, root) == ["a", "b"]
+    open(f"{root}/model=m/_manifests/00000002.json", "w").close()  # ended while it wrote its manifest
+    assert _cached(spark, root) == ["a", "b"]
+    before = read_vector_cache(spark, root, "m")
+    write_vector_cache(rows("c"), root, "m", overwrite=True)
+    assert _cached(spark, root) == ["c"] and before.count() == 2   # an earlier reader keeps its version
+    assert vc.newest_version(spark, root, "m")[0] == 3
+    assert vc.drop_old_versions(spark, root, "m") >= 2 and _cached(spark, root) == ["c"]
+
+
+def test_vector_cache_of_two_writers_one_wins(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from taxomatch.sources import vector_cache as vc
+
+    root = tempfile.mkdtemp(prefix="taxomatch-vc-")
+    staged = [vc.stage_vectors(spark.createDataFrame([(c, [1.0])], "code string, vec_task array<double>"), root, "m") for c in "abcd"]
+
+    def attempt(s):
+        try:
+            return vc.publish(spark, root, "m", s, 0)
+        except vc.PublishedMeanwhile:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(attempt, staged))
+    assert sorted(w for w in won if w) == [1]
+    assert _cached(spark, root) == ["abcd"[won.index(1)]]
+    assert vc.drop_old_versions(spark, root, "m") == 0             # the others deleted their rows
+    r = read_vector_cache(spark, root, "m").first()
+    assert (r["kb_rows"], r["model_name"], r["kb_path"]) == (1, "m", "")
+
+
+def test_vector_cache_checks_its_rows(spark):
+    root = tempfile.mkdtemp(prefix="taxomatch-vc-")
+    folder = write_vector_cache(spark.createDataFrame([("a", [1.0])], "code string, vec_task array<double>"), root, "m")
+    import glob
+
+    spark.createDataFrame([("z", [2.0])], "code string, vec_task array<double>").write.mode("append").parquet(glob.glob(f"{folder}/data-*")[0])
+    with pytest.raises(ValueError):
+        read_vector_cache(spark, root, "m")
+    assert read_vector_cache(spark, root, "m", check_rows=False).count() == 2
