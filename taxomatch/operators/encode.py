@@ -8,8 +8,8 @@ available, so the encoder is pluggable:
   counts -> ``IDF`` (fitted once on a corpus) -> L2 ``Normalizer``, all Spark
   functions and ML stages (JVM-side).
 * ``BatchEncoder`` - wraps any ``list[str] -> np.ndarray`` model in an
-  iterator pandas UDF so a model is loaded once per Python worker and fed
-  Arrow batches.
+  iterator pandas UDF: a model is loaded once per Python worker and fed
+  batches of texts of like length. ``pooled_table_model`` is one.
 
 ``encode_chunked`` splits long text into 800-character chunks, encodes every
 chunk and averages per row (not re-normalised); blank text gives the zero
@@ -18,6 +18,8 @@ vector. ``encode_weighted_tasks`` averages task vectors with their weights.
 
 from __future__ import annotations
 
+import uuid
+from hashlib import md5
 from typing import Callable, Iterator
 
 import numpy as np
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from taxomatch.functions.text import chunk_text, is_blank, tokens
 from taxomatch.operators.centroid import vector_mean, weighted_centroid
+from taxomatch.session import ship_package
 
 
 def token_buckets(text: str, dim: int) -> Column:
@@ -62,25 +65,81 @@ class HashingEncoder:
         return t.withColumn(out, vector_to_array("_vec")).drop("_tok", "_tf", "_idf", "_vec")
 
 
+_MODELS: dict[str, Callable[[list[str]], np.ndarray]] = {}  # of this worker process
+
+
+def worker_model(token: str, load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable[[list[str]], np.ndarray]:
+    """The encoder's model, loaded by the first task of a worker process and kept
+    for its later ones."""
+    if token not in _MODELS:
+        _MODELS.clear()  # a worker holds one model at a time
+        _MODELS[token] = load()
+    return _MODELS[token]
+
+
+def length_batches(lengths: np.ndarray, max_rows: int, max_chars: int) -> Iterator[np.ndarray]:
+    """Places of texts in batches of at most ``max_rows``, texts of like length
+    together, so that a batch padded to its longest text holds at most
+    ``max_chars`` characters; a text longer than that is a batch of its own."""
+    order = np.argsort(-lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        rows = max(1, min(max_rows, max_chars // max(int(lengths[order[at]]), 1)))
+        yield order[at:at + rows]
+        at += rows
+
+
 class BatchEncoder:
-    """Any batch model as an iterator pandas UDF (Arrow batches)."""
+    """Any batch model as an iterator pandas UDF (Arrow batches). ``load`` is
+    shipped with the job and called once per worker process; the model gets
+    non-empty lists of whole texts (null: empty) of like length, and returns a
+    row of ``dim`` numbers for each. A text's vector must not depend on the
+    others in its batch."""
 
-    def __init__(self, load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int):
-        self.load, self.dim = load, dim
+    def __init__(self, load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int, max_rows: int = 256, max_chars: int = 1 << 20):
+        self.load, self.dim, self.max_rows, self.max_chars = load, dim, max_rows, max_chars
+        self.token = uuid.uuid4().hex
 
     def __call__(self, df: DataFrame, text: str = "text", out: str = "vec") -> DataFrame:
-        load = self.load
+        ship_package(df.sparkSession)
+        load, dim, token, max_rows, max_chars = self.load, self.dim, self.token, self.max_rows, self.max_chars
 
         @F.pandas_udf("array<double>")
         def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = load()
             for s in batches:
-                m = np.asarray(model(s.fillna("").tolist()), dtype=np.float64)
+                texts = s.fillna("").tolist()
+                m = np.zeros((len(texts), dim))
+                for rows in length_batches(np.array([len(t) for t in texts], dtype=np.int64), max_rows, max_chars):
+                    part = np.asarray(worker_model(token, load)([texts[k] for k in rows]), dtype=np.float64)
+                    if part.shape != (len(rows), dim):
+                        raise ValueError(f"the model gave {part.shape} for {len(rows)} texts of {dim} dimensions")
+                    m[rows] = part
                 yield pd.Series(list(m))
 
         return df.withColumn(out, enc(F.col(text)))
 
 
+def pooled_table_model(dim: int, slots: int = 1 << 12) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """Loader of a small deterministic model: the mean of one table row per token
+    (the token's slot by its MD5), with a saturating output. The table is
+    arithmetic, so that SQL can repeat it."""
+
+    def load():
+        table = ((np.arange(slots)[:, None] * 31 + np.arange(dim)[None, :] * 17) % 101 - 50) / 50.0
+
+        def model(texts: list[str]) -> np.ndarray:
+            found = [[int(md5(t.encode()).hexdigest()[:8], 16) % slots for t in x.lower().split()] for x in texts]
+            counts = np.array([len(f) for f in found])
+            sums = np.zeros((len(texts), dim))
+            np.add.at(sums, np.repeat(np.arange(len(texts)), counts), table[np.array([k for f in found for k in f], dtype=np.int64)])
+            mean = sums / np.maximum(counts, 1)[:, None]
+            return mean / np.sqrt(1.0 + mean * mean)
+
+        return model
+
+    return load
+
+
 def encode_chunked(df: DataFrame, key: str, text: str, encoder, out: str = "vec", width: int = 800) -> DataFrame:
     """Mean of chunk vectors per row; blank text -> zero vector. Chunks are
     exploded (one row per chunk) so long texts spread over tasks."""

@@ -18,7 +18,7 @@ from taxomatch.operators import labels as lb
 from taxomatch.operators import lexical as lx
 from taxomatch.operators import report as rp
 from taxomatch.operators.centroid import weighted_centroid
-from taxomatch.operators.encode import HashingEncoder, encode_chunked, kb_vectors
+from taxomatch.operators.encode import BatchEncoder, HashingEncoder, encode_chunked, kb_vectors, pooled_table_model
 from taxomatch.operators.match import MatchConfig, match, match_one, prepare_kb, to_long, to_wide
 from taxomatch.operators.simjoin import SimilarityJoin
 from taxomatch.plans import standins as si
@@ -603,6 +603,13 @@ def encode_hash(spark: SparkSession, d: str) -> DataFrame:
     return _elements(enc(docs.select("doc_id", "text"), "text", "vec"), "doc_id", "vec")
 
 
+def encode_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts through a batch model in worker processes."""
+    docs = si.table(spark, d, "documents")
+    v = BatchEncoder(pooled_table_model(16), 16)(docs.select("doc_id", "text"), "text", "vec")
+    return v.select("doc_id", F.posexplode_outer("vec").alias("pos", "value")).select("doc_id", "pos", rnd("value", 9).alias("value"))
+
+
 def blank_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunk means of documents, a seventh of them blank (zero vectors)."""
     docs = si.table(spark, d, "documents")
@@ -711,7 +718,7 @@ QUERIES = {
     "bm25_index": bm25_index, "bm25_scores": bm25_scores, "title_overlap": title_overlap,
     "major_group": major_group, "confidence_tier": confidence_tier, "top_occupations": top_occupations,
     "group_confidence": group_confidence, "conf_histogram": conf_histogram,
-    "encode_hash": encode_hash, "kb_vectors": kb_vectors_q, "kb_vectors_chunked": kb_vectors_chunked,
+    "encode_hash": encode_hash, "encode_batch": encode_batch, "kb_vectors": kb_vectors_q, "kb_vectors_chunked": kb_vectors_chunked,
     "text_match_production": text_match_production, "text_match_eval": text_match_eval, "text_eval_summary": text_eval_summary,
     "text_match_app": text_match_app, "single_lookup": single_lookup, "blank_chunks": blank_chunks,
     "report": report, "cleaning_report": cleaning_report, "user_input": user_input, "sheet_scan": sheet_scan, "file_dispatch": file_dispatch,

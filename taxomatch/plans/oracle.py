@@ -746,6 +746,11 @@ ev AS (SELECT query_id, Machine_SOC_Code, Machine_Title, Machine_Confidence, one
         "tsv AS (SELECT o_orderkey AS query_id", "tsv AS (SELECT 0 AS query_id, '' AS occupation), tsv0 AS (SELECT o_orderkey AS query_id")
     return {
         "encode_hash": "WITH " + IDF(docs) + "," + ENCODE(docs, "dv") + "\nSELECT key AS doc_id, pos, round(v, 6) AS value FROM dv",
+        "encode_batch": f"""WITH tk AS (SELECT doc_id, unnest({TOK("coalesce(text, '')")}) AS tok FROM documents),
+sl AS (SELECT doc_id, CAST('0x' || left(md5(tok), 8) AS UBIGINT)::BIGINT % 4096 AS slot, count(*) AS n FROM tk GROUP BY ALL),
+dims AS (SELECT unnest(range(16))::INTEGER AS pos),
+mean AS (SELECT doc_id, pos, sum(n * ((slot * 31 + pos * 17) % 101 - 50)) / 50.0::DOUBLE / sum(n) AS m FROM sl CROSS JOIN dims GROUP BY ALL)
+SELECT doc_id, pos, round(coalesce(m / sqrt(1 + m * m), 0.0), 9) AS value FROM documents CROSS JOIN dims LEFT JOIN mean USING (doc_id, pos)""",
         "blank_chunks": "WITH " + IDF(docs) + "," + CHUNKS(blank) + """,
 crow AS (SELECT key, unnest(chunks) AS text, generate_subscripts(chunks, 1) AS i FROM chunked),
 cn AS (SELECT key, len(chunks) AS n FROM chunked),""" + ENCODE("SELECT CAST(key AS VARCHAR) || ':' || CAST(i AS VARCHAR) AS key, text FROM crow", "kc") + """,

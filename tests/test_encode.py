@@ -41,3 +41,48 @@ def test_hashing_encoder_unit_norm(spark):
     v = enc(docs.select("doc_id", "text"), "text", "vec")
     norms = [r[0] for r in v.select(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).collect()]
     assert all(abs(n - 1.0) < 1e-9 or n == 0.0 for n in norms)
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    """Many tasks and two jobs: one load in each worker process that ran any."""
+    import os
+    import uuid
+
+    folder = str(tmp_path)
+
+    def load():
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda texts: np.array([[len(t), os.getpid()] for t in texts], dtype=float)
+
+    enc = BatchEncoder(load, 2, max_rows=3)
+    df = spark.range(400).select("id", F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text")).repartition(16)
+    seen = set()
+    for _ in range(2):
+        rows = enc(df).collect()
+        assert all(r["vec"][0] == r["id"] % 50 for r in rows) and len(rows) == 400
+        seen |= {int(r["vec"][1]) for r in rows}
+    loads = [int(f.split("-")[0]) for f in os.listdir(folder)]
+    assert len(loads) == len(set(loads)) and seen <= set(loads) and len(loads) < 32
+
+
+def test_batches_hold_texts_of_like_length():
+    from taxomatch.operators.encode import length_batches
+
+    rng = np.random.default_rng(3)
+    lengths = np.concatenate([rng.integers(0, 40, 500), rng.integers(1000, 5000, 20), [20_000, 0]])
+    parts = list(length_batches(lengths, 64, 8000))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(len(lengths)))
+    assert all(len(p) <= 64 and (len(p) == 1 or len(p) * lengths[p].max() <= 8000) for p in parts)
+    padded = sum(len(p) * int(lengths[p].max()) for p in parts)
+    plain = sum(len(lengths[a:a + 64]) * int(lengths[a:a + 64].max()) for a in range(0, len(lengths), 64))
+    assert padded < 1.3 * lengths.sum() < plain
+    assert list(length_batches(np.zeros(0, dtype=np.int64), 64, 8000)) == []
+
+
+def test_batch_encoder_on_odd_texts(spark):
+    from taxomatch.operators.encode import pooled_table_model
+
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "   "), (4, "a A"), (5, "a"), (6, "long " * 50_000)], "id long, text string")
+    got = {r["id"]: r["vec"] for r in BatchEncoder(pooled_table_model(4), 4)(df).collect()}
+    assert got[1] == got[2] == got[3] == [0.0] * 4 and got[4] == got[5] != [0.0] * 4 and len(got[6]) == 4
+    assert BatchEncoder(pooled_table_model(4), 4)(df.where("false")).count() == 0
