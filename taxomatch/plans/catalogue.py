@@ -660,6 +660,30 @@ def text_match_production(spark: SparkSession, d: str) -> DataFrame:
     return to_wide(match(q, kbv, MatchConfig(weights=ENGINE_WEIGHTS)), "production")
 
 
+def _rater_rows(spark, d) -> DataFrame:
+    """The raters' two tables as one, stripped; the second lacks the titles. A
+    reference number in the text tells rows apart, as free text does."""
+    rows = si.tax_survey(spark, d)
+    rows = rows.withColumn("description", F.concat_ws(" ", "description", F.concat(F.lit("ref "), F.col("query_id").cast("string"))))
+    second = F.col("query_id") % 3 == 0
+    return st.strip_all(lb.union_tagged({"Matched": rows.where(~second), "Non-Matched": rows.where(second).drop("onet_title")}))
+
+
+def weight_search_text(spark: SparkSession, d: str) -> DataFrame:
+    """Line search of the field weights from the baseline on the raters' rows:
+    the union less the rows of the test split and those without a code, a fifth
+    of the rest, encoded and matched to the taxonomy."""
+    kbv, enc = _tax_vectors(spark, d, "chunk")
+    raters = _rater_rows(spark, d)
+    coded = raters.where("Rater_Subset = 'Matched' AND onet_soc <> ''")
+    test = lb.exact_split(coded, si.ahash("query_id"), "query_id", 0.8).where("split = 'test'")
+    rows = lb.remove_keys(raters, test).where("onet_soc <> ''")
+    sample = lb.exact_sample(rows, si.ahash(F.col("query_id") + 7), "query_id", 0.2)
+    q = enc(sample.select(tx.query_text("occupation", "description").alias("text"), F.col("onet_soc").alias("truth_code")), "text", "vec")
+    found = ev.weight_search(q, kbv, candidates=0)
+    return found.select("field", rnd("weight", 9).alias("weight"), rnd("accuracy", 9).alias("accuracy"), rnd("baseline_accuracy", 9).alias("baseline_accuracy"))
+
+
 def _hybrid(spark, d) -> DataFrame:
     kbv, enc = _tax_vectors(spark, d, "chunk")
     corpus = kbv.select("code", lx.corpus_text("title", "all_alt_titles", "description").alias("text"))
@@ -720,6 +744,6 @@ QUERIES = {
     "group_confidence": group_confidence, "conf_histogram": conf_histogram,
     "encode_hash": encode_hash, "encode_batch": encode_batch, "kb_vectors": kb_vectors_q, "kb_vectors_chunked": kb_vectors_chunked,
     "text_match_production": text_match_production, "text_match_eval": text_match_eval, "text_eval_summary": text_eval_summary,
-    "text_match_app": text_match_app, "single_lookup": single_lookup, "blank_chunks": blank_chunks,
+    "text_match_app": text_match_app, "weight_search_text": weight_search_text, "single_lookup": single_lookup, "blank_chunks": blank_chunks,
     "report": report, "cleaning_report": cleaning_report, "user_input": user_input, "sheet_scan": sheet_scan, "file_dispatch": file_dispatch,
 }

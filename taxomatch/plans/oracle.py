@@ -305,7 +305,7 @@ sc{x} AS (SELECT cand.candidate, cosf.vec_id, cosf.kl, sum(cand.w * cosf.cos) AS
        WHERE cosf.vec_id IN (SELECT vec_id FROM {rows}) GROUP BY cand.candidate, cosf.vec_id, cosf.kl),
 rk{x} AS (SELECT s.*, kbrow.code, row_number() OVER (PARTITION BY candidate, vec_id ORDER BY round(s, 12) DESC, kbrow.code) AS rn
        FROM sc{x} s JOIN kbrow ON kbrow.label = s.kl),
-pred{x} AS (SELECT r.candidate, r.vec_id, r.code = printf('%02d-%04d.00', 11 + 2 * e.label, 1000 + e.label) AS hit
+pred{x} AS (SELECT r.candidate, r.vec_id, r.kl = e.label AS hit
          FROM rk{x} r JOIN e USING (vec_id) WHERE rn = 1),
 acc{x} AS (SELECT CAST(candidate AS INTEGER) AS candidate, count(*) FILTER (WHERE hit) AS hits, count(*) AS rows,
                count(*) FILTER (WHERE hit) / count(*) AS accuracy FROM pred{x} GROUP BY candidate)"""
@@ -343,22 +343,28 @@ def _weight_accuracy() -> str:
     return "WITH " + EMB + "," + _candidates(WEIGHT_CANDIDATES) + "," + _hits("e") + "\nSELECT candidate, hits, rows, round(accuracy, 9) AS accuracy FROM acc"
 
 
+def _searched(rows: str) -> str:
+    """The weights found from the best candidate of acc by three line searches."""
+    names = ", ".join(f"({f}, '{n}')" for f, n in enumerate(WEIGHT_NAMES))
+    return """
+best AS (SELECT candidate, hits FROM acc ORDER BY hits DESC, candidate LIMIT 1),
+w0 AS MATERIALIZED (SELECT f, w FROM best JOIN cand USING (candidate)), h0 AS (SELECT hits FROM best),""" + _line_search(3, rows) + f""",
+ends AS (SELECT 0 AS candidate, f, w FROM w0 UNION ALL SELECT 1, f, w FROM w3),""" + _hits(rows, "ends", "_end") + f""",
+kept AS (SELECT candidate, accuracy FROM acc_end ORDER BY hits DESC, candidate DESC LIMIT 1),
+names(f, field) AS (VALUES {names})
+SELECT field, round(ends.w, 9) AS weight, round(kept.accuracy, 9) AS accuracy, round((SELECT accuracy FROM acc WHERE candidate = 0), 9) AS baseline_accuracy
+FROM kept JOIN ends USING (candidate) JOIN names USING (f)"""
+
+
 def _weight_search() -> str:
     step = lambda x: (x * HASH_A + HASH_B) % HASH_P
     tried = [SEARCH_BASELINE] + [tuple(step(step((42 + c) * 6 + f)) / HASH_P for f in range(6)) for c in range(300)]
-    names = ", ".join(f"({f}, '{n}')" for f, n in enumerate(WEIGHT_NAMES))
     return "WITH " + EMB + "," + _candidates(tried) + f""",
 ord AS (SELECT vec_id, row_number() OVER (ORDER BY {AH('vec_id')}, vec_id) AS rn, count(*) OVER () AS n FROM e),
 trn AS (SELECT vec_id, row_number() OVER (ORDER BY {AH('vec_id + 7')}, vec_id) AS rn, count(*) OVER () AS n FROM ord
         WHERE rn <= CAST(floor(n * 0.8::DOUBLE) AS BIGINT)),
-part AS (SELECT vec_id FROM trn WHERE rn <= CAST(round_even(n * 0.2::DOUBLE, 0) AS BIGINT)),""" + _hits("part") + f""",
-best AS (SELECT candidate, hits FROM acc ORDER BY hits DESC, candidate LIMIT 1),
-w0 AS MATERIALIZED (SELECT f, w FROM best JOIN cand USING (candidate)), h0 AS (SELECT hits FROM best),""" + _line_search(3, "part") + f""",
-ends AS (SELECT 0 AS candidate, f, w FROM w0 UNION ALL SELECT 1, f, w FROM w3),""" + _hits("part", "ends", "_end") + f""",
-kept AS (SELECT candidate, accuracy FROM acc_end ORDER BY hits DESC, candidate DESC LIMIT 1),
-names(f, field) AS (VALUES {names})
-SELECT field, round(ends.w, 9) AS weight, round(kept.accuracy, 9) AS accuracy, round((SELECT accuracy FROM acc WHERE candidate = 0), 9) AS baseline_accuracy
-FROM kept JOIN ends USING (candidate) JOIN names USING (f)"""
+part AS (SELECT vec_id FROM trn WHERE rn <= CAST(round_even(n * 0.2::DOUBLE, 0) AS BIGINT)),""" + _hits("part") + "," + _searched("part")
+
 
 
 def _neg_pairs(rows_cte: str, codes_cte: str) -> str:
@@ -728,6 +734,27 @@ def _pick(i: int, expr: str, name: str) -> str:
     return f"max(CASE WHEN rn = {i} THEN {expr} END) AS \"{name}\""
 
 
+def _text_search() -> str:
+    """Line search on the raters' rows: the same CTE names as on embeddings, a
+    code standing for its label."""
+    fields = ", ".join(f"({f}, '{n}')" for f, n in enumerate(("task", "desc", "skill", "ofc_title", "alt_title", "tool")))
+    return "WITH " + _tax_vectors("chunk") + f""",
+rt AS (SELECT query_id, {STRIP('occupation')} AS occupation, concat_ws(' ', nullif(description, ''), 'ref ' || CAST(query_id AS VARCHAR)) AS description, onet_soc FROM tsv),
+cd AS (SELECT query_id, occupation, description, row_number() OVER (ORDER BY {AH('query_id')}, query_id) AS rn, count(*) OVER () AS n FROM rt
+       WHERE query_id % 3 <> 0 AND onet_soc <> ''),
+ts AS (SELECT DISTINCT occupation, description FROM cd WHERE rn > CAST(floor(n * 0.8::DOUBLE) AS BIGINT)),
+tr AS (SELECT rt.*, row_number() OVER (ORDER BY {AH('query_id + 7')}, query_id) AS rn, count(*) OVER () AS n
+       FROM rt ANTI JOIN ts USING (occupation, description) WHERE onet_soc <> ''),
+e AS MATERIALIZED (SELECT query_id AS vec_id, onet_soc AS label, occupation || ' ' || description AS text FROM tr WHERE rn <= CAST(round_even(n * 0.2::DOUBLE, 0) AS BIGINT)),
+""" + ENCODE("SELECT vec_id AS key, text FROM e", "qv").lstrip() + f""",
+fi(f, field) AS (VALUES {fields}), kbrow AS (SELECT code AS label, code FROM tkb),
+kn AS (SELECT code, field, sqrt(sum(v * v)) AS n FROM kv GROUP BY code, field),
+near AS (SELECT qv.key AS vec_id, kv.code AS kl, fi.f, sum(qv.v * kv.v / kn.n) AS cos FROM qv JOIN kv USING (pos) JOIN kn USING (code, field) JOIN fi USING (field) WHERE kn.n > 0 GROUP BY ALL),
+cosf AS MATERIALIZED (SELECT g.vec_id, g.kl, g.f, coalesce(near.cos, 0.0) AS cos
+        FROM (SELECT vec_id, label AS kl, f FROM (SELECT vec_id FROM e) CROSS JOIN kbrow CROSS JOIN fi) g LEFT JOIN near USING (vec_id, kl, f)),
+""" + _candidates([SEARCH_BASELINE]) + "," + _hits("e") + "," + _searched("e")
+
+
 def _text_queries() -> dict[str, str]:
     plain = "occupation || ' ' || description"
     production = ", ".join(_pick(i, e, f"Match_{i}_{n}") for i in (1, 2, 3) for n, e in (("SOC_Code", "code"), ("Title", "title"), ("Score", "round(final * 100, 2)")))
@@ -761,6 +788,7 @@ SELECT doc_id, 384 AS dims, round(coalesce(n, 0.0), 6) AS norm FROM documents LE
         "kb_vectors_chunked": "WITH " + _tax_vectors("chunk") + elements,
         "text_match_production": _text_ranked("chunk", ENGINE_WEIGHTS, plain) + f"\nSELECT query_id, {production} FROM rk GROUP BY query_id",
         "text_match_app": _text_ranked("whole", TUNED_WEIGHTS, f"'{QUERY_PREFIX}' || {STRIP(plain)}", "raw") + f"\nSELECT query_id, {app} FROM rk GROUP BY query_id",
+        "weight_search_text": _text_search(),
         "text_match_eval": hybrid + "\nSELECT * FROM ev",
         "text_eval_summary": hybrid + _SUMMARY,
         "single_lookup": lookup + "\nSELECT CAST(rn AS INTEGER) AS rank, code, title, round(final, 6) AS score FROM rk WHERE rn <= 10",
