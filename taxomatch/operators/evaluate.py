@@ -259,7 +259,9 @@ def weight_search(queries: DataFrame, kb: DataFrame, truth: str = "truth_code",
     and the baseline's (0 without queries). The reference walks the same space
     with a stochastic solver; the objective and the output are the same."""
     spark = queries.sparkSession
-    queries = written(queries.select(F.monotonically_increasing_id().alias("query_id"), "vec", truth), "search-rows")  # read by every job
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    queries = queries.select(F.monotonically_increasing_id().alias("query_id"), "vec", truth)
+    queries = written(queries.repartition(tasks), "search-rows")  # a sample may come in few partitions; every job reads it
     kb = written(one_per_code(kb), "search-kb")
     prepared = _kb_fields(kb, limit_bytes, force_blocked)
     slab, n_kb, dim = prepared
