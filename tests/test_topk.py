@@ -93,3 +93,32 @@ def test_last_tokens_are_not_joined(spark):
     r = sparse_topk(rows, post, post.select("code"), 3, seed_tokens=2)
     assert [(x.code, x["rank"]) for x in r.orderBy("rank").collect()] == [("k000", 1), ("k001", 2), ("k002", 3)]
     assert r.select(F.min("score")).first()[0] > 20
+
+
+@pytest.mark.parametrize("full_rows", [0, 40, 1 << 40])
+def test_sums_and_bounds_give_the_same(spark, full_rows):
+    """Queries that meet few postings are summed, the others bounded."""
+    queries, postings, codes = case(5, True)
+    rows = spark.createDataFrame([(q, t) for q, ts in queries.items() for t in ts], "query_id long, token string")
+    post = spark.createDataFrame([(c, t, w) for (c, t), w in postings.items()], "code string, token string, weight double")
+    kb = spark.createDataFrame([(c,) for c in codes], "code string")
+    keys = spark.createDataFrame([(q,) for q in queries], "query_id long")
+    got = {}
+    for r in sparse_topk(rows, post, kb, 3, fill=keys, seed_tokens=2, full_rows=full_rows).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.code, round(r.relative, 9)))
+    assert got == every_pair(queries, postings, codes, 3, True)
+
+
+def test_tasks_grow_with_the_postings_met(spark, monkeypatch):
+    """The pairs are dealt by query over tasks in number with the work, not merged by the size of their bytes."""
+    from taxomatch.operators import topk
+
+    monkeypatch.setattr(topk, "TASK_ROWS", 100)
+    post = spark.createDataFrame([(f"k{i}", "w", 1.0) for i in range(20)], "code string, token string, weight double")
+    rows = spark.range(200).select(F.col("id").alias("query_id"), F.lit("w").alias("token"))
+    p = topk.Postings(post, post.select("code"), repeats=False)
+    q = p.queries(rows, "query_id")
+    assert p.tasks == 41 and p.work == 20
+    summed = p.summed(q, "query_id")
+    assert summed.rdd.getNumPartitions() == 41 and summed.count() == 4000
+    assert "ArrayIntersect" not in summed._jdf.queryExecution().toString() and "array_intersect" not in summed._jdf.queryExecution().toString()
