@@ -213,7 +213,8 @@ def short_label(c, n: int) -> Column:
 # letters (or letter-hyphen-letter) and a letter (optionally hyphen) letter
 # follows. "Letter" is a word character that is not a digit.
 _LT = r"[^\d\W]"
-_HYPHEN_END = rf"(?<={_LT}{{2}}-)(?={_LT}-?{_LT})|(?<={_LT}-{_LT}-)(?={_LT}-?{_LT})"
+# Both need the hyphen, looked at first: letters are slow to tell.
+_HYPHEN_END = rf"(?<=-)(?:(?<={_LT}{{2}}-)|(?<={_LT}-{_LT}-))(?={_LT}-?{_LT})"
 # It also breaks before and after two or more hyphens between words: a run of
 # any length is found forwards, from the character in front of it.
 _WP = r"[\w!\"'&.,?]"
@@ -233,9 +234,19 @@ def chunk_text(c, width: int = 800, hyphens: bool = False) -> Column:
     greedy rule. Rows holding an unbreakable run longer than ``width`` or, with
     ``hyphens``, two or more hyphens between words (both rare) take the
     piece-by-piece fold, which cuts and breaks them as ``textwrap`` does."""
-    text = F.coalesce(col_(c), F.lit(""))
-    # textwrap's whitespace is ASCII only: collapse it, trim the spaces left at the ends
-    flat = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), "^ | $", "")
+    return chunk_flat(single_spaced(c), width, hyphens)
+
+
+def single_spaced(c) -> Column:
+    """Text with whitespace as ``textwrap`` collapses it: its set is ASCII only;
+    the spaces left at the ends are trimmed."""
+    # single spaces, nearly all of it, are left where they stand
+    return F.regexp_replace(F.regexp_replace(F.coalesce(col_(c), F.lit("")), r"\s{2,}|[\t-\r]", " "), "^ | $", "")
+
+
+def chunk_flat(c, width: int = 800, hyphens: bool = False) -> Column:
+    """``chunk_text`` of text that is ``single_spaced``."""
+    flat = col_(c)
     body = f"(\\S(?:.{{0,{max(width - 2, 0)}}}\\S)?)"
     fast = F.regexp_extract_all(flat, F.lit(f"(?s){body}(?= |$)"), 1)
     if hyphens:
@@ -243,9 +254,9 @@ def chunk_text(c, width: int = 800, hyphens: bool = False) -> Column:
         with_h = F.regexp_extract_all(flat, F.lit(f"(?sU){body}(?:(?= |$)|{_HYPHEN_END})"), 1)
         fast = F.when(F.instr(flat, "-") > 0, with_h).otherwise(fast)
     # the fold is needed only for an unbreakable run longer than the width
-    runs = text if not hyphens else F.when(
+    runs = flat if not hyphens else F.when(
         F.instr(flat, "-") > 0, F.regexp_replace(flat, f"(?U){_HYPHEN_END}", " ")).otherwise(flat)
-    has_long = runs.rlike(f"\\S{{{width + 1}}}")
+    has_long = runs.rlike(f"(?<!\\S)\\S{{{width + 1}}}")  # tried where a run starts
     if hyphens:  # dash runs between words are marked, and packed, by the fold
         has_long = has_long | ((F.instr(flat, "--") > 0) & flat.rlike(f"(?U){_DASHES}"))
     return F.when(has_long, _chunk_fold(flat, width, hyphens)).otherwise(fast)

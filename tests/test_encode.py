@@ -86,3 +86,60 @@ def test_batch_encoder_on_odd_texts(spark):
     got = {r["id"]: r["vec"] for r in BatchEncoder(pooled_table_model(4), 4)(df).collect()}
     assert got[1] == got[2] == got[3] == [0.0] * 4 and got[4] == got[5] != [0.0] * 4 and len(got[6]) == 4
     assert BatchEncoder(pooled_table_model(4), 4)(df.where("false")).count() == 0
+
+
+def test_hashing_encoder_by_hand(spark):
+    """Counts, document frequencies and lengths as plain Python has them, for
+    odd whitespace, cases, blank, null and long texts; sparse and dense alike.
+    Tokens are hashed once per distinct token of a batch, not by expressions."""
+    import math
+    from hashlib import md5
+
+    dim = 16
+    texts = ["Ab aB  c\x1cd e\x85", None, "", " \t\n", "İstanbul ÉtÉ " * 30, "x" * 5000 + " y", "a​b a b -- ab"] + [f"w{k} w{k % 7}" for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    low = {r["id"]: r["t"] for r in df.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    counts = {}
+    for k, t in low.items():
+        counts[k] = [0] * dim
+        for w in t.split():
+            counts[k][int(md5(w.encode()).hexdigest()[:8], 16) % dim] += 1
+    held = [sum(c[b] > 0 for c in counts.values()) for b in range(dim)]
+    enc = HashingEncoder(dim).fit(df, "text")
+    both = enc(enc(df, "text", "vec"), "text", "few", sparse=True)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "md5(" not in plan and "lambda" not in plan
+    rows = both.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        x = [c * math.log((len(texts) + 1) / (h + 1)) for c, h in zip(counts[r["id"]], held)]
+        n = math.sqrt(sum(v * v for v in x))
+        assert np.allclose(r["vec"], [v / n if n else 0.0 for v in x], rtol=0, atol=1e-12)
+        full = [0.0] * r["few"]["dim"]
+        for p, v in zip(r["few"]["pos"], r["few"]["value"]):
+            full[p] = v
+        assert full == r["vec"]
+
+
+def test_texts_are_counted_in_bounded_pieces():
+    import pyarrow as pa
+
+    from taxomatch.operators import encode
+
+    texts = pa.array(["ab" * (k % 5) for k in range(20_000)] + ["z" * (40 << 20), None, "q"])
+    parts = list(encode.pieces(texts))
+    assert pa.concat_arrays(parts).equals(texts)
+    assert all(len(p) <= encode.PIECE_ROWS for p in parts) and len(parts) <= 5
+
+
+def test_chunks_are_made_of_text_spaced_once(spark):
+    """The generator holds no whitespace pattern of its own: it made the spaced
+    text anew for each mention of it."""
+    df = spark.createDataFrame([("x", " a\t\tb \n c "), ("y", "  well-known  ")], "key string, text string")
+    out = encode_chunked(df, "key", "text", _toy_encoder(), width=14)
+    generate = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x]
+    assert len(generate) == 1 and "\\s{2,}" not in generate[0] and "\\s+" not in generate[0]
+    from taxomatch.functions import text as tx
+
+    got = [r[0] for r in df.select(tx.single_spaced("text")).collect()]
+    assert got[0] == "a b c"
