@@ -18,7 +18,7 @@ Physical plan. There is no cross join and no pair table:
   shared checkpoint folder and size-checked.
 * **broadcast path** - under ``broadcast_limit_bytes`` the prepared KB is
   collected once and broadcast. Queries are scored in Arrow batches by
-  ``mapInPandas``; only the top-k per query leaves the task. A caller whose
+  ``mapInArrow``; only the top-k per query leaves the task. A caller whose
   queries come in few partitions spreads them at the source
   (``session.spread_input``) or passes ``partitions``.
 * **blocked path** - for a larger KB, KB rows are hashed into ``B`` blocks and
@@ -42,6 +42,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,6 +108,48 @@ def _stack(vectors, dim: int) -> np.ndarray:
     return out
 
 
+def vec_rows(vectors: pa.Array, dim: int) -> np.ndarray:
+    """``_stack`` of an Arrow column of arrays or of sparse vectors (``encode.SPARSE``)."""
+    n = len(vectors)
+    if pa.types.is_struct(vectors.type):
+        width, pos, value = vectors.flatten()  # null where the vector is
+        other = pc.unique(width.drop_null()).to_pylist()
+        if other not in ([], [dim]):
+            raise ValueError(f"vectors have {other} components, the knowledge base has {dim}")
+        out = np.zeros((n, dim), dtype=np.float64)
+        lens = pc.fill_null(pos.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        out[np.repeat(np.arange(n), lens), pos.flatten().to_numpy()] = value.flatten().to_numpy()
+        return out
+    lens = pc.fill_null(vectors.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    wrong = lens[(lens != dim) & (lens != 0)]
+    if len(wrong):
+        raise ValueError(f"a vector has {wrong[0]} components, the knowledge base has {dim}")
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
+    if len(flat) == n:
+        return flat
+    out = np.zeros((n, dim), dtype=np.float64)
+    out[lens > 0] = flat
+    return out
+
+
+def dense_vectors(df: DataFrame, vec: str = "vec") -> DataFrame:
+    """``df`` with sparse vectors, if it has such, as arrays (null: null)."""
+    if not isinstance(df.schema[vec].dataType, T.StructType) if vec in df.columns else True:
+        return df
+    ship_package(df.sparkSession)
+
+    @F.arrow_udf("array<double>")
+    def dense(v: pa.Array) -> pa.Array:
+        width = pc.unique(v.flatten()[0].drop_null()).to_pylist()
+        if len(width) > 1:
+            raise ValueError(f"vectors have {width} components")
+        out, known = vec_rows(v, width[0] if width else 0), v.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(known * out.shape[1])])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out[known].ravel()), mask=pa.array(~known))
+
+    return df.withColumn(vec, dense(vec))
+
+
 def typed_empty(schema: T.StructType) -> pd.DataFrame:
     """No rows, with column types that convert to ``schema``."""
     kinds = {T.LongType: "int64", T.IntegerType: "int32", T.DoubleType: "float64"}
@@ -161,15 +205,16 @@ class KbSlab:
 
     def _sparse_scores(self, lists, vocab, postings, distinct: bool) -> np.ndarray:
         """(rows x n_kb) sum over each query's terms of the term's KB weights,
-        via the postings and one ``bincount`` (no dense term matrix)."""
+        via the postings and one ``bincount`` (no dense term matrix). ``lists``:
+        an Arrow column, or one of pandas."""
+        lists = lists if isinstance(lists, pa.Array) else pa.array(lists, type=pa.list_(pa.string()))
         out = np.zeros((len(lists), self.n), dtype=np.float64)
-        lens = np.fromiter((0 if t is None else len(t) for t in lists), dtype=np.int64, count=len(lists))
+        lens = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
         if lens.sum() == 0 or not vocab or self.n == 0:
             return out
-        flat = np.concatenate([np.asarray(t, dtype=object) for t in lists if t is not None and len(t)])
-        ids = pd.Series(flat, dtype=object).map(vocab).to_numpy(dtype=np.float64, na_value=np.nan)
+        ids = pc.fill_null(pc.index_in(lists.flatten(), value_set=pa.array(list(vocab), type=pa.string())), -1).to_numpy(zero_copy_only=False)
         rows = np.repeat(np.arange(len(lists)), lens)
-        ok = ~np.isnan(ids)
+        ok = ids >= 0
         rows, terms = rows[ok], ids[ok].astype(np.int64)
         if distinct:
             key = np.unique(rows * len(vocab) + terms)
@@ -184,29 +229,32 @@ class KbSlab:
         out += np.bincount(flat_idx, weights=vals[pos], minlength=len(lists) * self.n).reshape(len(lists), self.n)
         return out
 
-    def score(self, qpdf: pd.DataFrame, cfg: MatchConfig, dim: int):
-        """Return (final, raw) score matrices of shape (rows, n_kb)."""
-        rows = len(qpdf)
+    def score(self, q, cfg: MatchConfig, dim: int):
+        """Return (final, raw) score matrices of shape (rows, n_kb) of an Arrow
+        batch or a pandas one."""
+        rows = len(q)
+        arrow = isinstance(q, pa.RecordBatch)
+        names = q.schema.names if arrow else q.columns
         raw = np.zeros((rows, self.n), dtype=np.float64)
-        if self.fused is not None and "vec" in qpdf.columns:
-            q = _unit_rows(_stack(qpdf["vec"].tolist(), dim))
-            raw = q @ self.fused.T
+        if self.fused is not None and "vec" in names:
+            m = vec_rows(q.column("vec"), dim) if arrow else _stack(q["vec"].tolist(), dim)
+            raw = _unit_rows(m) @ self.fused.T
         final = raw.copy()
-        if self.bm25_m is not None and "tokens" in qpdf.columns:
-            s = self.bm25_raw(qpdf)
-            if "_bm25_max" in qpdf.columns:  # blocked path: max over the whole KB
-                mx = qpdf["_bm25_max"].fillna(0.0).to_numpy(dtype=np.float64)[:, None]
+        if self.bm25_m is not None and "tokens" in names:
+            s = self.bm25_raw(q)
+            if "_bm25_max" in names:  # blocked path: max over the whole KB
+                mx = q["_bm25_max"].fillna(0.0).to_numpy(dtype=np.float64)[:, None]
             else:
                 mx = s.max(axis=1, keepdims=True) if self.n else np.zeros((rows, 1))
             s = np.where(mx > 0, s / np.where(mx > 0, mx, 1.0), s)
             final = final + cfg.bm25_weight * s
-        if self.title_m is not None and "title_words" in qpdf.columns:
-            ov = self._sparse_scores(qpdf["title_words"].tolist(), self.title_vocab, self.title_m, distinct=True)
+        if self.title_m is not None and "title_words" in names:
+            ov = self._sparse_scores(q.column("title_words") if arrow else q["title_words"].tolist(), self.title_vocab, self.title_m, distinct=True)
             final = final + cfg.title_boost * ov
         return final, raw
 
-    def bm25_raw(self, qpdf: pd.DataFrame) -> np.ndarray:
-        return self._sparse_scores(qpdf["tokens"].tolist(), self.bm25_vocab, self.bm25_m, distinct=False)
+    def bm25_raw(self, q) -> np.ndarray:
+        return self._sparse_scores(q.column("tokens") if isinstance(q, pa.RecordBatch) else q["tokens"].tolist(), self.bm25_vocab, self.bm25_m, distinct=False)
 
     def topk(self, final: np.ndarray, k: int) -> np.ndarray:
         """Indices of the k best columns per row: score desc, then code asc
@@ -218,6 +266,13 @@ class KbSlab:
         k = min(k, self.n)
         if k == 0:
             return np.zeros((final.shape[0], 0), dtype=np.int64)
+        if k <= 8 and np.isfinite(final).all():  # one pass a place; the first of equal scores is the lowest code
+            out = np.empty((len(final), k), dtype=np.int64)
+            rows = np.arange(len(final))
+            for j in range(k):
+                out[:, j] = final.argmax(axis=1)
+                final[rows, out[:, j]] = -np.inf
+            return out
         if self.n <= 512:
             return np.argsort(-final, axis=1, kind="stable")[:, :k]
         rows = np.arange(final.shape[0])[:, None]
@@ -235,12 +290,12 @@ class KbSlab:
         return out
 
 
-def _score_rows(qpdf: pd.DataFrame, slab: KbSlab, cfg: MatchConfig, dim: int):
-    """Yield per-query top-k arrays for one pandas batch, in sub-batches so the
-    score matrix stays under ``max_cells``."""
+def _score_rows(q, slab: KbSlab, cfg: MatchConfig, dim: int):
+    """Yield per-query top-k arrays for one batch, in sub-batches so the score
+    matrix stays under ``max_cells``."""
     step = max(1, cfg.max_cells // max(slab.n, 1))
-    for start in range(0, len(qpdf), step):
-        part = qpdf.iloc[start:start + step]
+    for start in range(0, len(q), step):
+        part = q.slice(start, step) if isinstance(q, pa.RecordBatch) else q.iloc[start:start + step]
         final, raw = slab.score(part, cfg, dim)
         idx = slab.topk(final, cfg.k)
         if idx.size:
@@ -335,7 +390,7 @@ def match(queries: DataFrame, kb, cfg: MatchConfig | None = None,
           query_id: str = "query_id", partitions: int | None = None) -> DataFrame:
     """Top-k matches per query.
 
-    ``queries`` needs ``query_id`` and any of ``vec`` (array<double>),
+    ``queries`` needs ``query_id`` and any of ``vec`` (array<double>, or sparse),
     ``tokens`` (array<string>, BM25), ``title_words`` (array<string>, boost).
     ``kb`` is a ``PreparedKb`` or a DataFrame with ``code``, ``title`` and any
     of ``vec_<field>``, ``title_words``, ``bm25_terms``
@@ -365,16 +420,15 @@ def _match_broadcast(queries: DataFrame, prepared: PreparedKb, query_id: str) ->
 
     def run(batches):
         s = bc.value
-        for pdf in batches:
-            for part, idx, fin, raw in _score_rows(pdf, s, cfg, dim):
-                out = part[keep].reset_index(drop=True).copy()
-                out["codes"] = list(s.codes[idx]) if idx.size else [[] for _ in range(len(part))]
-                out["titles"] = list(s.titles[idx]) if idx.size else [[] for _ in range(len(part))]
-                out["scores"] = list(fin)
-                out["raw_scores"] = list(raw)
-                yield out
+        codes, titles = (pa.array(x, type=pa.string()) for x in (s.codes, s.titles))
+        for batch in batches:
+            for part, idx, fin, raw in _score_rows(batch, s, cfg, dim):
+                ends = pa.array(np.arange(len(part) + 1) * idx.shape[1], pa.int32())
+                at = pa.array(idx.ravel())
+                found = [codes.take(at), titles.take(at), pa.array(fin.ravel()), pa.array(raw.ravel())]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.ListArray.from_arrays(ends, x) for x in found], schema.names)
 
-    return queries.mapInPandas(run, schema)
+    return queries.select(*keep, *inputs).mapInArrow(run, schema)
 
 
 def block_rows(limit_rows: int, block_bytes: int, dim: int, floor: int = 1) -> int:
@@ -422,7 +476,7 @@ def _match_blocked(queries: DataFrame, prepared: PreparedKb, payload_id: str) ->
     # a number of its own for each row: ids may repeat or be null. Written once,
     # so the number is the same for the candidates and for the final join
     query_id = "_query_row"
-    queries = reliable_checkpoint(queries.withColumn(query_id, F.monotonically_increasing_id()))
+    queries = reliable_checkpoint(dense_vectors(queries).withColumn(query_id, F.monotonically_increasing_id()))
     inputs = _query_inputs(queries)
     scored = queries.select(query_id, *inputs)
     if cfg.bm25_weight and "tokens" in inputs and "bm25_terms" in prepared.frame.columns:

@@ -619,19 +619,19 @@ def blank_chunks(spark: SparkSession, d: str) -> DataFrame:
     return v.select("doc_id", F.size("vec").alias("dims"), rnd(norm("vec")).alias("norm"))
 
 
-def _tax_kb(spark, d) -> DataFrame:
+def _tax_kb(spark, d, orders: DataFrame) -> DataFrame:
     """The taxonomy: 125 rows at any size."""
-    tasks = si.tax_tasks(spark, d)
+    tasks = si.tax_tasks(orders)
     weighted = kbo.task_weights(tasks.drop("rating", "scale_id"), tasks.select("code", "task_id", "scale_id", "rating"))
     return kbo.build_kb(si.tax_occupations(spark, d), kbo.nest_tasks(weighted),
-                        kbo.flatten_text(si.tax_alt_titles(spark, d), "code", "text", "all_alt_titles"),
-                        kbo.flatten_text(si.tax_skills(spark, d), "code", "text", "all_tech_skills"), None)
+                        kbo.flatten_text(si.tax_alt_titles(orders), "code", "text", "all_alt_titles"),
+                        kbo.flatten_text(si.tax_skills(orders), "code", "text", "all_tech_skills"), None)
 
 
-def _tax_vectors(spark, d, mode: str):
+def _tax_vectors(spark, d, mode: str, orders: DataFrame):
     """(knowledge base with vectors, encoder). The text rows are written once:
     the fit, the six fields and the BM25 corpus read them."""
-    kb = reliable_checkpoint(_tax_kb(spark, d))
+    kb = reliable_checkpoint(_tax_kb(spark, d, orders))
     corpus = kb.select(F.concat_ws(" ", "title", "description", "all_alt_titles", "all_tech_skills").alias("text"))
     enc = HashingEncoder(dim=DIM).fit(corpus, "text")
     return kb_vectors(kb, enc, mode=mode), enc
@@ -644,26 +644,27 @@ def _kb_elements(v: DataFrame) -> DataFrame:
 
 
 def kb_vectors_q(spark: SparkSession, d: str) -> DataFrame:
-    return _kb_elements(_tax_vectors(spark, d, "whole")[0])
+    return _kb_elements(_tax_vectors(spark, d, "whole", si.tax_orders(spark, d))[0])
 
 
 def kb_vectors_chunked(spark: SparkSession, d: str) -> DataFrame:
     """Six-field encode: tasks weighted by importance, other fields chunk-meaned."""
-    return _kb_elements(_tax_vectors(spark, d, "chunk")[0])
+    return _kb_elements(_tax_vectors(spark, d, "chunk", si.tax_orders(spark, d))[0])
 
 
 def text_match_production(spark: SparkSession, d: str) -> DataFrame:
     """Production: chunked vectors, plain query text, dense score alone."""
-    kbv, enc = _tax_vectors(spark, d, "chunk")
-    rows = si.tax_survey(spark, d).withColumn("text", tx.query_text("occupation", "description"))
-    q = enc(rows.select("query_id", "text"), "text", "vec").drop("text")
+    orders = si.tax_orders(spark, d)
+    kbv, enc = _tax_vectors(spark, d, "chunk", orders)
+    rows = si.tax_survey(orders).withColumn("text", tx.query_text("occupation", "description"))
+    q = enc(rows.select("query_id", "text"), "text", "vec", sparse=True).drop("text")
     return to_wide(match(q, kbv, MatchConfig(weights=ENGINE_WEIGHTS)), "production")
 
 
-def _rater_rows(spark, d) -> DataFrame:
+def _rater_rows(orders: DataFrame) -> DataFrame:
     """The raters' two tables as one, stripped; the second lacks the titles. A
     reference number in the text tells rows apart, as free text does."""
-    rows = si.tax_survey(spark, d)
+    rows = si.tax_survey(orders)
     rows = rows.withColumn("description", F.concat_ws(" ", "description", F.concat(F.lit("ref "), F.col("query_id").cast("string"))))
     second = F.col("query_id") % 3 == 0
     return st.strip_all(lb.union_tagged({"Matched": rows.where(~second), "Non-Matched": rows.where(second).drop("onet_title")}))
@@ -673,8 +674,9 @@ def weight_search_text(spark: SparkSession, d: str) -> DataFrame:
     """Line search of the field weights from the baseline on the raters' rows:
     the union less the rows of the test split and those without a code, a fifth
     of the rest, encoded and matched to the taxonomy."""
-    kbv, enc = _tax_vectors(spark, d, "chunk")
-    raters = _rater_rows(spark, d)
+    orders = si.tax_orders(spark, d)
+    kbv, enc = _tax_vectors(spark, d, "chunk", orders)
+    raters = _rater_rows(orders)
     coded = raters.where("Rater_Subset = 'Matched' AND onet_soc <> ''")
     test = lb.exact_split(coded, si.ahash("query_id"), "query_id", 0.8).where("split = 'test'")
     rows = lb.remove_keys(raters, test).where("onet_soc <> ''")
@@ -685,11 +687,12 @@ def weight_search_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid(spark, d) -> DataFrame:
-    kbv, enc = _tax_vectors(spark, d, "chunk")
+    orders = si.tax_orders(spark, d)
+    kbv, enc = _tax_vectors(spark, d, "chunk", orders)
     corpus = kbv.select("code", lx.corpus_text("title", "all_alt_titles", "description").alias("text"))
     kbv = kbv.withColumn("title_words", tx.title_words("title")).join(lx.bm25_index(corpus, "code", "text"), "code", "left")
-    rows = si.tax_survey(spark, d).withColumn("text", tx.query_text("occupation", "description"))
-    q = enc(rows, "text", "vec").withColumn("tokens", tx.tokens("text")).withColumn("title_words", tx.title_words("occupation")).drop("text")
+    rows = si.tax_survey(orders).withColumn("text", tx.query_text("occupation", "description"))
+    q = enc(rows, "text", "vec", sparse=True).withColumn("tokens", tx.tokens("text")).withColumn("title_words", tx.title_words("occupation")).drop("text")
     return match(q, kbv, MatchConfig(weights=TUNED_WEIGHTS, title_boost=tx.TITLE_BOOST, bm25_weight=0.2))
 
 
@@ -708,17 +711,18 @@ def text_eval_summary(spark: SparkSession, d: str) -> DataFrame:
 def text_match_app(spark: SparkSession, d: str) -> DataFrame:
     """App: whole-text vectors (the task slot is the title), prefixed and
     stripped query text, title boost on raw words."""
-    kbv, enc = _tax_vectors(spark, d, "whole")
+    orders = si.tax_orders(spark, d)
+    kbv, enc = _tax_vectors(spark, d, "whole", orders)
     kbv = kbv.withColumn("title_words", tx.title_words("title", (), None))
-    rows = si.tax_survey(spark, d).withColumn("text", tx.query_text("occupation", "description", prefix=tx.QUERY_PREFIX, strip=True))
-    q = enc(rows.select("query_id", "occupation", "text"), "text", "vec").withColumn("title_words", tx.title_words("occupation", (), None))
+    rows = si.tax_survey(orders).withColumn("text", tx.query_text("occupation", "description", prefix=tx.QUERY_PREFIX, strip=True))
+    q = enc(rows.select("query_id", "occupation", "text"), "text", "vec", sparse=True).withColumn("title_words", tx.title_words("occupation", (), None))
     r = match(q.drop("occupation", "text"), kbv, MatchConfig(weights=TUNED_WEIGHTS, title_boost=tx.TITLE_BOOST))
     return to_wide(r, "app")
 
 
 def single_lookup(spark: SparkSession, d: str) -> DataFrame:
     """One typed-in title and description against the whole taxonomy."""
-    kbv, enc = _tax_vectors(spark, d, "chunk")
+    kbv, enc = _tax_vectors(spark, d, "chunk", si.tax_orders(spark, d))
     r = match_one(spark, kbv, "Furniture buyer", "orders of nation_7 by customers", lambda df: enc(df, "text", "vec"), MatchConfig(weights=ENGINE_WEIGHTS, k=10))
     return to_long(r).select("rank", "code", "title", rnd("score").alias("score"))
 

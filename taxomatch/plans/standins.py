@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from taxomatch.functions.text import title_words
 from taxomatch.functions.vectors import mask_positions
 from taxomatch.operators.centroid import centroids
+from taxomatch.operators.prefix import written
 from taxomatch.session import spread_input
 
 # Stand-in vocabulary for the ten embedding labels (fixed values of this repo).
@@ -224,38 +225,44 @@ def _tax_orders(spark, d) -> DataFrame:
     return o.join(c, o.o_custkey == c.c_custkey)
 
 
+def tax_orders(spark, d) -> DataFrame:
+    """The orders with their customers' occupations, joined and written once:
+    a query's tasks, titles, skills and survey rows all read them."""
+    cols = ("o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority", "n_name", "segment", "code")
+    return written(_tax_orders(spark, d).select(*cols), "tax-orders")
+
+
 def tax_occupations(spark, d) -> DataFrame:
     c = _tax_customers(spark, d).groupBy("code", "segment", "n_name").agg(F.count(F.lit(1)).alias("n"))
     return c.select("code", F.concat(F.initcap("segment"), F.lit(" Buyers of "), F.col("n_name")).alias("title"),
                     F.concat(F.lit("Buys "), F.col("segment"), F.lit(" goods for customers in "), F.lower("n_name")).alias("description"))
 
 
-def tax_tasks(spark, d) -> DataFrame:
+def tax_tasks(orders: DataFrame) -> DataFrame:
     """One task per code and order priority, rated by the share of finished orders."""
-    g = _tax_orders(spark, d).groupBy("code", "o_orderpriority").agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("share"))
+    g = orders.groupBy("code", "o_orderpriority").agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("share"))
     task = F.concat(F.lit("handle "), F.lower("o_orderpriority"), F.lit(" orders"))
     return g.select("code", F.col("o_orderpriority").alias("task_id"), task.alias("task"), F.lit("IM").alias("scale_id"),
                     F.concat(F.lit(""), F.round(1 + 4 * F.col("share"), 2).cast("string")).alias("rating"), F.left("o_orderpriority", F.lit(1)).cast("int").alias("seq"))
 
 
-def tax_alt_titles(spark, d) -> DataFrame:
+def tax_alt_titles(orders: DataFrame) -> DataFrame:
     """One alternate title per code and year of its orders."""
-    g = _tax_orders(spark, d).select("code", "segment", F.year("o_orderdate").alias("y")).distinct()
+    g = orders.select("code", "segment", F.year("o_orderdate").alias("y")).distinct()
     return g.select("code", F.concat(F.col("segment"), F.lit(" procurement specialist "), F.col("y").cast("string")).alias("text"), F.col("y").alias("seq"))
 
 
-def tax_skills(spark, d) -> DataFrame:
+def tax_skills(orders: DataFrame) -> DataFrame:
     """One skill per code, order status and priority: long lists make several chunks."""
-    g = _tax_orders(spark, d).select("code", "segment", "n_name", "o_orderstatus", "o_orderpriority").distinct()
+    g = orders.select("code", "segment", "n_name", "o_orderstatus", "o_orderpriority").distinct()
     text = F.concat(F.lit("tracks "), F.col("segment"), F.lit(" orders of status "), F.col("o_orderstatus"), F.lit(" and priority "),
                     F.col("o_orderpriority"), F.lit(" for "), F.col("n_name"))
     return g.select("code", text.alias("text"), F.concat("o_orderstatus", "o_orderpriority").alias("seq"))
 
 
-def tax_survey(spark, d) -> DataFrame:
+def tax_survey(orders: DataFrame) -> DataFrame:
     """One survey row per order, with the code of its customer's occupation."""
-    o = _tax_orders(spark, d)
     title = F.when(F.col("o_orderkey") % 7 == 0, F.lit("Specialist")).otherwise(F.concat(F.lit("  "), F.initcap("segment"), F.lit(" buyer ")))
     desc = F.concat(F.lit("I handle "), F.lower("o_orderpriority"), F.lit(" orders of "), F.lower("n_name"), F.lit(" in status "), F.col("o_orderstatus"))
-    return o.select(F.col("o_orderkey").alias("query_id"), title.alias("occupation"), F.when(F.col("o_orderkey") % 9 != 0, desc).alias("description"),
+    return orders.select(F.col("o_orderkey").alias("query_id"), title.alias("occupation"), F.when(F.col("o_orderkey") % 9 != 0, desc).alias("description"),
                     F.when(F.col("o_orderkey") % 13 == 0, F.lit("")).otherwise(F.col("code")).alias("onet_soc"), F.lit("").alias("onet_title"))
