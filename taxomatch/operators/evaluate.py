@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from taxomatch.functions.text import blank_to_empty
 from taxomatch.functions.vectors import FIELDS, SEARCH_BASELINE, WEIGHT_NAMES, normalized_weights
 from taxomatch.operators import linesearch as line
-from taxomatch.operators.match import RANK_DECIMALS, _stack, _unit_rows, block_rows, typed_empty
+from taxomatch.operators.match import RANK_DECIMALS, _stack, _unit_rows, block_rows, dense_vectors, typed_empty, vec_rows
 from taxomatch.operators.prefix import running_sum, written
 from taxomatch.session import reliable_checkpoint, ship_package
 
@@ -174,21 +175,19 @@ def _weight_hits_broadcast(queries, slab, cand, truth, dim, max_cells):
         hits = np.zeros(len(cw), dtype=np.int64)
         rows = 0
         step = max(1, max_cells // max(s.n * max(len(FIELDS), len(cw)), 1))
-        for pdf in batches:
-            t = pdf[truth].map(s.index)
-            pdf = pdf[t.notna()]
-            t = t[t.notna()].astype(np.int64).to_numpy()
-            for a in range(0, len(pdf), step):
-                part = pdf.iloc[a:a + step]
-                q = _unit_rows(_stack(part["vec"].tolist(), dim))
+        for batch in batches:
+            t, known = line.true_places(batch.column(truth), s)
+            for a in range(0, len(known), step):
+                part = known.slice(a, step)
+                q = _unit_rows(vec_rows(batch.column("vec").take(part), dim))
                 comb = np.tensordot(cw, _per_field(q, s), axes=1)    # (C, rows, n_kb)
                 pred = np.round(comb, RANK_DECIMALS).argmax(axis=2)  # first (lowest code) on ties
                 hits += (pred == t[a:a + step][None, :]).sum(axis=1)
                 rows += len(part)
-        yield pd.DataFrame({"candidate": np.arange(len(cw), dtype=np.int32), "hits": hits,
-                            "rows": np.full(len(cw), rows, dtype=np.int64)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cw)), pa.int32()), pa.array(hits),
+                                          pa.array(np.full(len(cw), rows, dtype=np.int64))], schema.names)
 
-    part = queries.select("vec", truth).mapInPandas(run, schema)
+    part = queries.select("vec", F.col(truth).cast("string").alias(truth)).mapInArrow(run, schema)
     return part.groupBy("candidate").agg(F.sum("hits").alias("hits"), F.sum("rows").alias("rows"))
 
 
@@ -197,7 +196,7 @@ def _weight_hits_blocked(queries, kb, cand, truth, query_id, n_kb, dim, max_cell
     known = k.select(F.col("code").alias(truth))
     # rows are told apart by a number of their own: ids may repeat or be null
     query_id = "_query_row"
-    q = queries.select("vec", truth).join(known, truth, "left_semi").withColumn(query_id, F.monotonically_increasing_id())
+    q = dense_vectors(queries.select("vec", truth)).join(known, truth, "left_semi").withColumn(query_id, F.monotonically_increasing_id())
     q = reliable_checkpoint(q)
     # six per-field matrices per KB row; a co-group side holds about 64 MB
     n_b = max(1, math.ceil(n_kb / block_rows(kb_block_rows, 64 << 20, dim * len(FIELDS))))

@@ -20,11 +20,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxomatch.functions.vectors import FIELDS, cosine
-from taxomatch.operators.match import _stack, _unit_rows, block_rows, typed_empty
+from taxomatch.operators.match import _stack, _unit_rows, block_rows, dense_vectors, typed_empty, vec_rows
 from taxomatch.operators.prefix import written
 
 GRID = 1_000_000_000       # points between share 0 and share 1
@@ -92,6 +94,13 @@ def _events_frame(parts: list[tuple]) -> pd.DataFrame:
     return pdf.groupby(["field", "point"], as_index=False)["delta"].sum().astype({"field": "int32"})
 
 
+def true_places(codes: pa.Array, slab) -> tuple[np.ndarray, pa.Array]:
+    """(places of the true codes in the knowledge base, the batch's rows whose
+    true code is there)."""
+    at = pc.index_in(codes, value_set=pa.array(slab.codes, type=pa.string()), skip_nulls=True)
+    return at.drop_null().to_numpy().astype(np.int64), pa.array(np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False)))
+
+
 def events_broadcast(queries: DataFrame, slab, weights, truth: str, dim: int, max_cells: int) -> DataFrame:
     """Events of queries against a broadcast knowledge base (``slab``: a handle
     on a FieldSlab, codes ascending)."""
@@ -101,18 +110,18 @@ def events_broadcast(queries: DataFrame, slab, weights, truth: str, dim: int, ma
         s = slab.value
         step = max(1, max_cells // max(s.n * 2 * len(FIELDS), 1))
         place = np.arange(s.n)
-        for pdf in batches:
-            t = pdf[truth].map(s.index)
-            pdf, t = pdf[t.notna()], t[t.notna()].astype(np.int64).to_numpy()
-            for a in range(0, len(pdf), step):
+        for batch in batches:
+            t, known = true_places(batch.column(truth), s)
+            for a in range(0, len(known), step):
                 at = t[a:a + step]
-                q = _unit_rows(_stack(pdf["vec"].iloc[a:a + step].tolist(), dim))
+                q = _unit_rows(vec_rows(batch.column("vec").take(known.slice(a, step)), dim))
                 f, n, d = s.fields.shape
                 sims = (q @ s.fields.reshape(f * n, d).T).reshape(len(q), f, n).transpose(1, 0, 2)
                 own = sims[:, np.arange(len(at)), at]
-                yield _events_frame(intervals(sims, own, place[None, :] < at[:, None], place[None, :] == at[:, None], weights))
+                found = _events_frame(intervals(sims, own, place[None, :] < at[:, None], place[None, :] == at[:, None], weights))
+                yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
-    return queries.select("vec", truth).mapInPandas(run, EVENTS)
+    return queries.select("vec", F.col(truth).cast("string").alias(truth)).mapInArrow(run, EVENTS)
 
 
 def events_blocked(queries: DataFrame, kb: DataFrame, weights, truth: str, n_kb: int, dim: int, slab_of, max_cells: int,
@@ -123,7 +132,7 @@ def events_blocked(queries: DataFrame, kb: DataFrame, weights, truth: str, n_kb:
     weights = tuple(weights)
     names = [c for c in kb.columns if c != "code"]
     mine = kb.select(F.col("code").alias("_code"), *[F.col(c).alias(f"_own_{c}") for c in names])
-    q = queries.select("vec", F.col(truth).alias("_code")).join(mine, "_code")
+    q = dense_vectors(queries).select("vec", F.col(truth).alias("_code")).join(mine, "_code")
     vec = F.coalesce(F.col("vec"), F.array().cast("array<double>"))
     own = [F.coalesce(cosine(vec, F.col(f"_own_vec_{f}")), F.lit(0.0)) if f"vec_{f}" in names else F.lit(0.0) for f in FIELDS]
     # rows are told apart by a number of their own: ids may repeat or be null

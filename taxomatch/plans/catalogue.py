@@ -681,7 +681,7 @@ def weight_search_text(spark: SparkSession, d: str) -> DataFrame:
     test = lb.exact_split(coded, si.ahash("query_id"), "query_id", 0.8).where("split = 'test'")
     rows = lb.remove_keys(raters, test).where("onet_soc <> ''")
     sample = lb.exact_sample(rows, si.ahash(F.col("query_id") + 7), "query_id", 0.2)
-    q = enc(sample.select(tx.query_text("occupation", "description").alias("text"), F.col("onet_soc").alias("truth_code")), "text", "vec")
+    q = enc(sample.select(tx.query_text("occupation", "description").alias("text"), F.col("onet_soc").alias("truth_code")), "text", "vec", sparse=True)
     found = ev.weight_search(q, kbv, candidates=0)
     return found.select("field", rnd("weight", 9).alias("weight"), rnd("accuracy", 9).alias("accuracy"), rnd("baseline_accuracy", 9).alias("baseline_accuracy"))
 

@@ -4,6 +4,7 @@ numpy computation of the unfused reference formula."""
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -175,3 +176,54 @@ def test_single_lookup_returns_top3(spark):
     r = match_one(spark, kb, "Nurse Supervisors", "", encode=lambda df: BatchEncoder(load, len(vec))(df, "text", "vec"),
                   cfg=MatchConfig(weights=TUNED_WEIGHTS, title_boost=0.03)).first()
     assert len(r["codes"]) == 3 and r["codes"][0] == first["code"]
+
+
+def test_sparse_vectors_match_as_dense_ones(spark):
+    """Both physical paths, the weight search too, take sparse vectors: null and
+    empty ones are zero, a width other than the knowledge base's is an error."""
+    from taxomatch.operators import evaluate as ev
+    from taxomatch.operators.encode import SPARSE
+
+    rng = np.random.default_rng(5)
+    dim = 6
+    vectors = [None, [0.0] * dim] + [[float(x) if x > 3 else 0.0 for x in rng.integers(0, 9, dim)] for _ in range(40)]
+    codes = [f"c{k}" for k in range(7)]
+    rows = [(k if k % 5 else None, v, None if v is None else (dim, [p for p, x in enumerate(v) if x], [x for x in v if x]), (codes + [None, "no"])[k % 9])
+            for k, v in enumerate(vectors)]
+    q = spark.createDataFrame(rows, f"query_id long, vec array<double>, few {SPARSE}, truth_code string").repartition(3)
+    fields = ", ".join(f"vec_{f} array<double>" for f in FIELDS)
+    kb = spark.createDataFrame([(c, f"t {c}", *[[float(x) for x in rng.integers(0, 4, dim)] for _ in FIELDS]) for c in codes], f"code string, title string, {fields}")
+    few = q.drop("vec").withColumnRenamed("few", "vec")
+    of = lambda df: sorted(df.select("query_id", "truth_code", "codes", "titles", "scores").collect(), key=str)
+    for blocked in (False, True):
+        cfg = MatchConfig(force_blocked=blocked)
+        assert of(match(few, kb, cfg)) == of(match(q.drop("few"), kb, cfg))
+        found = [ev.weight_search(x, kb, candidates=3, force_blocked=blocked).collect() for x in (few, q)]
+        assert found[0] == found[1]
+    narrow = few.where("vec is not null").withColumn("vec", F.col("vec").withField("dim", F.lit(dim + 1)))
+    with pytest.raises(Exception, match="knowledge base has 6"):
+        match(narrow, kb).collect()
+
+
+def test_first_places_by_maxima_are_those_of_a_stable_sort():
+    import pandas as pd
+
+    from taxomatch.operators.match import KbSlab
+
+    rng = np.random.default_rng(3)
+    slab = KbSlab(pd.DataFrame({"code": [f"{k:03d}" for k in range(50)], "title": ""}), MatchConfig(), 0)
+    final = rng.integers(0, 6, (200, 50)) / 3.0
+    assert (slab.topk(final, 3) == np.argsort(-final, axis=1, kind="stable")[:, :3]).all()
+    final[7, 9] = np.nan
+    assert (slab.topk(final, 3) == np.argsort(-np.round(final, 12), axis=1, kind="stable")[:, :3]).all()
+
+
+@pytest.mark.parametrize("query", ["text_eval_summary", "weight_search_text"])
+def test_text_matchers_join_the_orders_once(spark, monkeypatch, query):
+    from taxomatch.plans import catalogue, standins
+
+    read = []
+    table = standins.table
+    monkeypatch.setattr(standins, "table", lambda s, d, name: read.append(name) or table(s, d, name))
+    catalogue.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert read.count("orders") == 1
